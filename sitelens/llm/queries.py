@@ -13,12 +13,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_columns(spark, sf_dir):
+    from .media import text_media
+
+    return text_media(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_ids(spark, sf_dir):
     from .token_ids import token_ids
 
     return token_ids(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op8_mixing(spark, sf_dir):
+    from .mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark, sf_dir):
     from .warc import warc_round_trip
 
@@ -26,7 +38,9 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_media_columns": op1_media_columns,
     "op7_token_ids": op7_token_ids,
+    "op8_mixing": op8_mixing,
     "op10_warc": op10_warc,
 }
 
