@@ -67,12 +67,12 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
             i = j
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each run of bytes other than white space; a row's end also ends a word."""
+def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes outside `space`; a row's end also ends a word."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     before = np.empty(len(data), bool)

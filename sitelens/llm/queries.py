@@ -19,6 +19,18 @@ def op1_media_columns(spark, sf_dir):
     return text_media(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    from .quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_token_ids(spark, sf_dir):
     from .token_ids import token_ids
 
@@ -39,6 +51,8 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_token_ids": op7_token_ids,
     "op8_mixing": op8_mixing,
     "op10_warc": op10_warc,

@@ -10,6 +10,7 @@ a hash of their text; equal rows follow each other. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -39,7 +40,7 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     width = int(np.partition(rest, k := min(len(rest) - 1, int(len(rest) * percentile / 100)))[k]).bit_length()
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
     head = HEAD.pack(low, width, len(ids), len(over))
-    bits = ((rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
     return head + np.packbits(bits, bitorder="little").tobytes() + over.astype("<u2").tobytes() + rest[over].astype("<u4").tobytes()
 
 
@@ -48,10 +49,9 @@ def unpack_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     low, width, n, n_over = HEAD.unpack_from(data, at)
     at += HEAD.size
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    rest = np.zeros(n, np.uint32)
-    for i in range(width):
-        rest |= bits[:, i].astype(np.uint32) << np.uint32(i)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
+    rest = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
     at += size
     over = np.frombuffer(data, "<u2", n_over, at)
     rest[over] = np.frombuffer(data, "<u4", n_over, at + 2 * n_over)
@@ -140,7 +140,7 @@ class Encoder:
         if len(self.known) > self.most:
             self.known.clear()
         known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
+        new = list(set().union(*split).difference(known))
         for i in range(0, len(new), 1000):
             part = new[i : i + 1000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
@@ -148,6 +148,12 @@ class Encoder:
         return (b"".join([known[w] for w in ws]) for ws in split)
 
 
+@functools.cache
+def encoder(tokenizer_file: str) -> Encoder:
+    """A worker process's own encoder, which its tasks share."""
+    return Encoder(tokenizer_file)
+
+
 def write_token_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 1) -> DataFrame:
     """Write all documents' ids, in ascending doc_id order, as files in `folder`; return the manifest.
 
@@ -160,7 +166,7 @@ def write_token_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: i
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        encode, out, end, file = Encoder(tokenizer_file), None, struct.pack("<I", end_id), ""
+        encode, out, end, file = encoder(tokenizer_file), None, struct.pack("<I", end_id), ""
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "").cast(pa.large_binary())
             for i in range(0, len(texts), 256):
@@ -200,10 +206,10 @@ def read_token_ids(manifest: DataFrame) -> DataFrame:
     def to_batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "part", "at", "n_tokens", "ids_crc32"])
 
-    n = max(1, manifest.count())
+    n = max(1, manifest.count())  # files, as many as the writer's tasks; `before` is broadcast with a row for each
     rows = manifest.select("part", "path").repartition(n, "part").mapInArrow(read, "doc_id long, part long, at long, n_tokens long, ids_crc32 long")
     before = manifest.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("before"))
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int = 1) -> DataFrame:
