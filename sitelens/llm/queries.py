@@ -25,6 +25,12 @@ def op4_quality(spark, sf_dir):
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_sentencepiece(spark, sf_dir):
+    from .pieces import sampled_pieces
+
+    return sampled_pieces(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op6_toxicity(spark, sf_dir):
     from .toxicity import toxicity
 
@@ -52,6 +58,7 @@ def op10_warc(spark, sf_dir):
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op4_quality": op4_quality,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op7_token_ids": op7_token_ids,
     "op8_mixing": op8_mixing,
