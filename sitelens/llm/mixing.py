@@ -106,7 +106,7 @@ def draw_slots(goals: DataFrame, block_words: int, seed: int, shard_slots: int =
     return shards.repartition("shard", "s").mapInArrow(fill, "shard long, s long, slot long, block long, words long")
 
 
-def streams(docs: DataFrame, goals: DataFrame, rows_a_bucket: int = 20_000) -> DataFrame:
+def streams(docs: DataFrame, goals: DataFrame, rows_a_bucket: int = 1000) -> DataFrame:
     """Each document with s and `at`, the words of its source before it.
 
     A source's documents are hashed into buckets; sums run within a bucket and over the buckets, so no task has a whole source.
@@ -137,7 +137,8 @@ def mix_sources(docs: DataFrame, block_words: int = 64, seed: int = 17) -> DataF
     placed = written(streams(small, goals), "mix-placed")
     slots = draw_slots(goals, block_words, seed).groupBy("s", "block").agg(F.sort_array(F.collect_list("words")).alias("takes"))  # two passes and a last slot at most
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda sum_, w: sum_ + F.greatest(F.least(F.col("hi"), w) - F.col("lo"), F.lit(0)))
-    got = segments(placed, block_words).join(slots, ["s", "block"]).select("s", "at", taken.alias("taken")).groupBy("s", "at").agg(F.sum("taken").alias("taken"))
-    with_words = placed.filter("size > 0").join(got, ["s", "at"], "left")
+    got = segments(placed, block_words).join(slots.hint("merge"), ["s", "block"])  # slots grow with the input: never broadcast
+    got = got.select("s", "at", taken.alias("taken")).groupBy("s", "at").agg(F.sum("taken").alias("taken"))
+    with_words = placed.filter("size > 0").join(got.hint("merge"), ["s", "at"], "left")
     rows = with_words.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
