@@ -49,6 +49,12 @@ def op8_mixing(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark, sf_dir):
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc(spark, sf_dir):
     from .warc import warc_round_trip
 
@@ -62,7 +68,23 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_token_ids": op7_token_ids,
     "op8_mixing": op8_mixing,
+    "op9_topk": op9_topk,
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The SQL of the records, over all rows.
+ORACLE_SQL: dict[str, str] = {
+    "op9_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
