@@ -189,3 +189,49 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most: int =
         e = written(small, "edges")
     tops = e.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").unionByName(tops)
+
+
+# ---------------------------------------------------------------- sorted streams
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of a stream that is sorted by integer keys, cut between groups, and where each group starts (with the end)."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(t: pa.Table) -> np.ndarray:
+        edge = np.zeros(max(0, len(t) - 1), bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            edge |= x[1:] != x[:-1]
+        return np.concatenate([[0], np.flatnonzero(edge) + 1])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and all(batch.column(k)[len(batch) - 1] == held[0].column(k)[0] for k in keys):
+            held.append(batch)  # one group still
+            continue
+        t = pa.Table.from_batches([*held, batch])
+        starts = cut(t)
+        if len(starts) > 1:
+            yield t.slice(0, int(starts[-1])), starts
+        rest = t.slice(int(starts[-1])).combine_chunks().to_batches()
+        held = rest
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, np.append(cut(t), len(t))
+
+
+def fixed_matrix(column, width: int, dtype) -> np.ndarray:
+    """A column of equally long binary values as a matrix."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    c = c.cast(pa.large_binary())
+    at = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+    return np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype).reshape(len(c), width) if len(c) else np.zeros((0, width), dtype)
+
+
+def fixed_binary(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    raw = np.ascontiguousarray(matrix)
+    width = raw.dtype.itemsize * raw.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(0, len(raw) * width + 1, max(1, width), dtype=np.int32) if width else np.zeros(len(raw) + 1, np.int32)), pa.py_buffer(raw.tobytes())])

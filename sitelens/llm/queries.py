@@ -19,6 +19,12 @@ def op1_media_columns(spark, sf_dir):
     return text_media(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_dedup(spark, sf_dir):
+    from .near import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark, sf_dir):
     from .quality import quality
 
@@ -63,6 +69,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_quality": op4_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
@@ -74,6 +81,28 @@ QUERIES = {
 
 # The SQL of the records, over all rows.
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), l AS (
+            SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+        ), e AS (
+            SELECT x, y FROM l UNION SELECT y, x FROM l
+        ), r AS (
+            SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.o
+        ), m AS (
+            SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id""",
     "op9_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
