@@ -19,6 +19,12 @@ def op1_media_columns(spark, sf_dir):
     return text_media(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    from .passages import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_dedup(spark, sf_dir):
     from .near import near_duplicates
 
@@ -69,6 +75,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_quality": op4_quality,
     "op5_sentencepiece": op5_sentencepiece,
