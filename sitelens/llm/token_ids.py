@@ -13,7 +13,8 @@ from __future__ import annotations
 import functools
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,26 +127,32 @@ def read_file(path: str, many: int = 64) -> Iterator[tuple[int | None, np.ndarra
 class Encoder:
     """A text's ids from the tokenizers library, which sees each white-space-free piece once as long as it is remembered.
 
-    Only for tokenizers that drop white space and never let a token, or a rule, reach over it.
+    Only for tokenizers that lower-case, drop white space and never let a token, or a rule, reach over it. Pieces are
+    remembered with A-Z as a-z, but for those that could hold a special token. Of `most` pieces those not met since the
+    last time that the memory was full are forgotten.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 400_000):
+    def __init__(self, tokenizer_file: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(tokenizer_file), most, {}
+        self.tokenizer, self.most, self.known, self.older = Tokenizer.from_file(tokenizer_file), most, {}, {}
 
-    def __call__(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        split = [t.split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return (b"".join([known[w] for w in ws]) for ws in split)
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.known) > self.most // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*split).difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        new = list(new - again)
+        for i in range(0, len(new), 4000):
+            part = new[i : i + 4000]
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got))
+        find = known.__getitem__
+        return (b"".join(map(find, ws)) for ws in split)
 
 
 @functools.cache
@@ -169,9 +176,9 @@ def write_token_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: i
         encode, out, end, file = encoder(tokenizer_file), None, struct.pack("<I", end_id), ""
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "").cast(pa.large_binary())
-            for i in range(0, len(texts), 256):
-                some = texts.slice(i, 256).to_pylist()
-                for doc_id, ids in zip(batch.column(0).slice(i, 256).to_pylist(), encode(some)):
+            for i in range(0, len(texts), 1000):
+                some = texts.slice(i, 1000).to_pylist()
+                for doc_id, ids in zip(batch.column(0).slice(i, 1000).to_pylist(), encode(some)):
                     if out is None:
                         file, stream = create(folder, ".pfor")
                         out = Writer(stream)
