@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, mix, written
+from .common import WORD, mix, words, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -130,6 +130,45 @@ def segments(placed: DataFrame, block_words: int) -> DataFrame:
     return spread.select("doc_id", "s", "at", "size", F.col("block").cast("long").alias("block"), F.greatest(F.col("at") - F.col("block") * L, F.lit(0)).cast("long").alias("lo"), F.least(F.col("at") + F.col("size") - F.col("block") * L, L).cast("long").alias("hi"))
 
 
+def mixed_documents(docs: DataFrame, block_words: int = 64, seed: int = 17) -> DataFrame:
+    """The mix as documents: a row for each document and pass that takes words of it, with all columns.
+
+    The text is what the pass takes of it: all of it byte by byte, or else the stretches between the first and last word of the
+    blocks taken, a line each. n_chars, if there is one, is the new text's. Documents without words stay out, as no slot takes them.
+    """
+    small = written(sized(docs), "mix-sizes")
+    goals = written(targets(small), "mix-targets")
+    own = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text"), "_source": F.col("source").cast("string"), "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
+    placed = streams(own.select(F.struct(*docs.columns).alias("_row"), F.col("_id").alias("doc_id"), "_h", F.col("_source").alias("source"), F.col("_size").alias("size")), goals).filter("size > 0").select("_row", "s", "at", "size")
+    plain = written(streams(small, goals), "mix-placed")
+    a_pass = F.floor(F.col("source_size") / block_words) + F.when(F.col("source_size") % block_words > 0, 1).otherwise(0)
+    slots = draw_slots(goals, block_words, seed).join(F.broadcast(goals.select("s", "source_size")) if goals.count() <= 100_000 else goals.select("s", "source_size"), "s").select("s", "block", "words", F.floor(F.col("slot") / a_pass).cast("int").alias("turn"))
+    pieces = segments(plain, block_words).join(slots.hint("merge"), ["s", "block"]).withColumn("hi", F.least("hi", "words")).filter("hi > lo")
+    first = F.col("block") * block_words - F.col("at")
+    takes = pieces.select("s", "at", "turn", F.struct((first + F.col("lo")).cast("long").alias("a"), (first + F.col("hi")).cast("long").alias("b")).alias("p")).groupBy("s", "at", "turn").agg(F.sort_array(F.collect_list("p")).alias("_takes"))  # a document's own blocks
+
+    @F.pandas_udf("string")
+    def cut(texts, takes):
+        import pandas as pd
+
+        out = []
+        for text, spans in zip(texts, takes):
+            data = text.encode()
+            w, e, _ = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+            runs: list[list[int]] = []
+            for p in spans:
+                if runs and runs[-1][1] == p["a"]:
+                    runs[-1][1] = p["b"]
+                else:
+                    runs.append([p["a"], p["b"]])
+            out.append(text if runs == [[0, len(w)]] else b"\n".join(data[w[a] : e[b - 1]] for a, b in runs).decode())
+        return pd.Series(out)
+
+    rows = placed.join(takes.hint("merge"), ["s", "at"]).withColumn("_text", cut(F.col("_row.text"), F.col("_takes")))
+    new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
 def mix_sources(docs: DataFrame, block_words: int = 64, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken (words that the mix takes of it, repeats counted)."""
     small = written(sized(docs), "mix-sizes")

@@ -9,8 +9,8 @@
    intersected exactly, in cells of bounded size for large clusters; each cell emits a spanning forest of its links.
 4. Components of those links, over classes, give each document the smallest doc_id that it is linked with over any number of links.
 
-With N = 64 and MATCH = 42 a pair at similarity 0.85 is missed with probability 3e-5, and less above; apart from that the
-result is exact, for groups of any size. A group of m near copies costs about m * m comparisons, spread over cells.
+MATCH follows from the similarity: a pair that just has it falls below with probability MISS at most (for 0.85, MATCH is 42).
+Apart from that the result is exact, for groups of any size. A group of m near copies costs about m * m comparisons, spread over cells.
 
 A document without words has no shingles and no links. Null doc_ids are linked like others but are nobody's component_id unless all
 are null; rows that repeat a doc_id are documents of their own; rows that repeat a text are one class. Extra columns are ignored.
@@ -19,6 +19,7 @@ are null; rows that repeat a doc_id are documents of their own; rows that repeat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,23 @@ from pyspark.sql import functions as F
 from .common import components, fixed_binary, fixed_matrix, hot_join, mix, shingle_hashes, text_chunks, whole_groups, word_hashes, words, written
 
 N = 64
-MATCH = 42
-PREFIX = N - MATCH + 1
+MISS = 5e-5
 LIST = 2048
 CELL = 400_000  # shingles of a block of a cluster
 
 _SALTS = mix(np.arange(1, N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def least_matches(percent: int, n: int = N, miss: float = MISS) -> int:
+    """The most agreements of n that a pair of this similarity reaches but with probability `miss`."""
+    j, below = percent / 100, 0.0
+    for t in range(n + 1):
+        below += comb(n, t) * j**t * (1 - j) ** (n - t)
+        if below > miss:
+            return t
+    return n
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, in ascending order, and where each text's begin (with the end)."""
     n = len(at) - 1
@@ -71,14 +81,14 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node, prefix (PREFIX 32-bit values), code (N 8-bit values) of each document. No shuffle."""
+def signed(docs: DataFrame, k: int, prefix: int) -> DataFrame:
+    """doc_id, n_shingles, node, prefix (that many 32-bit values), code (N 8-bit values) of each document. No shuffle."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in text_chunks(batches, "text"):
             h, where = shingle_sets(data, at, k)
             sig = signatures(h, where)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(where)), pa.array(node_of(h, where)), fixed_binary(sig[:, :PREFIX]), fixed_binary((sig >> 8).astype(np.uint8))], ["doc_id", "n_shingles", "node", "prefix", "code"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(where)), pa.array(node_of(h, where)), fixed_binary(sig[:, :prefix]), fixed_binary((sig >> 8).astype(np.uint8))], ["doc_id", "n_shingles", "node", "prefix", "code"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, node long, prefix binary, code binary")
 
@@ -101,7 +111,7 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def matches(a: np.ndarray, b: np.ndarray, least: int = MATCH) -> np.ndarray:
+def matches(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     """Which pairs of codes agree in `least` coordinates: all pairs' counts at first, then only of those that can still reach it."""
     n = a.shape[1]
     half = n // 2
@@ -117,18 +127,19 @@ def matches(a: np.ndarray, b: np.ndarray, least: int = MATCH) -> np.ndarray:
     return got
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
+def candidate_edges(classes: DataFrame, match: int) -> DataFrame:
     """(src, dst): spanning forests of the pairs that each posting list retains."""
+    prefix = N - match + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column("node").to_numpy()
             for s in range(0, len(batch), 4096):
                 part = batch.slice(s, 4096)
-                values = fixed_matrix(part.column("prefix"), PREFIX, np.uint32)
-                token = (np.arange(PREFIX, dtype=np.int64) << 32) | values.astype(np.int64)
+                values = fixed_matrix(part.column("prefix"), prefix, np.uint32)
+                token = (np.arange(prefix, dtype=np.int64) << 32) | values.astype(np.int64)
                 codes = fixed_matrix(part.column("code"), N, np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array(token.ravel()), pa.array(np.repeat(node[s : s + 4096], PREFIX)), fixed_binary(np.repeat(codes, PREFIX, axis=0))], ["token", "node", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.ravel()), pa.array(np.repeat(node[s : s + 4096], prefix)), fixed_binary(np.repeat(codes, prefix, axis=0))], ["token", "node", "code"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["token", "a", "b"]):
@@ -136,14 +147,14 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             node, side, split = t.column("node").to_numpy(), t.column("side").to_numpy(), (t.column("a").to_numpy() != t.column("b").to_numpy())
             codes = fixed_matrix(t.column("code"), N, np.uint8)
             two = starts[:-1][size == 2]
-            two = two[((codes[two] == codes[two + 1]).sum(axis=1) >= MATCH) & (~split[two] | (side[two] != side[two + 1]))]
+            two = two[((codes[two] == codes[two + 1]).sum(axis=1) >= match) & (~split[two] | (side[two] != side[two + 1]))]
             src, dst = [node[two]], [node[two + 1]]
             for s, n in zip(starts[:-1][size > 2].tolist(), size[size > 2].tolist()):
                 own = codes[s : s + n]
-                links = matches(own, own) if not split[s] else np.zeros((n, n), bool)
+                links = matches(own, own, match) if not split[s] else np.zeros((n, n), bool)
                 if split[s]:
                     x, y = np.flatnonzero(side[s : s + n] == 0), np.flatnonzero(side[s : s + n] == 1)
-                    got = matches(own[x], own[y])
+                    got = matches(own[x], own[y], match)
                     links[np.ix_(x, y)] = got
                     links[np.ix_(y, x)] = got.T
                 edges = forest(links)
@@ -247,10 +258,11 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
-    rows = written(signed(docs, k), "near-signed")
+    match = least_matches(percent)
+    rows = written(signed(docs, k, N - match + 1), "near-signed")
     some = rows.filter("n_shingles > 0")
     classes = written(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("code").alias("code"), F.count("*").alias("n_docs")), "near-classes")
-    clusters = components(candidate_edges(classes))
+    clusters = components(candidate_edges(classes, match))
     links = written(confirmed_edges(docs, classes, written(clusters, "near-clusters"), k, percent), "near-links")
     joined = components(links)
     named = classes.select("node", "rep", "n_docs").join(joined.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -261,3 +273,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents of which each group of near-duplicates keeps one, with all their columns; null doc_ids stay."""
+    gone = near_duplicates(docs, k, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")

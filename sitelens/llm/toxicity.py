@@ -74,14 +74,14 @@ def learn_lexicon(train: DataFrame, most: int = LEXICON, least_docs: int = 5, le
     return [(r["kind"], r["h"], r["odds"]) for r in best.collect()]
 
 
-def with_features(docs: DataFrame, lexicon: list[tuple[int, int, float]]) -> DataFrame:
-    """The rows' columns but text, and x: FEATURES of the whole text. No shuffle."""
+def with_features(docs: DataFrame, lexicon: list[tuple[int, int, float]], text: bool = False) -> DataFrame:
+    """The rows' columns (the text if asked for), and _x: FEATURES of the whole text. No shuffle."""
     tables = {}
     for kind in (0, *EDGES):
         part = sorted((h % (1 << 64), w) for k, h, w in lexicon if k == kind)
         tables[kind] = np.array([h for h, _ in part], np.uint64), np.array([w for _, w in part])
     second = _own_hashes(SECOND_PERSON)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if text or c != "text"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in text_chunks(batches, "text"):
@@ -115,47 +115,54 @@ def with_features(docs: DataFrame, lexicon: list[tuple[int, int, float]]) -> Dat
                 _count(UPPER[data], at) / size, caps, _count(data == 33, at) / size, _count(PUNCT[data], at) / size, inner, mixed, np.log1p(count),
             ])
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in keep] + [values], [*keep, "x"])
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in keep] + [values], [*keep, "_x"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(each, f"{kept}, x array<double>")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
+    return docs.mapInArrow(each, f"{kept}, _x array<double>")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 6) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document."""
+def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 6, text: bool = False) -> DataFrame:
+    """The documents' columns (the text if asked for) and _score."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(10)).cast("int").alias("fold")
     sample = labelled(labels, "toxic", 4, 2).select("doc_id", "y", fold, F.xxhash64("doc_id", F.lit(seed)).alias("_o")).orderBy("_o", "doc_id").limit(fit_rows).drop("_o")
     sample = written(sample, "toxic-sample")
     train = written(texts.join(F.broadcast(sample), "doc_id"), "toxic-train")  # fit_rows rows are broadcast at most
-    held = (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out")
     kinds = [r["y"] for r in train.select("y").distinct().collect()]
     if len(kinds) < 2:
-        score = F.lit(kinds[0] if kinds else 0.5)
-        return texts.select("doc_id", held, score.alias("score"), (score >= CUT).cast("int").alias("predicted"))
+        return docs.withColumn("_score", F.lit(kinds[0] if kinds else 0.5)).drop(*([] if text else ["text"]))
     lexicon = learn_lexicon(train.filter("fold < 4"))
     rows = written(with_features(train, lexicon), "toxic-fit")
     n = rows.count()
-    rows = rows.select("fold", "y", array_to_vector("x").alias("features")).coalesce(max(1, min(8, n // 2000)))
+    rows = rows.select("fold", "y", array_to_vector("_x").alias("_features")).coalesce(max(1, min(8, n // 2000)))
     fit, rest = rows.filter("fold between 4 and 7"), rows.filter("fold > 7")
     if fit.select("y").distinct().count() < 2 or not rest.head(1):  # a handful of labels
         fit = rest = rows
-    trees = GBTClassifier(featuresCol="features", labelCol="y", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=64, minInstancesPerNode=5, seed=seed, cacheNodeIds=False).fit(fit)
+    grower = GBTClassifier(featuresCol="_features", labelCol="y", predictionCol="_kind", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=64, minInstancesPerNode=5, seed=seed, cacheNodeIds=False)
+    trees = grower.setRawPredictionCol("_raw").setProbabilityCol("_chances").fit(fit)
 
     def raw(df: DataFrame) -> DataFrame:
-        return trees.transform(df).withColumn("p", vector_to_array("probability")[1])
+        return trees.transform(df).withColumn("_p", vector_to_array("_chances")[1])
 
-    curve = IsotonicRegression(featuresCol="p", labelCol="y").fit(raw(rest).select("p", "y"))
+    curve = IsotonicRegression(featuresCol="_p", labelCol="y").fit(raw(rest).select("_p", "y"))
     xs, ys = curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist()
 
-    def calibrated(p: np.ndarray) -> np.ndarray:
-        return np.clip(0.998 * np.interp(p, xs, ys) + 0.002 * p, 0, 1)
-
     @F.pandas_udf("double")
     def calibrate(p):
         import pandas as pd
 
-        return pd.Series(calibrated(p.to_numpy()))
+        return pd.Series(np.clip(0.998 * np.interp(p.to_numpy(), xs, ys) + 0.002 * p.to_numpy(), 0, 1))
+
+    found = raw(with_features(docs, lexicon, text).withColumn("_features", array_to_vector("_x"))).withColumn("_score", calibrate("_p"))
+    return found.drop("_x", "_features", "_raw", "_chances", "_kind", "_p")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted of each document."""
+    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, fit_rows)
+    return rows.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
+
 
-    scored = raw(with_features(texts, lexicon).select("doc_id", array_to_vector("x").alias("features")))
-    return scored.select("doc_id", held, calibrate("p").alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The documents that score below CUT, with all their columns. No shuffle of texts."""
+    return scored(docs, labels, fit_rows, text=True).filter(F.col("_score") < CUT).select(*docs.columns)
