@@ -31,7 +31,7 @@ from .common import components, fixed_binary, fixed_matrix, hot_join, mix, shing
 N = 64
 MISS = 5e-5
 LIST = 2048
-CELL = 400_000  # shingles of a block of a cluster
+CELL = 100_000  # shingles of a block of a cluster
 
 _SALTS = mix(np.arange(1, N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
