@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, mix, text_chunks
+from .common import _powers, mix, small_batches, text_chunks
 
 CHUNK = 1 << 20
 SPACE = 32
@@ -67,6 +67,8 @@ class Model:
         self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
         self.most = int(max(len(x) for x, p in zip(spelled, plain) if p))
         self.tables = {}
+        #: bit l: some piece of l bytes starts with these three (by _triple)
+        self.starting = np.zeros(1 << 18, np.uint32)
         for l in range(1, self.most + 1):
             ids = [i for i in range(n) if plain[i] and len(spelled[i]) == l]
             if ids:
@@ -76,22 +78,31 @@ class Model:
                 order = np.argsort(h)
                 some = np.zeros(1 << 16, bool)  # most substrings are no pieces; their first 16 hash bits tell
                 some[h >> np.uint64(48)] = True
+                if l >= 3:
+                    first = data.reshape(-1, l)[:, :3].astype(np.int64)
+                    np.bitwise_or.at(self.starting, _triple(first[:, 0], first[:, 1], first[:, 2]), np.uint32(1 << l))
                 self.tables[l] = h[order], np.array(ids, np.int32)[order], (alpha * weights[ids])[order], some
 
-    def find(self, data: np.ndarray, sums: np.ndarray, l: int) -> tuple[np.ndarray, np.ndarray]:
-        """Piece (or -1) and weight of the l bytes from each place of data on."""
+    def find(self, data: np.ndarray, sums: np.ndarray, l: int, able: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece (or -1) and weight of the l bytes from each place of data on; able has the lengths that a place's first three bytes allow."""
         n = max(0, len(data) - l + 1)
         ids, weights = np.full(len(data), -1, np.int32), np.full(len(data), -np.inf, np.float32)
         if l in self.tables and n:
             known, pieces, values, some = self.tables[l]
-            h = _substrings(data, np.arange(n), l, sums)
-            at = np.flatnonzero(some[h >> np.uint64(48)])
-            i = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-            hit = known[i] == h[at]
+            at = np.arange(n) if l < 3 else np.flatnonzero(able[:n] & np.uint32(1 << l))
+            h = _substrings(data, at, l, sums)
+            maybe = np.flatnonzero(some[h >> np.uint64(48)])
+            at, h = at[maybe], h[maybe]
+            i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[i] == h
             ids[at[hit]], weights[at[hit]] = pieces[i[hit]], values[i[hit]]
         return ids, weights
 
 
+def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (a * 1031 + b * 37 * 257 + c * 65_537 * 3) & ((1 << 18) - 1)
+
+
 def _sums(data: np.ndarray) -> np.ndarray:
     up, _ = _powers(1 << max(20, len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -125,8 +136,12 @@ def _filter(m: Model, data: np.ndarray, offs: np.ndarray, lens: np.ndarray) -> t
     size, most = len(data), m.most
     sums = _sums(data)
     ids, weights = np.empty((most + 1, size), np.int32), np.empty((most + 1, size), np.float32)
+    wide = data.astype(np.int64)
+    able = np.zeros(size, np.uint32)
+    if size > 2:
+        able[: size - 2] = m.starting[_triple(wide[:-2], wide[1:-1], wide[2:])]
     for l in range(1, most + 1):
-        ids[l], weights[l] = m.find(data, sums, l)
+        ids[l], weights[l] = m.find(data, sums, l, able)
     # characters without a piece are spelled by bytes
     lead = (data & 0xC0) != 0x80
     width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
@@ -241,4 +256,4 @@ def sampled_pieces(docs: DataFrame, model_file: str, seed: int = 3, alpha: float
             yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(counts), pa.array(np.diff(at)), pa.array([hashlib.sha256(b).hexdigest() for _, b in pairs]), pa.array([a == b for a, b in pairs])], ["key", "ids", "n_ids", "n_bytes", "decoded_sha256", "lossless"])
 
     keyed = F.col(key).cast("long")
-    return docs.select(keyed.alias("key"), F.coalesce(keyed, F.lit(0)).alias("k"), F.col(text).alias("text")).mapInArrow(each, "key long, ids array<int>, n_ids long, n_bytes long, decoded_sha256 string, lossless boolean").withColumnRenamed("key", key)
+    return small_batches(docs).select(keyed.alias("key"), F.coalesce(keyed, F.lit(0)).alias("k"), F.col(text).alias("text")).mapInArrow(each, "key long, ids array<int>, n_ids long, n_bytes long, decoded_sha256 string, lossless boolean").withColumnRenamed("key", key)
