@@ -51,6 +51,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 # ---------------------------------------------------------------- texts as bytes
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows Spark will hand to Python 1000 at a time, so that whole texts take bounded memory there."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of some rows of a batch, of about `limit` bytes (one row at least); null texts are empty."""
     for batch in batches:
@@ -65,6 +71,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
             j = min(j, len(texts))
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, written
+from .common import hot_join, small_batches, written
 
 SIDE = 24
 BLOCK = SIDE * SIDE
@@ -163,7 +163,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                     rows.append((doc_id, html, digest, media))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).mapInArrow(store, "doc_id long, html string, media_sha256 string, media binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).mapInArrow(store, "doc_id long, html string, media_sha256 string, media binary")
 
 
 def catalogue(media: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, mix, words, written
+from .common import WORD, mix, small_batches, words, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -164,7 +164,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, seed: int = 17) -> D
             out.append(text if runs == [[0, len(w)]] else b"\n".join(data[w[a] : e[b - 1]] for a, b in runs).decode())
         return pd.Series(out)
 
-    rows = placed.join(takes.hint("merge"), ["s", "at"]).withColumn("_text", cut(F.col("_row.text"), F.col("_takes")))
+    rows = small_batches(placed).join(takes.hint("merge"), ["s", "at"]).withColumn("_text", cut(F.col("_row.text"), F.col("_takes")))
     new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 

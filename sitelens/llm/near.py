@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fixed_binary, fixed_matrix, hot_join, mix, shingle_hashes, text_chunks, whole_groups, word_hashes, words, written
+from .common import components, fixed_binary, fixed_matrix, hot_join, mix, shingle_hashes, small_batches, text_chunks, whole_groups, word_hashes, words, written
 
 N = 64
 MISS = 5e-5
@@ -90,7 +90,7 @@ def signed(docs: DataFrame, k: int, prefix: int) -> DataFrame:
             sig = signatures(h, where)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(where)), pa.array(node_of(h, where)), fixed_binary(sig[:, :prefix]), fixed_binary((sig >> 8).astype(np.uint8))], ["doc_id", "n_shingles", "node", "prefix", "code"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, node long, prefix binary, code binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, node long, prefix binary, code binary")
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int]]:

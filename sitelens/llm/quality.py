@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, text_chunks, written
+from .common import crc_bucket, small_batches, text_chunks, written
 from .features import STATS, text_stats
 
 D = 256
@@ -39,7 +39,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([rows.column(0), values], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, x array<double>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, x array<double>")
 
 
 class Kernel:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, written
+from .common import fresh_dir, small_batches, written
 from .files import create, open_random
 
 BLOCK = 1024
@@ -187,7 +187,7 @@ def write_token_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: i
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([file]), pa.array([len(out.docs)], pa.int64()), pa.array([out.n], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    ranged = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     return ranged.select("doc_id", "text").mapInArrow(write, "part long, path string, n_docs long, n_tokens long")
 
 

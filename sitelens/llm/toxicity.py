@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, crc_bucket, text_chunks, word_hashes, words, written
+from .common import SPACE, crc_bucket, small_batches, text_chunks, word_hashes, words, written
 from .features import BETWEEN, DIGIT, LETTER, PUNCT, SYMBOL, UPPER, _count, edge_hashes
 from .quality import labelled
 
@@ -118,7 +118,7 @@ def with_features(docs: DataFrame, lexicon: list[tuple[int, int, float]], text:
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in keep] + [values], [*keep, "_x"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.mapInArrow(each, f"{kept}, _x array<double>")
+    return small_batches(docs).mapInArrow(each, f"{kept}, _x array<double>")
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 6, text: bool = False) -> DataFrame:
