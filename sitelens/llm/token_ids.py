@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import fresh_dir, small_batches, written
 from .files import create, open_random
 
-BLOCK = 1024
+BLOCK = 4096
 PERCENTILE = 98
 MAGIC = b"PFOR1\0\0\0"
 HEAD = struct.Struct("<IBxHHxx")  # minimum, width, ids, exceptions
@@ -127,15 +127,18 @@ def read_file(path: str, many: int = 64) -> Iterator[tuple[int | None, np.ndarra
 class Encoder:
     """A text's ids from the tokenizers library, which sees each white-space-free piece once as long as it is remembered.
 
-    Only for tokenizers that lower-case, drop white space and never let a token, or a rule, reach over it. Pieces are
-    remembered with A-Z as a-z, but for those that could hold a special token. Of `most` pieces those not met since the
-    last time that the memory was full are forgotten.
+    Only for tokenizers that lower-case, drop white space, split letters from other characters and never let a token reach over
+    such a border; the last token of a word ends in `end`. Pieces are remembered with A-Z as a-z, but for texts that could
+    hold a special token. Of `most` pieces those not met since the last time that the memory was full are forgotten.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 700_000):
+    def __init__(self, tokenizer_file: str, most: int = 700_000, end: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known, self.older = Tokenizer.from_file(tokenizer_file), most, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -146,14 +149,31 @@ class Encoder:
         new = set().union(*split).difference(known)
         again = new.intersection(older)
         known.update((w, older[w]) for w in again)
-        new = list(new - again)
-        for i in range(0, len(new), 4000):
-            part = new[i : i + 4000]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got))
+        self._learn([w.decode() for w in new - again])
         find = known.__getitem__
         return (b"".join(map(find, ws)) for ws in split)
 
+    def _learn(self, new: list[str]) -> None:
+        """Words of letters only are encoded many at once and told apart by their last tokens; other pieces one by one."""
+        plain, other = [], []
+        for w in new:
+            (plain if w.isascii() and w.isalpha() or w.lower().isalpha() else other).append(w)
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):  # some word isn't one for the tokenizer
+                other += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, e in zip(part, (cuts * 4).tolist()):
+                self.known[w.encode()] = raw[at:e]
+                at = e
+        for i in range(0, len(other), 4000):
+            part = other[i : i + 4000]
+            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w.encode(), array("I", e.ids).tobytes()) for w, e in zip(part, got))
+
 
 @functools.cache
 def encoder(tokenizer_file: str) -> Encoder:
