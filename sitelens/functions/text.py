@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
+VOWELS = re.compile("[aeiou][aeiou]?")
 #: A word has a letter or digit.
 WORD = r"(?U)\S*[\p{L}\p{N}]\S*"
 ENDS = r"[.!?؟۔…]+"
@@ -21,13 +27,22 @@ def sentence_count(c: Column) -> Column:
     return n
 
 
-def syllables(c: Column) -> Column:
-    """Sum over words: a vowel counts unless the letter before it counted; a final e is taken off where more than one counts."""
-    low = F.lower(c)
-    # after a vowel that counts, the next letter is free: pairs of vowels count once
-    counted = F.regexp_count(low, F.lit(r"[aeiou](?:[aeiou])?"))
-    silent = F.regexp_count(low, F.lit(r"(?<!\S)(?=\S*?[aeiou]\S*?(?<![aeiou])e(?!\S))(?:[^aeiou\s]*[aeiou][aeiou]?)+[^aeiou\s]*(?<=e)(?!\S)"))
-    return counted - silent
+@F.pandas_udf(DoubleType())
+def flesch(texts: pd.Series) -> pd.Series:
+    """Reading ease; null without words. Sentences are the pieces between . ! and ?; a vowel counts unless the letter before it
+    counted, and a final e is taken off where more than one counts."""
+
+    def score(text: str | None) -> float | None:
+        words = (text or "").lower().split()
+        if not words:
+            return None
+        total = 0
+        for w in words:
+            n = len(VOWELS.findall(w))
+            total += n - (w.endswith("e") and n > 1)
+        return 206.835 - 1.015 * (len(words) / len(re.split(r"[.!?]", text))) - 84.6 * (total / len(words))
+
+    return texts.map(score)
 
 
 def flesch_class(score: Column) -> Column:
@@ -58,12 +73,18 @@ def plain_words(c: Column) -> Column:
 def simhash(words: Column) -> Column:
     """64-bit SimHash of three-word shingles (the whole text if it has fewer words), by xxhash64; 0 without words."""
     shingles = F.when(F.size(words) >= 3, ngrams(words, 3)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    hashes = F.transform(shingles, F.xxhash64)
-    bits = [F.when(F.aggregate(hashes, F.lit(0), lambda s, h, i=i: s + F.when(F.shiftright(h, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return total
+    return _vote(F.transform(shingles, lambda x: F.xxhash64(x)))
+
+
+@F.pandas_udf(LongType())
+def _vote(hashes: pd.Series) -> pd.Series:
+    """Each bit that more than half of the hashes have; 0 without hashes."""
+    out = np.zeros(len(hashes), np.int64)
+    for i, h in enumerate(hashes):
+        if h is not None and len(h):
+            bits = np.unpackbits(np.ascontiguousarray(h, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            out[i] = np.packbits(bits.sum(axis=0) * 2 > len(h), bitorder="little").view("<i8")[0]
+    return pd.Series(out)
 
 
 def text_ratio(text_bytes: Column, html_bytes: Column) -> Column:

@@ -41,7 +41,7 @@ def query_key(c):
 
 def gsc_query_match(gsc: DataFrame, urls: DataFrame) -> DataFrame:
     """Per url: rows, clicks, impressions, click rate in percent, mean position, and the first five queries by clicks then name."""
-    rows = urls.select("url", query_key(C("url")).alias("_k")).join(gsc.drop("url").withColumn("_k", query_key(gsc["url"])), "_k")
+    rows = urls.select("url", query_key(C("url")).alias("_k")).join(gsc.withColumn("_k", query_key(C("url"))).drop("url"), "_k")
     five = F.array_join(F.transform(F.slice(F.sort_array(F.collect_set(F.struct((-C("clicks")).alias("c"), C("query").alias("q")))), 1, 5), lambda s: s["q"]), ", ")
     imp = F.sum("impressions")
     return rows.groupBy("url").agg(F.count("*").alias("matches"), F.sum("clicks").alias("clicks"), imp.alias("impressions"), F.when(imp > 0, F.round(F.sum("clicks") * 100.0 / imp, 6)).otherwise(0.0).alias("ctr"), F.round(F.avg("position"), 6).alias("position"), five.alias("queries"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
+from .tables import materialized
 
 C = F.col
 
@@ -62,7 +63,7 @@ def click_depth(edges: DataFrame, seeds: DataFrame, most: int = 32) -> DataFrame
     front = seen
     for d in range(1, most + 1):
         front = front.join(e, front["url"] == e["s"]).select(C("t").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
-        front = front.checkpoint() if front.sparkSession.sparkContext.getCheckpointDir() else front.persist()
+        front = materialized(front, "frontier")
         if not front.head(1):
             break
         seen = seen.unionByName(front)
@@ -94,8 +95,8 @@ def link_score(pages: DataFrame, links: DataFrame, rounds: int = 10, damping: fl
     bypass = bypass_of(pages)
     own = pages.select(U.norm_url(C("url")).alias("url"), "status_code")
     names = own.select("url").union(links.select(U.norm_url(C("url")))).distinct()
-    to = resolve_bypass(names, bypass)
-    eligible = own.filter("status_code between 200 and 299").select("url").distinct().join(to.filter("src = dst").select(C("src").alias("url")), "url")
+    to = materialized(resolve_bypass(names, materialized(bypass, "bypass")), "resolved")
+    eligible = materialized(own.filter("status_code between 200 and 299").select("url").distinct().join(to.filter("src = dst").select(C("src").alias("url")), "url"), "eligible")
     n = eligible.count()
     if not n:
         return eligible.withColumn("score", F.lit(0).cast("long"))
@@ -104,13 +105,14 @@ def link_score(pages: DataFrame, links: DataFrame, rounds: int = 10, damping: fl
     e = named.join(s, "a").join(t, "b").filter("s <> t").join(eligible.select(C("url").alias("s")), "s", "left_semi")
     e = e.groupBy("a", "s", "t").agg(F.min_by("nofollow", "slot").alias("nofollow"))  # a row's first link to a target counts
     out = e.groupBy("s").agg(F.count("*").alias("n_out"))
-    e = e.filter("not nofollow").join(out, "s").groupBy("s", "t").agg((F.count("*") / F.first("n_out")).alias("w")).repartition("s").persist()
+    e = e.filter("not nofollow").join(out, "s").groupBy("s", "t").agg((F.count("*") / F.first("n_out")).alias("w"))
+    e = materialized(e, "weights")
     scores = eligible.withColumn("v", F.lit(1.0 / n))
     for i in range(rounds):
         got = e.join(scores, e["s"] == scores["url"]).groupBy("t").agg(F.sum(C("v") * C("w")).alias("g"))
         scores = eligible.join(got, eligible["url"] == got["t"], "left").select("url", (F.lit((1 - damping) / n) + damping * F.coalesce("g", F.lit(0.0))).alias("v"))
-        if i % 4 == 3:
-            scores = scores.persist()
+        if i % 3 == 2:
+            scores = materialized(scores, "scores")
     ends = scores.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     norm = F.when(C("hi") - C("lo") < 1e-12, 100.0).otherwise(1 + (C("v") - C("lo")) / (C("hi") - C("lo")) * 99)
     return scores.crossJoin(ends).select("url", F.floor(F.round(norm, 6) + 0.5).alias("score"))  # one row of ends

@@ -99,17 +99,21 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 METRICS = {"fcp": "first-contentful-paint", "lcp": "largest-contentful-paint", "tti": "interactive", "tbt": "total-blocking-time", "cls": "cumulative-layout-shift", "dom_size": "dom-size", "speed_index": "speed-index", "server_response_time": "server-response-time", "total_byte_weight": "total-byte-weight"}
 
 
+def _number(path: str):
+    return F.get_json_object("json", path).try_cast("double")
+
+
 def psi_scores(df: DataFrame) -> DataFrame:
     """url and the mean score of each category over its reports (json); null where there is none."""
     names = {"performance": "performance", "accessibility": "accessibility", "best_practices": "best-practices", "seo": "seo"}
-    rows = df.select("url", *[F.expr(f"try_cast(get_json_object(json, '$.categories[\"{v}\"].score') AS DOUBLE)").alias(k) for k, v in names.items()])
+    rows = df.select("url", *[_number(f"$.categories['{v}'].score").alias(k) for k, v in names.items()])
     return rows.groupBy("url").agg(*[F.avg(k).alias(k) for k in names])
 
 
 def psi_history(df: DataFrame) -> DataFrame:
     """A row a report: url, strategy, performance and nine audits; a missing audit is 0."""
-    audit = lambda v: F.coalesce(F.expr(f"try_cast(get_json_object(json, '$.audits[\"{v}\"].numericValue') AS DOUBLE)"), F.lit(0.0))
-    return df.select("url", "strategy", F.coalesce(F.expr("try_cast(get_json_object(json, '$.categories.performance.score') AS DOUBLE)"), F.lit(0.0)).alias("performance"), *[audit(v).alias(k) for k, v in METRICS.items()])
+    audit = lambda v: F.coalesce(_number(f"$.audits['{v}'].numericValue"), F.lit(0.0))
+    return df.select("url", "strategy", F.coalesce(_number("$.categories.performance.score"), F.lit(0.0)).alias("performance"), *[audit(v).alias(k) for k, v in METRICS.items()])
 
 
 def read_analytics(spark: SparkSession, path: str) -> DataFrame:
