@@ -31,6 +31,7 @@ LEXICON = 4000
 EDGES = (4, 5, 6)
 NEAR = 5
 CUT = 0.3
+STEPS = 2000  # of the calibration curve
 
 # Second-person words in English, German, French and Spanish.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta vous votre tú ti usted ustedes vos tus".split()
@@ -147,13 +148,10 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: i
     curve = IsotonicRegression(featuresCol="_p", labelCol="y").fit(raw(rest).select("_p", "y"))
     xs, ys = curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist()
 
-    @F.pandas_udf("double")
-    def calibrate(p):
-        import pandas as pd
-
-        return pd.Series(np.clip(0.998 * np.interp(p.to_numpy(), xs, ys) + 0.002 * p.to_numpy(), 0, 1))
-
-    found = raw(with_features(docs, lexicon, text).withColumn("_features", array_to_vector("_x"))).withColumn("_score", calibrate("_p"))
+    grid = np.linspace(0, 1, STEPS + 1)
+    table = F.array(*map(F.lit, np.clip(0.998 * np.interp(grid, xs, ys) + 0.002 * grid, 0, 1).tolist()))
+    calibrated = F.element_at(table, F.round(F.col("_p") * STEPS).cast("int") + 1)
+    found = raw(with_features(docs, lexicon, text).withColumn("_features", array_to_vector("_x"))).withColumn("_score", calibrated)
     return found.drop("_x", "_features", "_raw", "_chances", "_kind", "_p")
 
 
