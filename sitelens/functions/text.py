@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
@@ -70,20 +71,17 @@ def plain_words(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
 
 
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of three-word shingles (the whole text if it has fewer words), by xxhash64; 0 without words."""
-    shingles = F.when(F.size(words) >= 3, ngrams(words, 3)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    return _vote(F.transform(shingles, lambda x: F.xxhash64(x)))
-
-
 @F.pandas_udf(LongType())
-def _vote(hashes: pd.Series) -> pd.Series:
-    """Each bit that more than half of the hashes have; 0 without hashes."""
-    out = np.zeros(len(hashes), np.int64)
-    for i, h in enumerate(hashes):
-        if h is not None and len(h):
-            bits = np.unpackbits(np.ascontiguousarray(h, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            out[i] = np.packbits(bits.sum(axis=0) * 2 > len(h), bitorder="little").view("<i8")[0]
+def simhash(words: pd.Series) -> pd.Series:
+    """64-bit SimHash (by xxhash64) of three-word shingles, or of the whole text if it has fewer words; 0 without words."""
+    out = np.zeros(len(words), np.int64)
+    for i, w in enumerate(words):
+        if w is not None and len(w):
+            w = list(w)
+            shingles = [" ".join(w[j : j + 3]) for j in range(max(1, len(w) - 2))]
+            hashes = np.array([xxhash.xxh64_intdigest(x) for x in shingles], "<u8")
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            out[i] = np.packbits(bits.sum(axis=0) * 2 > len(shingles), bitorder="little").view("<i8")[0]
     return pd.Series(out)
 
 

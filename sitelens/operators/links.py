@@ -123,7 +123,9 @@ def dup_content(docs: DataFrame, key: str = "doc_id", text: str = "text", bands:
 
     Equal hashes are collapsed to their smallest key first, so a boilerplate text is one row however many pages have it.
     """
-    hashed = docs.select(C(key).alias("k"), X.simhash(X.plain_words(C(text))).alias("h")).filter("h <> 0").groupBy("h").agg(F.min("k").alias("k"))
+    split = docs.select(C(key).alias("k"), X.plain_words(C(text)).alias("_w"))
+    hashed = split.select("k", X.simhash(C("_w")).alias("h"))
+    hashed = materialized(hashed, "simhash").filter("h <> 0").groupBy("h").agg(F.min("k").alias("k"))
     cut = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", i * 64 // bands).bitwiseAND(F.lit((1 << (64 // bands)) - 1)).alias("s")) for i in range(bands)])).alias("b")
     banded = hashed.select("k", "h", cut).select("k", "h", "b.i", "b.s")
     a, b = banded.alias("a"), banded.alias("b")
