@@ -162,6 +162,24 @@ def test_every_exact_run_is_found(spark):
                 assert set(range(j, j + 55)) <= covered[i], (i, j)
 
 
+def test_a_repeat_whose_parts_are_in_other_documents_is_found(spark):
+    rng = random.Random(15)
+    texts, stitched = [], []
+    for _ in range(12):
+        a, b = prose(rng, 30, 10**6), prose(rng, 30, 10**6)
+        texts += [f"{prose(rng, 40, 10**6)} {a} {prose(rng, 40, 10**6)}", f"{prose(rng, 40, 10**6)} {b} {prose(rng, 40, 10**6)}"]
+        stitched.append(f"{a} {b}")
+    n = len(texts)
+    texts += [f"{prose(rng, 20, 10**6)} {c}" for c in stitched]
+    ends = [" ".join(c.split()[5:55]) for c in stitched]  # just MIN_WORDS words
+    texts += [f"{prose(rng, 15, 10**6)} {c} {prose(rng, 9, 10**6)}" for c in ends] + ["x " * 300 + prose(rng, 9), "y " + "x " * 420]
+    rows = passages.repeated_passages(make(spark, texts)).collect()
+    got = {(r["doc_id"], r["other_id"], r["start"], r["end"], r["other_start"], r["matched"]) for r in rows}
+    assert {(n + 12 + i, n + i, 15, 65, 25, 50) for i in range(12)} <= got
+    of_x = [r for r in rows if r["doc_id"] == n + 25]
+    assert set(range(1, 421)) == {x for r in of_x for x in range(r["start"], r["end"])} and len(of_x) < 20
+
+
 # ---------------------------------------------------------------- 3 near-duplicates
 
 
