@@ -11,6 +11,8 @@ from .tables import materialized
 
 C = F.col
 
+from ..llm.common import components, hot_join, whole_groups
+from ..llm.near import forest
 
 def inlinks(links: DataFrame) -> DataFrame:
     """Target key with all links to it and its distinct source pages; fragments and one trailing slash fold."""
@@ -152,5 +154,63 @@ def sitemap_review(sitemap: DataFrame, pages: DataFrame) -> DataFrame:
 def upsert(base: DataFrame, delta: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:
     """The last row of each key, by the order column; new rows win over old ones in ties."""
     cols = [c for c in base.columns if c != key]
+def _cells(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """key, a, b, side, h: rows of a key in blocks of about `block`, each two of which meet in a cell (a, b)."""
+    parts = materialized(rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")).filter("_parts > 1"), "cells")
+    dealt = rows.join(parts, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = dealt.withColumn("_p", F.pmod(F.xxhash64("h"), C("_parts")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), C("_parts") - 1)))
+    cells = dealt.select(key, F.least("_p", "_o").alias("a"), F.greatest("_p", "_o").alias("b"), F.when(C("_p") <= C("_o"), 0).otherwise(1).alias("side"), "h")
+    return cells.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "h")
+
+
+def content_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = 4, most: int = 6, block: int = 2048) -> DataFrame:
+    """key, hash, component_id, pages and similarity of each document in a cluster of two or more.
+
+    Hashes that share a 16-bit band and differ in at most `most` bits are linked, equal ones are one class; component_id is the smallest
+    key linked over any number of links, similarity 100 less the greatest distance within the cluster in percent of 64 bits.
+    Bands and clusters are compared in cells of two blocks, which emit a spanning forest or a maximum.
+    """
+    hashed = materialized(docs.select(C(key).alias("k"), X.simhash(X.plain_words(C(text))).alias("h")).filter("h <> 0"), "simhash")
+    classes = materialized(hashed.groupBy("h").agg(F.min("k").alias("k"), F.count("*").alias("n")), "classes")
+    width = 64 // bands
+    token = [F.shiftrightunsigned("h", i * width).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << width)) for i in range(bands)]
+
+    def distances(t, s, e):
+        h, side = (t.column(x).to_numpy()[s:e] for x in ("h", "side"))
+        split = t.column("a")[s] != t.column("b")[s]
+        x, y = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if split else (np.arange(e - s),) * 2
+        return h, x, y, np.bitwise_count((h[x][:, None] ^ h[y]).view(np.uint64))
+
+    def link(batches):
+        for t, starts in whole_groups(batches, ["token", "a", "b"]):
+            src, dst = [], []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if e - s < 2:
+                    continue
+                h, x, y, d = distances(t, s, e)
+                near = np.zeros((e - s, e - s), bool)
+                near[np.ix_(x, y)] = d <= most
+                for i, j in forest(near | near.T):
+                    src.append(h[i])
+                    dst.append(h[j])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    def widest(batches):
+        for t, starts in whole_groups(batches, ["component", "a", "b"]):
+            found = [int(distances(t, s, e)[3].max(initial=0)) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([t.column("component").take(pa.array(starts[:-1])).combine_chunks(), pa.array(found, pa.int64())], ["component", "d"])
+
+    banded = classes.select("h", F.explode(F.array(*token)).alias("token"))
+    joined = components(materialized(_cells(banded, "token", block).mapInArrow(link, "src long, dst long"), "links"))
+    named = classes.join(joined.select(C("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    named = materialized(named, "named")
+    groups = named.groupBy("component").agg(F.min("k").alias("component_id"), F.sum("n").alias("pages"), F.count("*").alias("_n")).filter("pages > 1")
+    far = _cells(named.select("component", "h"), "component", block).mapInArrow(widest, "component long, d long").groupBy("component").agg(F.max("d").alias("d"))
+    groups = materialized(groups.join(far, "component").withColumn("similarity", 100 - F.floor(C("d") * 100 / 64)).drop("d"), "groups")
+    of = hot_join(named.select("component", "h", "n"), groups, "component", "_n", classes.count()).filter("component_id is not null or pages > 1")
+    final = materialized(of.select("h", "n", "component_id", "pages", "similarity"), "clusters")
+    return hot_join(hashed, final, "h", "n", hashed.count()).filter("pages > 1").select(C("k").alias(key), C("h").alias("hash"), "component_id", "pages", "similarity")
+
+
     both = base.withColumn("_new", F.lit(0)).unionByName(delta.withColumn("_new", F.lit(1)))
     return both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(order, "_new")).alias("_r")).select(key, "_r.*")

@@ -166,4 +166,4 @@ def top_keywords(spark, sf_dir):
 
 add("w4_top_keywords", top_keywords, "SELECT * FROM (SELECT doc_id, word, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS INTEGER) AS rank FROM (SELECT doc_id, lower(w) AS word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z''-]{3,}')) AS w FROM documents) GROUP BY 1, 2)) WHERE rank <= 10", False)
 add("t9_bigrams", lambda s, d: I.table(s, d, "documents").select(X.plain_words(F.col("text")).alias("w")).select(F.explode(X.ngrams(F.col("w"), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")), r"SELECT b AS bigram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM (SELECT list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')), lambda x: x <> '') AS w FROM documents)) GROUP BY 1", False)
-QUERIES["g4_near_duplicate_content"] = lambda s, d: links_ops.dup_content(I.table(s, d, "documents"))  # xxhash64 isn't DuckDB's: no SQL
+QUERIES["g4_near_duplicate_content"] = lambda s, d: links_ops.content_clusters(I.table(s, d, "documents"))  # xxhash64 isn't DuckDB's: no SQL

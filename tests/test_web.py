@@ -104,6 +104,15 @@ def test_near_duplicate_content(spark):
     assert links_ops.dup_content(docs).count() == 0  # equal hashes are one row
 
 
+def test_clusters_of_near_duplicate_content(spark):
+    texts = ["the quick brown fox jumps over the lazy dog", "The quick, brown fox jumps over the lazy dog.", "something else entirely is written here today", "", None]
+    rows = [(i, t) for i, t in enumerate(texts * 5 + ["alone in all of this is only me", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2048, 1):
+        got = {r["doc_id"]: (r["component_id"], r["pages"], r["similarity"]) for r in links_ops.content_clusters(docs, block=block).collect()}
+        assert got == {i: (0, 10, 100) if i % 5 < 2 else (2, 5, 100) for i in range(25) if i % 5 < 3}
+
+
 def test_keywords(spark):
     tracked = spark.createDataFrame([("u", "Red Shoes", 3, 30), ("u", "none", 1, 1)], "url string, query string, clicks int, impressions int")
     gsc = spark.createDataFrame([("u", "red shoes", 5, 50, 2.0), ("v", "RED SHOES", 7, 70, 4.0)], "url string, query string, clicks int, impressions int, position double")
