@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +62,19 @@ def degrees(links: DataFrame) -> DataFrame:
     return both.groupBy("url").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def click_depth(edges: DataFrame, seeds: DataFrame, most: int = 32) -> DataFrame:
-    """url and depth: fewest links from a seed, up to `most`. Each round joins the frontier only."""
+def click_depth(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """url and depth: fewest links from a seed, up to `most` where given. Each round joins the frontier only, until it is empty."""
     e = edges.select(C("source_url").alias("s"), C("url").alias("t")).distinct()
     seen = seeds.select("url", F.lit(0).alias("depth")).distinct()
     front = seen
-    for d in range(1, most + 1):
+    for d in itertools.count(1) if most is None else range(1, most + 1):
         front = front.join(e, front["url"] == e["s"]).select(C("t").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
         front = materialized(front, "frontier")
         if not front.head(1):
             break
         seen = seen.unionByName(front)
+        if d % 16 == 0:
+            seen = materialized(seen, "reached")  # so that plans stay short on deep sites
     return seen
 
 

@@ -113,6 +113,12 @@ def test_clusters_of_near_duplicate_content(spark):
         assert got == {i: (0, 10, 100) if i % 5 < 2 else (2, 5, 100) for i in range(25) if i % 5 < 3}
 
 
+def test_depth_and_chains_have_no_limit(spark):
+    edges = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(35)], "source_url string, url string")
+    seed = spark.createDataFrame([("u0",)], "url string")
+    assert {r["url"]: r["depth"] for r in links_ops.click_depth(edges, seed).collect()} == {f"u{i}": i for i in range(36)}
+
+
 def test_keywords(spark):
     tracked = spark.createDataFrame([("u", "Red Shoes", 3, 30), ("u", "none", 1, 1)], "url string, query string, clicks int, impressions int")
     gsc = spark.createDataFrame([("u", "red shoes", 5, 50, 2.0), ("v", "RED SHOES", 7, 70, 4.0)], "url string, query string, clicks int, impressions int, position double")
