@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
+from ..llm.common import components, hot_join, whole_groups
+from ..llm.near import forest
 from .tables import materialized
 
 C = F.col
 
-from ..llm.common import components, hot_join, whole_groups
-from ..llm.near import forest
 
 def inlinks(links: DataFrame) -> DataFrame:
     """Target key with all links to it and its distinct source pages; fragments and one trailing slash fold."""
@@ -84,15 +84,27 @@ def bypass_of(pages: DataFrame) -> DataFrame:
     return pages.filter(C("canonical").isNotNull()).select(u.alias("src"), c.alias("dst")).filter("src <> dst").groupBy("src").agg(F.max("dst").alias("dst"))
 
 
-def resolve_bypass(names: DataFrame, bypass: DataFrame, most: int = 8) -> DataFrame:
-    """src and dst of each name: where its chain of bypasses ends; on a cycle, the first name met twice. Chains end after `most` hops."""
-    at = names.select(C("url").alias("src"), C("url").alias("dst"), F.array("url").alias("_seen"), F.lit(False).alias("_done"))
-    step = bypass.select(C("src").alias("_s"), C("dst").alias("_d"))
-    for _ in range(most):
-        at = at.join(step, (C("dst") == C("_s")) & ~C("_done"), "left")
-        again = F.array_contains("_seen", C("_d"))
-        at = at.select("src", F.coalesce("_d", "dst").alias("dst"), F.when(C("_d").isNull() | again, C("_seen")).otherwise(F.concat("_seen", F.array("_d"))).alias("_seen"), (C("_done") | C("_d").isNull() | F.coalesce(again, F.lit(False))).alias("_done"))
-    return at.select("src", "dst")
+def _ends(hops: DataFrame) -> DataFrame:
+    """src and dst of each hop, followed to the chain's end by doubling; chains that lead into a cycle end somewhere on it."""
+    n, length = hops.count(), 1
+    while True:
+        left = hops.join(hops.select(C("src").alias("dst")), "dst", "left_semi")
+        if length > n or not left.head(1):
+            return hops
+        step = hops.select(C("src").alias("dst"), C("dst").alias("_d"))
+        hops = materialized(hops.join(step, "dst", "left").select("src", F.coalesce("_d", "dst").alias("dst")), "hops")
+        length *= 2
+
+
+def resolve_bypass(names: DataFrame, bypass: DataFrame) -> DataFrame:
+    """src and dst of each name: where its chain of bypasses ends, however long; on a cycle, the first name met twice."""
+    hops = bypass.select("src", "dst")
+    ends = _ends(hops)
+    cycle = materialized(ends.join(hops.select(C("src").alias("dst")), "dst", "left_semi").select(C("dst").alias("src")).distinct(), "cycles")
+    if cycle.head(1):  # all names on cycles: chains end where they meet one
+        ends = _ends(materialized(hops.join(cycle, "src", "left_anti"), "hops"))
+    to = ends.select(C("src").alias("_s"), C("dst").alias("_d"))
+    return names.join(to, C("url") == C("_s"), "left").select(C("url").alias("src"), F.coalesce("_d", "url").alias("dst"))
 
 
 def link_score(pages: DataFrame, links: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
@@ -142,24 +154,6 @@ def dup_content(docs: DataFrame, key: str = "doc_id", text: str = "text", bands:
     return pairs.select(C("a.k").alias("a"), C("b.k").alias("b"), d.alias("distance")).distinct()
 
 
-def crawl_diff(before: DataFrame, now: DataFrame) -> DataFrame:
-    """url and change (added or removed) between two crawls."""
-    added = now.select("url").join(before.select("url"), "url", "left_anti").withColumn("change", F.lit("added"))
-    return added.unionByName(before.select("url").join(now.select("url"), "url", "left_anti").withColumn("change", F.lit("removed")))
-
-
-def sitemap_review(sitemap: DataFrame, pages: DataFrame) -> DataFrame:
-    """key and bucket: inSitemap, orphan (listed, not crawled), missing (crawled and indexable, not listed), nonIndexable, errors."""
-    listed = sitemap.select(U.same_key(C("url")).alias("key")).distinct().withColumn("_l", F.lit(True))
-    seen = pages.groupBy(U.same_key(C("url")).alias("key")).agg(F.max("status_code").alias("s"), F.max("indexability").alias("i"))
-    rows = listed.join(seen, "key", "full")
-    bucket = F.when(C("s").isNull(), "orphan").when(C("s") >= 400, "errors").when(C("i") < 0.5, "nonIndexable").when(C("_l"), "inSitemap").when(C("s") < 300, "missing")
-    return rows.select("key", bucket.alias("bucket")).filter("bucket is not null")
-
-
-def upsert(base: DataFrame, delta: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:
-    """The last row of each key, by the order column; new rows win over old ones in ties."""
-    cols = [c for c in base.columns if c != key]
 def _cells(rows: DataFrame, key: str, block: int) -> DataFrame:
     """key, a, b, side, h: rows of a key in blocks of about `block`, each two of which meet in a cell (a, b)."""
     parts = materialized(rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")).filter("_parts > 1"), "cells")
@@ -218,5 +212,23 @@ def content_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     return hot_join(hashed, final, "h", "n", hashed.count()).filter("pages > 1").select(C("k").alias(key), C("h").alias("hash"), "component_id", "pages", "similarity")
 
 
+def crawl_diff(before: DataFrame, now: DataFrame) -> DataFrame:
+    """url and change (added or removed) between two crawls."""
+    added = now.select("url").join(before.select("url"), "url", "left_anti").withColumn("change", F.lit("added"))
+    return added.unionByName(before.select("url").join(now.select("url"), "url", "left_anti").withColumn("change", F.lit("removed")))
+
+
+def sitemap_review(sitemap: DataFrame, pages: DataFrame) -> DataFrame:
+    """key and bucket: inSitemap, orphan (listed, not crawled), missing (crawled and indexable, not listed), nonIndexable, errors."""
+    listed = sitemap.select(U.same_key(C("url")).alias("key")).distinct().withColumn("_l", F.lit(True))
+    seen = pages.groupBy(U.same_key(C("url")).alias("key")).agg(F.max("status_code").alias("s"), F.max("indexability").alias("i"))
+    rows = listed.join(seen, "key", "full")
+    bucket = F.when(C("s").isNull(), "orphan").when(C("s") >= 400, "errors").when(C("i") < 0.5, "nonIndexable").when(C("_l"), "inSitemap").when(C("s") < 300, "missing")
+    return rows.select("key", bucket.alias("bucket")).filter("bucket is not null")
+
+
+def upsert(base: DataFrame, delta: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:
+    """The last row of each key, by the order column; new rows win over old ones in ties."""
+    cols = [c for c in base.columns if c != key]
     both = base.withColumn("_new", F.lit(0)).unionByName(delta.withColumn("_new", F.lit(1)))
     return both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(order, "_new")).alias("_r")).select(key, "_r.*")

@@ -117,6 +117,10 @@ def test_depth_and_chains_have_no_limit(spark):
     edges = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(35)], "source_url string, url string")
     seed = spark.createDataFrame([("u0",)], "url string")
     assert {r["url"]: r["depth"] for r in links_ops.click_depth(edges, seed).collect()} == {f"u{i}": i for i in range(36)}
+    hops = [(f"n{i}", f"n{i + 1}") for i in range(20)] + [("x", "y"), ("y", "z"), ("z", "y")]
+    names = spark.createDataFrame([(f"n{i}",) for i in range(21)] + [("x",), ("y",), ("z",)], "url string")
+    got = {r["src"]: r["dst"] for r in links_ops.resolve_bypass(names, spark.createDataFrame(hops, "src string, dst string")).collect()}
+    assert got == {f"n{i}": "n20" for i in range(21)} | {"x": "y", "y": "y", "z": "z"}
 
 
 def test_keywords(spark):
