@@ -185,6 +185,19 @@ def test_a_repeat_whose_parts_are_in_other_documents_is_found(spark):
 
 def brute_components(texts, k, percent, ids):
     sets = []
+def test_passages_with_a_fifth_of_their_words_changed_are_found(spark):
+    rng = random.Random(16)
+    cases = [(n, percent) for n in (52, 60, 80) for percent in (10, 15, 20) for _ in range(20)]
+    shared = [prose(rng, n, 10**6).split() for n, _ in cases]
+    texts = [f"{prose(rng, 30, 10**6)} {' '.join(w)} {prose(rng, 30, 10**6)}" for w in shared]
+    for w, (n, percent) in zip(shared, cases):
+        for i in rng.sample(range(n), n * percent // 100):
+            w[i] = f"changed{rng.random()}"
+        texts.append(f"{prose(rng, 40, 10**6)} {' '.join(w)} {prose(rng, 20, 10**6)}")
+    got = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(make(spark, texts)).collect()}
+    assert sum((len(cases) + i, i) in got for i in range(len(cases))) >= 0.99 * len(cases)
+
+
     for t in texts:
         w = WORD.findall(low(t))
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
