@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -181,20 +182,23 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int
 # ---------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 50) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", most: int | None = None) -> DataFrame:
     """(id, component) of every end of an edge; component is the smallest id reachable.
 
     Large-star and small-star rounds in turn; each round's edges are written to the shared folder, and the number of rounds grows
-    with the logarithm of the largest component. Null ends and loops are left out.
+    with the logarithm of the largest component. It goes on until a round changes nothing, and raises if `most` rounds, where given,
+    weren't enough. Null ends and loops are left out.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e = written(e, "edges")
     before = None
-    for _ in range(most):
+    for rounds in itertools.count():
         total, *state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if not total or [total, *state] == before:
             break
+        if rounds == most:
+            raise RuntimeError(f"components() hasn't converged in {most} rounds")
         before = [total, *state]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))

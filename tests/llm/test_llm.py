@@ -69,6 +69,11 @@ def test_components(spark):
     assert got == {i: top[i] for i in ends}
 
 
+def test_components_that_are_not_done_raise(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long"), most=1)
+
+
 def test_hot_join(spark):
     left = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 3000 + [2, 2, 3, None])], "k long, v long")
     right = spark.createDataFrame([(1, "a", 3000), (2, "b", 2)], "k long, n string, c long")
@@ -180,11 +185,6 @@ def test_a_repeat_whose_parts_are_in_other_documents_is_found(spark):
     assert set(range(1, 421)) == {x for r in of_x for x in range(r["start"], r["end"])} and len(of_x) < 20
 
 
-# ---------------------------------------------------------------- 3 near-duplicates
-
-
-def brute_components(texts, k, percent, ids):
-    sets = []
 def test_passages_with_a_fifth_of_their_words_changed_are_found(spark):
     rng = random.Random(16)
     cases = [(n, percent) for n in (52, 60, 80) for percent in (10, 15, 20) for _ in range(20)]
@@ -198,6 +198,11 @@ def test_passages_with_a_fifth_of_their_words_changed_are_found(spark):
     assert sum((len(cases) + i, i) in got for i in range(len(cases))) >= 0.99 * len(cases)
 
 
+# ---------------------------------------------------------------- 3 near-duplicates
+
+
+def brute_components(texts, k, percent, ids):
+    sets = []
     for t in texts:
         w = WORD.findall(low(t))
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
