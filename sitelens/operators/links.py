@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..llm.common import components, hot_join, whole_groups
-from ..llm.near import forest
+from .graphs import components, forest, hot_join, whole_groups
 from .tables import materialized
 
 C = F.col

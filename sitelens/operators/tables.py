@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir (a temporary folder where that is unset, as in tests): cuts lineage for good."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-tables-")
-        _own[spark.sparkContext.applicationId] = shared
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a folder of this process, gone when it ends; only if all of Spark runs in this process. A cluster needs the setting.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return f"file://{_own[app]}"
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def materialized(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in time for delete_since."""
+    return len(_made)
+
+
+def delete_since(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate tables made since a mark, but those with a name to keep; nothing may read them any more."""
+    jvm = spark.sparkContext._jvm
+    for path in _made[since:]:
+        if not path.rsplit("/", 1)[1].startswith(keep or "\0"):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _made[since:] = [p for p in _made[since:] if p.rsplit("/", 1)[1].startswith(keep or "\0")]
