@@ -1,21 +1,22 @@
-"""What the corpus operators share: the shared folder, text bytes, words, hashes, joins on hot keys, components."""
+"""What the corpus operators share: text bytes, words, hashes, rows carried whole, fixed-width values."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import functools
-import itertools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components, forest, hot_join, whole_groups  # noqa: F401
+from ..operators.tables import fresh_dir, shared_dir  # noqa: F401
+from ..operators.tables import materialized as written  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 1 << 19  # bytes of text that are worked on at once
 
@@ -25,30 +26,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_own: dict[str, str] = {}
-
-
-# ---------------------------------------------------------------- shared folder
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where it is unset (tests), one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # ---------------------------------------------------------------- texts as bytes
@@ -60,6 +37,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def carried(docs: DataFrame, **more) -> DataFrame:
+    """docs with each row as one struct `row`, beside other columns: what a stage adds can't clash with a column of its input."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).withColumns(more)
+
+
 def give_back() -> None:
     """Return freed memory to the system, as a worker process goes on to other tasks."""
     pa.default_memory_pool().release_unused()
@@ -68,9 +50,14 @@ def give_back() -> None:
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of some rows of a batch, of about `limit` bytes (one row at least); null texts are empty."""
+    """(rows, bytes, offsets) of some rows of a batch, of about `limit` bytes (one row at least); null texts are empty.
+
+    The column may be a field of a struct, as in "row.text".
+    """
+    name, *inner = column.split(".")
     for batch in batches:
-        texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_utf8()), "")
+        whole = batch.column(batch.schema.get_field_index(name))
+        texts = pc.fill_null((pc.struct_field(whole, inner) if inner else whole).cast(pa.large_utf8()), "")
         if not len(texts):
             continue
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -160,86 +147,7 @@ def crc_bucket(doc_id, n: int):
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % n
 
 
-# ---------------------------------------------------------------- joins on hot keys
-
-
-def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
-    """left ⟕ right on one column, right having one row a key and in `count` how many left rows have it.
-
-    Keys with more than total/share left rows (so at most `share` keys, whatever the input) are broadcast and
-    their left rows stay where they are; the others are few rows a key and go through an ordinary join. `left` is read
-    twice, so pass a written table or a scan. Null keys match nothing. `count` isn't in the result.
-    """
-    least = max(2000, total // share)
-    hot = right.filter(F.col(count) > least).drop(count)
-    cold = right.filter(F.col(count) <= least).drop(count)
-    keys = F.broadcast(hot.select(F.col(key).alias("_hot")))
-    warm = left.join(F.broadcast(hot), key, "inner")
-    rest = left.join(keys, left[key] == F.col("_hot"), "left_anti").join(cold, key, "left")
-    return warm.unionByName(rest)
-
-
-# ---------------------------------------------------------------- connected components
-
-
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", most: int | None = None) -> DataFrame:
-    """(id, component) of every end of an edge; component is the smallest id reachable.
-
-    Large-star and small-star rounds in turn; each round's edges are written to the shared folder, and the number of rounds grows
-    with the logarithm of the largest component. It goes on until a round changes nothing, and raises if `most` rounds, where given,
-    weren't enough. Null ends and loops are left out.
-    """
-    spark = edges.sparkSession
-    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
-    e = written(e, "edges")
-    before = None
-    for rounds in itertools.count():
-        total, *state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if not total or [total, *state] == before:
-            break
-        if rounds == most:
-            raise RuntimeError(f"components() hasn't converged in {most} rounds")
-        before = [total, *state]
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = hot_join(both, least, "u", "n", total * 2).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = hot_join(large, least, "u", "n", total).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        e = written(small, "edges")
-    tops = e.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").unionByName(tops)
-
-
-# ---------------------------------------------------------------- sorted streams
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of a stream that is sorted by integer keys, cut between groups, and where each group starts (with the end)."""
-    held: list[pa.RecordBatch] = []
-
-    def cut(t: pa.Table) -> np.ndarray:
-        edge = np.zeros(max(0, len(t) - 1), bool)
-        for k in keys:
-            x = t.column(k).to_numpy()
-            edge |= x[1:] != x[:-1]
-        return np.concatenate([[0], np.flatnonzero(edge) + 1])
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        if held and all(batch.column(k)[len(batch) - 1] == held[0].column(k)[0] for k in keys):
-            held.append(batch)  # one group still
-            continue
-        t = pa.Table.from_batches([*held, batch])
-        starts = cut(t)
-        if len(starts) > 1:
-            yield t.slice(0, int(starts[-1])), starts
-        rest = t.slice(int(starts[-1])).combine_chunks().to_batches()
-        held = rest
-    if held:
-        t = pa.Table.from_batches(held)
-        yield t, np.append(cut(t), len(t))
+# ---------------------------------------------------------------- fixed-width values
 
 
 def fixed_matrix(column, width: int, dtype) -> np.ndarray:

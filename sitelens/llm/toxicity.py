@@ -7,7 +7,8 @@ documents of the training rows have far more often. Lexicon, trees and calibrati
 Labels come from rows whose crc32(doc_id) mod 4 is not 2; at most FIT_ROWS of them, those with the smallest hash of doc_id,
 are used for fitting. Null and empty texts have features of zero and are scored too. Where labels repeat a doc_id,
 its largest label counts; null labels don't. With labels of one kind only, or none, all scores are that label or 0.5.
-Repeated rows are scored each. Extra columns are ignored.
+Repeated rows are scored each, equal texts alike. An empty table has no scores. Very long texts are read 500 kB at a time, a text at least.
+Extra columns are ignored, and kept by without_toxic whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import SPACE, crc_bucket, small_batches, text_chunks, word_hashes, words, written
+from .common import SPACE, carried, crc_bucket, small_batches, text_chunks, word_hashes, words, written
 from .features import BETWEEN, DIGIT, LETTER, PUNCT, SYMBOL, UPPER, _count, edge_hashes
 from .quality import labelled
 
@@ -65,7 +67,7 @@ def learn_lexicon(train: DataFrame, most: int = LEXICON, least_docs: int = 5, le
                 pairs = np.unique(np.column_stack([h[keep], row[keep].astype(np.uint64)]), axis=0)
                 names, which = np.unique(pairs[:, 0], return_inverse=True)
                 toxic = y[pairs[:, 1].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names.view(np.int64)), pa.array(np.bincount(which, minlength=len(names)).astype(np.int64)), pa.array(np.bincount(which, toxic, len(names)))], ["kind", "h", "n", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names.view(np.int64)), pa.array(np.bincount(which, minlength=len(names)).astype(np.int64)), pa.array(np.bincount(which, toxic, len(names)).astype(np.float64))], ["kind", "h", "n", "p"])
 
     sums = train.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     n, p = sums["n"] or 0, sums["p"] or 0.0
@@ -75,17 +77,16 @@ def learn_lexicon(train: DataFrame, most: int = LEXICON, least_docs: int = 5, le
     return [(r["kind"], r["h"], r["odds"]) for r in best.collect()]
 
 
-def with_features(docs: DataFrame, lexicon: list[tuple[int, int, float]], text: bool = False) -> DataFrame:
-    """The rows' columns (the text if asked for), and _x: FEATURES of the whole text. No shuffle."""
+def with_features(rows: DataFrame, lexicon: list[tuple[int, int, float]], column: str = "text") -> DataFrame:
+    """row, and x: FEATURES of the whole text in `column`, which may be a field of row. No shuffle."""
     tables = {}
     for kind in (0, *EDGES):
         part = sorted((h % (1 << 64), w) for k, h, w in lexicon if k == kind)
         tables[kind] = np.array([h for h, _ in part], np.uint64), np.array([w for _, w in part])
     second = _own_hashes(SECOND_PERSON)
-    keep = [c for c in docs.columns if text or c != "text"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in text_chunks(batches, "text"):
+        for rows, data, at in text_chunks(batches, column):
             n, size = len(rows), np.maximum(np.diff(at), 1).astype(float)
             starts, ends, row = words(data, at, BETWEEN)
             count = np.bincount(row, minlength=n).astype(float)
@@ -116,51 +117,50 @@ def with_features(docs: DataFrame, lexicon: list[tuple[int, int, float]], text:
                 _count(UPPER[data], at) / size, caps, _count(data == 33, at) / size, _count(PUNCT[data], at) / size, inner, mixed, np.log1p(count),
             ])
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in keep] + [values], [*keep, "_x"])
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("row")), values], ["row", "x"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return small_batches(docs).mapInArrow(each, f"{kept}, _x array<double>")
+    return small_batches(rows).mapInArrow(each, StructType([rows.schema["row"], StructField("x", ArrayType(DoubleType()))]))
 
 
-def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 6, text: bool = False) -> DataFrame:
-    """The documents' columns (the text if asked for) and _score."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def scored(rows: DataFrame, column: str, texts: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 6) -> DataFrame:
+    """row and score of the rows with a text in `column`, by a model of texts (doc_id, text) and labels."""
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(10)).cast("int").alias("fold")
     sample = labelled(labels, "toxic", 4, 2).select("doc_id", "y", fold, F.xxhash64("doc_id", F.lit(seed)).alias("_o")).orderBy("_o", "doc_id").limit(fit_rows).drop("_o")
     sample = written(sample, "toxic-sample")
     train = written(texts.join(F.broadcast(sample), "doc_id"), "toxic-train")  # fit_rows rows are broadcast at most
     kinds = [r["y"] for r in train.select("y").distinct().collect()]
     if len(kinds) < 2:
-        return docs.withColumn("_score", F.lit(kinds[0] if kinds else 0.5)).drop(*([] if text else ["text"]))
+        return rows.select("row", F.lit(kinds[0] if kinds else 0.5).alias("score"))
     lexicon = learn_lexicon(train.filter("fold < 4"))
-    rows = written(with_features(train, lexicon), "toxic-fit")
-    n = rows.count()
-    rows = rows.select("fold", "y", array_to_vector("_x").alias("_features")).coalesce(max(1, min(8, n // 2000)))
-    fit, rest = rows.filter("fold between 4 and 7"), rows.filter("fold > 7")
+    known = written(with_features(train.select(F.struct("fold", "y").alias("row"), "text"), lexicon), "toxic-fit")
+    n = known.count()
+    known = known.select("row.fold", "row.y", array_to_vector("x").alias("features")).coalesce(max(1, min(8, n // 2000)))
+    fit, rest = known.filter("fold between 4 and 7"), known.filter("fold > 7")
     if fit.select("y").distinct().count() < 2 or not rest.head(1):  # a handful of labels
-        fit = rest = rows
-    grower = GBTClassifier(featuresCol="_features", labelCol="y", predictionCol="_kind", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=64, minInstancesPerNode=5, seed=seed, cacheNodeIds=False)
-    trees = grower.setRawPredictionCol("_raw").setProbabilityCol("_chances").fit(fit)
+        fit = rest = known
+    grower = GBTClassifier(featuresCol="features", labelCol="y", predictionCol="kind", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=64, minInstancesPerNode=5, seed=seed, cacheNodeIds=False)
+    trees = grower.setRawPredictionCol("raw").setProbabilityCol("chances").fit(fit)
 
     def raw(df: DataFrame) -> DataFrame:
-        return trees.transform(df).withColumn("_p", vector_to_array("_chances")[1])
+        return trees.transform(df).withColumn("p", vector_to_array("chances")[1])
 
-    curve = IsotonicRegression(featuresCol="_p", labelCol="y").fit(raw(rest).select("_p", "y"))
+    curve = IsotonicRegression(featuresCol="p", labelCol="y").fit(raw(rest).select("p", "y"))
     xs, ys = curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist()
 
     grid = np.linspace(0, 1, STEPS + 1)
     table = F.array(*map(F.lit, np.clip(0.998 * np.interp(grid, xs, ys) + 0.002 * grid, 0, 1).tolist()))
-    calibrated = F.element_at(table, F.round(F.col("_p") * STEPS).cast("int") + 1)
-    found = raw(with_features(docs, lexicon, text).withColumn("_features", array_to_vector("_x"))).withColumn("_score", calibrated)
-    return found.drop("_x", "_features", "_raw", "_chances", "_kind", "_p")
+    calibrated = F.element_at(table, F.round(F.col("p") * STEPS).cast("int") + 1)
+    return raw(with_features(rows, lexicon, column).select("row", array_to_vector("x").alias("features"))).select("row", calibrated.alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
-    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, fit_rows)
-    return rows.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = scored(texts.select(F.struct("doc_id").alias("row"), "text"), "text", texts, labels, fit_rows).select("row.doc_id", "score")
+    return rows.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that score below CUT, with all their columns. No shuffle of texts."""
-    return scored(docs, labels, fit_rows, text=True).filter(F.col("_score") < CUT).select(*docs.columns)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scored(carried(docs), "row.text", texts, labels, fit_rows).filter(F.col("score") < CUT).select("row.*")
