@@ -13,7 +13,8 @@ MATCH follows from the similarity: a pair that just has it falls below with prob
 Apart from that the result is exact, for groups of any size. A group of m near copies costs about m * m comparisons, spread over cells.
 
 A document without words has no shingles and no links. Null doc_ids are linked like others but are nobody's component_id unless all
-are null; rows that repeat a doc_id are documents of their own; rows that repeat a text are one class. Extra columns are ignored.
+are null; rows that repeat a doc_id are documents of their own; rows that repeat a text are one class. Texts of any length are read whole, one
+at least at a time. An empty table has no rows. Extra columns are ignored, and kept by without_near_duplicates whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fixed_binary, fixed_matrix, hot_join, mix, shingle_hashes, small_batches, text_chunks, whole_groups, word_hashes, words, written
+from .common import carried, components, fixed_binary, fixed_matrix, forest, hot_join, mix, shingle_hashes, small_batches, text_chunks, whole_groups, word_hashes, words, written
 
 N = 64
 MISS = 5e-5
@@ -82,33 +83,15 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int, prefix: int) -> DataFrame:
-    """doc_id, n_shingles, node, prefix (that many 32-bit values), code (N 8-bit values) of each document. No shuffle."""
+    """doc_id, t (a hash of the text), n_shingles, node, prefix (that many 32-bit values), code (N 8-bit values) of each document. No shuffle."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in text_chunks(batches, "text"):
             h, where = shingle_sets(data, at, k)
             sig = signatures(h, where)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(where)), pa.array(node_of(h, where)), fixed_binary(sig[:, :prefix]), fixed_binary((sig >> 8).astype(np.uint8))], ["doc_id", "n_shingles", "node", "prefix", "code"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(where)), pa.array(node_of(h, where)), fixed_binary(sig[:, :prefix]), fixed_binary((sig >> 8).astype(np.uint8))], ["doc_id", "t", "n_shingles", "node", "prefix", "code"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, node long, prefix binary, code binary")
-
-
-def forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
-    n, edges = len(links), []
-    left = np.ones(n, bool)
-    for i in range(n):
-        if not left[i]:
-            continue
-        left[i] = False
-        front = [i]
-        while front:
-            j = front.pop()
-            new = np.flatnonzero(links[j] & left)
-            left[new] = False
-            edges += [(j, int(x)) for x in new]
-            front += new.tolist()
-    return edges
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(each, "doc_id long, t long, n_shingles long, node long, prefix binary, code binary")
 
 
 def matches(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
@@ -256,26 +239,47 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
     return cells.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node").mapInArrow(confirm, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document."""
+def _least(doc_id: str, t: str):
+    """The smallest (doc_id, t), null ids last."""
+    return F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("doc_id"), F.col(t).alias("t")))
+
+
+def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, t, n_shingles, component_id, first of each document: whether it has the smallest id, and of its texts the one with the smallest hash."""
     match = least_matches(percent)
     rows = written(signed(docs, k, N - match + 1), "near-signed")
     some = rows.filter("n_shingles > 0")
-    classes = written(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("code").alias("code"), F.count("*").alias("n_docs")), "near-classes")
+    classes = some.groupBy("node").agg(_least("doc_id", "t").alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("code").alias("code"), F.count("*").alias("n_docs"))
+    classes = written(classes.select("node", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("rep_t"), "n_shingles", "prefix", "code", "n_docs"), "near-classes")
     clusters = components(candidate_edges(classes, match))
     links = written(confirmed_edges(docs, classes, written(clusters, "near-clusters"), k, percent), "near-links")
     joined = components(links)
-    named = classes.select("node", "rep", "n_docs").join(joined.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select("node", "rep", "rep_t", "n_docs").join(joined.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named, "near-components")
-    best = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_n"))
-    final = written(hot_join(named, written(best, "near-best"), "component", "_n", classes.count()).select("node", "component_id", "n_docs"), "near-final")
-    found = hot_join(some.select("doc_id", "n_shingles", "node"), final, "node", "n_docs", rows.count())
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = named.groupBy("component").agg(_least("rep", "rep_t").alias("b"), F.count("*").alias("_n"))
+    final = written(hot_join(named, written(best, "near-best"), "component", "_n", classes.count()).select("node", "b", "n_docs"), "near-final")
+    found = hot_join(some.select("doc_id", "t", "n_shingles", "node"), final, "node", "n_docs", rows.count())
+    found = found.select("doc_id", "t", "n_shingles", F.col("b.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("t") == F.col("b.t"))).alias("first"))
+    return found.unionByName(rows.filter("n_shingles = 0").select("doc_id", "t", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document."""
+    return linked(docs, k, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which each group of near-duplicates keeps one, with all their columns; null doc_ids stay."""
-    gone = near_duplicates(docs, k, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The documents of which each group of near-duplicates keeps one, with all their columns.
+
+    That is the one with the smallest doc_id (null ids last), of its texts the one with the smallest hash, of rows that repeat both
+    any one. Documents without words all stay.
+    """
+    found = written(linked(docs, k, percent).filter("n_shingles > 0"), "near-found")
+    gone = found.filter("not first").select(F.col("doc_id").alias("_k"), F.col("t").alias("_t")).distinct()
+    rows = carried(docs).select("row", F.col("row.doc_id").cast("long").alias("k"), F.xxhash64("row.text").alias("t"))
+    same = lambda other: F.col("k").eqNullSafe(other["_k"]) & (F.col("t") == other["_t"])
+    kept = rows.join(gone.hint("merge"), same(gone), "left_anti")
+    again = written(found.filter("first").groupBy(F.col("doc_id").alias("_k"), F.col("t").alias("_t")).count().filter("count > 1").drop("count"), "near-again")
+    if again.head(1):  # rows that repeat an id and its text
+        kept = kept.join(again.hint("merge"), same(again), "left_anti").unionByName(kept.join(again.hint("merge"), same(again), "left_semi").dropDuplicates(["k", "t"]))
+    return kept.select("row.*")
