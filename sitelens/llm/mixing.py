@@ -3,12 +3,14 @@
 Each source's documents, in an order of their own, make one stream of words, which is packed into blocks of `block_words` (the
 last one may be shorter). A source's target fixes how many slots it fills. The slots of all sources are spread over output
 shards by multinomial draws, one a source, so the shards' source counts are multinomial while the sources' sums
-are exact. Slot j of a source takes block perm(j mod full blocks), perm being a pseudorandom permutation of the source's and
+are exact. A draw is made of binomial ones, which part a range of shards in two until one of CHUNK shards is left, so each such
+range is drawn in a task of its own. Slot j of a source takes block perm(j mod full blocks), perm being a pseudorandom permutation of the source's and
 the pass's own; every pass ends with the short block. The last slot takes only the words still missing. Blocks are joined by
 (source, block) to the documents that lie in them.
 
 Everything follows from the seed and the rows, so reruns agree. Null and empty texts have size 0 and are never taken; rows
 that repeat a doc_id are documents of their own; a null source is a source, the last in order. An empty table gives no rows.
+Extra columns are ignored, and kept by mixed_documents whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, mix, small_batches, words, written
+from .common import WORD, carried, mix, small_batches, words, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SLOTS_A_SHARD = 1 << 14
+SLOTS_A_TASK = 1 << 17
+CHUNK = 4096  # shards whose counts are drawn at once
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -67,24 +71,41 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def draw_slots(goals: DataFrame, block_words: int, seed: int, shard_slots: int = SLOTS_A_SHARD) -> DataFrame:
+def chunk_share(slots: int, shards: int, chunk: int, seed: list[int], size: int) -> tuple[int, int]:
+    """Of a source's slots, dealt evenly over shards: how many lie before a chunk of `size` shards, and how many in it."""
+    lo, hi, before = 0, -(-shards // size), 0
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        part = (mid - lo) * size / (min(hi * size, shards) - lo * size)
+        left = int(np.random.default_rng([*seed, lo, hi]).binomial(slots, part))
+        if chunk < mid:
+            hi, slots = mid, left
+        else:
+            lo, slots, before = mid, slots - left, before + left
+    return before, slots
+
+
+def draw_slots(goals: DataFrame, block_words: int, seed: int, shard_slots: int = SLOTS_A_SHARD, size: int = CHUNK) -> DataFrame:
     """A row a slot: shard, s, slot, block, words (what it takes, from the block's start)."""
     counts = goals.filter("source_size > 0").select("s", "source_size", F.round("target").cast("long").alias("goal"))
     # a pass over a source fills one slot a block; what is missing then, one slot a block_words
     n_blocks = F.ceil(F.col("source_size") / block_words)
     passes = F.floor(F.col("goal") / F.col("source_size"))
     counts = counts.withColumn("slots", (passes * n_blocks + F.ceil((F.col("goal") - passes * F.col("source_size")) / block_words)).cast("long"))
-    counts = counts.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / shard_slots)).cast("long"))
+    total, sources = counts.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-total // shard_slots))
+    chunks = -(-shards // size)
+    tasks = max(1, min(100_000, -(-total // SLOTS_A_TASK)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, size, goal, slots, shards in zip(*(c.to_pylist() for c in batch.columns)):
-                n = np.random.default_rng([seed, s]).multinomial(slots, np.full(shards, 1 / shards))
-                first = np.cumsum(n) - n
-                some = np.flatnonzero(n)
-                for i in range(0, len(some), 50_000):
-                    k = some[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), x, np.int64)) for x in (s, size, goal)] + [pa.array(k.astype(np.int64)), pa.array(first[k]), pa.array(n[k])], ["s", "source_size", "goal", "shard", "first", "n"])
+            for s, of_source, goal, slots, chunk in zip(*(c.to_pylist() for c in batch.columns)):
+                before, own = chunk_share(slots, shards, chunk, [seed, s], size)
+                width = min(size, shards - chunk * size)
+                n = np.random.default_rng([seed, s, chunk]).multinomial(own, np.full(width, 1 / width))
+                first = before + np.cumsum(n) - n
+                k = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), x, np.int64)) for x in (s, of_source, goal)] + [pa.array(k + chunk * size), pa.array(first[k]), pa.array(n[k])], ["s", "source_size", "goal", "shard", "first", "n"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,8 +123,9 @@ def draw_slots(goals: DataFrame, block_words: int, seed: int, shard_slots: int =
                 words = np.minimum(length, goal - turn * size - at * block_words)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int64)), pa.array(np.full(n, s, np.int64)), pa.array(slot), pa.array(block), pa.array(words)], ["shard", "s", "slot", "block", "words"])
 
-    shards = counts.select("s", "source_size", "goal", "slots", "shards").mapInArrow(deal, "s long, source_size long, goal long, shard long, first long, n long")
-    return shards.repartition("shard", "s").mapInArrow(fill, "shard long, s long, slot long, block long, words long")
+    parts = counts.select("s", "source_size", "goal", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+    dealt = parts.repartition(max(1, min(tasks, sources * chunks)), "s", "chunk").mapInArrow(deal, "s long, source_size long, goal long, shard long, first long, n long")
+    return dealt.repartition(tasks, "shard", "s").mapInArrow(fill, "shard long, s long, slot long, block long, words long")
 
 
 def streams(docs: DataFrame, goals: DataFrame, rows_a_bucket: int = 1000) -> DataFrame:
@@ -138,14 +160,14 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, seed: int = 17) -> D
     """
     small = written(sized(docs), "mix-sizes")
     goals = written(targets(small), "mix-targets")
-    own = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text"), "_source": F.col("source").cast("string"), "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
-    placed = streams(own.select(F.struct(*docs.columns).alias("_row"), F.col("_id").alias("doc_id"), "_h", F.col("_source").alias("source"), F.col("_size").alias("size")), goals).filter("size > 0").select("_row", "s", "at", "size")
+    own = carried(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("_h"), F.col("row.source").cast("string").alias("source"), F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    placed = streams(own, goals).filter("size > 0").select("row", "s", "at", "size")
     plain = written(streams(small, goals), "mix-placed")
     a_pass = F.floor(F.col("source_size") / block_words) + F.when(F.col("source_size") % block_words > 0, 1).otherwise(0)
     slots = draw_slots(goals, block_words, seed).join(F.broadcast(goals.select("s", "source_size")) if goals.count() <= 100_000 else goals.select("s", "source_size"), "s").select("s", "block", "words", F.floor(F.col("slot") / a_pass).cast("int").alias("turn"))
     pieces = segments(plain, block_words).join(slots.hint("merge"), ["s", "block"]).withColumn("hi", F.least("hi", "words")).filter("hi > lo")
     first = F.col("block") * block_words - F.col("at")
-    takes = pieces.select("s", "at", "turn", F.struct((first + F.col("lo")).cast("long").alias("a"), (first + F.col("hi")).cast("long").alias("b")).alias("p")).groupBy("s", "at", "turn").agg(F.sort_array(F.collect_list("p")).alias("_takes"))  # a document's own blocks
+    takes = pieces.select("s", "at", "turn", F.struct((first + F.col("lo")).cast("long").alias("a"), (first + F.col("hi")).cast("long").alias("b")).alias("p")).groupBy("s", "at", "turn").agg(F.sort_array(F.collect_list("p")).alias("takes"))  # a document's own blocks
 
     @F.pandas_udf("string")
     def cut(texts, takes):
@@ -164,9 +186,9 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, seed: int = 17) -> D
             out.append(text if runs == [[0, len(w)]] else b"\n".join(data[w[a] : e[b - 1]] for a, b in runs).decode())
         return pd.Series(out)
 
-    rows = small_batches(placed).join(takes.hint("merge"), ["s", "at"]).withColumn("_text", cut(F.col("_row.text"), F.col("_takes")))
-    new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+    rows = small_batches(placed).join(takes.hint("merge"), ["s", "at"]).withColumn("cut", cut(F.col("row.text"), F.col("takes")))
+    new = {"text": F.col("cut")} | ({"n_chars": F.length("cut").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(docs: DataFrame, block_words: int = 64, seed: int = 17) -> DataFrame:
