@@ -5,19 +5,24 @@ character has no piece. Forward filtering sums the weights of all paths to each
 paths that end at a place, and goes on from where it starts. No piece has a space after another byte, so the lattice of a text falls
 into one for each run of spaces and what follows it: equal runs of a batch are filtered once, and all their occurrences are
 sampled together. The draw at a place depends on the seed, the row key and the place only, so results don't depend on how rows
-are dealt, and equal rows get equal segmentations.
+are dealt, and equal rows get equal segmentations. Runs of over LONG bytes, as in languages without spaces, are filtered by
+their edges in windows; only the sums at each place are kept, and a window's edges are found again on the way back.
 
 Weights are the model's scores for unigram models. A BPE model only ranks its pieces; there a piece of rank r weighs
 1 / (r + 2), as words of a corpus do. `alpha` sharpens (> 1) or flattens (< 1) them; alpha = inf isn't supported.
 
 Decoding joins the pieces' bytes and takes the first space off, which gives the text back byte by byte. A null or empty text has
-no pieces and decodes to an empty text; a null row key counts as 0. Repeated rows have equal results. Extra columns are ignored.
+no pieces and decodes to an empty text; a null row key counts as 0. Repeated rows have equal results. An empty table has no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import _powers, mix, small_batches, text_chunks
 
 CHUNK = 1 << 20
+LONG = 4096  # bytes of a run that are filtered at once with others
+WINDOW = 1 << 16
 SPACE = 32
 BYTE_WEIGHT = -12.0
 
@@ -177,7 +184,86 @@ def _filter(m: Model, data: np.ndarray, offs: np.ndarray, lens: np.ndarray) -> t
     return chances, ids
 
 
-def encode(m: Model, data: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _edges(m: Model, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, piece and weight of the edges within data (whole characters), by end and then length."""
+    sums, size = _sums(data), len(data)
+    wide, able = data.astype(np.int64), np.zeros(size, np.uint32)
+    if size > 2:
+        able[: size - 2] = m.starting[_triple(wide[:-2], wide[1:-1], wide[2:])]
+    lead = (data & 0xC0) != 0x80
+    width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+    known, found = np.zeros(size, bool), []
+    for l in range(1, m.most + 1):
+        ids, weights = m.find(data, sums, l, able)
+        at = np.flatnonzero(ids >= 0)
+        found.append((at, at + l, ids[at], weights[at].astype(float)))
+        if l < 5:
+            known[at] |= width[at] == l
+    at = np.flatnonzero(lead & ~known)  # spelled by bytes
+    raw = _ragged(at, np.minimum(width[at], size - at))
+    found.append((raw, raw + 1, m.byte_ids[data[raw]], np.full(len(raw), BYTE_WEIGHT)))
+    start, end, ids, weights = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((-start, end))
+    return start[order], end[order], ids[order], weights[order]
+
+
+def _draws(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each row key and place."""
+    with np.errstate(over="ignore"):
+        return (mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
+
+
+def long_run(m: Model, run: np.ndarray, key: np.uint64, place: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and pieces of one run of any length, which begins at `place` of its text: as encode, but a window at a time."""
+    heads = np.append(np.flatnonzero((run & 0xC0) != 0x80), len(run))
+    cuts = [0]
+    while cuts[-1] < len(run):
+        cuts.append(int(heads[max(np.searchsorted(heads, min(cuts[-1] + window, len(run)), "right") - 1, np.searchsorted(heads, cuts[-1], "right"))]))
+    logs = np.full(len(run) + 1, -np.inf)
+    logs[0] = 0
+
+    def edges(a: int, b: int):
+        """Where the slice starts, and the edges that end in (a, b]."""
+        base = int(heads[max(0, np.searchsorted(heads, max(0, a - m.most), "right") - 1)])
+        start, end, ids, weights = _edges(m, run[base:b])
+        own = end > a - base
+        return base, start[own], end[own], ids[own], weights[own]
+
+    for a, b in zip(cuts, cuts[1:]):
+        base, start, end, _, weights = edges(a, b)
+        la = logs[base : b + 1].tolist()
+        group = np.flatnonzero(np.diff(end, prepend=-1, append=-1))
+        start, end, weights = start.tolist(), end.tolist(), weights.tolist()
+        for i, j in zip(group.tolist(), group[1:].tolist()):
+            if j - i == 1:
+                la[end[i]] = la[start[i]] + weights[i]
+            else:
+                v = [la[x] + w for x, w in zip(start[i:j], weights[i:j])]
+                top = max(v)
+                la[end[i]] = top + math.log(sum([math.exp(x - top) for x in v])) if top > -math.inf else top
+        logs[base : b + 1] = la
+    p, starts, pieces = len(run), [], []
+    for a, b in zip(cuts[-2::-1], cuts[:0:-1]):
+        if p <= a:
+            continue
+        base, start, end, ids, weights = edges(a, b)
+        first = np.searchsorted(end, np.arange(a - base, b - base + 2)).tolist()
+        draw = _draws(key, np.arange(place + a, place + b + 1)).tolist()
+        la, start, ids, weights = logs[base : b + 1].tolist(), start.tolist(), ids.tolist(), weights.tolist()
+        while p > a:
+            i, j = first[p - a], first[p - a + 1]
+            if j - i > 1:
+                v = [la[x] + w for x, w in zip(start[i:j], weights[i:j])]
+                top = max(v)
+                sums = list(itertools.accumulate([math.exp(x - top) for x in v]))
+                i += bisect.bisect_right(sums, draw[p - a] * sums[-1], 0, j - i - 1)
+            p = base + start[i]
+            starts.append(p)
+            pieces.append(ids[i])
+    return np.array(starts[::-1], np.int64), np.array(pieces[::-1], np.int32)
+
+
+def encode(m: Model, data: np.ndarray, at: np.ndarray, keys: np.ndarray, long: int = LONG, group: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of each text, one after another, and how many each has; keys are 64-bit row keys."""
     n = len(at) - 1
     sizes = np.diff(at)
@@ -196,35 +282,47 @@ def encode(m: Model, data: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tupl
     start[first] = True
     starts = np.flatnonzero(start)
     lens = np.diff(np.append(starts, len(text)))
+    row = np.searchsorted(first, starts, "right") - 1
+    key, place = keys[full][row], starts - first[row]
+    found = np.full(len(text), -1, np.int32)
+    for i in np.flatnonzero(lens > long).tolist():
+        where, ids = long_run(m, text[starts[i] : starts[i] + lens[i]], key[i], int(place[i]))
+        found[starts[i] + where] = ids
+    short = lens <= long
+    starts, lens, key, place = starts[short], lens[short], key[short], place[short].astype(np.uint64)
     h = _substrings(text, starts, lens)
     _, which, back = np.unique(h, return_index=True, return_inverse=True)
     order = np.argsort(-lens[which], kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     which, back = which[order], rank[back]
+    cuts = np.searchsorted(np.cumsum(lens[which]), np.arange(0, int(lens[which].sum()) + group, group)) if len(which) else []
+    for a, b in zip(cuts, [*cuts[1:], len(which)]):  # distinct runs of about `group` bytes at once
+        if a < b:
+            _sample(m, text, which[a:b], back - a, (back >= a) & (back < b), starts, lens, key, place, found)
+    got = found >= 0
+    counts = np.zeros(n, np.int64)
+    counts[full] = np.add.reduceat(got, first)
+    return found[got], counts
+
+
+def _sample(m: Model, text: np.ndarray, which: np.ndarray, back: np.ndarray, own: np.ndarray, starts: np.ndarray, lens: np.ndarray, key: np.ndarray, place: np.ndarray, found: np.ndarray) -> None:
+    """Filter some distinct runs, and sample all their occurrences (own) at once into found."""
     run_lens = lens[which]
-    runs = text[_ragged(starts[which], run_lens)]
     offs = np.cumsum(run_lens) - run_lens
-    chances, ids = _filter(m, runs, offs, run_lens)
-    # backward sampling, all occurrences at once
-    row = np.searchsorted(first, starts, "right") - 1
-    key, place = keys[full][row], (starts - first[row]).astype(np.uint64)
-    pos, off, base = lens.copy(), offs[back], offs[back] + back
-    found = np.full(len(text), -1, np.int32)
+    chances, ids = _filter(m, text[_ragged(starts[which], run_lens)], offs, run_lens)
+    starts, key, place, pos, back = starts[own], key[own], place[own], lens[own], back[own]
+    off, base = offs[back], offs[back] + back
     live = np.arange(len(starts))
     with np.errstate(over="ignore"):
         while len(live):
             p = pos[live]
-            u = (mix(key[live] + (place[live] + p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
+            u = _draws(key[live], place[live] + p.astype(np.uint64))
             l = (chances[base[live] + p] <= u[:, None]).sum(axis=1) + 1
             p = p - l
             pos[live] = p
             found[starts[live] + p] = ids[l, off[live] + p]
             live = live[p > 0]
-    got = found >= 0
-    counts = np.zeros(n, np.int64)
-    counts[full] = np.add.reduceat(got, first)
-    return found[got], counts
 
 
 def decode(m: Model, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
