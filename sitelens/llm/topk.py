@@ -5,7 +5,11 @@ segments of length * (mean * mean + deviation * deviation) is at least their inn
 just as it bounds distances from below. A cell takes a block of queries and a block of candidates: the coarse bounds of
 all, exact scores of the k candidates with the highest bounds, which give each query a threshold, then the fine
 bounds of those whose coarse bound reaches it, then exact scores of what is left. A bound equal to a threshold survives, so ties
-are decided by the ids alone. Cells' results are merged by rank.
+are decided by the ids alone.
+
+A first pass searches one block of candidates for each query; its k-th score there is a threshold for all cells, since the best k of
+all can't be worse. So a later cell, or all of it for a block whose greatest bound stays below, adds only what can be among the best.
+Candidates are shuffled once; the blocks of queries, a hundredth of the rows, go to each of their blocks.
 
 Components are floor(1024 * x) of x as double. Vectors that are null or hold null or non-finite components take no part, nor do
 null ids. Vectors of different lengths don't meet; empty vectors meet each other with score 0. Rows that repeat a query's
@@ -38,15 +42,15 @@ def whole(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def pack(rows: DataFrame, block: str) -> DataFrame:
-    """(d, block, ids, m): the vectors of each block and length as one matrix. Blocks are small by construction."""
+    """(d, block, ids, m, floor): the vectors of each block and length as one matrix. Blocks are small by construction."""
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("vec_id", kind="stable")
         d = int(f["d"].iloc[0])
         m = np.array(f["v"].tolist(), np.int64).reshape(len(f), d)
-        return pd.DataFrame({"d": [d], block: [f[block].iloc[0]], "ids": [f["vec_id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()]})
+        return pd.DataFrame({"d": [d], block: [f[block].iloc[0]], "ids": [f["vec_id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()], "floor": [f["floor"].to_numpy(np.float64).tobytes()]})
 
-    return rows.groupBy("d", block).applyInPandas(one, f"d int, {block} long, ids binary, m binary")
+    return rows.select("d", block, "vec_id", "v", "floor").groupBy("d", block).applyInPandas(one, f"d int, {block} long, ids binary, m binary, floor binary")
 
 
 def bounds(m: np.ndarray, segments: int) -> np.ndarray:
@@ -68,67 +72,80 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T if top < 2**63 else (a.astype(object) @ b.T.astype(object)).astype(np.int64)
 
 
-def search_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, candidate, score of the k best candidates of each query; ties go to the smaller id."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def search_cell(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, candidate, score of the k best candidates of each query with its floor at least; ties go to the smaller id."""
     best_ids: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
     best: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
     q_coarse, q_fine = (bounds(q, s) for s in LEVELS)
     slack = 1 + 1e-9 * float(max(1, np.abs(q).max(initial=0))) * float(max(1, np.abs(c).max(initial=0))) * max(1, q.shape[1])
     for i in range(0, len(c), PART):
         ids, m = c_ids[i : i + PART], c[i : i + PART]
-        coarse_c, fine_c = (bounds(m, s) for s in LEVELS)
+        coarse_c = bounds(m, LEVELS[0])
         coarse = q_coarse @ coarse_c.T + slack
         coarse[q_ids[:, None] == ids] = -np.inf
-        for j in range(len(q)):
+        live = np.flatnonzero(coarse.max(axis=1, initial=-np.inf) >= floor)
+        if not len(live):
+            continue
+        fine_c = bounds(m, LEVELS[1])
+        for j in live.tolist():
             row = coarse[j]
             own = ids != q_ids[j]
+            least = floor[j]
             if len(best[j]) >= k:
-                least = best[j][k - 1]
-            elif int(own.sum()) >= k:
+                least = max(least, best[j][k - 1])
+            elif not np.isfinite(least) and int(own.sum()) >= k:
                 seeds = np.argpartition(row, len(row) - k)[-k:] if len(row) > k else np.flatnonzero(own)
-                least = int(exact(q[j : j + 1], m[seeds]).min()) if np.isfinite(row[seeds]).all() else None
-            else:
-                least = None
-            at = np.flatnonzero(own if least is None else row >= least)
-            if least is not None and len(at):
-                at = at[fine_c[at] @ q_fine[j] + slack >= least]
+                if np.isfinite(row[seeds]).all():
+                    least = int(exact(q[j : j + 1], m[seeds]).min())
+            at = np.flatnonzero(own & (row >= least))
+            at = at[fine_c[at] @ q_fine[j] + slack >= least]
             if not len(at):
                 continue
-            scores = np.concatenate([best[j], exact(q[j : j + 1], m[at])[0]])
-            who = np.concatenate([best_ids[j], ids[at]])
+            got = exact(q[j : j + 1], m[at])[0]
+            scores, who = np.concatenate([best[j], got[got >= least]]), np.concatenate([best_ids[j], ids[at][got >= least]])
             order = np.lexsort((who, -scores))[:k]
             best[j], best_ids[j] = scores[order], who[order]
-    for j in range(len(q)):
-        out.append((np.full(len(best[j]), q_ids[j]), best_ids[j], best[j]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return np.repeat(q_ids, [len(x) for x in best]), np.concatenate([np.zeros(0, np.int64), *best_ids]), np.concatenate([np.zeros(0, np.int64), *best])
+
+
+def searched(blocks: DataFrame, asked: DataFrame, k: int, tasks: int) -> DataFrame:
+    """query_id, vec_id, score: blocks of candidates (d, g, ids, m), each met by the blocks of queries (d, g, ids, m, floor) that are sent to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, held = None, None
+        for batch in batches:
+            for i in range(len(batch)):
+                d, g, ids, m, floor = (batch.column(x)[i].as_py() for x in ("d", "g", "ids", "m", "floor"))
+                ids = np.frombuffer(ids, np.int64)
+                m = np.frombuffer(m, np.int64).reshape(len(ids), d)
+                if floor is None:
+                    where, held = (d, g), (ids, m)
+                elif where == (d, g):
+                    got = search_cell(ids, m, np.frombuffer(floor, np.float64), *held, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["query_id", "vec_id", "score"])
+
+    both = blocks.withColumn("floor", F.lit(None).cast("binary")).unionByName(asked.select("d", "g", "ids", "m", "floor"))
+    dealt = both.repartition(tasks, "d", "g").sortWithinPartitions("d", "g", F.col("floor").isNotNull())
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, query_block: int = 1024, least_block: int = 2048, most_block: int = 65_536, tasks: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each row whose id is divisible by `every`.
 
-    Queries and candidates are hashed into blocks; each pair of blocks is a cell, joined by the cells' number, so a task has two
-    blocks at a time. Candidate blocks grow with the input up to most_block rows.
+    Queries and candidates are hashed into blocks, and a task holds a block of each at a time. Candidate blocks grow with the input
+    up to most_block rows.
     """
     rows = whole(vectors).withColumn("d", F.size("v"))
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
     n, nq = rows.count(), queries.count()
     size = min(most_block, max(least_block, -(-n // tasks)))
     n_c, n_q = max(1, -(-n // size)), max(1, -(-nq // query_block))
-    blocks = written(pack(rows.withColumn("g", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_c))), "g"), "topk-candidates")
-    asked = written(pack(queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n_q))), "b").select("d", "b", F.col("ids").alias("q_ids"), F.col("m").alias("q_m")), "topk-queries")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                d, q_ids, q_m, ids, m = (batch.column(x)[i].as_py() for x in ("d", "q_ids", "q_m", "ids", "m"))
-                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                got = search_cell(q_ids, np.frombuffer(q_m, np.int64).reshape(len(q_ids), d), ids, np.frombuffer(m, np.int64).reshape(len(ids), d), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["query_id", "vec_id", "score"])
-
-    cells_c = blocks.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    cells_q = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
-    cells = cells_c.hint("merge").join(cells_q, ["d", "g", "b"]).select("d", "q_ids", "q_m", "ids", "m").repartition(max(1, min(n_c * n_q, 100_000)))
-    found = cells.mapInArrow(search, "query_id long, vec_id long, score long")
+    blocks = written(pack(rows.withColumn("g", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_c))).withColumn("floor", F.lit(float("-inf"))), "g").drop("floor"), "topk-candidates")
+    queries = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)))
+    first = written(pack(queries.withColumn("floor", F.lit(float("-inf"))), "b"), "topk-queries")
+    tried = searched(blocks, first.withColumn("g", F.pmod("b", F.lit(n_c))), k, min(n_c, 100_000)).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    floors = tried.filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("least").cast("double").alias("floor"))
+    again = written(pack(queries.join(floors.hint("merge"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "b"), "topk-floors")
+    found = searched(blocks, again.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long")))), k, min(n_c, 100_000))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
