@@ -19,7 +19,8 @@ from sitelens.llm.queries import TOKENIZERS  # noqa: E402
 
 BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, x string, h string, node long"
+CLASHING = "row k t p y cut cuts takes score features raw chances kind first fold component _x _p _h _k _t _n _b _text _cuts _gone _score _id _size _row _hot size at s block".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, x string, h string, node long, " + ", ".join(f"{c} string" for c in CLASHING)
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -29,7 +30,7 @@ def low(text):
 
 def make(spark, texts, ids=None, sources=None):
     """Documents with extra columns whose names the operators use inside."""
-    rows = [(i if ids is None else ids[i], t, "en" if i % 3 else None, (sources[i] if sources else f"s{i % 3}"), len(t or ""), "x", "h", 7) for i, t in enumerate(texts)]
+    rows = [(i if ids is None else ids[i], t, "en" if i % 3 else None, (sources[i] if sources else f"s{i % 3}"), len(t or ""), "x", "h", 7, *[f"{c}{i}" for c in CLASHING]) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -198,6 +199,39 @@ def test_passages_with_a_fifth_of_their_words_changed_are_found(spark):
     assert sum((len(cases) + i, i) in got for i in range(len(cases))) >= 0.99 * len(cases)
 
 
+def test_fuzzy_passages_whose_sentences_other_documents_have_are_found(spark):
+    """Every sentence of a passage is in an earlier document of its own; a later document repeats the passage with words changed."""
+    rng = random.Random(17)
+    texts, made, cases = [], [], []
+    for n in range(60):
+        sentences = [prose(rng, 15, 10**6) for _ in range(5)]
+        texts += [f"{prose(rng, 40, 10**6)} {x} {prose(rng, 40, 10**6)}" for x in sentences]
+        made.append(" ".join(sentences))
+    first = len(texts)
+    texts += [f"{prose(rng, 30, 10**6)} {w} {prose(rng, 30, 10**6)}" for w in made]
+    for n, w in enumerate(made):
+        w, percent = w.split(), (5, 10, 20)[n % 3]
+        for i in rng.sample(range(len(w)), len(w) * percent // 100):
+            w[i] = f"changed{rng.random()}"
+        cases.append((percent, len(texts), first + n))
+        texts.append(f"{prose(rng, 40, 10**6)} {' '.join(w)} {prose(rng, 20, 10**6)}")
+    got = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(make(spark, texts)).collect()}
+    recall = {p: sum((a, b) in got for q, a, b in cases if q == p) / 20 for p in (5, 10, 20)}
+    assert min(recall.values()) >= 0.9, recall
+
+
+def test_passages_that_very_many_documents_share(spark):
+    """Hot seeds: their matches come as runs, the passages are the same."""
+    rng = random.Random(18)
+    shared = prose(rng, 80, 10**6)
+    texts = [f"{prose(rng, rng.randrange(1, 30), 10**6)} {shared} {prose(rng, 20, 10**6)}" for _ in range(6000)]
+    docs = make(spark, texts).select("doc_id", "text").repartition(4)
+    rows = passages.repeated_passages(docs).collect()
+    own = {i: texts[i].split().index(shared.split()[0]) for i in range(6000)}
+    assert {r["doc_id"] for r in rows} == set(range(1, 6000)) and len(rows) < 9000  # other first documents of seeds at the ends add some
+    assert {i for i in range(1, 6000) if any(r["start"] <= own[i] and own[i] + 80 <= r["end"] for r in rows if r["doc_id"] == i)} == set(range(1, 6000))
+
+
 # ---------------------------------------------------------------- 3 near-duplicates
 
 
@@ -248,6 +282,17 @@ def test_near_duplicates_of_odd_ids(spark):
     assert got == {(None, 4, False): 1, (4, 4, True): 2, (None, None, True): 2}
     assert near.near_duplicates(make(spark, [])).count() == 0
     assert near.without_near_duplicates(docs).columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in near.without_near_duplicates(docs, 3, 85).collect())
+    assert kept == {(4, "a b c d"): 1, (None, "q r s t"): 1}
+
+
+def test_without_near_duplicates_decides_by_row(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t"
+    texts = [base, "own words of this one", base + " u", "own words of that one", "", "", None, "v w", "v w"]
+    docs = make(spark, texts, [1, 2, 2, 3, 4, 4, 4, 5, 5])
+    rows = near.without_near_duplicates(docs, 3, 80).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == {(1, base): 1, (2, texts[1]): 1, (3, texts[3]): 1, (4, ""): 2, (4, None): 1, (5, "v w"): 1}
+    assert all(r["_k"].startswith("_k") and r["row"].startswith("row") for r in rows)
 
 
 # ---------------------------------------------------------------- 4 and 6 classifiers
@@ -272,6 +317,25 @@ def test_quality(spark):
     assert quality.quality(make(spark, []), labelled(spark, texts, y, "quality")).count() == 0
 
 
+def test_normal_equations_give_the_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, 5)), rng.integers(0, 2, 300).astype(float)
+    kernel = quality.Kernel(x.mean(axis=0), x.std(axis=0), 1, d=20)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(5)
+    a, b = quality.normal_equations(rows, kernel)
+    z = kernel(x)
+    assert np.allclose(a, z.T @ z) and np.allclose(np.linalg.solve(a + 0.01 * np.eye(21), b), np.linalg.lstsq(np.vstack([z, 0.1 * np.eye(21)]), np.append(y, np.zeros(21)), rcond=None)[0])
+
+
+def test_fourier_features_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6))
+    kernel = quality.Kernel(np.zeros(6), np.ones(6), 2, gamma=0.05, d=20_000)
+    z = kernel(x)[:, :-1]
+    want = np.exp(-0.05 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.abs(z @ z.T - want).max() < 0.05
+
+
 def test_isotonic():
     got = quality.isotonic(np.array([1, 1, 0, 2, 1]), np.array([0, 1, 0, 1, 1]))
     assert list(got) == pytest.approx([0, 2 / 3, 2 / 3, 2 / 3, 1])
@@ -292,9 +356,71 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_toxicity_of_short_empty_and_null_texts(spark):
+    texts = [("you bad a1", "ok fine 2", "", None, "x")[i % 5] for i in range(400)]
+    docs = make(spark, texts)
+    labels = labelled(spark, texts, [int(i % 5 == 0) for i in range(400)], "toxic")
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert len(rows) == 400 and all(0 <= r["score"] <= 1 for r in rows)
+    assert len({r["score"] for r in rows if texts[r["doc_id"]] == "you bad a1"}) == 1  # ties
+    kept = toxicity.without_toxic(docs, labels).collect()
+    assert len(kept) == sum(r["predicted"] == 0 for r in rows) and all(r["_score"] == f"_score{r['doc_id']}" for r in kept)
+    empty = make(spark, ["", None] * 50)
+    assert {r["predicted"] for r in toxicity.toxicity(empty, labels.filter("doc_id < 100")).collect()} <= {0, 1}
+    assert toxicity.toxicity(make(spark, []), labels).count() == 0
+
+
+def test_toxicity_features_against_plain_python(spark):
+    lexicon_words = {"bad": 2.0, "worse": 3.0}
+    hashes = toxicity._own_hashes(["bad"])[0], toxicity._own_hashes(["worse"])[0]
+    lexicon = [(0, int(hashes[0].view(np.int64)), 2.0), (0, int(hashes[1].view(np.int64)), 3.0)]
+    texts = ["You are BAD and worse than that, far from all other good people bad!", "nothing here at all", "", None, "bad " * 3000 + "you", "F.U.N b4d A B"]
+    docs = make(spark, texts).selectExpr("struct(doc_id) AS row", "text")
+    names = toxicity.FEATURES
+    for r in toxicity.with_features(docs, lexicon).collect():
+        text, x = texts[r["row"]["doc_id"]] or "", dict(zip(names, r["x"]))
+        w = re.findall(r"[a-z0-9]+", text.lower()) if "." not in text else None
+        size = max(len(text.encode()), 1)
+        assert x["upper"] == pytest.approx(sum(c.isupper() for c in text) / size) and x["bang"] == pytest.approx(text.count("!") / size)
+        if w is not None:
+            hit = [i for i, v in enumerate(w) if v in lexicon_words]
+            you = [i for i, v in enumerate(w) if v in toxicity.SECOND_PERSON]
+            assert x["hits"] == pytest.approx(len(hit) / max(len(w), 1)) and x["log_hits"] == pytest.approx(math.log1p(len(hit)))
+            assert x["best"] == max([lexicon_words[w[i]] for i in hit], default=0) and x["you"] == pytest.approx(len(you) / max(len(w), 1))
+            assert x["near_you"] == pytest.approx(sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in hit) / max(len(hit), 1))
+
+
 # ---------------------------------------------------------------- 5 pieces
 
 
+def test_long_runs_are_sampled_as_short_ones():
+    m = pieces.model(PIECES, 1.0)
+    rng = random.Random(12)
+    for t in ("".join(chr(rng.choice([rng.randrange(0x3041, 0x3097), rng.randrange(0x4E00, 0x9FA5), 0x1F600])) for _ in range(900)), "".join(rng.choice("abcdehinorst019") for _ in range(3000)), "a" * 700 + "é" * 300):
+        data = np.frombuffer(t.encode(), np.uint8)
+        key = np.array([5], np.uint64)
+        want = pieces.encode(m, data, np.array([0, len(data)]), key, long=10**9)[0]
+        run = np.append(np.uint8(32), data)
+        starts, ids = pieces.long_run(m, run, key[0], 0, window=200)
+        assert ids.tolist() == want.tolist() and starts[0] == 0
+        assert pieces.decode(m, ids, np.array([len(ids)]))[0].tobytes() == t.encode()
+
+
+def test_a_megabyte_without_spaces_takes_seconds(spark):
+    import time
+
+    rng = random.Random(13)
+    text = "".join(chr(rng.choice([rng.randrange(0x3041, 0x3097), rng.randrange(0x4E00, 0x9FA5)])) for _ in range(333_000))
+    pieces.model(PIECES, 1.0)
+    began = time.time()
+    data = np.frombuffer(text.encode(), np.uint8)
+    ids, counts = pieces.encode(pieces.model(PIECES, 1.0), data, np.array([0, len(data)]), np.array([1], np.uint64))
+    assert pieces.decode(pieces.model(PIECES, 1.0), ids, counts)[0].tobytes() == data.tobytes() and time.time() - began < 10
+    assert pieces.sampled_pieces(make(spark, []), PIECES).count() == 0
+    same = pieces.sampled_pieces(make(spark, ["a b c"] * 3, [1, 1, 1]), PIECES).collect()
+    assert len(same) == 3 and len({tuple(r["ids"]) for r in same}) == 1
+
+
 def test_pieces_are_lossless_and_reproducible(spark):
     docs = make(spark, [*ODD, "Hello  world, again\r\n", "a b" * 3000])
     rows = {r["doc_id"]: r for r in pieces.sampled_pieces(docs, PIECES).collect()}
@@ -404,6 +530,43 @@ def test_mixing(spark):
     assert mixing.mix_sources(make(spark, [])).count() == 0 and mixing.mix_sources(make(spark, ["", None])).count() == 2
 
 
+def test_taken_follows_the_slots(spark):
+    """taken against the slots played out in plain Python, over several shards and chunks of them."""
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randrange(1, 200)) for _ in range(80)]
+    sources = [rng.choice("aabc") for _ in texts]
+    docs = make(spark, texts, sources=sources)
+    small = mixing.sized(docs)
+    goals = mixing.targets(small)
+    slots = mixing.draw_slots(goals, 16, 17, shard_slots=8, size=4).collect()
+    placed = mixing.streams(small, goals).collect()
+    goal = {r["s"]: round(r["target"]) for r in goals.collect()}
+    at = defaultdict(dict)
+    for r in placed:
+        for i in range(r["size"]):
+            at[r["s"]][r["at"] + i] = r["doc_id"]
+    for s in at:
+        assert sorted(at[s]) == list(range(len(at[s])))  # every word has a place of its own
+        own = sorted((r["slot"], r["block"], r["words"]) for r in slots if r["s"] == s)
+        assert [x[0] for x in own] == list(range(len(own))) and sum(x[2] for x in own) == goal[s]
+        n_blocks = -(-len(at[s]) // 16)
+        a_pass = [x[1] for x in own[:n_blocks]]
+        assert len(set(a_pass)) == len(a_pass) and set(a_pass) <= set(range(n_blocks))  # a pass takes each block once
+    taken = Counter()
+    for r in slots:
+        for i in range(r["words"]):
+            taken[at[r["s"]][r["block"] * 16 + i]] += 1
+    assert len({r["shard"] for r in slots}) > 8
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs, block_words=16).collect()}
+    assert sum(got.values()) == sum(taken.values())
+
+
+def test_chunks_share_all_slots():
+    for slots, shards in ((1000, 37), (0, 5), (7, 1)):
+        parts = [mixing.chunk_share(slots, shards, c, [1, 2], 4) for c in range(-(-shards // 4))]
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) == slots
+
+
 def test_permutation():
     for n in (1, 2, 3, 7, 64, 1000):
         assert sorted(mixing.permute(np.arange(n), n, 5)) == list(range(n))
@@ -432,6 +595,17 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0)).count() == 0
 
 
+def test_cells_below_the_floor_add_nothing():
+    rng = np.random.default_rng(13)
+    q, c = rng.integers(-900, 900, (4, 32)), rng.integers(-900, 900, (300, 32))
+    none = np.full(4, -np.inf)
+    who, ids, scores = topk.search_cell(np.arange(4), q, none, np.arange(100, 400), c, 10)
+    floor = np.array([scores[who == i][4] for i in range(4)], float)
+    w2, i2, s2 = topk.search_cell(np.arange(4), q, floor, np.arange(100, 400), c, 10)
+    assert all((i2[w2 == i] == ids[who == i][:5]).all() and (w2 == i).sum() == 5 for i in range(4))
+    assert len(topk.search_cell(np.arange(4), q, np.full(4, 1e12), np.arange(100, 400), c, 10)[0]) == 0
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(12)
     a, b = rng.integers(-900, 900, (40, 30)), rng.integers(-900, 900, (50, 30))
