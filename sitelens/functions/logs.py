@@ -1,4 +1,5 @@
-"""Column functions of access-log fields. All of them stay inside whole-stage code generation."""
+"""Column functions of access-log fields. Those that look through a list of names (detect_bot, ua_category, referer_category) cost as much as
+the list is long, so apply them to distinct values, as operators.logs does."""
 
 from __future__ import annotations
 

@@ -70,3 +70,22 @@ SKIPPED = ["wp-admin", "wp-login", "javascript:", "mailto:", "tel:", ".jpg", ".j
 
 # Grams of CO2 per page, upper bounds of the ratings.
 CARBON = [(0.095, "A+"), (0.186, "A"), (0.341, "B"), (0.493, "C"), (0.656, "D"), (0.846, "E")]
+
+# What the content-type tabs look for, as patterns of the lower-cased type, and the words that keep a type out of "other".
+CONTENT_TABS = {"html": "html", "javascript": "javascript|ecmascript", "css": "css", "images": "^image", "media": "^video|^audio", "fonts": "font", "xml": "xml", "pdf": "pdf"}
+CONTENT_WORDS = ["html", "javascript", "ecmascript", "css", "image", "video", "audio", "font", "xml", "pdf"]
+
+# Names and priorities of the issues, by id.
+ISSUES = {
+    1: ("Missing Page Title", "High"), 2: ("Missing Description", "High"), 3: ("Duplicated Titles", "High"), 4: ("Page Title > 60 Chars", "Medium"), 5: ("Page Title < 30 Chars", "Medium"), 6: ("Duplicated Descriptions", "Medium"),
+    7: ("Descriptions > 160 Chars", "Medium"), 8: ("4XX Client Error", "High"), 9: ("5XX Server Error", "High"), 10: ("H1 Missing", "High"), 11: ("H2 Missing", "Low"), 12: ("Multiple H1 tags", "Medium"),
+    13: ("Canonical Missing", "Medium"), 14: ("Canonical Mismatch", "Medium"), 15: ("NoIndex Pages", "Medium"), 16: ("NoFollow Pages", "Medium"), 17: ("Images Missing Alt Text", "Low"), 18: ("Broken Images", "High"),
+    19: ("Large Images (>100KB)", "Medium"), 20: ("Slow Response (>2s)", "High"), 21: ("Large HTML Page (>100KB)", "Low"), 22: ("Thin Content (<300 words)", "Low"), 23: ("Non-HTTPS Pages", "High"), 24: ("Long Redirect Chains", "Medium"),
+    25: ("Missing Schema", "Medium"), 26: ("Deeply Nested URLs (4+ Depth)", "Low"), 27: ("Missing OpenGraph Tags", "Low"), 28: ("Blocked by Robots.txt", "High"), 29: ("Redirect Detected", "Medium"), 30: ("URL Has Uppercase Characters", "Low"),
+    31: ("URL Too Long (>100 chars)", "Low"), 32: ("URL Contains Special Characters", "Low"), 33: ("Low Readability Score", "Medium"), 34: ("Low Text-to-HTML Ratio", "Low"), 35: ("Missing Language Attribute", "Low"), 36: ("Too Many Internal Links (>150)", "Medium"),
+    37: ("Too Many External Links (>50)", "Low"), 38: ("Inline CSS Detected", "Low"), 39: ("Mixed Content Detected", "High"), 40: ("Unsafe Cross-Origin Links", "Medium"), 41: ("Not Mobile-Friendly", "High"), 42: ("Cookies Detected", "Low"),
+    43: ("Duplicated H2", "Low"), 44: ("Broken Outgoing Links", "High"),
+}
+
+# What makes an inline script risky.
+RISKY_SCRIPTS = ["fetch(", "XMLHttpRequest", "window.open", "document.cookie", "eval(", "setTimeout(", "setInterval("]

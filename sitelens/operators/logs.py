@@ -10,14 +10,34 @@ from pyspark.sql import functions as F
 
 from ..functions import logs as L
 from ..functions import tables as T
+from .tables import materialized
 
 # ---------------------------------------------------------------- enrichment and joins
 
 
+AGENTS = 200_000  # distinct user agents that are broadcast, at most: some 60 MB
+
+
+def with_agents(hits: DataFrame) -> DataFrame:
+    """Hits with crawler_type and browser: distinct user agents are looked through the lists once and joined back, by broadcast.
+
+    Streams, and logs with more than AGENTS different user agents, look through them row by row.
+    """
+    ua = F.col("user_agent")
+    kinds = {"crawler_type": L.detect_bot(ua), "browser": L.browser(ua)}
+    if hits.isStreaming:
+        return hits.withColumns(kinds)
+    agents = materialized(hits.select("user_agent").distinct(), "agents")
+    if agents.count() > AGENTS:
+        return hits.withColumns(kinds)
+    known = materialized(agents.withColumns(kinds), "agents").withColumnRenamed("user_agent", "_ua")
+    return hits.join(F.broadcast(known), ua.eqNullSafe(F.col("_ua"))).drop("_ua")
+
+
 def enrich(hits: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Hits with crawler_type, browser, file_type, country, is_crawler, norm_path and the taxonomy's three columns; one pass, no shuffle."""
-    ua, path = F.col("user_agent"), F.col("path")
-    return hits.withColumns({"crawler_type": L.detect_bot(ua), "browser": L.browser(ua), "file_type": L.file_type(path), "country": L.country(F.col("ip")), "norm_path": L.norm_path(path)} | L.classify(path, rules)).withColumn("is_crawler", L.is_crawler(F.col("crawler_type")))
+    """Hits with crawler_type, browser, file_type, country, is_crawler, norm_path and the taxonomy's three columns; no shuffle of hits."""
+    path = F.col("path")
+    return with_agents(hits).withColumns({"file_type": L.file_type(path), "country": L.country(F.col("ip")), "norm_path": L.norm_path(path), "is_crawler": L.is_crawler(F.col("crawler_type"))} | L.classify(path, rules))
 
 
 def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -77,13 +97,23 @@ def bot_family(crawler_type: Column) -> Column:
     return F.when(ct.contains("google"), "google").when(ct.contains("bing"), "bing").when(ct.contains("chatgpt"), "chatgpt").when(ct == "gptbot", "gptbot").when(ct.contains("openai") | ct.contains("oai-searchbot"), "searchbot")
 
 
+def _bucket(key: Column) -> Column:
+    """The first octet of an IPv4 key, or the first 16 bits of an IPv6 one, as a number after its kind."""
+    return F.conv(F.substring(key, 3, F.when(key.startswith("4:"), 2).otherwise(4)), 16, 10).cast("long")
+
+
 def with_verified(hits: DataFrame, cidrs: DataFrame) -> DataFrame:
-    """Hits with verified: the address is in a range of its crawler's operator. The range join sees each (address, family) once."""
+    """Hits with verified: the address is in a range of its crawler's operator.
+
+    The join sees each (address, family) once. It is one of equal (family, kind, first bits); a range that is wider than these has a row for each.
+    """
     named = hits.withColumn("_family", bot_family(F.col("crawler_type")))
-    seen = named.filter("_family is not null").select("ip", "_family").distinct().withColumn("_k", F.upper(ip_key(F.col("ip"))))
-    r = F.broadcast(ranges(cidrs))  # the operators publish some thousand ranges
-    good = seen.join(r, (seen["_family"] == r["family"]) & (F.col("_k") >= F.upper(F.col("lo"))) & (F.col("_k") <= F.upper(F.col("hi"))), "left_semi").select("ip", "_family", F.lit(True).alias("_ok"))
-    return named.join(good, ["ip", "_family"], "left").withColumn("verified", F.coalesce("_ok", F.lit(False))).drop("_family", "_ok")
+    seen = materialized(named.filter("_family is not null").select("ip", "_family").distinct(), "addresses")
+    seen = seen.withColumn("_k", F.upper(ip_key(F.col("ip")))).filter("_k is not null").select("*", F.substring("_k", 1, 1).alias("_kind"), _bucket(F.col("_k")).alias("_b"))
+    r = ranges(cidrs).select(F.col("family").alias("_family"), F.upper("lo").alias("_lo"), F.upper("hi").alias("_hi"))
+    r = r.select("*", F.substring("_lo", 1, 1).alias("_kind"), F.explode(F.sequence(_bucket(F.col("_lo")), _bucket(F.col("_hi")))).alias("_b"))
+    good = seen.join(r, ["_family", "_kind", "_b"]).filter("_k between _lo and _hi").select("ip", "_family", F.lit(True).alias("_ok")).distinct()
+    return named.join(materialized(good, "verified"), ["ip", "_family"], "left").withColumn("verified", F.coalesce("_ok", F.lit(False))).drop("_family", "_ok")
 
 
 # ---------------------------------------------------------------- filters
@@ -256,11 +286,12 @@ def _status_counts() -> list[Column]:
 
 
 def timeline_rollup(hits: DataFrame) -> DataFrame:
-    """Both grains at once: each hit counts for its day and its hour."""
+    """Both grains at once: hits by hour, then the hours by day."""
     fam = L.bot_families(F.col("crawler_type"), F.col("user_agent"))
-    both = hits.withColumn("g", F.explode(F.array(F.struct(F.lit("day").alias("grain"), F.col("day").alias("date")), F.struct(F.lit("hour").alias("grain"), F.col("hour").alias("date")))))
-    human = F.col("crawler_type") == "Human"
-    return both.groupBy("g.grain", "g.date").agg(_n(human, "human"), _n(~human, "crawler"), *_status_counts(), *[_n(fam[k], k) for k in ("google", "bing", "openai", "claude")])
+    human, names = F.col("crawler_type") == "Human", ["human", "crawler", "success", "redirect", "client_error", "server_error", "google", "bing", "openai", "claude"]
+    hours = hits.groupBy("day", "hour").agg(_n(human, "human"), _n(~human, "crawler"), *_status_counts(), *[_n(fam[k], k) for k in ("google", "bing", "openai", "claude")])
+    both = hours.withColumn("g", F.explode(F.array(F.struct(F.lit("day").alias("grain"), F.col("day").alias("date")), F.struct(F.lit("hour").alias("grain"), F.col("hour").alias("date")))))
+    return both.groupBy("g.grain", "g.date").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def timeline(hits: DataFrame, grain: str = "day", last: int | None = 2000) -> DataFrame:
@@ -300,6 +331,9 @@ WIDGETS = {
 def widget(hits: DataFrame, name: str) -> DataFrame:
     """name and hits of one widget; user agents and referers are the 100 most frequent (ties by name)."""
     rows = hits.filter("crawler_type <> 'Human' and crawler_type <> ''") if name == "crawler_type" else hits
+    source = {"ua_category": "user_agent", "referer_category": "referer"}.get(name)
+    if source:  # by value first, so that each is put into its category once
+        return rows.groupBy(source).agg(F.count("*").alias("_n")).groupBy(WIDGETS[name]().alias("name")).agg(F.sum("_n").alias("hits"))
     counts = rows.groupBy(WIDGETS[name]().alias("name")).agg(F.count("*").alias("hits"))
     return counts.orderBy(F.desc("hits"), "name").limit(100) if name in ("user_agent", "referer") else counts
 
@@ -311,7 +345,7 @@ def category_examples(hits: DataFrame, kind: str, most: int = 5) -> DataFrame:
     """
     col = "referer" if kind == "referer" else "user_agent"
     cat = L.referer_category(F.col(col)) if kind == "referer" else L.ua_category(F.col(col))
-    values = hits.groupBy(cat.alias("category"), F.col(col).alias("v")).agg(F.count("*").alias("n"))
+    values = hits.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n")).withColumn(col, F.col("v")).select(cat.alias("category"), "v", "n")
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.col("v").asc_nulls_last()))
     top = values.withColumn("r", rank).filter(F.col("r") <= most).groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("v")), " | ").alias("examples"))
     return values.groupBy("category").agg(F.sum("n").alias("hits")).join(top, "category")

@@ -51,48 +51,6 @@ def _n(cond: Column, name: str) -> Column:
     return F.count_if(cond).alias(name)
 
 
-def crawl_summary(pages: DataFrame) -> DataFrame:
-    """One row of counts and averages over all pages (with indexability)."""
-    s = C("status_code")
-    filled = lambda c: F.when(~_empty(c), C(c))
-    return pages.agg(
-        F.count("*").alias("pages"), _n(C("indexability") >= 0.5, "indexable"), _n(C("indexability") < 0.5, "not_indexable"), _n(s >= 400, "errors"),
-        *[_n(s.between(a, a + 99), f"status_{a // 100}xx") for a in (200, 300, 400)], _n(s >= 500, "status_5xx"),
-        _n(_empty("title"), "missing_title"), _n(_empty("description"), "missing_description"), _n(_empty("canonical"), "missing_canonical"),
-        F.floor(F.avg(F.coalesce("response_time", F.lit(0.0))) * 1000).alias("avg_response_time"), F.max(F.coalesce("url_depth", F.lit(0))).alias("max_crawl_depth"),
-        _n(F.coalesce("word_count", F.lit(0)) < 300, "thin_content_pages"), _n(C("robots").contains("noindex"), "noindex_pages"), _n(C("url").startswith("https://"), "secure_pages"),
-        F.floor(F.avg(F.coalesce("word_count", F.lit(0)))).alias("avg_word_count"),
-        (F.count(filled("title")) - F.countDistinct(filled("title"))).alias("duplicate_titles"), (F.count(filled("description")) - F.countDistinct(filled("description"))).alias("duplicate_descriptions"),
-    )
-
-
-def issue_conditions() -> list[tuple[int, str, str, Column]]:
-    """(id, name, priority, condition) of the row-local issues; conditions use dup_title and dup_description."""
-    s, title, desc = C("status_code"), F.length(F.coalesce("title", F.lit(""))), F.length(F.coalesce("description", F.lit("")))
-    robots, url = F.lower(F.coalesce("robots", F.lit(""))), C("url")
-    cut = lambda c: F.regexp_replace(c, "/$", "")
-    return [
-        (1, "Missing Page Title", "High", title == 0), (2, "Missing Description", "High", desc == 0), (3, "Duplicated Titles", "High", C("dup_title")), (4, "Page Title > 60 Chars", "Medium", title > 60),
-        (5, "Page Title < 30 Chars", "Medium", title < 30), (6, "Duplicated Descriptions", "Medium", C("dup_description")), (7, "Descriptions > 160 Chars", "Medium", desc > 160),
-        (8, "4XX Client Error", "High", s.between(400, 499)), (9, "5XX Server Error", "High", s.between(500, 599)), (13, "Canonical Missing", "Medium", C("canonical").isNull()),
-        (14, "Canonical Mismatch", "Medium", C("canonical").isNotNull() & (cut(C("canonical")) != cut(url))), (15, "NoIndex Pages", "Medium", robots.contains("noindex")), (16, "NoFollow Pages", "Medium", robots.contains("nofollow")),
-        (20, "Slow Response (>2s)", "High", C("response_time") > 2.0), (22, "Thin Content (<300 words)", "Low", F.coalesce("word_count", F.lit(0)) < 300), (23, "Non-HTTPS Pages", "High", ~url.startswith("https")),
-        (26, "Deeply Nested URLs (4+ Depth)", "Low", C("url_depth") >= 4), (30, "URL Has Uppercase Characters", "Low", url.rlike("[A-Z]")), (31, "URL Too Long (>100 chars)", "Low", F.length(url) > 100),
-        (32, "URL Contains Special Characters", "Low", url.rlike(r"[_\s]")),
-    ]
-
-
-def issues(pages: DataFrame) -> DataFrame:
-    """A row for each page and issue that it has: id, name, priority, url. One scan serves all issues."""
-    flagged = dup_flag(dup_flag(pages, "title", "dup_title"), "description", "dup_description")
-    rows = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"), F.lit(p).alias("priority"))) for i, n, p, cond in issue_conditions()])
-    return flagged.select("url", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("i")).select("i.id", "i.name", "i.priority", "url")
-
-
-def issue_report(pages: DataFrame) -> DataFrame:
-    return issues(pages).groupBy("id", "name", "priority").agg(F.count("*").alias("urls"))
-
-
 def depth_histogram(pages: DataFrame) -> DataFrame:
     """Depths 0 to 10 (and over) by response: all eleven rows are there."""
     s = C("status_code")
@@ -123,38 +81,6 @@ def distribution(pages: DataFrame, kind: str) -> DataFrame:
     return pages.groupBy(value.alias("bucket")).agg(F.count("*").alias("pages"))
 
 
-#: Row predicates of the tabs, by tab and filter; dup_title and dup_description come from dup_flag.
-def tab_filters() -> dict[str, dict[str, Column]]:
-    s, title, desc = C("status_code"), F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))
-    robots, url, w = F.lower(F.coalesce("robots", F.lit(""))), C("url"), F.coalesce("word_count", F.lit(0))
-    self_ = U.same_key(C("canonical")) == U.same_key(url)
-    yes = F.lit(True)
-    return {
-        "pageTitles": {"all": yes, "missing": title == "", "duplicate": C("dup_title"), "over60": F.length(title) > 60, "below30": (title != "") & (F.length(title) < 30), "overPx": U.title_px(title) > 561},
-        "metaDescription": {"all": yes, "missing": desc == "", "duplicate": C("dup_description"), "over155": F.length(desc) > 155, "below70": (desc != "") & (F.length(desc) < 70), "overPx": U.desc_px(desc) > 985},
-        "responseCodes": {"all": yes, "noResponse": s == 0, "success": s.between(200, 299), "redirection": s.between(300, 399), "clientError": s.between(400, 499), "serverError": s.between(500, 599)},
-        "canonicalsTab": {"all": yes, "missing": C("canonical").isNull(), "self": self_, "canonicalised": C("canonical").isNotNull() & ~self_},
-        "directives": {"all": yes, "noindex": robots.contains("noindex"), "nofollow": robots.contains("nofollow"), "index": ~robots.contains("noindex")},
-        "security": {"all": yes, "http": url.startswith("http://"), "https": url.startswith("https://")},
-        "contentTab": {"all": yes, "thin": w < 300, "empty": w == 0},
-        "urlTab": {"all": yes, "uppercase": url.rlike("[A-Z]"), "underscores": url.contains("_"), "over115": F.length(url) > 115, "parameters": url.contains("?"), "nonAscii": url.rlike(r"[^\x00-\x7F]")},
-    }
-
-
-def tab_counts(pages: DataFrame) -> DataFrame:
-    """tab, filter, pages and percent of the tab's all, for every filter: one aggregate over all pages."""
-    flagged = dup_flag(dup_flag(pages, "title", "dup_title"), "description", "dup_description")
-    names = [(t, k, c) for t, fs in tab_filters().items() for k, c in fs.items()]
-    one = flagged.agg(F.count("*").alias("_all"), *[_n(F.coalesce(c, F.lit(False)), f"c{i}") for i, (_, _, c) in enumerate(names)])
-    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.lit(k).alias("filter"), C(f"c{i}").alias("pages")) for i, (t, k, _) in enumerate(names)]))
-    return one.select(rows.alias("r"), "_all").select("r.*", F.round(F.col("r.pages") * 100.0 / F.greatest("_all", F.lit(1)), 6).alias("percent"))
-
-
-def filter_tab(pages: DataFrame, tab: str, key: str) -> DataFrame:
-    flagged = dup_flag(dup_flag(pages, "title", "dup_title"), "description", "dup_description")
-    return flagged.filter(tab_filters()[tab][key]).drop("dup_title", "dup_description")
-
-
 def canonical_errors(pages: DataFrame) -> DataFrame:
     """url and error: missing, or elsewhere."""
     elsewhere = C("canonical").isNotNull() & (U.same_key(C("canonical")) != U.same_key(C("url")))
@@ -210,16 +136,6 @@ def universe(*kinds: tuple[DataFrame, bool]) -> DataFrame:
     return rows.filter(C("url").rlike("^https?://")).groupBy("url").agg(F.min_by("is_asset", "_p").alias("is_asset"))
 
 
-def health(summary: DataFrame) -> DataFrame:
-    """Five scores from 0 to 100 of a crawl summary, and their weighted mean."""
-    n = F.greatest(C("pages"), F.lit(1))
-    part = lambda bad: F.round(F.greatest(F.lit(0.0), 100.0 - C(bad) * 100.0 / n), 6)
-    scores = {"technical": part("errors"), "content": part("thin_content_pages"), "metadata": part("missing_description"), "indexing": part("not_indexable"), "security": F.round(C("secure_pages") * 100.0 / n, 6)}
-    rows = summary.select(*[c.alias(k) for k, c in scores.items()])
-    weights = {"technical": 0.20, "content": 0.25, "metadata": 0.20, "indexing": 0.15, "security": 0.20}
-    return rows.withColumn("overall", F.round(sum(C(k) * w for k, w in weights.items()), 6))
-
-
 def trend(history: DataFrame, metrics: list[str]) -> DataFrame:
     """Crawls with each metric's change since the domain's crawl before; the first one's is null."""
     w = Window.partitionBy("domain").orderBy("date", "id")

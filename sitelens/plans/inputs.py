@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import logs as ops
 
@@ -91,17 +92,57 @@ def crawl_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CRAWL_LIST, hits=hits(spark, sf_dir), nation=table(spark, sf_dir, "nation"))
 
 
-def enriched(spark: SparkSession, sf_dir: str, joined: bool = True) -> DataFrame:
-    """Enriched hits, with search metrics, crawled and verified if joined."""
+def enriched(spark: SparkSession, sf_dir: str, joined: bool | str = True) -> DataFrame:
+    """Enriched hits, with search metrics, crawled and verified if joined; "listed" leaves verified out."""
     rows = ops.enrich(hits(spark, sf_dir), RULES)
     if not joined:
         return rows
-    return ops.with_verified(ops.with_crawled(ops.with_gsc(rows, gsc(spark, sf_dir)), crawl_list(spark, sf_dir)), cidrs(spark))
+    listed = ops.with_crawled(ops.with_gsc(rows, gsc(spark, sf_dir)), crawl_list(spark, sf_dir))
+    return listed if joined == "listed" else ops.with_verified(listed, cidrs(spark))
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SITE_PAGES, pages=table(spark, sf_dir, "pages"))
 
 
+#: The audit's pages: url, title and h1 from the html, the rest by page_id. Arrays are comma-separated, so both engines can say them.
+AUDIT_ROWS = """
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS html_bytes, CASE WHEN page_id % 6 = 5 THEN concat(url, '/Deep//A_b%20c') ELSE url END AS url,
+  CASE WHEN page_id % 17 = 16 THEN 404 WHEN page_id % 23 = 22 THEN 500 WHEN page_id % 13 = 12 THEN 301 WHEN page_id % 41 = 40 THEN 0 ELSE 200 END AS status_code,
+  CASE WHEN page_id % 29 = 28 THEN 'application/pdf' WHEN page_id % 31 = 30 THEN 'image/png' WHEN page_id % 37 = 36 THEN 'application/octet-stream' ELSE 'text/html; charset=utf-8' END AS content_type,
+  CASE WHEN page_id % 31 = 0 THEN 2 ELSE 1 END AS titles,
+  CASE WHEN page_id % 7 = 6 THEN NULL WHEN page_id % 10 = 9 THEN 'Same description' ELSE concat('Description of page ',CAST(page_id AS STRING),repeat(' and more',CAST(page_id % 20 AS INT))) END AS description,
+  CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('Heading ',CAST(page_id % 7 AS STRING),',Own ',CAST(page_id AS STRING)) WHEN 2 THEN concat('Only here ',CAST(page_id AS STRING),repeat(' long',20)) ELSE concat('Part ',CAST(page_id AS STRING)) END AS h2,
+  CASE WHEN page_id % 8 = 7 THEN NULL WHEN page_id % 3 = 2 THEN concat('https://site.example/p/',CAST(page_id AS STRING)) WHEN page_id % 19 = 4 THEN concat(url,',https://site.example/second') WHEN page_id % 6 = 5 THEN concat(url,'/Deep//A_b%20c/') ELSE url END AS canonicals,
+  CASE page_id % 11 WHEN 10 THEN 'noindex,nofollow' WHEN 9 THEN 'Index,follow,noarchive' WHEN 8 THEN 'nosnippet' ELSE NULL END AS robots,
+  CAST(page_id % 6 AS INT) AS url_depth, CAST((page_id * 37) % 1200 AS INT) AS word_count, CAST((page_id * 53) % 3000 AS DOUBLE) / 1000 AS response_time, CAST((page_id * 13) % 220 AS INT) AS kb,
+  CASE WHEN page_id % 8 = 0 THEN NULL ELSE CAST((page_id * 7) % 100 AS DOUBLE) END AS flesch, CAST((page_id * 3) % 40 AS DOUBLE) AS text_ratio, CASE WHEN page_id % 12 = 11 THEN NULL ELSE 'en' END AS language, page_id % 3 <> 1 AS mobile,
+  CASE WHEN page_id % 3 = 0 THEN 'Thing' END AS schema, page_id % 4 <> 0 AS has_og, CAST(page_id % 4 AS INT) AS n_images, CAST((page_id * 11) % 300 AS INT) AS internal_links, CAST((page_id * 5) % 100 AS INT) AS external_links,
+  CASE WHEN page_id % 5 = 3 THEN 'http://cdn.example/x.css' ELSE 'https://cdn.example/x.css' END AS css, CASE WHEN page_id % 5 = 3 THEN 1 ELSE 0 END AS mixed_content, CASE WHEN page_id % 5 = 2 THEN 1 ELSE 0 END AS unsafe_anchors,
+  CAST(page_id % 7 AS INT) AS cookies, CASE WHEN page_id % 13 = 12 THEN CAST(page_id % 4 AS INT) ELSE 0 END AS redirect_count, page_id % 13 = 12 AS had_redirect,
+  CASE WHEN page_id % 9 IN (0, 1) THEN concat('https://site.example/p/',CAST(page_id + 1 AS STRING)) WHEN page_id % 9 = 3 THEN url END AS next, CASE WHEN page_id % 9 IN (1, 2) THEN concat('https://site.example/p/',CAST(page_id - 1 AS STRING)) END AS prev,
+  CASE WHEN page_id % 10 = 4 THEN 'amp' END AS amp, CASE WHEN page_id % 5 = 4 THEN 0.0 ELSE 1.0 END AS indexability
+FROM {pages}"""
+
+
+def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the audit, with what the extraction finds in the html."""
+    from ..sources.html import extract_pages
+
+    pages = table(spark, sf_dir, "pages")
+    found = extract_pages(pages, "page_id").select("page_id", F.when(F.col("page_id") % 9 == 8, "").otherwise(F.col("title")).alias("title"), F.when(F.col("page_id") % 10 == 9, F.array().cast("array<string>")).when(F.col("page_id") % 10 == 8, F.concat(F.col("headings")["h1"], F.array(F.lit("Second")))).otherwise(F.col("headings")["h1"]).alias("h1"), "css_inline", F.col("javascript"))
+    i = lambda n: F.col("page_id") + n
+    image = lambda n: F.struct(F.concat(F.when(F.col("page_id") % 5 == 3, "http://img.example/").otherwise("https://img.example/"), (i(n) % 50).cast("string")).alias("url"), F.when(i(n) % 5 == 0, "").when(i(n) % 7 == 0, F.repeat(F.lit("alt "), F.lit(30))).otherwise("alt").alias("alt"), ((F.col("page_id") * 31 + n * 17) % 200 * 1024).cast("long").alias("size"), (i(n) % 13 == 0).alias("broken"))
+    pair = lambda lang, url: F.struct(F.lit(lang).alias("lang"), url.alias("url"))
+    other = F.lit("https://site.example/other")
+    rows = spark.sql(AUDIT_ROWS.replace("octet_length(encode(html))", "octet_length(html)"), pages=pages)
+    rows = rows.withColumns({c: F.split(c, ",") for c in ("h2", "canonicals", "robots", "css")} | {
+        "images": F.transform(F.when(F.col("n_images") > 0, F.sequence(F.lit(1), F.greatest("n_images", F.lit(1)))).otherwise(F.array().cast("array<int>")), image),
+        "hreflangs": F.when(F.col("page_id") % 4 == 1, F.array(pair("en", F.col("url")))).when(F.col("page_id") % 4 == 2, F.array(pair("fr", other), pair("X-Default", F.col("url")))).when(F.col("page_id") % 4 == 3, F.array(pair("de", other))),
+        "opengraph": F.when(F.col("has_og"), F.create_map(F.lit("og:title"), F.lit("x"))),
+    })
+    return rows.drop("has_og", "n_images").join(found, "page_id")
+
+
 def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SITE_LINKS, pages=table(spark, sf_dir, "pages"))

@@ -67,7 +67,7 @@ paths AS (SELECT path, crawler_type, segment, bool_or(crawled) AS crawled, count
 """
 
 
-def add(name: str, make, sql: str, joined: bool = True) -> None:
+def add(name: str, make, sql: str, joined: bool | str = True) -> None:
     """Register make(enriched hits) under a name, with the SQL that follows the common tables."""
     QUERIES[name] = lambda spark, sf_dir: make(I.enriched(spark, sf_dir, joined))
     SQL[name] = BASE + sql
@@ -93,8 +93,8 @@ add("p1_enrich_hits", lambda h: h.select(*ENRICHED), f"SELECT {', '.join(ENRICHE
 add("p24_categories", lambda h: h.select("hit_id", ops.L.referer_category(ops.F.col("referer")).alias("referer_category"), ops.L.ua_category(ops.F.col("user_agent")).alias("ua_category"), ops.L.status_class(ops.F.col("status")).alias("status_class"), ops.L.unimportant(ops.F.col("path")).alias("unimportant")), f"SELECT hit_id, {REFERER_CATEGORY} AS referer_category, {UA_CATEGORY} AS ua_category, CASE WHEN status < 300 THEN '2xx' WHEN status < 400 THEN '3xx' WHEN status < 500 THEN '4xx' ELSE '5xx' END AS status_class, {DULL} AS unimportant FROM e", joined=False)
 add("p26_bot_families", lambda h: h.select("hit_id", *[c.alias(k) for k, c in ops.L.bot_families(ops.F.col("crawler_type"), ops.F.col("user_agent")).items()], ops.F.array_join(ops.L.bot_group(ops.F.col("crawler_type")), ",").alias("groups")),
     f"SELECT hit_id, {', '.join(f'{c} AS {k}' for k, c in FAMILY.items())}, concat_ws(',', " + ", ".join(f"CASE WHEN lower(crawler_type) IN ({', '.join(_q(x.lower()) for x in names)}) THEN '{g}' END" for g, names in (("indexing", T.INDEXING_BOTS), ("retrieval", T.RETRIEVAL_AGENTS), ("agentic", T.AGENTIC_BOTS))) + ") AS groups FROM e", joined=False)
-add("j1_search_metrics", lambda h: h.select("hit_id", "position", "clicks", "impressions", "ctr"), "SELECT hit_id, position, clicks, impressions, ctr FROM e")
-add("j2_crawled", lambda h: h.select("hit_id", "crawled"), "SELECT hit_id, crawled FROM e")
+add("j1_search_metrics", lambda h: h.select("hit_id", "position", "clicks", "impressions", "ctr"), "SELECT hit_id, position, clicks, impressions, ctr FROM e", joined="listed")
+add("j2_crawled", lambda h: h.select("hit_id", "crawled"), "SELECT hit_id, crawled FROM e", joined="listed")
 add("j3_verified", lambda h: h.select("hit_id", "ip", "crawler_type", "verified"), "SELECT hit_id, ip, crawler_type, verified FROM e")
 add_full("j6_crawl_coverage", lambda s, d: ops.crawl_coverage(I.crawl_list(s, d), I.enriched(s, d, False)), f"SELECT url, count(hit_id) > 0 AS crawled, count(hit_id) AS hits, count(*) FILTER (WHERE crawler_type <> 'Human') AS bot_hits, coalesce(max(CAST(ts AS STRING)), '-') AS last_hit FROM (SELECT url, {NORM.format(chr(114) + 'eplace(url, ' + _q('https://site.example') + ', ' + _q('') + ')')} AS norm_path FROM list) LEFT JOIN e USING (norm_path) GROUP BY url")
 
@@ -112,14 +112,14 @@ FILTERS = {
     "f5_crawl": (Filters(crawl="orphan"), "NOT crawled"),
 }
 for _name, (_f, _sql) in FILTERS.items():
-    add(_name, lambda h, f=_f: ops.apply_filters(h, f).select("hit_id", "path", "user_agent"), f"SELECT hit_id, path, user_agent FROM e WHERE {_sql}")
+    add(_name, lambda h, f=_f: ops.apply_filters(h, f).select("hit_id", "path", "user_agent"), f"SELECT hit_id, path, user_agent FROM e WHERE {_sql}", joined=True if _f.verified is not None else "listed" if _f.crawl else False)
 ERR, CLK = "path IN (SELECT path FROM e WHERE status >= 400)", "path IN (SELECT path FROM e WHERE clicks > 0)"
 BOTS = "crawler_type <> 'Human'"
 for _kind, _sql in {"orphan": "NOT crawled", "orphan_gsc": f"NOT crawled AND {CLK}", "crawled": "crawled", "crawled_errors": f"crawled AND {ERR}", "dead": ERR, "non_important": f"{BOTS} AND {DULL}", "robots_canonical": f"{BOTS} AND {DULL} AND crawled", "low_frequency": f"{BOTS} AND NOT {DULL} AND hit_count <= 2"}.items():
-    add(f"f5_paths_{_kind}", lambda h, k=_kind: ops.path_status(h, k).select("path", "crawler_type", "segment", "crawled", "hit_count"), f"SELECT path, crawler_type, segment, crawled, hit_count FROM paths WHERE {_sql}")
+    add(f"f5_paths_{_kind}", lambda h, k=_kind: ops.path_status(h, k).select("path", "crawler_type", "segment", "crawled", "hit_count"), f"SELECT path, crawler_type, segment, crawled, hit_count FROM paths WHERE {_sql}", joined="listed")
 
 # rollups and timelines
-add("a1_path_rollup", ops.path_rollup, "SELECT * FROM paths")
+add("a1_path_rollup", ops.path_rollup, "SELECT * FROM paths", joined="listed")
 for _key in ("status", "method", "browser", "user_agent", "referer"):
     _value = "coalesce(referer, '-')" if _key == "referer" else _key
     add(f"a2_{_key}_rollup" if _key != "referer" else "a3_referer_rollup", lambda h, k=_key: ops.rollup(h, k), f"SELECT {_value} AS {_key}, segment, count(*) AS hit_count FROM e GROUP BY 1, 2", joined=False)
@@ -138,7 +138,7 @@ for _name, _value in WIDGET_SQL.items():
     add(f"a13_widget_{_name}", lambda h, k=_name: ops.widget(h, k), f"SELECT {_value} AS name, count(*) AS hits FROM e {'WHERE crawler_type <> ' + _q('Human') if _name == 'crawler_type' else ''} GROUP BY 1" + (" ORDER BY hits DESC, name LIMIT 100" if _name in ("user_agent", "referer") else ""), joined=False)
 add("a14_log_stats", ops.log_stats, f"SELECT count(*) AS total, {_n(BOTS, 'crawlers')}, count(DISTINCT ip) AS unique_ips, count(DISTINCT user_agent) AS unique_user_agents, {_n('status >= 200 AND status < 300', 'success')}, CAST(min(ts) AS STRING) AS first_hit, CAST(max(ts) AS STRING) AS last_hit, round(count(*) FILTER (WHERE status >= 200 AND status < 300) * 100.0 / greatest(count(*), 1), 6) AS success_rate, {', '.join(_n(c, k) for k, c in FAMILY.items())} FROM e", joined=False)
 add("a15_segment_stats", ops.segment_stats, f"SELECT segment, count(*) AS total, {_n(BOTS, 'crawlers')}, count(DISTINCT ip) AS unique_ips, {CLASSES}, round(count(*) / count(DISTINCT path), 6) AS per_path FROM e GROUP BY 1", joined=False)
-add_full("a16_trend_totals", lambda s, d: ops.trend_totals(I.enriched(s, d), I.crawl_list(s, d)), f"""
+add_full("a16_trend_totals", lambda s, d: ops.trend_totals(I.enriched(s, d, "listed"), I.crawl_list(s, d)), f"""
 SELECT * FROM (SELECT count(*) AS path_rows, CAST(sum(hit_count) AS BIGINT) AS path_hits, count(DISTINCT path) FILTER (WHERE NOT crawled) AS orphan_paths, count(DISTINCT path) FILTER (WHERE crawled) AS crawled_paths,
   count(DISTINCT path) FILTER (WHERE {BOTS} AND {DULL}) AS unimportant_crawled, CAST(coalesce(sum(hit_count) FILTER (WHERE {BOTS} AND {DULL}), 0) AS BIGINT) AS wasted_hits,
   count(DISTINCT path) FILTER (WHERE {BOTS} AND {DULL} AND crawled) AS robots_improvements, count(DISTINCT path) FILTER (WHERE {BOTS} AND NOT {DULL} AND hit_count <= 2) AS low_frequency FROM paths),
@@ -153,5 +153,5 @@ for _kind, _col, _sql in (("referer", "referer", REFERER_CATEGORY), ("user_agent
 # pages of rows
 add("k1_hits_page", lambda h: ops.page(h, 3, 50, "response_size", True).select("hit_id", "path", "response_size"), "SELECT hit_id, path, response_size FROM e ORDER BY response_size DESC, hit_id LIMIT 50 OFFSET 100", joined=False)
 add("k3_rollup_page", lambda h: ops.rollup_page(ops.rollup(h, "user_agent"), 2, 10), "SELECT user_agent, segment, count(*) AS hit_count FROM e GROUP BY 1, 2 ORDER BY hit_count DESC, 1, 2 LIMIT 10 OFFSET 10", joined=False)
-add("k4_top_paths", lambda h: ops.top(ops.path_rollup(h)), "SELECT * FROM paths ORDER BY hit_count DESC, path, crawler_type, segment LIMIT 10")
+add("k4_top_paths", lambda h: ops.top(ops.path_rollup(h)), "SELECT * FROM paths ORDER BY hit_count DESC, path, crawler_type, segment LIMIT 10", joined="listed")
 add("k9_downsample", lambda h: ops.downsample(ops.timeline(h, "hour", None), 40), f"SELECT min(date) AS date, CAST(sum(human) AS BIGINT) AS human, CAST(sum(crawler) AS BIGINT) AS crawler FROM (SELECT *, (row_number() OVER (ORDER BY date) - 1) // (SELECT CAST(ceil(count(DISTINCT hour) / 40) AS BIGINT) FROM e) AS b FROM (SELECT hour AS date, {HUMAN} FROM e GROUP BY 1)) GROUP BY b", joined=False)

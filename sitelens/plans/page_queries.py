@@ -51,23 +51,6 @@ def on_site(name, make, sql):
 
 # pages
 on_site("p28_indexability", lambda p: p.select("url", "indexability", "reason"), "SELECT url, CAST(indexability AS DOUBLE) AS indexability, reason FROM site")
-on_site("a18_crawl_summary", ops.crawl_summary, """SELECT count(*) AS pages, count(*) FILTER (WHERE indexability >= 0.5) AS indexable, count(*) FILTER (WHERE indexability < 0.5) AS not_indexable, count(*) FILTER (WHERE status_code >= 400) AS errors,
-  count(*) FILTER (WHERE status_code BETWEEN 200 AND 299) AS status_2xx, count(*) FILTER (WHERE status_code BETWEEN 300 AND 399) AS status_3xx, count(*) FILTER (WHERE status_code BETWEEN 400 AND 499) AS status_4xx, count(*) FILTER (WHERE status_code >= 500) AS status_5xx,
-  count(*) FILTER (WHERE coalesce(title, '') = '') AS missing_title, count(*) FILTER (WHERE coalesce(description, '') = '') AS missing_description, count(*) FILTER (WHERE coalesce(canonical, '') = '') AS missing_canonical,
-  CAST(floor(avg(response_time) * 1000) AS BIGINT) AS avg_response_time, max(url_depth) AS max_crawl_depth, count(*) FILTER (WHERE word_count < 300) AS thin_content_pages, count(*) FILTER (WHERE contains(robots, 'noindex')) AS noindex_pages,
-  count(*) FILTER (WHERE starts_with(url, 'https://')) AS secure_pages, CAST(floor(avg(word_count)) AS BIGINT) AS avg_word_count,
-  count(nullif(title, '')) - count(DISTINCT nullif(title, '')) AS duplicate_titles, count(nullif(description, '')) - count(DISTINCT nullif(description, '')) AS duplicate_descriptions FROM site""")
-ISSUE_SQL = [
-    (1, "Missing Page Title", "High", "coalesce(title, '') = ''"), (2, "Missing Description", "High", "coalesce(description, '') = ''"), (3, "Duplicated Titles", "High", "dup_title"), (4, "Page Title > 60 Chars", "Medium", "length(title) > 60"),
-    (5, "Page Title < 30 Chars", "Medium", "length(coalesce(title, '')) < 30"), (6, "Duplicated Descriptions", "Medium", "dup_description"), (7, "Descriptions > 160 Chars", "Medium", "length(description) > 160"),
-    (8, "4XX Client Error", "High", "status_code BETWEEN 400 AND 499"), (9, "5XX Server Error", "High", "status_code BETWEEN 500 AND 599"), (13, "Canonical Missing", "Medium", "canonical IS NULL"),
-    (14, "Canonical Mismatch", "Medium", "rtrim(canonical, '/') <> rtrim(url, '/')"), (15, "NoIndex Pages", "Medium", "contains(robots, 'noindex')"), (16, "NoFollow Pages", "Medium", "contains(robots, 'nofollow')"), (20, "Slow Response (>2s)", "High", "response_time > 2"),
-    (22, "Thin Content (<300 words)", "Low", "coalesce(word_count, 0) < 300"), (23, "Non-HTTPS Pages", "High", "NOT starts_with(url, 'https')"), (26, "Deeply Nested URLs (4+ Depth)", "Low", "url_depth >= 4"), (30, "URL Has Uppercase Characters", "Low", "regexp_matches(url, '[A-Z]')"),
-    (31, "URL Too Long (>100 chars)", "Low", "length(url) > 100"), (32, "URL Contains Special Characters", "Low", "regexp_matches(url, '[_ ]')"),
-]
-ISSUES = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS id, '{n}' AS name, '{p}' AS priority, url FROM site WHERE {c}" for i, n, p, c in ISSUE_SQL)
-on_site("a24_issues", ops.issues, ISSUES)
-on_site("a24_issue_report", ops.issue_report, f"SELECT id, name, priority, count(*) AS urls FROM ({ISSUES}) GROUP BY 1, 2, 3")
 on_site("a27_depth_histogram", ops.depth_histogram, "SELECT d.d AS depth, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for c, n in (("status_code = 0", "no_response"), ("status_code BETWEEN 200 AND 299", "s2xx"), ("status_code BETWEEN 300 AND 399", "s3xx"), ("status_code BETWEEN 400 AND 499", "s4xx"), ("status_code BETWEEN 500 AND 599", "s5xx"))) + " FROM (SELECT CAST(unnest(range(11)) AS BIGINT) AS d) d LEFT JOIN site ON least(url_depth, 10) = d.d GROUP BY 1")
 for _kind, _sql in {
     "words": "CASE WHEN word_count = 0 THEN 'No Content' WHEN word_count <= 100 THEN '1-100' WHEN word_count <= 300 THEN '101-300' WHEN word_count <= 600 THEN '301-600' WHEN word_count <= 1000 THEN '601-1000' ELSE '1000+' END",
@@ -77,19 +60,6 @@ for _kind, _sql in {
     on_site(f"a29_{_kind}_distribution", lambda p, k=_kind: ops.distribution(p, k), f"SELECT {_sql} AS bucket, count(*) AS pages FROM site GROUP BY 1")
 KEY = "regexp_replace(regexp_replace(lower({}), '^https?://', ''), '/$', '')"
 SELF = f"{KEY.format('canonical')} = {KEY.format('url')}"
-TABS = {
-    "pageTitles": {"all": "true", "missing": "title = ''", "duplicate": "dup_title", "over60": "length(title) > 60", "below30": "title <> '' AND length(title) < 30", "overPx": "floor(length(title) * 9.5 + 0.5) > 561"},
-    "metaDescription": {"all": "true", "missing": "coalesce(description, '') = ''", "duplicate": "dup_description", "over155": "length(description) > 155", "below70": "description <> '' AND length(description) < 70", "overPx": "floor(length(description) * 6.8 + 0.5) > 985"},
-    "responseCodes": {"all": "true", "noResponse": "status_code = 0", "success": "status_code BETWEEN 200 AND 299", "redirection": "status_code BETWEEN 300 AND 399", "clientError": "status_code BETWEEN 400 AND 499", "serverError": "status_code BETWEEN 500 AND 599"},
-    "canonicalsTab": {"all": "true", "missing": "canonical IS NULL", "self": SELF, "canonicalised": f"NOT {SELF}"},
-    "directives": {"all": "true", "noindex": "contains(robots, 'noindex')", "nofollow": "contains(robots, 'nofollow')", "index": "NOT contains(robots, 'noindex')"},
-    "security": {"all": "true", "http": "starts_with(url, 'http://')", "https": "starts_with(url, 'https://')"},
-    "contentTab": {"all": "true", "thin": "word_count < 300", "empty": "word_count = 0"},
-    "urlTab": {"all": "true", "uppercase": "regexp_matches(url, '[A-Z]')", "underscores": "contains(url, '_')", "over115": "length(url) > 115", "parameters": "contains(url, '?')", "nonAscii": "regexp_matches(url, '[^\\x00-\\x7F]')"},
-}
-on_site("f7_tab_counts", ops.tab_counts, " UNION ALL ".join(f"SELECT '{t}' AS tab, '{k}' AS filter, count(*) FILTER (WHERE {c}) AS pages, round(count(*) FILTER (WHERE {c}) * 100.0 / greatest(count(*), 1), 6) AS percent FROM site" for t, fs in TABS.items() for k, c in fs.items()))
-for _tab, _key in (("pageTitles", "duplicate"), ("canonicalsTab", "canonicalised"), ("metaDescription", "below70")):
-    on_site(f"f7_{_tab}_{_key}", lambda p, t=_tab, k=_key: ops.filter_tab(p, t, k).select("url"), f"SELECT url FROM site WHERE {TABS[_tab][_key]}")
 on_site("w1_duplicate_flags", lambda p: ops.dup_flag(p, "title", "dup").select("url", "dup"), "SELECT url, dup_title AS dup FROM site")
 on_site("w2_duplicate_titles", lambda p: ops.occurrences(p, "title"), "SELECT url, title, count(*) OVER (PARTITION BY trim(title)) AS occurrences FROM site WHERE dup_title")
 on_site("w2_duplicate_descriptions", lambda p: ops.occurrences(p, "description"), "SELECT url, description, count(*) OVER (PARTITION BY trim(description)) AS occurrences FROM site WHERE dup_description")
@@ -100,8 +70,6 @@ on_site("a28_path_tree", ops.path_tree, "SELECT node, count(*) AS pages FROM (SE
 STATUS = "CASE status_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in T.STATUS_TEXT.items()) + " ELSE '' END"
 on_site("p32_internal_view", ops.internal_view, f"SELECT url, status_code, {STATUS} AS status, CAST(indexability AS DOUBLE) AS indexability, reason AS indexability_status, title, CAST(length(title) AS INTEGER) AS title_length, CAST(floor(length(title) * 9.5 + 0.5) AS BIGINT) AS title_pixels, description, CAST(length(description) AS INTEGER) AS description_length, CAST(floor(length(description) * 6.8 + 0.5) AS BIGINT) AS description_pixels, canonical, robots, word_count, url_depth AS crawl_depth, CAST(2 AS INTEGER) AS folder_depth, response_time FROM site")
 on_site("k8_even_sample", lambda p: ops.even_sample(p, 60, "page_id").select("page_id"), "SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS r, count(*) OVER () AS n FROM site) WHERE n <= 60 OR r IN (SELECT floor(i * (SELECT count(*) FROM site) / 60) FROM (SELECT unnest(range(60)) AS i))")
-on_site("a35_health", lambda p: ops.health(ops.crawl_summary(p)), """SELECT *, round(technical * 0.2 + content * 0.25 + metadata * 0.2 + indexing * 0.15 + security * 0.2, 6) AS overall FROM (SELECT round(100.0 - count(*) FILTER (WHERE status_code >= 400) * 100.0 / count(*), 6) AS technical, round(100.0 - count(*) FILTER (WHERE word_count < 300) * 100.0 / count(*), 6) AS content,
-  round(100.0 - count(*) FILTER (WHERE coalesce(description, '') = '') * 100.0 / count(*), 6) AS metadata, round(100.0 - count(*) FILTER (WHERE indexability < 0.5) * 100.0 / count(*), 6) AS indexing, round(count(*) FILTER (WHERE starts_with(url, 'https://')) * 100.0 / count(*), 6) AS security FROM site)""")
 on_site("u2_universe", lambda p: ops.universe((p, False), (p.filter("canonical is not null").select(F.col("canonical").alias("url")), True)), "SELECT url, bool_and(a) AS is_asset FROM (SELECT url, false AS a FROM site UNION ALL SELECT canonical, true FROM site WHERE canonical IS NOT NULL) GROUP BY 1")
 
 # links

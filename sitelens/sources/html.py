@@ -15,10 +15,11 @@ from urllib.parse import urldefrag, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.tables import RISKY_SCRIPTS
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "noscript", "template"}
 CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote"}
-RISKY = re.compile(r"eval\(|document\.write|innerHTML|outerHTML|setTimeout\(\s*['\"]|setInterval\(\s*['\"]|new Function\(")
 
 LINK = "struct<url:string,anchor_text:string,rel:string,title:string,target:string,internal:boolean>"
 IMAGE = "struct<url:string,alt:string,size_missing:boolean>"
@@ -72,7 +73,7 @@ class _Page(HTMLParser):
                     self.rel.setdefault(r, href.strip() or None)
         elif tag == "a" and "href" in a:
             self.f["links"].append({"url": self.link_to(a["href"]), "anchor_text": [], "rel": a.get("rel"), "title": a.get("title"), "target": a.get("target")})
-            self.counts["unsafe"] += a.get("target") == "_blank" and not {"noopener", "noreferrer"} & set(a.get("rel", "").lower().split())
+            self.counts["unsafe"] += a.get("target") == "_blank" and "noopener" not in a.get("rel", "")
         elif tag == "img" and a.get("src"):
             url = self.link_to(a["src"])
             if url and url.startswith(("http://", "https://")):
@@ -92,13 +93,13 @@ class _Page(HTMLParser):
             action = self.link_to(a.get("action", ""))
             self.f["forms"].append({"action": action, "method": (a.get("method") or "GET").upper(), "insecure": (action or "").startswith("http://")})
         if tag not in VOID:
-            self.open.append((tag, [], a))
+            self.open.append((tag, [], a, self.f["links"][-1] if tag == "a" and "href" in a else None))
 
     def handle_endtag(self, tag):
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is None:
             return
-        for t, parts, a in reversed(self.open[at:]):
+        for t, parts, a, link in reversed(self.open[at:]):
             text = "".join(parts)
             if t == "title":
                 self.f["titles"].append(text.strip())
@@ -106,18 +107,18 @@ class _Page(HTMLParser):
                 self.f["blocks"].append((t, text))
                 if t[0] == "h":
                     self.headings.setdefault(t, []).append(" ".join(text.split()))
-            elif t == "a" and self.f["links"]:
-                self.f["links"][-1]["anchor_text"] = " ".join(text.split())
+            elif link is not None:
+                link["anchor_text"] = " ".join(text.split())
             elif t == "script":
                 if "ld+json" in a.get("type", ""):
                     self.f["schemas"].append(text)
-                self.counts["risky"] += bool(RISKY.search(text))
+                self.counts["risky"] += "src" not in a and any(x in text for x in RISKY_SCRIPTS)
         del self.open[at:]
 
     def handle_data(self, data):
-        for _, parts, _ in self.open:
+        for _, parts, *_ in self.open:
             parts.append(data)
-        if not any(t in HIDDEN or t in ("head", "title") for t, _, _ in self.open):
+        if not any(t in HIDDEN or t in ("head", "title") for t, *_ in self.open):
             self.text.append(data)
 
 
