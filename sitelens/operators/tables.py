@@ -45,15 +45,14 @@ def materialized(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def mark() -> int:
-    """A point in time for delete_since."""
+    """A point in time for discard."""
     return len(_made)
 
 
-def delete_since(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
-    """Delete the intermediate tables made since a mark, but those with a name to keep; nothing may read them any more."""
-    jvm = spark.sparkContext._jvm
-    for path in _made[since:]:
-        if not path.rsplit("/", 1)[1].startswith(keep or "\0"):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _made[since:] = [p for p in _made[since:] if p.rsplit("/", 1)[1].startswith(keep or "\0")]
+def discard(spark: SparkSession, since: int, *names: str) -> None:
+    """Delete the intermediate tables of these names made since a mark; nothing may read them any more."""
+    jvm, gone = spark.sparkContext._jvm, [p for p in _made[since:] if p.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]
+    for path in gone:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _made[since:] = [p for p in _made[since:] if p not in gone]
