@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components, forest, hot_join, whole_groups  # noqa: F401
-from ..operators.tables import fresh_dir, shared_dir  # noqa: F401
+from ..operators.tables import discard, fresh_dir, mark, shared_dir  # noqa: F401
 from ..operators.tables import materialized as written  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
