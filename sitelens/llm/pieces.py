@@ -34,6 +34,7 @@ from .common import _powers, mix, small_batches, text_chunks
 
 CHUNK = 1 << 20
 LONG = 4096  # bytes of a run that are filtered at once with others
+GROUP = 1 << 18  # bytes of distinct runs that are filtered at once: about 300 bytes of memory each
 WINDOW = 1 << 16
 SPACE = 32
 BYTE_WEIGHT = -12.0
@@ -263,7 +264,7 @@ def long_run(m: Model, run: np.ndarray, key: np.uint64, place: int, window: int
     return np.array(starts[::-1], np.int64), np.array(pieces[::-1], np.int32)
 
 
-def encode(m: Model, data: np.ndarray, at: np.ndarray, keys: np.ndarray, long: int = LONG, group: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+def encode(m: Model, data: np.ndarray, at: np.ndarray, keys: np.ndarray, long: int = LONG, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of each text, one after another, and how many each has; keys are 64-bit row keys."""
     n = len(at) - 1
     sizes = np.diff(at)
