@@ -163,3 +163,22 @@ def test_search_rows(spark, tmp_path):
     assert W.read_ip_ranges(spark, str(tmp_path / "r.json"), "google").count() == 2
     (tmp_path / "t.csv").write_text("date,url,position,clicks,impressions,ctr\n2024-01-01,u,1,2,3,0.1\n,,1,1,1,1\n")
     assert W.read_gsc_table(spark, str(tmp_path / "t.csv")).count() == 1
+
+
+def test_anchor_text_belongs_to_its_own_link_and_risky_scripts_count():
+    from sitelens.sources.html import page_facts
+
+    facts = page_facts("https://h/", "<a href='/1'>one</a><a name='x'>two</a><a href='/2' target='_blank' rel='noreferrer'>th<b>ree</b></a><script>fetch('/x')</script><script>var a = 1</script><script src='s.js'>eval(1)</script>")
+    assert [(x["url"], x["anchor_text"]) for x in facts["links"]] == [("https://h/1", "one"), ("https://h/2", "three")]
+    assert facts["risky_scripts"] == 1 and facts["unsafe_anchors"] == 1
+
+
+def test_audit_of_odd_pages(spark):
+    from sitelens.operators import audit
+
+    empty = spark.createDataFrame([], audit.WIDE)
+    row = spark.createDataFrame([(None,) * 36], audit.WIDE)
+    for pages, n in ((empty, 0), (row, 1)):
+        assert audit.crawl_summary(pages).first()["pages"] == n and audit.tab_counts(pages).count() == 78
+        health = audit.health(audit.crawl_summary(pages)).first()
+        assert health["overall"] == (100 if n == 0 else health["overall"]) and audit.issue_report(pages).filter("urls > 1").count() == 0
