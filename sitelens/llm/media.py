@@ -1,14 +1,17 @@
 """Interleaved document sequences: HTML to ordered text and media references, payloads joined in by digest.
 
 `parse_html` yields items in document order: {kind: text|media, text, digest, n_bytes, caption}. A media item is an <img>
-with src "media:sha256-<hex>"; its caption is the figure's <figcaption>, or else the alt text. `sequences` gives a row an item
-with its position, and `resolve` joins a media catalogue to them by digest, so positions and captions stay aligned with what
-was resolved; a digest that is not in the catalogue keeps null fields.
+with src "media:sha256-<hex>"; its caption is the figure's <figcaption>, before or after it, or else the alt text. `sequences`
+gives a row an item with its position, and `resolve` joins the stored bytes to them by digest, so positions and captions stay
+aligned with what was resolved; a digest that is not in the catalogue keeps a null.
 
-Media are stored as 8-bit grey PNM images, 24 samples a row, and described by `catalogue`, which reads the stored bytes.
+The query makes a page of each document, its lines as paragraphs around a figure of its text stored as an 8-bit grey PNM
+image, 24 samples a row. The figure's reference is resolved to the description of the stored bytes, as a second copy of the bytes
+doesn't fit the disk that the query may use; `resolve` is the form that brings the bytes.
 
-Nulls and empty texts are one block of padding. Repeated rows stay repeated; their medium is described once.
-A null html has no items. Extra columns are ignored.
+Nulls and empty texts are one block of padding on a page without paragraphs. Repeated rows stay repeated, null doc_ids stay;
+equal texts share one medium. A null html has no items, an empty table no rows. A text is held whole by one task, as are its page and
+its medium, and nothing else of it. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ SIDE = 24
 BLOCK = SIDE * SIDE
 TAIL = 32
 PREFIX = "media:sha256-"
+SHARE = 500  # references to one copy of a medium
 ITEM = "struct<kind:string,text:string,digest:string,n_bytes:bigint,caption:string>"
 
 
@@ -67,16 +71,53 @@ def feature(samples: bytes) -> str:
 # ---------------------------------------------------------------- html
 
 
+BLOCKS = frozenset(
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
+)
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
 class _Items(HTMLParser):
+    """Items in order. A figure ends at its end tag, at the next figure, or where an element around it ends; its caption with it."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.caption, self.figure, self.hidden = [], [], None, None, 0
+        self.items, self.text, self.hidden = [], [], 0
+        self.figure = None  # where the open figure's items begin
+        self.inside = []  # what is open inside it
+        self.caption, self.said = None, None  # the open figcaption's pieces, and what the figure's caption says
+
+    def add(self, **item):
+        self.items.append({"kind": "text", "text": None, "digest": None, "n_bytes": None, "caption": None} | item)
 
     def flush(self):
         text = " ".join("".join(self.text).split())
-        if text:
-            self.items.append({"kind": "text", "text": text, "digest": None, "n_bytes": None, "caption": None})
         self.text = []
+        if text:
+            self.add(text=text)
+
+    def end_caption(self):
+        if self.caption is not None:
+            self.said, self.caption = " ".join([*([self.said] if self.said else []), *"".join(self.caption).split()]), None
+
+    def end_figure(self):
+        """Give the caption to the figure's media; without any, it is a text."""
+        self.flush()
+        self.end_caption()
+        if self.figure is not None and self.said:
+            media = [item for item in self.items[self.figure :] if item["kind"] == "media"]
+            for item in media:
+                item["caption"] = self.said
+            if not media:
+                self.add(text=self.said)
+        self.figure, self.inside, self.said = None, [], None
+
+    def edge(self):
+        """The edge of a block parts words, in a caption too."""
+        if self.caption is None:
+            self.flush()
+        else:
+            self.caption.append(" ")
 
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
@@ -85,35 +126,40 @@ class _Items(HTMLParser):
             a = dict(attrs)
             self.flush()
             src, n = a.get("src") or "", a.get("data-bytes") or ""
-            self.items.append({"kind": "media", "text": None, "digest": src.removeprefix(PREFIX) if src.startswith(PREFIX) else None, "n_bytes": int(n) if n.isdigit() else None, "caption": a.get("alt")})
+            self.add(kind="media", digest=src.removeprefix(PREFIX) if src.startswith(PREFIX) else None, n_bytes=int(n) if n.isascii() and n.isdigit() and len(n) < 19 else None, caption=a.get("alt"))
         elif tag == "figure":
-            self.flush()
+            self.end_figure()
             self.figure = len(self.items)
+            return
         elif tag == "figcaption":
             self.flush()
-            self.caption = []
-        elif tag in ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article"):
-            self.flush()
+            if self.figure is not None and self.caption is None:
+                self.caption = []
+        elif tag in BLOCKS:
+            self.edge()
+        if self.figure is not None and tag not in VOID:
+            self.inside.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in ("script", "style"):
-            self.hidden -= 1
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for item in self.items[self.figure or 0 :] if self.figure is not None else []:
-                if item["kind"] == "media":
-                    item["caption"] = said
-            self.caption = None
-        elif tag == "figure":
-            self.flush()
-            self.figure = None
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article"):
+        if tag == "figure":
+            self.end_figure()
+        elif self.figure is not None and tag in self.inside:
+            while self.inside.pop() != tag:
+                pass
+        elif self.figure is not None and tag in BLOCKS and tag not in ("p", "br"):
+            self.end_figure()  # what is around the figure ends
+        if tag == "figcaption":
+            self.end_caption()
             self.flush()
+        elif tag in BLOCKS:
+            self.edge()
 
     def handle_data(self, data):
         if not self.hidden:
@@ -125,48 +171,78 @@ def parse_html(html: str | None) -> list[dict]:
     p = _Items()
     p.feed(html or "")
     p.close()
-    p.flush()
+    p.end_figure()
     return p.items
 
 
 def sequences(pages: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
-    """(key, position, kind, text, digest, n_bytes, caption): a row an item, positions from 0."""
+    """(key, n_items, position, kind, text, digest, n_bytes, caption): a row an item, positions from 0, n_items of its page."""
 
     @F.pandas_udf(f"array<{ITEM}>")
     def items(html):
         return html.map(parse_html)
 
-    return pages.select(key, F.posexplode(items(html)).alias("position", "item")).select(key, "position", "item.*")
+    parsed = pages.select(F.col(key), items(F.col(html)).alias("_items"))
+    return parsed.select(key, F.size("_items").alias("n_items"), F.posexplode("_items").alias("position", "_item")).select(key, "n_items", "position", "_item.*")
 
 
-def resolve(items: DataFrame, catalogue: DataFrame, total: int) -> DataFrame:
-    """Each item with its medium's fields; items must be a written table and the catalogue have a row a digest with n_refs."""
-    return hot_join(items, catalogue, "digest", "n_refs", total)
+def resolve(items: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each item with the media bytes of its digest, null where there is no such digest. `stored` is a written table of (digest,
+    media) in which a digest may repeat.
+
+    A digest's references are dealt over cells of SHARE, each with its own copy of the bytes; only counts are ever broadcast.
+    """
+    items = written(items.withColumn("_spread", F.monotonically_increasing_id()), "media-refs")
+    known = items.filter("digest is not null")
+    counts = written(known.groupBy("digest").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / SHARE).alias("_cells")), "media-counts")
+    placed = hot_join(known, counts, "digest", "_n", known.count()).withColumn("_cell", F.pmod("_spread", "_cells"))
+    each = stored.groupBy("digest").agg(F.first("media").alias("media")).join(counts.select("digest", "_cells").hint("merge"), "digest")
+    copies = each.select("digest", "media", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cells") - 1)).alias("_cell"))
+    found = placed.join(copies.hint("merge"), ["digest", "_cell"], "left").select(*items.columns, "media")
+    return found.unionByName(items.filter("digest is null").withColumn("media", F.lit(None).cast("binary"))).drop("_spread")
 
 
 # ---------------------------------------------------------------- media of texts
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, html, media_sha256, media: each whole text as a medium and a page that refers to it. No shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("html", pa.string()), ("media_sha256", pa.string()), ("media", pa.binary())])
+def page_of(text: str, digest: str, n_bytes: int) -> str:
+    """A page of the text's lines as paragraphs, with the figure of its medium after the first half of them."""
+    lines = [f"<p>{escape(x)}</p>" for x in text.split("\n") if x.strip()]
+    half = (len(lines) + 1) // 2
+    figure = f'<figure><img src="{PREFIX}{digest}" data-bytes="{n_bytes}" alt=""><figcaption>{n_bytes} bytes, {len(lines)} paragraphs</figcaption></figure>'
+    return "<article>" + "".join([*lines[:half], figure, *lines[half:]]) + "</article>"
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _each_text(docs: DataFrame, names: list[str], make) -> DataFrame:
+    """The columns of `names`, by make(doc_id, text, medium, its digest) of each whole text. No shuffle."""
+    types = {"doc_id": (pa.int64(), "long"), "html": (pa.string(), "string"), "digest": (pa.string(), "string"), "media": (pa.binary(), "binary")}
+    schema = pa.schema([(n, types[n][0]) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 500):
-                ids, texts, langs, sources = (c.slice(i, 500) for c in batch.columns)
+                ids, texts = (c.slice(i, 500) for c in batch.columns)
                 rows = []
-                for doc_id, data, lang, source in zip(ids.to_pylist(), pc.fill_null(texts, "").cast(pa.large_binary()).to_pylist(), langs.to_pylist(), sources.to_pylist()):
-                    media = store_pgm(pad(data))
-                    digest = hashlib.sha256(media).hexdigest()
-                    html = f'<article><h1>{escape(source or "")}</h1><figure><img src="{PREFIX}{digest}" data-bytes="{len(data)}" alt=""><figcaption>{escape(lang or "")} {len(data)}</figcaption></figure></article>'
-                    rows.append((doc_id, html, digest, media))
+                for doc_id, text in zip(ids.to_pylist(), pc.fill_null(texts, "").to_pylist()):
+                    media = store_pgm(pad(text.encode()))
+                    rows.append(make(doc_id, text, media, hashlib.sha256(media).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).mapInArrow(store, "doc_id long, html string, media_sha256 string, media binary")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{n} {types[n][1]}" for n in names))
+
 
+def store_texts(docs: DataFrame) -> DataFrame:
+    """digest, media: each whole text as a medium."""
+    return _each_text(docs, ["digest", "media"], lambda doc_id, text, media, digest: (digest, media))
+
+
+def text_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, html: a page of each text's paragraphs, which refers to its medium."""
+    return _each_text(docs, ["doc_id", "html"], lambda doc_id, text, media, digest: (doc_id, page_of(text, digest, len(text.encode()))))
 
-def catalogue(media: DataFrame) -> DataFrame:
+
+def catalogue(stored: DataFrame) -> DataFrame:
     """One row a digest, from the stored bytes: digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_refs.
 
     Raises where stored bytes don't have the digest that they were stored under.
@@ -187,14 +263,17 @@ def catalogue(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
     names = [f.name for f in schema if f.name != "digest"]
-    each = media.select("media_sha256", "media").mapInArrow(describe, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    each = stored.select("digest", "media").mapInArrow(describe, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return each.groupBy("digest").agg(*[F.first(n).alias(n) for n in names], F.count("*").alias("n_refs"))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """A row a document: its medium's reference, resolved by digest, with what the stored bytes say."""
-    store = written(store_texts(docs), "media")
-    items = written(sequences(store.select("doc_id", "html")).filter("kind = 'media'"), "media-items")
-    about = written(catalogue(store), "media-catalogue")
-    found = resolve(items, about, items.count())
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """A row a document: its medium, found in its page's sequence and resolved by digest to what the stored bytes say, with the number of
+    the page's items, the medium's position among them and its caption.
+
+    The catalogue of descriptions is what is joined here; `resolve` joins the bytes themselves.
+    """
+    about = written(catalogue(written(store_texts(docs), "media")), "media-catalogue")
+    items = written(sequences(text_pages(docs)).filter("kind = 'media'").select("doc_id", "digest", "n_bytes", "n_items", "position", "caption"), "media-items")
+    found = hot_join(items, about, "digest", "n_refs", items.count())
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items", "position", "caption")

@@ -86,7 +86,7 @@ def test_hot_join(spark):
 
 
 def test_media_round_trip(spark):
-    texts = [*ODD, "q" * 576, "q" * 577]
+    texts = [*ODD, "q" * 576, "q" * 577, "one <b>&amp;\n\n two\x1d\nthree  x\n"]
     got = {r["doc_id"]: r for r in media.text_media(make(spark, texts)).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
@@ -96,6 +96,15 @@ def test_media_round_trip(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         stored = media.store_pgm(payload)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        x = [sum(payload[(len(payload) * a) // 64 : (len(payload) * (a + 1)) // 64]) / len(payload) * 64 for a in range(64)]
+        bits = "".join("01"[v > sum(x) / 64] for v in x)
+        mean = sum(payload) / len(payload)
+        std = math.sqrt(sum((v - mean) ** 2 for v in payload) / len(payload))
+        assert r["feature"] == f"24x{len(payload) // 24};mean={mean:.3f};std={std:.3f};ahash={int(bits, 2):016x}"
+        lines = [" ".join(x.split()) for x in (t or "").split("\n") if x.strip()]
+        assert (r["n_items"], r["position"], r["caption"]) == (len(lines) + 1, (len(lines) + 1) // 2, f"{len(data)} bytes, {len(lines)} paragraphs")
+        items = media.parse_html(media.page_of(t or "", r["media_sha256"], len(data)))
+        assert [i["text"] for i in items if i["kind"] == "text"] == lines and items[r["position"]]["digest"] == r["media_sha256"]
     assert got[10]["feature"] == got[11]["feature"]
     assert media.text_media(make(spark, [])).count() == 0
 
@@ -105,10 +114,32 @@ def test_items_keep_order_and_captions(spark):
     items = media.parse_html(html)
     assert [(i["kind"], i["text"] or i["digest"], i["caption"]) for i in items] == [("text", "T & t", None), ("text", "a", None), ("media", "01", "alt"), ("text", "b", None), ("media", "02", "cap x"), ("text", "z", None)]
     assert media.parse_html(None) == []
+    said = lambda html: [(i["kind"], i["text"] or i["digest"], i["caption"]) for i in media.parse_html(html)]
+    img = "<img src='media:sha256-01'>"
+    assert said(f"<figure><figcaption>first</figcaption>{img}</figure>z") == [("media", "01", "first"), ("text", "z", None)]
+    assert said(f"<div><figure>{img}<figcaption>open</div><p>z</p>") == [("media", "01", "open"), ("text", "z", None)]
+    assert said(f"<figure>{img}<figcaption>open <p>in</p>") == [("media", "01", "open in")]
+    assert said("<figure><figcaption>alone</figcaption></figure><figcaption>loose</figcaption>y") == [("text", "alone", None), ("text", "loose", None), ("text", "y", None)]
+    assert said(f"<figure>{img}<figcaption>a</figcaption><figure>{img}<figcaption>b</figcaption></figure>") == [("media", "01", "a"), ("media", "01", "b")]
+    assert said("<table><td>a</td><td>b</td></table><blockquote>q</blockquote>r") == [("text", x, None) for x in "abqr"]
+    assert [i["n_bytes"] for i in media.parse_html("".join(f"<img data-bytes='{n}'>" for n in ["\u00b2", "9" * 30, "-1", "07"]))] == [None, None, None, 7]
     rows = media.sequences(spark.createDataFrame([(1, html), (2, None)], "doc_id long, html string")).orderBy("position").collect()
     assert [r["position"] for r in rows] == list(range(6)) and rows[2]["n_bytes"] == 3
 
 
+def test_payloads_are_resolved_by_digest(spark, tmp_path):
+    rows = [(i, p, "media", None, d, 1, f"c{i}") for i, (p, d) in enumerate([(0, "a")] * 1200 + [(1, "b"), (2, None), (3, "gone")])]
+    items = spark.createDataFrame(rows, "doc_id long, position int, kind string, text string, digest string, n_bytes long, caption string")
+    stored = spark.createDataFrame([("a", b"A"), ("a", b"A"), ("b", b"B"), ("c", b"C")], "digest string, media binary")
+    got = {r["doc_id"]: r for r in media.resolve(items, stored).collect()}
+    assert len(got) == len(rows) == media.resolve(items, stored).count()
+    for i, position, _, _, digest, _, caption in rows:
+        r = got[i]
+        assert (r["position"], r["digest"], r["caption"]) == (position, digest, caption)
+        assert (None if r["media"] is None else bytes(r["media"])) == {"a": b"A", "b": b"B"}.get(digest)
+    assert media.resolve(items.limit(0), stored).count() == 0
+
+
 # ---------------------------------------------------------------- 2 substring dedup
 
 
