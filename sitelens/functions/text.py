@@ -91,3 +91,37 @@ def text_ratio(text_bytes: Column, html_bytes: Column) -> Column:
 
 def html_kb(html: Column) -> Column:
     return F.floor(F.octet_length(html) / 1024)
+
+
+#: The characters of Unicode's White_Space.
+BLANKS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def reading_level(c: Column) -> Column:
+    """Reading ease of a single page's text: y is a vowel, a run of vowels is a syllable, a final e is none where there are others, and
+    each word has one at least. Pieces between . ! ? are sentences, one after the last only if anything is there. Null without words."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(f"([^{BLANKS}]+)"), F.lit(1))
+    runs = lambda w: F.regexp_count(w, F.lit("[aeiouy]+"))
+    syllables = F.aggregate(words, F.lit(0), lambda n, w: n + F.greatest(runs(w) - F.when(w.endswith("e") & (runs(w) > 1), 1).otherwise(0), F.lit(1)))
+    sentences = F.regexp_count(c, F.lit("[.!?]")) + F.when(c.rlike("[^.!?]$") | c.endswith("\n"), 1).otherwise(0)
+    n = F.size(words)
+    return F.when(n > 0, 206.835 - 1.015 * (n / sentences) - 84.6 * (syllables / n))
+
+
+def reading_class(score: Column) -> Column:
+    """The class of a reading level; scores between two classes' ends, or beyond them, are Unknown."""
+    out = F.when(score.between(90, 100), "Very Easy")
+    for low, high, name in ((80, 89.9, "Easy"), (70, 79.9, "Fairly Easy"), (60, 69.9, "Standard"), (50, 59.9, "Fairly Difficult"), (30, 49.9, "Difficult"), (0, 29.9, "Very Confusing")):
+        out = out.when(score.between(low, high), name)
+    return out.otherwise("Unknown")
+
+
+def heading_text(*levels: Column) -> Column:
+    """Words of all headings, lower case, of letters and digits only, with one space between; empty without any."""
+    headings = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in levels])
+    return F.array_join(plain_words(F.array_join(headings, " ")), " ")
+
+
+def heading_hash(*levels: Column) -> Column:
+    """A hash of the headings' words, null where there are none."""
+    return F.md5(F.nullif(heading_text(*levels), F.lit("")))

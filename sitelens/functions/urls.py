@@ -90,3 +90,26 @@ def title_px(c: Column) -> Column:
 
 def desc_px(c: Column) -> Column:
     return F.floor(F.length(c) * 6.8 + 0.5)
+
+
+#: The characters with a meaning in an address; they stay escaped where one is read, and stay as they are where one is written.
+RESERVED = ";/?:@&=+$,#"
+PLAIN = RESERVED + "!~'()"
+
+
+def display_url(c: Column) -> Column:
+    """The readable form: escapes decoded but for those of reserved characters; the address itself where an escape is malformed."""
+    codes = "|".join(f"{ord(x):02X}" for x in RESERVED)
+    kept = F.replace(F.regexp_replace(c, f"(?i)%({codes})", "%25$1"), F.lit("+"), F.lit("%2B"))
+    read = F.try_url_decode(kept)
+    bad = read.isNull() | (read.contains("\ufffd") & ~c.contains("\ufffd") & ~F.upper(c).contains("%EF%BF%BD"))
+    return F.when(~c.contains("%"), c).when(bad, c).otherwise(read)
+
+
+def encoded_url(c: Column) -> Column:
+    """The form on the wire: decoded, then encoded, so that doing it twice changes nothing but escapes that stayed."""
+    sent = F.replace(F.url_encode(display_url(c)), F.lit("+"), F.lit("%20"))
+    for x in PLAIN:
+        sent = F.replace(sent, F.lit(f"%{ord(x):02X}"), F.lit(x))
+    malformed = c.contains("%") & (display_url(c) == c) & c.rlike("(?i)%(?![0-9a-f]{2})|%[89a-f][0-9a-f]")
+    return F.when(malformed, c).otherwise(sent)

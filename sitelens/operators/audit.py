@@ -313,3 +313,74 @@ def heading_duplicates(pages: DataFrame) -> DataFrame:
     words = F.trim(F.regexp_replace(F.lower(F.array_join(F.concat(F.coalesce("h1", F.array()), F.coalesce("h2", F.array())), " ")), r"[^\p{L}\p{N}]+", " "))
     rows = pages.select("url", words.alias("w")).filter("w <> ''")
     return rows.groupBy(F.md5("w").alias("hash")).agg(F.count("*").alias("pages"), F.min("url").alias("first_url")).filter("pages > 1").withColumn("similarity", F.lit(100))
+
+
+# ---------------------------------------------------------------- fetching: challenges, redirects
+
+#: What an anti-bot page says, and its name; all needles of an entry must be there.
+CHALLENGES = [
+    (["error 1015"], "Cloudflare error 1015"),
+    (["error 1020"], "Cloudflare error 1020"),
+    (["challenge-form"], "challenge form"),
+    (["cloudflare", "ray id"], "Cloudflare Ray ID block"),
+    (["distilnetworks"], "Distil Networks block"),
+    (["please enable js"], "JavaScript anti-bot challenge"),
+]
+SHORT_CHALLENGES = [
+    (["access denied"], "access denied"),
+    (["too many requests"], "rate limit"),
+    (["rate limit"], "rate limit"),
+    (["one more step"], "one more step challenge"),
+    (["unusual traffic"], "unusual traffic challenge"),
+    (["bot detection"], "bot detection challenge"),
+]
+
+
+def challenge_reason(html: Column) -> Column:
+    """What an anti-bot page of under 25,000 bytes calls itself, or one of under 2,000 bytes by more words; null for other pages."""
+    low, size, out = F.lower(html), F.octet_length(html), None
+    for limit, known in ((25_000, CHALLENGES), (2_000, SHORT_CHALLENGES)):
+        for needles, name in known:
+            found = size < limit
+            for x in needles:
+                found = found & low.contains(x)
+            out = F.when(found, name) if out is None else out.when(found, name)
+    return out
+
+
+def mark_challenges(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Pages with crawl_error; a suspected challenge that was answered with 200 isn't indexable."""
+    why = challenge_reason(C(html))
+    hit = why.isNotNull() & (C("status_code") == 200)
+    return pages.withColumns({"crawl_error": F.when(hit, why), "indexability": F.when(hit, 0.0).otherwise(C("indexability")), "reason": F.when(hit, "Not indexable: suspected anti-bot challenge returned HTTP 200").otherwise(C("reason"))})
+
+
+def redirect_rows(pages: DataFrame) -> DataFrame:
+    """A row for each 3xx hop in redirect_chain (url, status_code, location) whose address isn't the page's own: such hops are pages too."""
+    hops = F.filter("redirect_chain", lambda h: h["status_code"].between(300, 399))
+    rows = pages.select(C("url").alias("final_url"), "url_depth", F.size(hops).alias("redirect_count"), F.explode(hops).alias("h")).filter(U.norm_url(C("h.url")) != U.norm_url(C("final_url")))
+    status = C("h.status_code").cast("string")
+    return rows.select("h.url", "final_url", "url_depth", "h.status_code", C("h.location").alias("redirect_url"), "redirect_count", F.lit(True).alias("had_redirect"), F.concat(status, F.lit(" Redirect")).alias("redirection_type"), F.lit(0.0).alias("indexability"), F.concat(F.lit("Not indexable: HTTP redirect "), status).alias("reason"))
+
+
+def search_hits(pages: DataFrame, rules: str = "custom_search") -> DataFrame:
+    """rule and pages: how many pages each search rule (name, matched) matched; the rule null counts pages that any did."""
+    hits = pages.select("url", F.array_distinct(F.transform(F.filter(rules, lambda r: r["matched"]), lambda r: r["name"])).alias("names")).filter(F.size("names") > 0)
+    each = hits.select(F.explode("names").alias("rule")).groupBy("rule").agg(F.count("*").alias("pages"))
+    return each.unionByName(hits.agg(F.count("*").alias("pages")).select(F.lit(None).cast("string").alias("rule"), "pages"))
+
+
+# ---------------------------------------------------------------- order of cells
+
+
+def cell_order(cell: Column, descending: bool = False) -> list[Column]:
+    """Sort columns of a table's cell: numbers (without units and separators) by value, texts by their words with digit runs as numbers
+    and whatever their case and accents, numbers before texts; blanks last in both directions. Add what breaks ties."""
+    bare = F.regexp_replace(F.regexp_replace(cell.cast("string"), r"[\s,]", ""), "(?i)(KB|MB|B|%|ms|s)$", "")
+    number = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
+    padded = F.regexp_replace(F.regexp_replace(cell.cast("string"), r"(\d+)", "00000000000000000000$1"), r"0*(\d{20,})(?!\d)", "$1")
+    blank = F.coalesce(cell.cast("string"), F.lit("")) == ""
+    text = F.collate(F.when(number.isNull(), padded), "UNICODE_CI_AI")
+    if descending:
+        return [blank.asc(), number.isNull().desc(), text.desc_nulls_last(), number.desc_nulls_last()]
+    return [blank.asc(), number.isNull().asc(), number.asc_nulls_last(), text.asc_nulls_last()]

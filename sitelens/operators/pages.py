@@ -114,9 +114,9 @@ def even_sample(pages: DataFrame, most: int, order: str) -> DataFrame:
     return ranked.filter((F.floor(i * n / most) == C("_r")) & (i < most)).drop("_r")
 
 
-def ranks(df: DataFrame, order: str) -> DataFrame:
+def ranks(df: DataFrame, *order: str | Column) -> DataFrame:
     """Rows with _r, their place (from 0) by an order that has no ties."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     parts = parts.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", C("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}  # a row a partition
     before, total = [], 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,3 +156,25 @@ def import_crawl(spark: SparkSession, folder: str, version: int = 1) -> DataFram
 def append_rows(df: DataFrame, folder: str) -> None:
     """Add rows to a history (crawls, issue reports, on-page records)."""
     df.write.mode("append").parquet(folder)
+
+
+def drop_snapshot(spark: SparkSession, folder: str, session: str) -> None:
+    """Delete a session's snapshot; one that isn't there is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/session_id={quote(session, safe=' -_.')}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_history(spark: SparkSession, folder: str, domain: str | None = None) -> DataFrame:
+    """A history's rows, of one domain if asked, newest first."""
+    rows = spark.read.parquet(folder)
+    return (rows if domain is None else rows.filter(F.col("domain") == domain)).orderBy(F.desc("date"), F.desc("id"))
+
+
+def delete_history(spark: SparkSession, folder: str, into: str, ids: list | None = None, domain: str | None = None) -> None:
+    """Write the history into another folder without the rows of these ids, or of this domain; the old folder stays as it is."""
+    gone = F.lit(False)
+    if ids is not None:
+        gone = gone | F.coalesce(F.col("id").isin(ids), F.lit(False))
+    if domain is not None:
+        gone = gone | F.coalesce(F.col("domain") == domain, F.lit(False))
+    spark.read.parquet(folder).filter(~gone).write.mode("errorifexists").parquet(into)

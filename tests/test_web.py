@@ -182,3 +182,65 @@ def test_audit_of_odd_pages(spark):
         assert audit.crawl_summary(pages).first()["pages"] == n and audit.tab_counts(pages).count() == 78
         health = audit.health(audit.crawl_summary(pages)).first()
         assert health["overall"] == (100 if n == 0 else health["overall"]) and audit.issue_report(pages).filter("urls > 1").count() == 0
+
+
+def test_addresses_read_and_sent(spark):
+    from sitelens.functions.urls import display_url, encoded_url
+
+    cases = [("https://a/%C3%A9?x=%26+1", "https://a/é?x=%26+1", "https://a/%C3%A9?x=%2526+1"), ("https://a/%zz", "https://a/%zz", "https://a/%zz"), ("https://a/%ff", "https://a/%ff", "https://a/%ff"), ("https://a/é b", "https://a/é b", "https://a/%C3%A9%20b"), ("https://a/!~'()*$,;", "https://a/!~'()*$,;", "https://a/!~'()*$,;"), ("", "", ""), (None, None, None)]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, u string").select("i", display_url(F.col("u")), encoded_url(F.col("u"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == {i: c[1:] for i, c in enumerate(cases)}
+
+
+def test_reading_level_of_odd_texts(spark):
+    from sitelens.functions.text import heading_hash, reading_class, reading_level
+
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, " . "), (3, "The cat sat. The dog ate!"), (4, "rhythm")], "i int, t string")
+    got = {r[0]: (r[1], r[2]) for r in rows.select("i", reading_level(F.col("t")), reading_class(reading_level(F.col("t")))).collect()}
+    assert got[0][0] is None and got[1][0] is None and got[0][1] == "Unknown"
+    assert abs(got[2][0] - (206.835 - 1.015 / 2 - 84.6)) < 1e-9  # two pieces, one word
+    assert abs(got[3][0] - (206.835 - 1.015 * 3 - 84.6 * 7 / 6)) < 1e-9 and got[3][1] == "Unknown"  # "ate!" doesn't end with e
+    assert abs(got[4][0] - (206.835 - 1.015 - 84.6)) < 1e-9
+    heads = spark.createDataFrame([(0, ["One, two"], None), (1, ["one"], ["TWO!"]), (2, None, ["--"])], "i int, a array<string>, b array<string>").select("i", heading_hash(F.col("a"), F.col("b"))).collect()
+    assert heads[0][1] == heads[1][1] is not None and heads[2][1] is None
+
+
+def test_challenges_need_short_pages(spark):
+    from sitelens.operators.audit import challenge_reason
+
+    cases = [("Error 1015", "Cloudflare error 1015"), ("x" * 25_000 + "error 1015", None), ("Access Denied" + "x" * 2_000, None), ("RATE LIMIT", "rate limit"), ("cloudflare", None), ("", None), (None, None)]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, h string").select("i", challenge_reason(F.col("h"))).collect()
+    assert {r[0]: r[1] for r in rows} == {i: c[1] for i, c in enumerate(cases)}
+
+
+def test_cells_in_order(spark):
+    from sitelens.operators.audit import cell_order
+    from sitelens.operators.pages import ranks
+
+    up = ["9 ms", "1,024 KB", "alpha", "Page 2", "page 10", "\u00c9t\u00e9 3", "etf", "", None]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(up)], "i int, c string")
+    order = lambda down: [r["i"] for r in sorted(ranks(rows, *cell_order(F.col("c"), down), F.col("i").asc()).collect(), key=lambda r: r["_r"])]
+    assert order(False) == [0, 1, 2, 5, 6, 3, 4, 7, 8]
+    assert order(True) == [4, 3, 6, 5, 2, 1, 0, 7, 8]
+
+
+def test_search_hits(spark):
+    from sitelens.operators.audit import search_hits
+
+    pages = spark.createDataFrame([("a", [("r", True), ("r", True), ("s", False)]), ("b", [("r", True), ("s", True)]), ("c", []), ("d", None)], "url string, custom_search array<struct<name: string, matched: boolean>>")
+    assert {r["rule"]: r["pages"] for r in search_hits(pages).collect()} == {"r": 2, "s": 1, None: 2}
+
+
+def test_stores_delete(spark, tmp_path):
+    from sitelens.sources import web
+
+    pages = spark.range(3)
+    for name in ("one", "two words"):
+        web.save_snapshot(pages, str(tmp_path / "s"), name)
+    web.drop_snapshot(spark, str(tmp_path / "s"), "two words")
+    web.drop_snapshot(spark, str(tmp_path / "s"), "never there")
+    assert web.load_snapshot(spark, str(tmp_path / "s"), "one").count() == 3 and web.load_snapshot(spark, str(tmp_path / "s"), "two words").count() == 0
+    web.append_rows(spark.createDataFrame([(1, "a", "2024-01-01"), (2, "b", "2024-01-02"), (3, None, "2024-01-03"), (4, "a", "2024-01-03")], "id long, domain string, date string"), str(tmp_path / "h"))
+    assert [r["id"] for r in web.read_history(spark, str(tmp_path / "h"), "a").collect()] == [4, 1]
+    web.delete_history(spark, str(tmp_path / "h"), str(tmp_path / "h2"), ids=[1], domain="b")
+    assert [r["id"] for r in web.read_history(spark, str(tmp_path / "h2")).collect()] == [4, 3]
