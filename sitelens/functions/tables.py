@@ -89,3 +89,82 @@ ISSUES = {
 
 # What makes an inline script risky.
 RISKY_SCRIPTS = ["fetch(", "XMLHttpRequest", "window.open", "document.cookie", "eval(", "setTimeout(", "setInterval("]
+
+# Fixed values: (pattern, whatever its case, label, category) of paths that only attackers and leaks ask for; the first that matches wins.
+# Entries that repeat an earlier pattern can't win and aren't listed.
+DANGEROUS_PATHS = [
+    (r"\.env$", "Environment file", "sensitive"),
+    (r"\.env\.\w+$", "Environment file", "sensitive"),
+    (r"\.json(?:eger)?$", "JSON config", "config"),
+    (r"config\.", "Config file", "config"),
+    (r"\.conf(?:ig)?$", "Config file", "config"),
+    (r"\.ini$", "INI config", "config"),
+    (r"\.xml$", "XML config", "config"),
+    (r"\.yml$", "YAML config", "config"),
+    (r"\.yaml$", "YAML config", "config"),
+    (r"\.toml$", "TOML config", "config"),
+    (r"wp-config\.php", "WordPress config", "config"),
+    (r"\.sql$", "SQL dump", "backup"),
+    (r"\.bak$", "Backup file", "backup"),
+    (r"\.old$", "Old file", "backup"),
+    (r"\.(?:tar|gz|zip|rar|7z)$", "Archive", "backup"),
+    (r"\.dump$", "Database dump", "backup"),
+    (r"~$", "Backup/temp", "backup"),
+    (r"(?:^|/)\.git/", "Git folder", "internal"),
+    (r"(?:^|/)\.svn/", "SVN folder", "internal"),
+    (r"(?:/|%2e)%2e(?:/|%2e)", "Path traversal", "exploit"),
+    (r"\.\.(?:/|%2f)", "Path traversal", "exploit"),
+    (r"etc/passwd", "Passwd file", "exploit"),
+    (r"etc/shadow", "Shadow file", "exploit"),
+    (r"wp-admin", "WP admin", "exploit"),
+    (r"wp-login", "WP login", "exploit"),
+    (r"/cgi-bin/", "CGI bin", "exploit"),
+    (r"/cgi/", "CGI", "exploit"),
+    (r"\.php(?:5|6|7|8)?(?:\?|$)", "PHP file", "exploit"),
+    (r"\beval\s*\(", "Eval usage", "exploit"),
+    (r"\bbase64_decode\b", "Base64 decode", "exploit"),
+    (r"\bshell_exec\b", "Shell exec", "exploit"),
+    (r"\bsystem\b", "System call", "exploit"),
+    (r"\bexec\b", "Exec", "exploit"),
+    (r"\bpassthru\b", "Passthru", "exploit"),
+    (r"proc/self", "Proc access", "exploit"),
+    (r"/etc/hosts", "Hosts file", "exploit"),
+    (r"\.aws/credentials", "AWS creds", "sensitive"),
+    (r"/id_rsa", "SSH key", "sensitive"),
+    (r"/id_dsa", "SSH key", "sensitive"),
+    (r"\.pem$", "Private key", "sensitive"),
+    (r"\.key$", "Private key", "sensitive"),
+    (r"\.htaccess", "HTaccess", "config"),
+    (r"\.htpasswd", "HTpasswd", "sensitive"),
+    (r"\.gitignore", "Git ignore", "internal"),
+    (r"\.DS_Store", "OS file", "internal"),
+    (r"phpinfo", "PHPInfo", "exploit"),
+    (r"info\.php", "PHPInfo", "exploit"),
+    (r"test\.php", "Test PHP", "exploit"),
+    (r"\.asax?$", "ASP.NET", "exploit"),
+    (r"\.asmx$", "ASMX", "exploit"),
+    (r"\.(?:asp|aspx)$", "ASP file", "exploit"),
+    (r"\.jsp$", "JSP file", "exploit"),
+    (r"\.do$", "Java servlet", "exploit"),
+    (r"/admin(?:istrator)?", "Admin path", "exploit"),
+    (r"/manage(?:ment)?", "Management", "exploit"),
+    (r"/phpmyadmin", "PHPMyAdmin", "exploit"),
+    (r"/mysql", "MySQL", "exploit"),
+    (r"/database", "Database", "exploit"),
+    (r"\.log$", "Log file", "internal"),
+    (r"/logs?/", "Logs folder", "internal"),
+    (r"\.cache$", "Cache", "internal"),
+    (r"/tmp/", "Temp folder", "internal"),
+    (r"/temp/", "Temp folder", "internal"),
+    (r"\.(?:swp|swo|swn)$", "Swap file", "backup"),
+    (r"\.orig$", "Original file", "backup"),
+    (r"\.save$", "Saved file", "backup"),
+    (r"\.copy$", "Copy file", "backup"),
+    (r"\.tmp$", "Temp file", "backup"),
+    (r"/\.well-known/", "Well-known", "internal"),
+    (r"/\.ssh/", "SSH folder", "sensitive"),
+    (r"/wp-json/", "WP REST API", "exploit"),
+    (r"/xmlrpc\.php", "XML-RPC", "exploit"),
+    (r"/feed/?$", "RSS feed", "internal"),
+    (r"/sitemap\.xml", "Sitemap", "internal"),
+]

@@ -62,6 +62,18 @@ def url_pattern(c: Column) -> Column:
     return F.when(F.regexp_count(query, F.lit("&")) > 2, F.regexp_extract(x, r"^([^?]*)", 1)).otherwise(x)
 
 
+def path_danger(c: Column) -> Column:
+    """label and category of the first dangerous pattern in a path; null for clean, empty and null paths.
+
+    One alternation says which paths are clean, as most are; only the others go through the patterns one by one.
+    """
+    any_of = "(?i)" + "|".join(f"(?:{p})" for p, _, _ in T.DANGEROUS_PATHS)
+    as_struct = lambda label, category: F.struct(F.lit(label).alias("label"), F.lit(category).alias("category"))
+    first, *rest = T.DANGEROUS_PATHS
+    named = reduce(lambda acc, e: acc.when(c.rlike("(?i)" + e[0]), as_struct(*e[1:])), rest, F.when(c.rlike("(?i)" + first[0]), as_struct(*first[1:])))
+    return F.when(c.rlike(any_of), named)
+
+
 def should_skip(c: Column) -> Column:
     low = F.lower(c)
     return reduce(lambda a, b: a | b, [low.contains(p) for p in T.SKIPPED], c.contains("#")) | (F.regexp_count(c, F.lit("&")) > 8) | (F.octet_length(c) > 500)
