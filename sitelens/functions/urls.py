@@ -62,16 +62,22 @@ def url_pattern(c: Column) -> Column:
     return F.when(F.regexp_count(query, F.lit("&")) > 2, F.regexp_extract(x, r"^([^?]*)", 1)).otherwise(x)
 
 
+def is_dangerous(c: Column) -> Column:
+    """Whether any dangerous pattern is in a path: one alternation, as most paths are clean."""
+    return F.coalesce(c.rlike("(?i)" + "|".join(f"(?:{p})" for p, _, _ in T.DANGEROUS_PATHS)), F.lit(False))
+
+
 def path_danger(c: Column) -> Column:
     """label and category of the first dangerous pattern in a path; null for clean, empty and null paths.
 
-    One alternation says which paths are clean, as most are; only the others go through the patterns one by one.
+    The place of the first match is found by a chain of tests that clean paths don't enter, and named by two lists. Filter with
+    `is_dangerous`, not with this, or the chain is written into the filter too.
     """
-    any_of = "(?i)" + "|".join(f"(?:{p})" for p, _, _ in T.DANGEROUS_PATHS)
-    as_struct = lambda label, category: F.struct(F.lit(label).alias("label"), F.lit(category).alias("category"))
-    first, *rest = T.DANGEROUS_PATHS
-    named = reduce(lambda acc, e: acc.when(c.rlike("(?i)" + e[0]), as_struct(*e[1:])), rest, F.when(c.rlike("(?i)" + first[0]), as_struct(*first[1:])))
-    return F.when(c.rlike(any_of), named)
+    (first, _, _), *rest = T.DANGEROUS_PATHS
+    place = F.when(~is_dangerous(c), None).when(c.rlike("(?i)" + first), 1)
+    place = reduce(lambda acc, e: acc.when(c.rlike("(?i)" + e[1][0]), e[0]), enumerate(rest, 2), place)
+    known = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(category).alias("category")) for _, label, category in T.DANGEROUS_PATHS])
+    return F.try_element_at(known, place)
 
 
 def should_skip(c: Column) -> Column:

@@ -57,7 +57,7 @@ COUNTED = {
     "mobile": [("Total Pages", ALL, ALL), ("Mobile Friendly", _n("mobile"), ALL), ("Not Mobile Friendly", _n("NOT mobile"), ALL), ("Unknown", "0", ALL)],
     "openGraph": [("Total Pages", ALL, ALL), ("With OpenGraph", _n(OG), ALL), ("Without OpenGraph", _n(f"NOT ({OG})"), ALL), ("Has og:title", _n(OG), ALL), *[(f"Has og:{t}", "0", ALL) for t in ("description", "image", "url", "type")]],
     "pageWeight": [("Average Page Size", "floor(avg(kb) + 0.5)", None), ("Light (< 100 KB)", _n("kb < 100"), ALL), ("Medium (100-500 KB)", _n("kb BETWEEN 100 AND 499"), ALL), ("Heavy (500 KB-1 MB)", _n("kb BETWEEN 500 AND 1023"), ALL), ("Very Heavy (> 1 MB)", _n("kb > 1023"), ALL)],
-    "performance": [("Performance Score", "floor(avg(performance_score * 100) + 0.5)", None), ("Accessibility Score", "floor(avg(accessibility_score * 100) + 0.5)", None), ("Best Practices", "floor(avg(best_practices_score * 100) + 0.5)", None), ("SEO Score", "CAST(NULL AS DOUBLE)", None), ("Good (90-100)", _n("performance_score * 100 >= 90"), FAST), ("Needs Improvement", _n("performance_score * 100 >= 50 AND performance_score * 100 < 90"), FAST), ("Poor (0-49)", _n("performance_score * 100 < 50"), FAST)],
+    "performance": [("Performance Score", "floor(avg(performance_score * 100) + 0.5)", None), ("Accessibility Score", "floor(avg(accessibility_score * 100) + 0.5)", None), ("Best Practices", "floor(avg(best_practices_score * 100) + 0.5)", None), ("SEO Score", "max(CAST(NULL AS DOUBLE))", None), ("Good (90-100)", _n("performance_score * 100 >= 90"), FAST), ("Needs Improvement", _n("performance_score * 100 >= 50 AND performance_score * 100 < 90"), FAST), ("Poor (0-49)", _n("performance_score * 100 < 50"), FAST)],
     "readability": [("Average Reading Ease", "floor(avg(flesch) + 0.5)", None), ("Easy to Read (70-100)", _n("flesch >= 70"), "count(flesch)"), ("Standard (50-69)", _n("flesch >= 50 AND flesch < 70"), "count(flesch)"), ("Difficult (0-49)", _n("flesch < 50"), "count(flesch)"), ("Low Text-to-HTML Ratio (<10%)", _n("text_ratio < 10"), ALL)],
     "redirects": [("Total Pages", ALL, ALL), ("Total Redirects", _n("moved"), ALL), ("Permanent (301/308)", _n("moved AND hop IN (301, 308)"), ALL), ("Temporary (302/303/307)", _n("moved AND hop IN (302, 303, 307)"), ALL), ("Single Redirects", _n(f"moved AND NOT {CHAIN} AND (redirect_count = 1 OR (chained AND n_hops = 2) OR had_redirect)"), ALL), ("Redirect Chains", _n(f"moved AND {CHAIN}"), ALL)],
     "responseTime": [("Average Response Time", "floor(avg(response_time * 1000) + 0.5)", None), ("Fast (< 200ms)", _n("response_time * 1000 < 200"), ALL), ("Average (200ms-1s)", _n("response_time * 1000 BETWEEN 200 AND 1000"), ALL), ("Slow (> 1s)", _n("response_time * 1000 > 1000"), ALL)],
@@ -123,7 +123,7 @@ PATHS = f"SELECT concat(path, CASE hit_id % {len(ENDINGS)} " + " ".join(f"WHEN {
 def _danger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct paths that a pattern knows, with their hits: patterns are tried once a path."""
     paths = spark.sql(PATHS + "{hits}", hits=I.hits(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("hits"))
-    return paths.select("path", "hits", U.path_danger(F.col("path")).alias("d")).filter("d is not null").select("path", "d.label", "d.category", "hits")
+    return paths.filter(U.is_dangerous(F.col("path"))).select("path", "hits", U.path_danger(F.col("path")).alias("d")).select("path", "d.label", "d.category", "hits")
 
 
 QUERIES["p23_dangerous_paths"] = _danger

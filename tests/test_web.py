@@ -1,12 +1,15 @@
 """Pages, links, robots, sitemaps, search rows and stores on literal rows."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sitelens.functions import text as X
 from sitelens.functions import urls as U
 from sitelens.operators import keywords as K
+from sitelens.operators import audit as A
 from sitelens.operators import links as links_ops
 from sitelens.operators import pages as ops
+from sitelens.operators import panels as P
 from sitelens.plans import inputs as I
 from sitelens.sources import html as H
 from sitelens.sources import web as W
@@ -244,3 +247,28 @@ def test_stores_delete(spark, tmp_path):
     assert [r["id"] for r in web.read_history(spark, str(tmp_path / "h"), "a").collect()] == [4, 1]
     web.delete_history(spark, str(tmp_path / "h"), str(tmp_path / "h2"), ids=[1], domain="b")
     assert [r["id"] for r in web.read_history(spark, str(tmp_path / "h2")).collect()] == [4, 3]
+
+
+def test_dangerous_paths(spark):
+    rows = one(spark, U.path_danger, ["/.ENV", "/a/.env.prod", "/wp-login.php?x", "/x.php", "/..%2fetc/passwd", "/blog/post", "", None, "/systems", "/a.json"])
+    assert [r and tuple(r) for r in rows] == [("Environment file", "sensitive"), ("Environment file", "sensitive"), ("WP login", "exploit"), ("PHP file", "exploit"), ("Path traversal", "exploit"), None, None, None, None, ("JSON config", "config")]
+    assert one(spark, U.is_dangerous, ["/.env", "/blog", "", None]) == [True, False, False, False]
+
+
+def test_panels_of_odd_pages(spark):
+    fields = f"{A.WIDE}, {P.MORE}"
+    names = StructType.fromDDL(fields).fieldNames()
+    given = [{"url": "http://a/x/x/?q=1", "title": "", "description": "d", "h1": ["One", "One", " "], "status_code": 301, "had_redirect": True, "redirect_count": 2, "indexability": 0.0, "opengraph": {"og:title": "x"}, "images": [("u", None, 1, False), ("u", "a", 1, False)], "link_score": 0.0, "cookies": 1}, {"url": "https://a/y", "link_score": 39.5, "language": "fa"}, {}]
+    rows = spark.createDataFrame([tuple(g.get(n) for n in names) for g in given], fields)
+    got = {(r["panel"], r["label"]): (r["value"], r["percent"]) for r in P.counted(rows).collect()}
+    assert got["urlInfo", "Repetitive Path"] == (1, 50) and got["urlInfo", "Total"] == (2, 100) and got["urlInfo", "Internal Search"] == (1, 50)
+    assert got["cookies", "Avg. Cookies / Page"] == (0.3, None) and got["linkScore", "Average Link Score"] == (20, None) and got["linkScore", "Weak (1-39)"] == (1, 50)
+    assert got["redirects", "Redirect Chains"] == (1, 33) and got["redirects", "Permanent (301/308)"] == (1, 33) and got["images", "Images without Alt Tags"] == (1, None)
+    assert got["statusCodes", "Total"] == (1, 100) and got["mobile", "Unknown"] == (3, 100) and got["readability", "Average Reading Ease"] == (None, None)
+    h1 = {r["label"]: (r["value"], r["percent"]) for r in P.breakdown(rows, "h1").collect()}
+    assert h1 == {"Total": (2, 67), "Missing": (1, 33), "Duplicate H1 Headings": (2, 67), "Over 155 Characters": (0, 0), "Below 70 Characters": (1, 33)}
+    assert {r["label"]: r["value"] for r in P.breakdown(rows, "titles").collect()} == {"All": 3, "Over 60 Characters": 0, "Missing Page Title": 2, "Below 30 Characters": 1}
+    assert [(r["label"], r["value"]) for r in P.breakdown(rows, "language").collect()] == [("Total Pages", 3), ("FA", 1), ("No Language", 2)]
+    assert {r["value"] for r in P.counted(rows.limit(0), ["canonicals", "summary"]).collect()} == {0}
+    tree = {(r["element"], r["filter"]): (r["urls"], r["percent"]) for r in P.overview(rows.limit(0)).collect()}
+    assert len(tree) == 65 and set(tree.values()) == {(0, None)}
