@@ -12,17 +12,15 @@ from pyspark.sql import functions as F
 
 from .tables import materialized
 
-HOT = 1_000_000  # rows that one key may have in a task, at most
-
-
 def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
     """left ⟕ right on one column, right having one row a key and in `count` how many left rows have it.
 
-    Keys with more than total/share left rows, or HOT of them if that is less, are broadcast and their left rows stay where they are:
-    at most `share` keys, or one for each HOT left rows. The others are few rows a key and go through an ordinary join. `left` is read
-    twice, so pass a written table or a scan. Null keys match nothing. `count` isn't in the result.
+    Keys with more than total/share left rows are broadcast and their left rows stay where they are: at most `share` keys, whatever
+    the size. The others go through an ordinary join, which streams a key's left rows past its one right row, and whose skewed
+    partitions adaptive execution splits. `left` is read twice, so pass a written table or a scan. Null keys match nothing. `count`
+    isn't in the result.
     """
-    least = max(200, min(total // share, HOT))
+    least = max(200, total // share)
     hot = right.filter(F.col(count) > least).drop(count)
     cold = right.filter(F.col(count) <= least).drop(count)
     keys = F.broadcast(hot.select(F.col(key).alias("_hot")))
