@@ -15,10 +15,10 @@ pytest.importorskip("sitelens.llm")
 
 from sitelens.llm import media, mixing, near, passages, pieces, quality, token_ids, topk, toxicity, warc  # noqa: E402
 from sitelens.llm.common import components, hot_join, word_hashes, words  # noqa: E402
-from sitelens.llm.queries import TOKENIZERS  # noqa: E402
+import public_tokenizers  # noqa: E402
 
-BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 CLASHING = "row k t p y cut cuts takes score features raw chances kind first fold component _x _p _h _k _t _n _b _text _cuts _gone _score _id _size _row _hot size at s block".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, x string, h string, node long, " + ", ".join(f"{c} string" for c in CLASHING)
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
