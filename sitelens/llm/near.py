@@ -5,12 +5,14 @@
    that agree in MATCH coordinates share one of them. Lists are merged by counting agreements coordinate by coordinate, skipping
    pairs that can no longer reach MATCH. Of the pairs that do, a list emits a spanning forest, so as many rows as it has members.
    A list of over LIST members is split into blocks; a cell takes two blocks.
-3. The forests' components are candidate clusters. Their members' texts are read again, and within a cluster all sets are
-   intersected exactly, in cells of bounded size for large clusters; each cell emits a spanning forest of its links.
+3. The forests' components are candidate clusters. Their members' texts are read again, and a cluster's sets are intersected exactly,
+   each with those that no link has reached yet. A large cluster is dealt over parts of bounded size, which are linked within
+   themselves and with one set of the cluster; what that leaves unconnected is compared with all parts.
 4. Components of those links, over classes, give each document the smallest doc_id that it is linked with over any number of links.
 
 MATCH follows from the similarity: a pair that just has it falls below with probability MISS at most (for 0.85, MATCH is 42).
-Apart from that the result is exact, for groups of any size. A group of m near copies costs about m * m comparisons, spread over cells.
+Apart from that the result is exact, for groups of any size. A group of m copies that are all like one of them costs about m comparisons;
+one of which nothing is linked costs m * m, spread over cells. Sets are named by 128 bits.
 
 A document without words has no shingles and no links. Null doc_ids are linked like others but are nobody's component_id unless all
 are null; rows that repeat a doc_id are documents of their own; rows that repeat a text are one class. Texts of any length are read whole, one
@@ -60,15 +62,16 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
     return h, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))])
 
 
-def node_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set that isn't empty (0 otherwise)."""
+def names_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 128-bit name of each set, as two numbers; zeros if it is empty."""
     full = np.flatnonzero(np.diff(at) > 0)
-    out = np.zeros(len(at) - 1, np.uint64)
+    out = np.zeros((len(at) - 1, 2), np.uint64)
     with np.errstate(over="ignore"):
         if len(full):
             a = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at[full])
-            out[full] = mix(a + mix(np.bitwise_xor.reduceat(mix(h + np.uint64(0x14057B7EF767814F)), at[full])))
-    return out.view(np.int64)
+            b = np.add.reduceat(mix(h * np.uint64(0x2545F4914F6CDD1D) + np.uint64(0x14057B7EF767814F)), at[full])
+            out[full, 0], out[full, 1] = mix(a), mix(b + mix(a))
+    return out
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -83,15 +86,15 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int, prefix: int) -> DataFrame:
-    """doc_id, t (a hash of the text), n_shingles, node, prefix (that many 32-bit values), code (N 8-bit values) of each document. No shuffle."""
+    """doc_id, t (a hash of the text), n_shingles, name, prefix (that many 32-bit values), code (N 8-bit values) of each document. No shuffle."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in text_chunks(batches, "text"):
             h, where = shingle_sets(data, at, k)
             sig = signatures(h, where)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(where)), pa.array(node_of(h, where)), fixed_binary(sig[:, :prefix]), fixed_binary((sig >> 8).astype(np.uint8))], ["doc_id", "t", "n_shingles", "node", "prefix", "code"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(where)), fixed_binary(names_of(h, where)), fixed_binary(sig[:, :prefix]), fixed_binary((sig >> 8).astype(np.uint8))], ["doc_id", "t", "n_shingles", "name", "prefix", "code"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(each, "doc_id long, t long, n_shingles long, node long, prefix binary, code binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(each, "doc_id long, t long, n_shingles long, name binary, prefix binary, code binary")
 
 
 def matches(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
@@ -164,50 +167,46 @@ def candidate_edges(classes: DataFrame, match: int) -> DataFrame:
     return dealt.mapInArrow(merge, "src long, dst long")
 
 
-def exact_links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np.ndarray:
-    """Which pairs of sets (of a and b, or within a) have 100 * intersection >= percent * union."""
-    sets = a + (b or [])
-    n = len(sets)
+def exact_forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links (100 * intersection >= percent * union) among sets, or between the two sides.
+
+    A set is compared with those that nothing has reached yet, so a group whose sets are all like its first costs one comparison each.
+    """
     sizes = np.array([len(x) for x in sets])
-    doc = np.repeat(np.arange(n), sizes)
     names, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = np.flatnonzero(df > 1)
-    place = np.full(len(names), -1)
-    place[common] = np.arange(len(common))
-    at = place[token]
-    doc, at = doc[at >= 0], at[at >= 0]
-    na = len(a)
-    both = np.zeros((na, n if b is None else n - na), np.float64)
-    order = np.argsort(at, kind="stable")
-    doc, at = doc[order], at[order]
-    for s in range(0, len(common), 2048):
-        i, j = np.searchsorted(at, [s, s + 2048])
-        slab = np.zeros((n, min(2048, len(common) - s)), np.float32)
-        slab[doc[i:j], at[i:j] - s] = 1
-        both += slab[:na] @ (slab if b is None else slab[na:]).T
-    total = sizes[:na, None] + sizes[None, :] if b is None else sizes[:na, None] + sizes[None, na:]
-    return 100 * both >= percent * (total - both)
-
-
-def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """(src, dst): spanning forests of the links within candidate clusters, on full sets."""
-    named = clusters.join(classes.select(F.col("node").alias("id"), "rep", "n_shingles"), "id")
-    sizes = named.groupBy("component").agg(F.count("*").alias("_n"), F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / CELL)).cast("int").alias("parts"))
-    members = written(hot_join(written(named, "near-named"), written(sizes, "near-sizes"), "component", "_n", clusters.count()), "near-members")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in text_chunks(batches, "text"):
-            h, where = shingle_sets(data, at, k)
-            own = np.flatnonzero(node_of(h, where) == rows.column(1).to_numpy())  # a doc_id can have other texts
-            raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([*(rows.column(i).take(pa.array(own)) for i in (1, 2, 3)), pa.array([raw[8 * where[i] : 8 * where[i + 1]] for i in own], pa.binary())], ["node", "component", "parts", "shingles"])
-
-    named_texts = docs.select(F.col("doc_id").cast("long").alias("_rep"), "text")
-    texts = named_texts.join(members.hint("merge"), F.col("_rep").eqNullSafe(F.col("rep"))).select("text", F.col("id").alias("node"), "component", "parts")
-    rows = texts.mapInArrow(sets, "node long, component long, parts int, shingles binary")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = rows.withColumn("_p", part).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = rows.select("component", F.least("_p", "_o").alias("a"), F.greatest("_p", "_o").alias("b"), F.when(F.col("_p") <= F.col("_o"), 0).otherwise(1).alias("side"), "node", "shingles")
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    common = df[token] > 1
+    token, owner = token[common], owner[common]
+    first = np.searchsorted(owner, np.arange(len(sets) + 1))
+    mark = np.zeros(len(names), bool)
+    left = np.ones(len(sets), bool)
+    edges = []
+    for i in range(len(sets)):
+        if not left[i]:
+            continue
+        left[i] = False
+        front = [i]
+        while front:
+            j = front.pop()
+            own = token[first[j] : first[j + 1]]
+            fits = left & (100 * np.minimum(sizes, sizes[j]) >= percent * np.maximum(sizes, sizes[j]))
+            if side is not None:
+                fits &= side != side[j]
+            if not fits.any():
+                continue
+            mark[own] = True
+            at = np.flatnonzero(fits[owner]) if fits.sum() < len(sets) // 2 else slice(None)
+            both = np.bincount(owner[at], mark[token[at]], len(sets))
+            mark[own] = False
+            new = np.flatnonzero(fits & (100 * both >= percent * (sizes + sizes[j] - both)))
+            left[new] = False
+            edges += [(j, int(x)) for x in new]
+            front += new.tolist()
+    return edges
+
+
+def _forests(cells: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): the forests of cells (component, a, b, side, node, shingles); with a <> b, between sides only."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["component", "a", "b"]):
@@ -216,53 +215,100 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
             raw = t.column("shingles")
             src, dst = [], []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                first: dict[int, int] = {}
-                for x in range(s, e):  # a class is read once for each row that repeats its doc_id
-                    first.setdefault(int(node[x]), x)
-                at = np.array(sorted(first.values()))
-                own = [np.frombuffer(raw[int(x)].as_py(), np.uint64) for x in at]
-                if not split[s]:
-                    links = exact_links(own, None, percent) if len(own) > 1 else np.zeros((1, 1), bool)
-                else:
-                    x, y = np.flatnonzero(side[at] == 0), np.flatnonzero(side[at] == 1)
-                    links = np.zeros((len(own), len(own)), bool)
-                    if len(x) and len(y):
-                        got = exact_links([own[i] for i in x], [own[i] for i in y], percent)
-                        links[np.ix_(x, y)] = got
-                        links[np.ix_(y, x)] = got.T
-                for i, j in forest(links):
-                    src.append(node[at[i]])
-                    dst.append(node[at[j]])
+                if e - s > 1:
+                    own = [np.frombuffer(raw[x].as_py(), np.uint64) for x in range(s, e)]
+                    for i, j in exact_forest(own, percent, side[s:e] if split[s] else None):
+                        src.append(node[s + i])
+                        dst.append(node[s + j])
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(src)), pa.array(np.array(dst))], ["src", "dst"])
 
     return cells.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node").mapInArrow(confirm, "src long, dst long")
 
 
+def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
+    """(src, dst): spanning forests of the links within candidate clusters, on full sets.
+
+    A cluster of over CELL shingles is dealt over parts. Each part is linked within itself and with the cluster's smallest class at
+    first; only what that leaves unconnected is compared with all parts.
+    """
+    named = clusters.join(classes.select(F.col("node").alias("id"), "rep", "rep_t", "n_shingles"), "id")
+    named = written(named, "near-named")
+    sizes = named.groupBy("component").agg(F.count("*").alias("_n"), F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / CELL)).cast("int").alias("parts"))
+    members = written(hot_join(named, written(sizes, "near-sizes"), "component", "_n", named.count()), "near-members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for rows, data, at in text_chunks(batches, "text"):
+            node = rows.column(1).to_pylist()
+            own = [i for i, n in enumerate(node) if n != (node[i - 1] if i else last)]  # rows that repeat an id and its text follow each other
+            last = node[-1]
+            h, where = shingle_sets(data, at, k)
+            raw = h.tobytes()
+            yield pa.RecordBatch.from_arrays([*(rows.column(i).take(pa.array(own, pa.int64())) for i in (1, 2, 3)), pa.array([raw[8 * where[i] : 8 * where[i + 1]] for i in own], pa.binary())], ["node", "component", "parts", "shingles"])
+
+    key = lambda c: [F.coalesce(F.col(c), F.lit(0)), F.col(c).isNull()]
+    wanted = members.select(F.col("id").alias("node"), "component", "parts", *[x.alias(n) for x, n in zip(key("rep"), ("_k", "_null"))], F.col("rep_t").alias("_t"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").select("text", *[x.alias(n) for x, n in zip(key("_id"), ("_k", "_null"))], F.xxhash64("text").alias("_t"))
+    texts = small_batches(texts).join(wanted.hint("merge"), ["_k", "_null", "_t"]).select("text", "node", "component", "parts")
+    rows = written(texts.mapInArrow(sets, "node long, component long, parts int, shingles binary"), "near-sets", "none")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cell = lambda f, a, b, side: f.select("component", a.alias("a"), b.alias("b"), side.alias("side"), "node", "shingles")
+    small = cell(rows.filter("parts = 1"), F.lit(0), F.lit(0), F.lit(0))
+    large = rows.filter("parts > 1")
+    if not large.head(1):
+        return _forests(small, percent)
+    # a component's id is its smallest node: the hub, which goes to every part
+    hubs = large.filter("node = component").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p")).filter(F.col("_p") != part)
+    found = written(_forests(small.unionByName(cell(large, part, part, F.lit(0))).unionByName(cell(hubs, F.col("_p"), F.col("_p"), F.lit(0))), percent), "near-forests")
+    joined = written(components(found).withColumnRenamed("component", "label"), "near-joined")
+    labels = large.select("component", "node", F.octet_length("shingles").alias("size")).join(joined.withColumnRenamed("id", "node").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = written(labels, "near-labels")
+    # the hub is its component's smallest node, so its label is itself
+    loose = written(labels.filter("label <> component").select("component", "node", "size"), "near-loose")
+    if not loose.head(1):
+        return found
+    spread = written(loose.groupBy("component").agg(F.ceil(F.sum("size") / (8 * CELL)).cast("int").alias("loose_parts")), "near-spread")
+    one = large.join(loose.select("node").hint("merge"), "node", "left_semi").join(spread.hint("merge"), "component").withColumn("_a", F.pmod(F.xxhash64("node"), F.col("loose_parts")).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    all_ = large.join(spread.hint("merge"), "component").withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("loose_parts") - 1)))
+    # a below b marks two sides
+    across = cell(one, -1 - F.col("_a"), F.col("_b"), F.lit(0)).unionByName(cell(all_, -1 - F.col("_a"), part, F.lit(1)))
+    return found.unionByName(_forests(across, percent))
+
+
 def _least(doc_id: str, t: str):
     """The smallest (doc_id, t), null ids last."""
     return F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("doc_id"), F.col(t).alias("t")))
 
 
-def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, t, n_shingles, component_id, first of each document: whether it has the smallest id, and of its texts the one with the smallest hash."""
-    match = least_matches(percent)
-    rows = written(signed(docs, k, N - match + 1), "near-signed")
-    some = rows.filter("n_shingles > 0")
-    classes = some.groupBy("node").agg(_least("doc_id", "t").alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("code").alias("code"), F.count("*").alias("n_docs"))
-    classes = written(classes.select("node", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("rep_t"), "n_shingles", "prefix", "code", "n_docs"), "near-classes")
-    clusters = components(candidate_edges(classes, match))
-    links = written(confirmed_edges(docs, classes, written(clusters, "near-clusters"), k, percent), "near-links")
+def classes_of(rows: DataFrame, *more: str) -> DataFrame:
+    """Equal sets as one row: node (a number of its own), name, rep and rep_t (the smallest document), n_shingles, n_docs, and more columns. Written."""
+    some = rows.filter("n_shingles > 0").groupBy("name").agg(_least("doc_id", "t").alias("r"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_docs"), *[F.first(c).alias(c) for c in more])
+    return written(some.select(F.monotonically_increasing_id().alias("node"), "name", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("rep_t"), "n_shingles", "n_docs", *more), "near-classes")
+
+
+def grouped(docs: DataFrame, rows: DataFrame, classes: DataFrame, candidates: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, t, n_shingles, component_id, first of each document, from candidate edges between classes."""
+    clusters = written(components(candidates), "near-clusters")
+    links = written(confirmed_edges(docs, classes, clusters, k, percent), "near-links")
     joined = components(links)
-    named = classes.select("node", "rep", "rep_t", "n_docs").join(joined.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select("node", "name", "rep", "rep_t", "n_docs").join(joined.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named, "near-components")
     best = named.groupBy("component").agg(_least("rep", "rep_t").alias("b"), F.count("*").alias("_n"))
-    final = written(hot_join(named, written(best, "near-best"), "component", "_n", classes.count()).select("node", "b", "n_docs"), "near-final")
-    found = hot_join(some.select("doc_id", "t", "n_shingles", "node"), final, "node", "n_docs", rows.count())
+    final = written(hot_join(named, written(best, "near-best"), "component", "_n", classes.count()).select("name", "b", "n_docs"), "near-final")
+    found = hot_join(rows.filter("n_shingles > 0").select("doc_id", "t", "n_shingles", "name"), final, "name", "n_docs", rows.count())
     found = found.select("doc_id", "t", "n_shingles", F.col("b.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("t") == F.col("b.t"))).alias("first"))
     return found.unionByName(rows.filter("n_shingles = 0").select("doc_id", "t", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
 
 
+def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, t, n_shingles, component_id, first of each document: whether it has the smallest id, and of its texts the one with the smallest hash."""
+    match = least_matches(percent)
+    rows = written(signed(docs, k, N - match + 1), "near-signed")
+    classes = classes_of(rows, "prefix", "code")
+    return grouped(docs, rows, classes, candidate_edges(classes, match), k, percent)
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     return linked(docs, k, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
