@@ -76,6 +76,12 @@ def op11_merkle_manifest(spark, sf_dir):
     return tampered_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark, sf_dir):
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     from .audit import filter_audit
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_warc": op10_warc,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -136,21 +143,22 @@ def _merkle_sql(lower: int = 8, upper: int = 4) -> str:
         FROM p JOIN l{lower} s ON s.g = p.g JOIN f{last} f ON f.r = p.r CROSS JOIN l{last} t"""
 
 
-# The SQL of the records, over all rows.
-ORACLE_SQL: dict[str, str] = {
-    "op3_minhash_dedup": r"""
+def _linked_sql(k: int, percent: int, more: str = "") -> str:
+    """Components of documents whose sets of k-word shingles have this similarity."""
+    shingle = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
             FROM documents
         ), s AS (
-            SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s
-            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < {k} THEN array_to_string(w, ' ') ELSE {shingle} END AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)
         ), n AS (
             SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
         ), p AS (
             SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
         ), l AS (
-            SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+            SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)
         ), e AS (
             SELECT x, y FROM l UNION SELECT y, x FROM l
         ), r AS (
@@ -158,8 +166,13 @@ ORACLE_SQL: dict[str, str] = {
         ), m AS (
             SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id
         )
-        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
-        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id""",
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id{more}
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id"""
+
+
+# The SQL of the records, over all rows.
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_dedup": _linked_sql(3, 85, ", d.doc_id = m.component_id AS kept"),
     "op9_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
@@ -174,6 +187,7 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op11_merkle_manifest": _merkle_sql(),
+    "op12_jaccard_join": _linked_sql(5, 80),
     "op13_filter_audit": r"""
         WITH x AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -12,7 +12,7 @@ import pytest
 
 pytest.importorskip("sitelens.llm")
 
-from sitelens.llm import audit, merkle  # noqa: E402
+from sitelens.llm import audit, jaccard, merkle, near  # noqa: E402
 from test_llm import ODD, make, prose  # noqa: E402
 
 LABELS = "doc_id long, quality int, toxic int, x string"
@@ -176,3 +176,171 @@ def test_filter_audit_of_no_rows(spark):
     assert audit.filter_audit(docs.limit(0), labels).count() == 0
     rows = audit.filter_audit(docs, labels).collect()
     assert len(rows) == 600 and sum(r.kept for r in rows) == sum(not r.removed and r.step < r.filter_order.index("A") + 1 for r in rows)
+
+
+# ---------------------------------------------------------------- Jaccard join
+
+
+def grams(text, k):
+    w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def expected_components(rows, k, percent):
+    sets = [grams(t, k) for _, t in rows]
+    to = list(range(len(rows)))
+
+    def top(i):
+        while to[i] != i:
+            i = to[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                to[top(i)] = top(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        least[top(i)].append((d is None, d or 0, d))
+    return sorted([(d, len(s), min(least[top(i)])[2]) for i, ((d, _), s) in enumerate(zip(rows, sets))], key=str)
+
+
+def changed(rng, text, share):
+    return " ".join(f"n{rng.random()}" if rng.random() < share else w for w in text.split())
+
+
+def near_texts(rng, sizes, per_size):
+    """Groups of texts that differ by about as much as still links, and some that share passages."""
+    passage = prose(rng, 60, 10**6)
+    out = []
+    for n in sizes:
+        for _ in range(per_size):
+            base = prose(rng, n, 10**6)
+            out.append(base)
+            for share in (0.01, 0.02, 0.025, 0.03, 0.05):
+                out.append(changed(rng, base, share))
+            cut = base.split()
+            out += [" ".join(cut[: max(1, int(n * x))]) for x in (0.78, 0.8, 0.81, 0.9)]
+            out.append(base.upper() + " tail " + passage)
+            out.append(passage + " " + prose(rng, n, 10**6))
+    return out
+
+
+@pytest.mark.parametrize("percent,k", [(80, 5), (80, 1), (60, 2), (95, 3)])
+def test_jaccard_join_against_all_pairs(spark, percent, k):
+    rng = random.Random(percent + k)
+    texts = near_texts(rng, (1, 2, 3, 5, 8, 12, 17, 31, 33, 40, 64, 90, 130, 260, 520), 2) + ODD
+    rng.shuffle(texts)
+    ids = [i if i % 17 else None for i in range(len(texts))]
+    docs = make(spark, texts, ids=ids)
+    got = sorted([tuple(r) for r in jaccard.jaccard_components(docs, k, percent).collect()], key=str)
+    assert got == expected_components(list(zip(ids, texts)), k, percent)
+
+
+def test_pairs_at_the_bound_are_never_lost():
+    """Sets that just link share a posting that the larger one asks by, whatever the segments of the tokens."""
+    rng = np.random.default_rng(1)
+    plan = jaccard.Plan(80)
+    lost = tried = 0
+    for size in [1, 2, 3, 4, 5, 6, 8, 9, 10, 13, 16, 20, 31, 32, 36, 45, 63, 64, 72, 80, 99, 127, 128, 160, 255, 300, 511, 640]:
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            most = len(a) * 100 // 80
+            b_size = int(rng.integers(len(a), most + 1))
+            both = -(-(80 * (len(a) + b_size)) // 180)  # the least intersection that links
+            if both > len(a):
+                continue
+            b = np.unique(np.concatenate([rng.permutation(a)[:both], rng.integers(0, 2**63, b_size - both, dtype=np.uint64)]))
+            tried += 1
+            lost += not asked_finds(plan, a, b)
+    assert tried > 1000 and lost == 0
+
+
+def asked_finds(plan, small, large):
+    """Whether a posting of the larger set meets one of the smaller, with the longest lists left out at random; weak sets aside."""
+    def of(h, below):
+        at = np.array([0, len(h)])
+        band, posted, asked, need, row, segment, kept = jaccard._asked(plan, h, at, below)
+        spare, count, offset, owner, inside = jaccard._spare(asked, need, posted, row, segment)
+        chosen, weak = jaccard._neighbourhoods(plan, need, np.where(asked > 0, spare, 0), count, owner, inside)
+        subsets = {int(s): frozenset(h[kept[segment == s]].tolist()) for s in np.unique(segment)}
+        return int(band[0]), subsets, {s for s in subsets if inside[s]}, set(np.flatnonzero(chosen).tolist()), int(spare[0]), bool(weak[0])
+
+    band_s, subsets_s, *_ = of(small, False)
+    below = int(jaccard._band(np.array([len(large)]))[0]) > band_s
+    band_l, subsets_l, asks, deleted, spare, weak = of(large, below)
+    assert band_s == band_l
+    if weak:
+        return True
+    equal = [s for s in asks if subsets_s.get(s) == subsets_l[s]]
+    if len(equal) > max(0, spare):
+        return True
+    return any(subsets_s.get(s) == subsets_l[s] - {x} for s in deleted for x in subsets_l[s])
+
+
+def test_weak_sets_are_joined_by_tokens(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = near_texts(rng, (5, 20, 60), 2)
+    docs = make(spark, texts)
+    real = jaccard._neighbourhoods
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda docs, *_: docs.sparkSession.createDataFrame([], "src long, dst long"))
+    monkeypatch.setattr(jaccard, "_neighbourhoods", lambda *a: (real(*a)[0], np.ones(len(a[1]), bool)))
+    described = jaccard.described
+
+    def all_weak(docs, k, plan):
+        from pyspark.sql import functions as F
+
+        return described(docs, k, plan).withColumn("weak", F.lit(True))
+
+    monkeypatch.setattr(jaccard, "described", all_weak)
+    got = sorted([tuple(r) for r in jaccard.jaccard_components(docs).collect()], key=str)
+    assert got == expected_components(list(enumerate(texts)), 5, 80)
+
+
+def test_jaccard_groups_split_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST", 3)
+    monkeypatch.setattr("sitelens.llm.near.CELL", 400)
+    rng = random.Random(6)
+    base = prose(rng, 120, 10**6)
+    texts = [changed(rng, base, 0.01) for _ in range(30)]
+    chain = base.split()
+    for _ in range(25):  # each links with its neighbours only
+        chain = chain[3:] + [f"c{rng.random()}" for _ in range(3)]
+        texts.append(" ".join(chain))
+    texts += [base] * 20
+    got = sorted([tuple(r) for r in jaccard.jaccard_components(make(spark, texts)).collect()], key=str)
+    assert got == expected_components(list(enumerate(texts)), 5, 80)
+
+
+def test_jaccard_of_odd_and_empty_tables(spark):
+    texts = [*ODD, "word " * 60_000, "a b c d e f g " * 30_000]
+    docs = make(spark, texts, ids=[None, None, 5, 5, *range(4, len(texts))])
+    got = jaccard.jaccard_components(docs)
+    ids = [None, None, 5, 5, *range(4, len(texts))]
+    assert sorted([tuple(r) for r in got.collect()], key=str) == expected_components(list(zip(ids, texts)), 5, 80)
+    assert jaccard.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_exact_forest_compares_a_group_once():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 190 + i % 10], rng.integers(0, 2**63, 5, dtype=np.uint64)])) for i in range(300)]
+    edges = near.exact_forest(sets, 80)
+    assert len(edges) == 299
+    assert sum(a == 0 for a, _ in edges) > 290  # nearly all are linked with the first
+
+
+def test_shared_keeps_keys_of_two_sets_across_batches(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(300), rng.randrange(3), rng.choice([1, 3])) for _ in range(1500)] + [(-5, 9, 1)] * 50 + [(-6, i, 1) for i in range(40)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = jaccard.shared(spark.createDataFrame(rows, "key long, short long, kind byte")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    sets = defaultdict(set)
+    for k, s, _ in rows:
+        sets[k].add(s)
+    assert sorted(tuple(r) for r in got) == sorted({r for r in rows if len(sets[r[0]]) > 1})
