@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import automaton as A
 from ..functions import logs as L
 from ..functions import tables as T
 from .tables import materialized
@@ -16,28 +17,54 @@ from .tables import materialized
 
 
 AGENTS = 200_000  # distinct user agents that are broadcast, at most: some 60 MB
+CHAIN = 200  # rules that one expression says, at most
+RULES = 100_000  # rules of a taxonomy, at most: users write them
 
 
 def with_agents(hits: DataFrame) -> DataFrame:
     """Hits with crawler_type and browser: distinct user agents are looked through the lists once and joined back, by broadcast.
 
-    Streams, and logs with more than AGENTS different user agents, look through them row by row.
+    Streams, and logs with more than AGENTS different user agents, run them through an automaton where they are.
     """
     ua = F.col("user_agent")
-    kinds = {"crawler_type": L.detect_bot(ua), "browser": L.browser(ua)}
+    many = {"crawler_type": A.detect_bot(ua), "browser": A.browser(ua)}
     if hits.isStreaming:
-        return hits.withColumns(kinds)
+        return hits.withColumns(many)
     agents = materialized(hits.select("user_agent").distinct(), "agents")
     if agents.count() > AGENTS:
-        return hits.withColumns(kinds)
-    known = materialized(agents.withColumns(kinds), "agents").withColumnRenamed("user_agent", "_ua")
+        return hits.withColumns(many)
+    known = materialized(agents.withColumns({"crawler_type": L.detect_bot(ua), "browser": L.browser(ua)}), "agents").withColumnRenamed("user_agent", "_ua")
     return hits.join(F.broadcast(known), ua.eqNullSafe(F.col("_ua"))).drop("_ua")
 
 
+def classified(hits: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Hits with segment, segment_match and taxonomy of the longest rule (path, match type, name) that fits; ties keep the rules' order.
+
+    Up to CHAIN rules are one expression, more are an automaton; both say the same. No shuffle.
+    """
+    path = F.col("path")
+    if len(rules) <= CHAIN:
+        return hits.withColumns(L.classify(path, rules))
+    return hits.withColumn("_c", A.classify_many(path, rules)).withColumns({k: F.col("_c")[k] for k in ("segment", "segment_match", "taxonomy")}).drop("_c")
+
+
+def reclassify(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """Hits classified anew by a table of rules (path, match_type, name, rank): those that the hits have had are replaced.
+
+    Rules without a path or a name are left out; ties in length go by rank. The table is a user's, of RULES rows at most.
+    """
+    rows = rules.filter("path is not null and name is not null").select("path", "match_type", "name", "rank").limit(RULES + 1).collect()
+    if len(rows) > RULES:
+        raise ValueError(f"a taxonomy has {RULES} rules at most")
+    ordered = sorted(rows, key=lambda r: (r.rank is None, r.rank or 0, r.path, r.name))
+    return classified(hits, [(r.path, r.match_type, r.name) for r in ordered])
+
+
 def enrich(hits: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """Hits with crawler_type, browser, file_type, country, is_crawler, norm_path and the taxonomy's three columns; no shuffle of hits."""
     path = F.col("path")
-    return with_agents(hits).withColumns({"file_type": L.file_type(path), "country": L.country(F.col("ip")), "norm_path": L.norm_path(path), "is_crawler": L.is_crawler(F.col("crawler_type"))} | L.classify(path, rules))
+    named = with_agents(hits).withColumns({"file_type": L.file_type(path), "country": L.country(F.col("ip")), "norm_path": L.norm_path(path), "is_crawler": L.is_crawler(F.col("crawler_type"))})
+    return classified(named, rules)
 
 
 def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -383,20 +410,124 @@ def bot_paths(hits: DataFrame) -> DataFrame:
     )
 
 
-def trend_totals(hits: DataFrame, urls: DataFrame) -> DataFrame:
-    """One row of totals over the rollups: distinct keys and hits, orphans, wasted crawl budget, dead content."""
-    paths = path_rollup(hits)
-    bots, dull = F.col("crawler_type") != "Human", L.unimportant(F.col("path"))
-    distinct = lambda c, n: F.countDistinct(F.when(c, F.col("path"))).alias(n)
-    a = paths.agg(
-        F.count("*").alias("path_rows"), F.sum("hit_count").alias("path_hits"), distinct(~F.col("crawled"), "orphan_paths"), distinct(F.col("crawled"), "crawled_paths"),
-        distinct(bots & dull, "unimportant_crawled"), F.coalesce(F.sum(F.when(bots & dull, F.col("hit_count"))), F.lit(0)).alias("wasted_hits"),
-        distinct(bots & dull & F.col("crawled"), "robots_improvements"), distinct(bots & ~dull & (F.col("hit_count") <= 2), "low_frequency"),
+#: What the trend tables are grouped by; `human` is whether a hit is a person's.
+TREND_KEYS = {
+    "day": ("day", "human"),
+    "file_type": ("file_type",),
+    "segment": ("segment",),
+    "path": ("path", "crawler_type", "segment", "human"),
+    "status": ("status", "segment"),
+    "method": ("method", "segment"),
+    "user_agent": ("user_agent", "segment"),
+    "referer": ("referer", "segment"),
+    "browser": ("browser", "segment"),
+    "verified": ("path", "crawler_type", "verified", "segment"),
+    "ip": ("path", "ip", "segment"),
+    "person": ("path", "browser", "country", "segment", "human"),
+}
+
+
+def trend_rollups(hits: DataFrame) -> DataFrame:
+    """Every trend table in one scan: kind, its keys (others null), n, crawled, sought (a search click or impression of an uncrawled path). Written.
+
+    Grouping sets add up each set's keys before the one shuffle, so rows that travel are distinct keys of a task. A crawler's `verified` rows
+    are of crawlers only, `person` rows of people only.
+    """
+    keys = list(dict.fromkeys(k for ks in TREND_KEYS.values() for k in ks))
+    rows = hits.select(*[F.col(k) for k in keys if k not in ("human", "referer", "country", "status")], F.col("status").cast("string").alias("status"), F.coalesce("referer", F.lit("-")).alias("referer"), F.coalesce("country", F.lit("-")).alias("country"), (F.col("crawler_type") == "Human").alias("human"), "crawled", (~F.col("crawled") & ((F.col("clicks") > 0) | (F.col("impressions") > 0))).alias("sought"))
+    ids = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks): kind for kind, ks in TREND_KEYS.items()}
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), F.grouping_id().cast("int"))
+    found = rows.groupingSets([list(ks) for ks in TREND_KEYS.values()], *keys).agg(kind.alias("kind"), F.count("*").alias("n"), F.max(F.coalesce("crawled", F.lit(False))).alias("crawled"), F.max(F.coalesce("sought", F.lit(False))).alias("sought"))
+    return materialized(found.filter("(kind <> 'verified' or crawler_type <> 'Human') and (kind <> 'person' or human)"), "trends")
+
+
+def trend_totals(hits: DataFrame, urls: DataFrame, rollups: DataFrame | None = None) -> DataFrame:
+    """One row of 27 totals: rows and hits of each trend table, and paths that crawlers waste, miss or should be kept from.
+
+    hits is read once (not at all if trend_rollups(hits) is given), the list of urls twice.
+    """
+    base = trend_rollups(hits) if rollups is None else rollups
+    of = lambda c, n: (F.count_if(c).alias(f"{n}_count"), F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(f"{n}_hits"))
+    kind = F.col("kind")
+    own = {n: kind == n for n in ("status", "method", "user_agent", "referer", "browser", "verified")} | {"path": (kind == "path") & ~F.col("human"), "human": (kind == "path") & F.col("human")}
+    tables = base.agg(*[c for n, x in own.items() for c in of(x, n)])
+    ips = base.filter("kind = 'ip'").groupBy("ip").agg(F.sum("n").alias("n")).agg(F.count("*").alias("ip_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("ip_hits"))
+    dull, crawled = L.unimportant(F.col("path")), F.col("crawled")
+    bots = base.filter("kind = 'path' and not human")
+    flag = lambda c: F.max(c)
+    paths = bots.groupBy("path").agg(
+        flag(~crawled).alias("orphan_pages"), flag(F.col("sought")).alias("orphans_gsc_traffic"), flag(dull).alias("unimportant_crawled"), flag(dull & ~crawled).alias("wasted_crawl_budget"),
+        flag(dull & crawled).alias("robots_txt_improvements"), flag(crawled & (F.col("n") <= 2)).alias("low_frequency_important"),
     )
-    b = hits.agg(F.countDistinct("ip").alias("ips"), F.countDistinct("user_agent").alias("user_agents"), F.countDistinct(F.coalesce("referer", F.lit("-"))).alias("referers"), F.countDistinct("browser").alias("browsers"), F.countDistinct("status").alias("statuses"), F.countDistinct("method").alias("methods"), F.countDistinct(F.when(F.col("status") >= 400, F.col("path"))).alias("dead_paths"), F.countDistinct(F.when(~F.col("crawled") & (F.col("clicks") > 0), F.col("path"))).alias("orphans_with_clicks"))
-    keys = urls.select(L.norm_path(F.col("url")).alias("norm_path")).distinct()
-    c = keys.join(hits.select("norm_path").distinct(), "norm_path", "left_anti").agg(F.count("*").alias("dead_content"))
-    return a.crossJoin(b).crossJoin(c)  # three rows of aggregates
+    names = [c for c in paths.columns if c != "path"]
+    paths = paths.agg(*[F.count_if(c).alias(c) for c in names])
+    listed = urls.select(L.norm_path(F.col("url")).alias("path"))
+    missing = listed.join(bots.select("path").distinct(), "path", "left_anti").agg(F.count("*").alias("uncrawled_urls"), F.count("*").alias("dead_content"))
+    return tables.crossJoin(ips).crossJoin(paths).crossJoin(listed.agg(F.count("*").alias("crawled_pages"))).crossJoin(missing)  # rows of aggregates
+
+
+def trend_top(rollups: DataFrame, most: int = 10) -> DataFrame:
+    """kind, name and hits of the largest rows of five trend tables (paths of crawlers only); ties by name, then by what else the row has."""
+    out = None
+    for kind in ("path", "status", "user_agent", "referer", "browser"):
+        own = rollups.filter((F.col("kind") == kind) & (F.col("human").isNull() | ~F.col("human")))
+        top_ = own.orderBy(F.desc("n"), kind, "segment", "crawler_type").limit(most).select(F.lit(kind).alias("kind"), F.col(kind).alias("name"), F.col("n").alias("hits"))
+        out = top_ if out is None else out.unionByName(top_)
+    return out
+
+
+#: The sheets of the trends workbook: their headers, and the trend table and keys that they add up.
+TREND_SHEETS = {
+    "Timeline": (("Date", "Human Hits", "Crawler Hits"), "day", ("day",)),
+    "File Types": (("File Type", "Hits"), "file_type", ("file_type",)),
+    "Content Segments": (("Segment", "Hits"), "segment", ("segment",)),
+    "Path Frequency": (("Path", "Hits", "Type", "Segment"), "path", ("path", "crawler_type", "segment")),
+    "Status Codes": (("Status", "Hits"), "status", ("status",)),
+    "Methods": (("Method", "Hits"), "method", ("method",)),
+    "User Agents": (("User Agent", "Hits"), "user_agent", ("user_agent",)),
+    "Referrers": (("Referer", "Hits"), "referer", ("referer",)),
+    "Browsers": (("Browser", "Hits"), "browser", ("browser",)),
+    "Verified Bots": (("Bot", "Hits"), "verified", ("crawler_type",)),
+    "IP Addresses": (("IP", "Hits"), "ip", ("ip",)),
+    "Human Traffic": (("Path", "Browser", "Country", "Hits"), "person", ("path", "browser", "country")),
+}
+
+
+def trend_sheets(rollups: DataFrame) -> DataFrame:
+    """sheet, keys (three texts, null where it has fewer), hits and crawler_hits (of the timeline only): the rows of all sheets, from one aggregate."""
+    sheet = F.create_map(*[F.lit(x) for name, (_, kind, _) in TREND_SHEETS.items() for x in (kind, name)])
+    cases = {kind: [F.col(k) for k in keys] + [F.lit(None)] * (3 - len(keys)) for _, kind, keys in TREND_SHEETS.values()}
+    key = lambda i: F.coalesce(*[F.when(F.col("kind") == kind, cols[i]) for kind, cols in cases.items()])
+    timeline = F.col("kind") == "day"
+    rows = rollups.select(F.element_at(sheet, F.col("kind")).alias("sheet"), *[key(i).cast("string").alias(f"key{i + 1}") for i in range(3)], F.when(timeline & ~F.col("human"), 0).otherwise(F.col("n")).alias("hits"), F.when(timeline, F.when(F.col("human"), 0).otherwise(F.col("n"))).alias("crawler_hits"))
+    return rows.groupBy("sheet", "key1", "key2", "key3").agg(F.sum("hits").alias("hits"), F.sum("crawler_hits").alias("crawler_hits"))
+
+
+def trend_summary(hits_total: int, rollups: DataFrame) -> DataFrame:
+    """metric, unique_count and total_hits of nine trend tables, and the number of hits."""
+    labels = {"path": "URL Path Frequency", "status": "Status Codes Frequency", "method": "Method Frequency", "user_agent": "User Agents Frequency", "referer": "Referrers Frequency", "browser": "Browser Frequency", "verified": "Verified Bots", "ip": "IP frequency", "person": "Human Traffic Frequency"}
+    metric = F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), F.col("kind"))
+    rows = rollups.filter(F.col("kind").isin(list(labels))).groupBy(metric.alias("metric")).agg(F.count("*").alias("unique_count"), F.sum("n").alias("total_hits"))
+    return rows.unionByName(rollups.sparkSession.range(1).select(F.lit("TOTAL LOG ENTRIES").alias("metric"), F.lit(None).cast("long").alias("unique_count"), F.lit(hits_total).cast("long").alias("total_hits")))
+
+
+def write_sheets(rows: DataFrame, folder: str, order: list[Column], kind: str = "sheet", ranges: int | None = None) -> None:
+    """One job writes every kind's rows as CSV files of its own folder, in order over the files' names; no kind is sorted in one task."""
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(kind), *order]
+    rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("errorifexists").partitionBy(kind).option("header", True).csv(folder)
+
+
+def status_counts(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("status").agg(F.count("*").alias("hits"))
+
+
+def segment_bots(hits: DataFrame) -> DataFrame:
+    """Per segment: hits of each crawler as a map, and the mean of hits over segments."""
+    each = hits.groupBy("segment", "crawler_type").agg(F.count("*").alias("n"))
+    rows = each.groupBy("segment").agg(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("crawler_type") != "Human", F.struct("crawler_type", "n"))))).alias("bots"), F.sum("n").alias("hits"))  # a row a crawler
+    mean = rows.agg(F.round(F.avg("hits"), 6).alias("mean_hits"))
+    return rows.crossJoin(mean)  # one row
 
 
 def crawl_coverage(urls: DataFrame, hits: DataFrame) -> DataFrame:

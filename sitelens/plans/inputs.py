@@ -67,6 +67,15 @@ CRAWL_LIST = """
 SELECT concat('https://site.example', path) AS url FROM (SELECT DISTINCT path FROM {hits}) WHERE length(path) % 5 <> 0
 UNION ALL SELECT concat('https://site.example/never/', CAST(n_nationkey AS STRING)) FROM {nation} WHERE n_nationkey < 2"""
 
+#: A taxonomy of some hundreds of rules: beginnings and ends of the hits' paths.
+PATH_RULES = """
+SELECT path, match_type, name, row_number() OVER (ORDER BY path, match_type, name) AS rank FROM (
+  SELECT DISTINCT substr(path, 1, k) AS path, CASE k % 3 WHEN 0 THEN 'startsWith' WHEN 1 THEN 'exactMatch' ELSE 'other' END AS match_type, concat('Begins ', substr(path, 2, 2), CAST(k AS STRING)) AS name
+  FROM (SELECT DISTINCT path FROM {hits}) CROSS JOIN (VALUES (2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13)) AS v(k) WHERE length(path) >= k AND length(path) % 7 <> 1
+  UNION
+  SELECT DISTINCT substr(path, k), 'contains', concat('Has ', CAST(k AS STRING))
+  FROM (SELECT DISTINCT path FROM {hits}) CROSS JOIN (VALUES (4),(5),(6),(7),(8),(9),(10)) AS v(k) WHERE length(path) > k + 1 AND length(path) % 7 <> 1)"""
+
 RULES = [("/blog/", "startsWith", "Blog"), ("/blog/tag/", "startsWith", "Tags"), ("product", "contains", "Shop"), ("/", "exactMatch", "Home")]
 RANGES = [("google", "66.249.64.0/19"), ("google", "2001:4860:4801::/48"), ("bing", "203.0.113.0/25"), ("gptbot", "203.0.113.128/26"), ("bing", "not a range")]
 
@@ -88,6 +97,10 @@ def gsc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(GSC, hits=hits(spark, sf_dir))
 
 
+def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PATH_RULES, hits=hits(spark, sf_dir))
+
+
 def crawl_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CRAWL_LIST, hits=hits(spark, sf_dir), nation=table(spark, sf_dir, "nation"))
 

@@ -138,13 +138,49 @@ for _name, _value in WIDGET_SQL.items():
     add(f"a13_widget_{_name}", lambda h, k=_name: ops.widget(h, k), f"SELECT {_value} AS name, count(*) AS hits FROM e {'WHERE crawler_type <> ' + _q('Human') if _name == 'crawler_type' else ''} GROUP BY 1" + (" ORDER BY hits DESC, name LIMIT 100" if _name in ("user_agent", "referer") else ""), joined=False)
 add("a14_log_stats", ops.log_stats, f"SELECT count(*) AS total, {_n(BOTS, 'crawlers')}, count(DISTINCT ip) AS unique_ips, count(DISTINCT user_agent) AS unique_user_agents, {_n('status >= 200 AND status < 300', 'success')}, CAST(min(ts) AS STRING) AS first_hit, CAST(max(ts) AS STRING) AS last_hit, round(count(*) FILTER (WHERE status >= 200 AND status < 300) * 100.0 / greatest(count(*), 1), 6) AS success_rate, {', '.join(_n(c, k) for k, c in FAMILY.items())} FROM e", joined=False)
 add("a15_segment_stats", ops.segment_stats, f"SELECT segment, count(*) AS total, {_n(BOTS, 'crawlers')}, count(DISTINCT ip) AS unique_ips, {CLASSES}, round(count(*) / count(DISTINCT path), 6) AS per_path FROM e GROUP BY 1", joined=False)
-add_full("a16_trend_totals", lambda s, d: ops.trend_totals(I.enriched(s, d, "listed"), I.crawl_list(s, d)), f"""
-SELECT * FROM (SELECT count(*) AS path_rows, CAST(sum(hit_count) AS BIGINT) AS path_hits, count(DISTINCT path) FILTER (WHERE NOT crawled) AS orphan_paths, count(DISTINCT path) FILTER (WHERE crawled) AS crawled_paths,
-  count(DISTINCT path) FILTER (WHERE {BOTS} AND {DULL}) AS unimportant_crawled, CAST(coalesce(sum(hit_count) FILTER (WHERE {BOTS} AND {DULL}), 0) AS BIGINT) AS wasted_hits,
-  count(DISTINCT path) FILTER (WHERE {BOTS} AND {DULL} AND crawled) AS robots_improvements, count(DISTINCT path) FILTER (WHERE {BOTS} AND NOT {DULL} AND hit_count <= 2) AS low_frequency FROM paths),
- (SELECT count(DISTINCT ip) AS ips, count(DISTINCT user_agent) AS user_agents, count(DISTINCT coalesce(referer, '-')) AS referers, count(DISTINCT browser) AS browsers, count(DISTINCT status) AS statuses, count(DISTINCT method) AS methods,
-  count(DISTINCT path) FILTER (WHERE status >= 400) AS dead_paths, count(DISTINCT path) FILTER (WHERE NOT crawled AND clicks > 0) AS orphans_with_clicks FROM e),
- (SELECT count(*) AS dead_content FROM keys WHERE norm_path NOT IN (SELECT norm_path FROM e))""")
+_STATUS = "segment, count(*) AS n FROM e GROUP BY ALL"
+TRENDS = f""", st AS (SELECT status, {_STATUS}), mt AS (SELECT method, {_STATUS}), ut AS (SELECT user_agent, {_STATUS}), rt AS (SELECT coalesce(referer, '-') AS referer, {_STATUS}), bt AS (SELECT browser, {_STATUS}),
+ vt AS (SELECT path, crawler_type, verified, {_STATUS.replace("FROM e", "FROM e WHERE crawler_type <> 'Human'")}), it AS (SELECT path, ip, {_STATUS}), ht AS (SELECT path, browser, coalesce(country, '-') AS country, {_STATUS.replace("FROM e", "FROM e WHERE crawler_type = 'Human'")})
+"""
+
+
+def add_trends(name: str, make, sql: str) -> None:
+    """Register make(trend tables, hits, list of urls), whose SQL follows the common tables and the trend tables."""
+    QUERIES[name] = lambda spark, sf_dir: make(ops.trend_rollups(h := I.enriched(spark, sf_dir)), h, I.crawl_list(spark, sf_dir))
+    SQL[name] = BASE + TRENDS + sql
+
+
+def _rows(n: str, table: str, where: str = "true", hits: str = "n") -> str:
+    return f"(SELECT count(*) AS {n}_count, CAST(coalesce(sum({hits}), 0) AS BIGINT) AS {n}_hits FROM {table} WHERE {where})"
+
+
+add_trends("a16_trend_totals", lambda t, h, u: ops.trend_totals(h, u, t), f"""
+SELECT * FROM {_rows("status", "st")}, {_rows("method", "mt")}, {_rows("user_agent", "ut")}, {_rows("referer", "rt")}, {_rows("browser", "bt")}, {_rows("verified", "vt")}, {_rows("path", "paths", BOTS, "hit_count")}, {_rows("human", "paths", f"NOT ({BOTS})", "hit_count")},
+ (SELECT count(DISTINCT ip) AS ip_count, count(*) AS ip_hits FROM e), (SELECT count(*) AS crawled_pages FROM list),
+ (SELECT count(DISTINCT path) FILTER (WHERE NOT crawled) AS orphan_pages, count(DISTINCT path) FILTER (WHERE {DULL}) AS unimportant_crawled, count(DISTINCT path) FILTER (WHERE {DULL} AND NOT crawled) AS wasted_crawl_budget,
+  count(DISTINCT path) FILTER (WHERE {DULL} AND crawled) AS robots_txt_improvements, count(DISTINCT path) FILTER (WHERE crawled AND hit_count <= 2) AS low_frequency_important FROM paths WHERE {BOTS}),
+ (SELECT count(DISTINCT path) AS orphans_gsc_traffic FROM e WHERE {BOTS} AND NOT crawled AND (clicks > 0 OR impressions > 0)),
+ (SELECT count(*) AS uncrawled_urls, count(*) AS dead_content FROM list WHERE {NORM.format("replace(url, 'https://site.example', '')")} NOT IN (SELECT path FROM e WHERE {BOTS}))""")
+_TOP = {"path": f"SELECT path AS name, segment, crawler_type, hit_count AS n FROM paths WHERE {BOTS}"} | {k: f"SELECT CAST({k} AS STRING) AS name, segment, NULL AS crawler_type, n FROM {t}" for k, t in (("status", "st"), ("user_agent", "ut"), ("referer", "rt"), ("browser", "bt"))}
+add_trends("a16_trend_top", lambda t, h, u: ops.trend_top(t), " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS kind, name, n AS hits FROM ({q}) ORDER BY n DESC, name, segment, crawler_type LIMIT 10)" for k, q in _TOP.items()))
+_SHEETS = {"Timeline": "SELECT day, NULL, NULL, count(*) FILTER (WHERE crawler_type = 'Human'), count(*) FILTER (WHERE crawler_type <> 'Human') FROM e GROUP BY 1"} | {
+    name: f"SELECT {keys}, {n}, NULL FROM {table} GROUP BY ALL"
+    for name, keys, n, table in (
+        ("File Types", "file_type, NULL, NULL", "count(*)", "e"), ("Content Segments", "segment, NULL, NULL", "count(*)", "e"), ("Path Frequency", "path, crawler_type, segment", "sum(hit_count)", "paths"), ("Status Codes", "CAST(status AS STRING), NULL, NULL", "sum(n)", "st"),
+        ("Methods", "method, NULL, NULL", "sum(n)", "mt"), ("User Agents", "user_agent, NULL, NULL", "sum(n)", "ut"), ("Referrers", "referer, NULL, NULL", "sum(n)", "rt"), ("Browsers", "browser, NULL, NULL", "sum(n)", "bt"), ("Verified Bots", "crawler_type, NULL, NULL", "sum(n)", "vt"),
+        ("IP Addresses", "ip, NULL, NULL", "sum(n)", "it"), ("Human Traffic", "path, browser, country", "sum(n)", "ht"),
+    )
+}
+add_trends("s15_trend_sheets", lambda t, h, u: ops.trend_sheets(t), " UNION ALL ".join(f"SELECT '{k}' AS sheet, CAST(a AS STRING) AS key1, CAST(b AS STRING) AS key2, CAST(c AS STRING) AS key3, CAST(d AS BIGINT) AS hits, CAST(f AS BIGINT) AS crawler_hits FROM ({q}) AS x(a, b, c, d, f)" for k, q in _SHEETS.items()))
+_SUMMARY = (("URL Path Frequency", "paths", "hit_count"), ("Status Codes Frequency", "st", "n"), ("Method Frequency", "mt", "n"), ("User Agents Frequency", "ut", "n"), ("Referrers Frequency", "rt", "n"), ("Browser Frequency", "bt", "n"), ("Verified Bots", "vt", "n"), ("IP frequency", "it", "n"), ("Human Traffic Frequency", "ht", "n"))
+add_trends("s15_trend_summary", lambda t, h, u: ops.trend_summary(h.count(), t), " UNION ALL ".join(f"SELECT '{k}' AS metric, count(*) AS unique_count, CAST(sum({n}) AS BIGINT) AS total_hits FROM {t} HAVING count(*) > 0" for k, t, n in _SUMMARY) + " UNION ALL SELECT 'TOTAL LOG ENTRIES', NULL, count(*) FROM e")
+add("a14_status_counts", ops.status_counts, "SELECT status, count(*) AS hits FROM e GROUP BY 1", joined=False)
+add("a15_segment_bots", lambda h: ops.segment_bots(h).select("segment", "hits", "mean_hits", ops.F.array_join(ops.F.transform(ops.F.map_entries("bots"), lambda e: ops.F.concat(e["key"], ops.F.lit("="), e["value"].cast("string"))), ",").alias("bots")),
+    "SELECT *, round(avg(hits) OVER (), 6) AS mean_hits FROM (SELECT segment, CAST(sum(n) AS BIGINT) AS hits, coalesce(string_agg(crawler_type || '=' || n, ',' ORDER BY crawler_type) FILTER (WHERE crawler_type <> 'Human'), '') AS bots FROM (SELECT segment, crawler_type, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1)", joined=False)
+RULE_SQL = I.PATH_RULES.format(hits="hits")
+add_full("p7_reclassify", lambda s, d: ops.reclassify(I.hits(s, d).withColumns({c: ops.F.lit(None).cast("string") for c in ("segment", "segment_match", "taxonomy")}), I.path_rules(s, d)).select("hit_id", "path", "segment", "segment_match", "taxonomy"), f""", rules AS ({RULE_SQL}),
+ best AS (SELECT DISTINCT ON (p.path) p.path, r.name, r.match_type, r.path AS rule FROM (SELECT DISTINCT path FROM hits) p JOIN rules r ON CASE r.match_type WHEN 'contains' THEN contains(p.path, r.path) WHEN 'exactMatch' THEN p.path = r.path ELSE starts_with(p.path, r.path) END ORDER BY p.path, length(r.path) DESC, r.rank)
+ SELECT hit_id, path, coalesce(name, 'Other') AS segment, match_type AS segment_match, coalesce(rule, 'other') AS taxonomy FROM hits LEFT JOIN best USING (path)""")
 add("a17_bot_paths", ops.bot_paths, "SELECT path, crawler_type, user_agent, count(*) AS hits, CAST(sum(response_size) AS BIGINT) AS bytes, CAST(min(ts) AS STRING) AS first_hit, CAST(max(ts) AS STRING) AS last_hit, coalesce(string_agg(DISTINCT referer, ',' ORDER BY referer), '') AS referers, arg_max(file_type, (ts, hit_id)) AS file_type, arg_max(status, (ts, hit_id)) AS status, max(segment) AS segment FROM e WHERE crawler_type <> 'Human' GROUP BY 1, 2, 3", joined=False)
 add("a34_bot_types", ops.bot_types, "SELECT DISTINCT crawler_type FROM e", joined=False)
 for _kind, _col, _sql in (("referer", "referer", REFERER_CATEGORY), ("user_agent", "user_agent", UA_CATEGORY)):
