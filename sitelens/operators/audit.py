@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import urls as U
-from .pages import _n, dup_flag
+from .pages import _n
+from .tables import materialized
 
 C = F.col
 
@@ -44,12 +45,23 @@ def same_url(a: Column, b: Column) -> Column:
     return (F.coalesce(a, F.lit("")) != "") & (U.same_key(a) == U.same_key(b))
 
 
+SHARED = {"title": "dup_title", "description": "dup_description", "_h1": "dup_h1", "_h2": "dup_h2"}
+
+
 def flagged(pages: DataFrame) -> DataFrame:
-    """Pages with dup_title, dup_description, dup_h1 and dup_h2: whether another page has their value."""
-    firsts = pages.withColumns({"_h1": _first("h1"), "_h2": _first("h2")})
-    for column, name in (("title", "dup_title"), ("description", "dup_description"), ("_h1", "dup_h1"), ("_h2", "dup_h2")):
-        firsts = dup_flag(firsts, column, name)
-    return firsts.drop("_h1", "_h2")
+    """Pages with dup_title, dup_description, dup_h1 and dup_h2: whether another page has their value.
+
+    The pages are written once, so what they are derived from is read and parsed once; one aggregate finds the values of all four that
+    pages share.
+    """
+    value = lambda c: F.nullif(F.trim(C(c)), F.lit(""))
+    rows = materialized(pages.withColumns({"_h1": _first("h1"), "_h2": _first("h2")}), "audit")
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), value(c).alias("v")) for c in SHARED])).alias("r")).select("r.*").filter("v is not null")
+    many = materialized(each.groupBy("c", "v").agg(F.count("*").alias("_n")).filter("_n > 1"), "shared")
+    for c, name in SHARED.items():
+        own = many.filter(C("c") == c).select(C("v").alias("_v"), F.lit(True).alias(name))
+        rows = rows.withColumn("_v", value(c)).join(own, "_v", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_v")
+    return rows.drop("_h1", "_h2")
 
 
 # ---------------------------------------------------------------- tabs
@@ -145,7 +157,8 @@ def issues(pages: DataFrame, blocked: DataFrame | None = None, broken: DataFrame
     """
     label = F.create_map(*[x for i, (name, priority) in T.ISSUES.items() for x in (F.lit(i), F.struct(F.lit(name).alias("name"), F.lit(priority).alias("priority")))])
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in issue_conditions().items()]), lambda i: i.isNotNull())
-    rows = flagged(pages).select("url", F.explode(found).alias("id"))
+    pages = flagged(pages)
+    rows = pages.select("url", F.explode(found).alias("id"))
     rows = rows.unionByName(dup_h2(pages).withColumn("id", F.lit(43)))
     if blocked is not None:
         rows = rows.unionByName(blocked.select("url", F.lit(28).alias("id")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import urls as U
 from .graphs import components, forest, hot_join, whole_groups
-from .tables import materialized
+from .tables import materialized, partitioned
 
 C = F.col
 
@@ -77,10 +77,34 @@ def click_depth(edges: DataFrame, seeds: DataFrame, most: int | None = None) ->
     return seen
 
 
-def bypass_of(pages: DataFrame) -> DataFrame:
-    """src and dst: pages whose canonical is another address pass their weight on to it."""
-    u, c = U.norm_url(C("url")), U.norm_url(C("canonical"))
-    return pages.filter(C("canonical").isNotNull()).select(u.alias("src"), c.alias("dst")).filter("src <> dst").groupBy("src").agg(F.max("dst").alias("dst"))
+def page_edges(facts: DataFrame, key: str | None = None) -> DataFrame:
+    """source_url, url, anchor_text, rel, internal and slot (its place on the page) of every anchor that extract_pages found, and the key.
+
+    Targets that nobody has crawled are targets as well; an anchor without an address is none.
+    """
+    rows = facts.select(*([key] if key else []), C("url").alias("source_url"), F.posexplode("links").alias("slot", "_l"))
+    return rows.select(*([key] if key else []), "source_url", "_l.url", "_l.anchor_text", "_l.rel", "_l.internal", "slot").filter("url is not null")
+
+
+def bypass_of(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """src and dst: addresses whose weight another one takes.
+
+    A page's original_url and the hops of its redirect_chain lead to it, where it has these columns; a page with another canonical leads to
+    that. Rows count in `order` (None: by url), and in a row the original address, the hops, then the canonical. The last original or
+    canonical of an address holds; without any, the first hop.
+    """
+    url = U.norm_url(C("url"))
+    rank = C(order) if order else C("url")
+    hold = lambda src, dst, at, over: F.struct(src.alias("src"), dst.alias("dst"), F.struct(rank.alias("row"), F.lit(at).alias("at")).alias("order"), F.lit(over).alias("over"))
+    moves = [F.array(hold(url, U.norm_url(C("canonical")), 2, True))]
+    if "redirect_chain" in pages.columns:
+        moves.insert(0, F.transform(F.coalesce("redirect_chain", F.array().cast("array<string>")), lambda h: hold(U.norm_url(h), url, 1, False)))
+    if "original_url" in pages.columns:
+        moves.insert(0, F.array(hold(U.norm_url(C("original_url")), url, 0, True)))
+    rows = pages.select(F.explode(F.concat(*moves)).alias("m")).select("m.*").filter("src is not null and dst is not null and src <> dst")
+    of = lambda c: F.when(c, C("dst"))
+    best = rows.groupBy("src").agg(F.max_by(of(C("over")), F.when(C("over"), C("order"))).alias("_o"), F.min_by(of(~C("over")), F.when(~C("over"), C("order"))).alias("_i"))
+    return best.select("src", F.coalesce("_o", "_i").alias("dst"))
 
 
 def _ends(hops: DataFrame) -> DataFrame:
@@ -106,51 +130,55 @@ def resolve_bypass(names: DataFrame, bypass: DataFrame) -> DataFrame:
     return names.join(to, C("url") == C("_s"), "left").select(C("url").alias("src"), F.coalesce("_d", "url").alias("dst"))
 
 
-def link_score(pages: DataFrame, links: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """url and score from 1 to 100: damped link weight of successful pages that aren't bypassed, over distinct links without loops.
+def weights(pages: DataFrame, links: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(url) of the eligible pages, and (s, t, w): the share of a page's weight that each target gets. Both written.
 
-    Links marked nofollow, or to pages that aren't eligible, take their share and pass nothing on. Equal scores are 100.
+    Eligible are successful pages that aren't bypassed. Ends of links are resolved by `bypass_of`; of a page's links to one target the first counts.
     """
-    bypass = bypass_of(pages)
+    bypass = bypass_of(pages, order)
     own = pages.select(U.norm_url(C("url")).alias("url"), "status_code")
     names = own.select("url").union(links.select(U.norm_url(C("url")))).distinct()
     to = materialized(resolve_bypass(names, materialized(bypass, "bypass")), "resolved")
     eligible = materialized(own.filter("status_code between 200 and 299").select("url").distinct().join(to.filter("src = dst").select(C("src").alias("url")), "url"), "eligible")
-    n = eligible.count()
-    if not n:
-        return eligible.withColumn("score", F.lit(0).cast("long"))
     named = links.select(U.norm_url(C("source_url")).alias("a"), U.norm_url(C("url")).alias("b"), F.lower(F.coalesce("rel", F.lit(""))).contains("nofollow").alias("nofollow"), "slot")
     s, t = to.select(C("src").alias("a"), C("dst").alias("s")), to.select(C("src").alias("b"), C("dst").alias("t"))
     e = named.join(s, "a").join(t, "b").filter("s <> t").join(eligible.select(C("url").alias("s")), "s", "left_semi")
     e = e.groupBy("a", "s", "t").agg(F.min_by("nofollow", "slot").alias("nofollow"))  # a row's first link to a target counts
     out = e.groupBy("s").agg(F.count("*").alias("n_out"))
     e = e.filter("not nofollow").join(out, "s").groupBy("s", "t").agg((F.count("*") / F.first("n_out")).alias("w"))
-    e = materialized(e, "weights")
+    return eligible, materialized(e, "weights")
+
+
+def damped_rounds(eligible: DataFrame, edges: DataFrame, n: int, rounds: int, damping: float) -> DataFrame:
+    """url and v after some rounds. eligible is partitioned by url and edges by s, in as many parts as shuffles have.
+
+    A round joins the edges where they are; what travels is a partial sum for each target and task, and it arrives where the target's scores are.
+    """
     scores = eligible.withColumn("v", F.lit(1.0 / n))
-    for i in range(rounds):
-        got = e.join(scores, e["s"] == scores["url"]).groupBy("t").agg(F.sum(C("v") * C("w")).alias("g"))
+    for _ in range(rounds):
+        got = edges.join(scores, edges["s"] == scores["url"]).groupBy("t").agg(F.sum(C("v") * C("w")).alias("g"))
         scores = eligible.join(got, eligible["url"] == got["t"], "left").select("url", (F.lit((1 - damping) / n) + damping * F.coalesce("g", F.lit(0.0))).alias("v"))
-        if i % 3 == 2:
-            scores = materialized(scores, "scores")
-    ends = scores.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    norm = F.when(C("hi") - C("lo") < 1e-12, 100.0).otherwise(1 + (C("v") - C("lo")) / (C("hi") - C("lo")) * 99)
-    return scores.crossJoin(ends).select("url", F.floor(F.round(norm, 6) + 0.5).alias("score"))  # one row of ends
+    return scores
 
 
-def dup_content(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = 4, most: int = 6) -> DataFrame:
-    """Pairs (a, b, distance) of different SimHashes that share a 16-bit band and differ in at most `most` bits.
+def link_score(pages: DataFrame, links: DataFrame, rounds: int = 10, damping: float = 0.85, order: str | None = None) -> DataFrame:
+    """url and score from 1 to 100: damped link weight of successful pages that aren't bypassed, over distinct links without loops.
 
-    Equal hashes are collapsed to their smallest key first, so a boilerplate text is one row however many pages have it.
+    Links marked nofollow, or to pages that aren't eligible, take their share and pass nothing on. Equal scores are 100. The edges are
+    shuffled once, for all rounds.
     """
-    split = docs.select(C(key).alias("k"), X.plain_words(C(text)).alias("_w"))
-    hashed = split.select("k", X.simhash(C("_w")).alias("h"))
-    hashed = materialized(hashed, "simhash").filter("h <> 0").groupBy("h").agg(F.min("k").alias("k"))
-    cut = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", i * 64 // bands).bitwiseAND(F.lit((1 << (64 // bands)) - 1)).alias("s")) for i in range(bands)])).alias("b")
-    banded = hashed.select("k", "h", cut).select("k", "h", "b.i", "b.s")
-    a, b = banded.alias("a"), banded.alias("b")
-    d = F.bit_count(C("a.h").bitwiseXOR(C("b.h")))
-    pairs = a.join(b, (C("a.i") == C("b.i")) & (C("a.s") == C("b.s")) & (C("a.k") < C("b.k"))).filter(d <= most)
-    return pairs.select(C("a.k").alias("a"), C("b.k").alias("b"), d.alias("distance")).distinct()
+    eligible, e = weights(pages, links, order)
+    n = eligible.count()
+    if not n:
+        return eligible.withColumn("score", F.lit(0).cast("long"))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = [partitioned(eligible, "url", parts), partitioned(e, "s", parts)]
+    scores = materialized(damped_rounds(*kept, n, rounds, damping), "scores")
+    for x in kept:
+        x.unpersist()
+    ends = scores.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    norm = F.when(C("hi") - C("lo") < 1e-12, 100.0).otherwise(1 + (C("v") - C("lo")) / (C("hi") - C("lo")) * 99)
+    return scores.crossJoin(ends).select("url", F.floor(F.round(norm, 6) + 0.5).alias("score"))  # one row of ends
 
 
 def _cells(rows: DataFrame, key: str, block: int) -> DataFrame:

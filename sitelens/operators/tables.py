@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -44,6 +45,16 @@ def materialized(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitioned(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """df kept on the executors' disks by a key's hash in so many parts, so that joins on it shuffle nothing; unpersist() it at the end.
+
+    A lost part is made again, so df should read a written table. It is filled at once: plans know the partitions of what is there.
+    """
+    kept = df.repartition(parts, key).sortWithinPartitions(key).persist(StorageLevel.DISK_ONLY)
+    kept.count()
+    return kept
+
+
 def mark() -> int:
     """A point in time for discard."""
     return len(_made)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
+from ..functions import urls as U
 from ..operators import audit as ops
+from . import graph_queries
 from . import inputs as I
 
 QUERIES, SQL = {}, {}
@@ -64,20 +66,43 @@ ISSUE_SQL = {
     1: "title = ''", 2: "description IS NULL", 3: "dup_title", 4: "length(title) > 60", 5: "length(title) < 30", 6: "dup_description", 7: "length(description) > 160", 8: "status_code BETWEEN 400 AND 499", 9: "status_code BETWEEN 500 AND 599",
     10: "len(h1) = 0", 11: "h2 IS NULL", 12: "len(h1) > 1", 13: "canonicals IS NULL", 14: "regexp_replace(canonicals[1], '/$', '') <> regexp_replace(url, '/$', '')", 15: "contains(robots, 'noindex')", 16: "contains(robots, 'nofollow')",
     17: "list_contains(alts, '')", 18: "len(list_filter(range(1, n_images + 1), lambda i: (page_id + i) % 13 = 0)) > 0", 19: "len(list_filter(image_sizes, lambda x: x > 102400)) > 0", 20: "response_time > 2", 21: "kb > 100", 22: "word_count < 300",
-    23: "NOT starts_with(url, 'https')", 24: "redirect_count > 2", 25: "schema IS NULL", 26: "url_depth >= 4", 27: "NOT has_og", 28: "contains(url, '/fr/')", 29: "had_redirect", 30: "regexp_matches(url, '[A-Z]')", 31: "length(url) > 100",
+    23: "NOT starts_with(url, 'https')", 24: "redirect_count > 2", 25: "schema IS NULL", 26: "url_depth >= 4", 27: "NOT has_og", 29: "had_redirect", 30: "regexp_matches(url, '[A-Z]')", 31: "length(url) > 100",
     32: r"regexp_matches(url, '[_\s]')", 33: "flesch < 50", 34: "text_ratio < 10", 35: "language IS NULL", 36: "internal_links > 150", 37: "external_links > 50", 38: "css_inline > 0", 39: "mixed_content > 0", 40: "unsafe_anchors > 0", 41: "NOT mobile", 42: "cookies > 0",
-    43: "len(list_filter(h2, lambda x: x IN (SELECT h FROM (SELECT unnest(h2) AS h FROM p) GROUP BY h HAVING count(*) > 1))) > 0", 44: "page_id % 21 = 1",
+    43: "len(list_filter(h2, lambda x: x IN (SELECT h FROM (SELECT unnest(h2) AS h FROM p) GROUP BY h HAVING count(*) > 1))) > 0",
 }
 ISSUE_SQL[43] = "page_id IN (SELECT page_id FROM (SELECT page_id, count(*) OVER (PARTITION BY h) AS n FROM (SELECT page_id, unnest(h2) AS h FROM p)) WHERE n > 1)"
-ISSUES = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS id, '{T.ISSUES[i][0]}' AS name, '{T.ISSUES[i][1]}' AS priority, url FROM p WHERE {c}" for i, c in ISSUE_SQL.items())
+
+
+#: The robots file of every host of the given pages.
+ROBOTS = "# all\nUser-agent: *\nDisallow: /fr/\nAllow: /fr/8\nDisallow: /*ref=x$\n\nUser-agent: other\nDisallow: /\n"
+
+
+def blocked(pages):
+    """The pages (url) that their host's robots file keeps out."""
+    from ..sources.web import robots_allowed, robots_rules
+
+    named = pages.select("url", U.host(F.col("url")).alias("host"))
+    rules = robots_rules(named.select("host").distinct().withColumn("body", F.lit(ROBOTS)), "sitelens")
+    return robots_allowed(named, rules).filter("not allowed").select("url")
 
 
 def _issues(make):
-    return lambda p: make(p, p.filter(F.col("url").contains("/fr/")), p.filter("page_id % 21 = 1").select(F.col("url").alias("source_url")))
+    """make(pages, blocked, broken): addresses by their robots rules, links by the anchors of the html and the crawl's statuses."""
+
+    def query(spark, sf_dir):
+        pages = I.materialized(I.audit_pages(spark, sf_dir), "audit-pages")
+        dead = graph_queries.statuses(spark, sf_dir).filter("status >= 400").select("page_id").distinct()
+        return make(pages, blocked(pages), pages.join(dead, "page_id").select(F.col("url").alias("source_url")))
 
+    return query
 
-add("a24_issues", _issues(ops.issues), ISSUES)
-add("a24_issue_report", _issues(ops.issue_report), f"SELECT id, name, priority, count(*) AS urls FROM ({ISSUES}) GROUP BY 1, 2, 3")
+
+ROBOT_PATH = "regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '#.*$', '')"
+ISSUE_SQL[28] = f"regexp_matches({ROBOT_PATH}, 'ref=x$') OR (starts_with({ROBOT_PATH}, '/fr/') AND NOT starts_with({ROBOT_PATH}, '/fr/8'))"
+ISSUE_SQL[44] = "page_id IN (SELECT page_id FROM (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/]+)', 1)) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS target FROM pages) WHERE length(target) % 5 <> 0 AND length(target) % 3 = 0)"
+ISSUES = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS id, '{T.ISSUES[i][0]}' AS name, '{T.ISSUES[i][1]}' AS priority, url FROM p WHERE {c}" for i, c in ISSUE_SQL.items())
+QUERIES["a24_issues"], SQL["a24_issues"] = _issues(ops.issues), BASE + ISSUES
+QUERIES["a24_issue_report"], SQL["a24_issue_report"] = _issues(ops.issue_report), BASE + f"SELECT id, name, priority, count(*) AS urls FROM ({ISSUES}) GROUP BY 1, 2, 3"
 
 SUMMARY = """SELECT count(*) AS pages, CAST(sum(internal_links) AS BIGINT) AS total_internal_links, CAST(sum(external_links) AS BIGINT) AS total_external_links, CAST(sum(internal_links + external_links) AS BIGINT) AS total_links,
   count(*) FILTER (WHERE indexability >= 0.5) AS indexable_pages, count(*) FILTER (WHERE indexability < 0.5) AS not_indexable_pages, count(*) FILTER (WHERE status_code >= 400) AS errors, count(*) FILTER (WHERE status_code BETWEEN 200 AND 299) AS status_2xx,

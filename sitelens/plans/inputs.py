@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import logs as ops
+from ..operators.tables import materialized  # noqa: F401
 
 HITS = """
 SELECT event_id AS hit_id, ts,

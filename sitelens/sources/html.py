@@ -9,13 +9,16 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.tables import RISKY_SCRIPTS
+from . import selectors
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "noscript", "template"}
@@ -32,10 +35,57 @@ SCHEMA = (
 )
 
 
+RULE = "id long, name string, mode string, pattern string, target string, attribute string, search_text string, enabled boolean"
+FOUND = "struct<rule_id:bigint,name:string,matched:boolean,value:string>"
+CUT = 300  # bytes of a found value
+
+
+@dataclass
+class Rule:
+    """A custom search: mode css (target text, html or attribute of the first element that fits) or regex (of the visible text)."""
+
+    id: int
+    name: str
+    mode: str
+    pattern: str
+    target: str = "text"
+    attribute: str | None = None
+    search_text: str | None = None
+
+    def __post_init__(self):
+        """A pattern that can't be read is none, and finds nothing."""
+        self.chains, self.regex = None, None
+        try:
+            if self.mode == "css":
+                self.chains = selectors.compiled(self.pattern)
+            else:
+                self.regex = re.compile(self.pattern)
+        except (ValueError, re.error):
+            pass
+
+    def result(self, found: str | None) -> dict:
+        """What is said of a page of which this was found (None: nothing)."""
+        hit = found is not None and (self.mode != "css" or not self.search_text or self.search_text in found)
+        return {"rule_id": self.id, "name": self.name, "matched": hit, "value": None if found is None else cut(found)}
+
+
+def cut(value: str) -> str:
+    """A value of over CUT bytes ends at the last character that begins by there, and in dots."""
+    raw = value.encode()
+    if len(raw) <= CUT:
+        return value
+    end = CUT
+    while raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return raw[:end].decode() + "..."
+
+
 class _Page(HTMLParser):
-    def __init__(self, url: str):
+    def __init__(self, url: str, html: str = "", rules: list[Rule] = ()):
         super().__init__(convert_charrefs=True)
-        self.url, self.open, self.text = url, [], []
+        self.url, self.open, self.text, self.ended = url, [], [], False
+        self.rules, self.found, self.taken = rules, {}, {}  # by rule: what was found; open elements whose text or source is wanted
+        self.html, self.lines = html, [0, *[m.end() for m in re.finditer("\n", html)]] if rules else []
         self.f = {k: [] for k in ("titles", "canonicals", "meta_robots", "links", "images", "css", "javascript", "iframes", "schemas", "hreflangs", "forms", "blocks")}
         self.headings, self.og, self.meta, self.rel = {}, {}, {}, {}
         self.language, self.counts = None, dict.fromkeys(("css_inline", "js_inline", "unsafe", "sandbox", "risky"), 0)
@@ -46,8 +96,38 @@ class _Page(HTMLParser):
         except ValueError:
             return None
 
+    def place(self) -> int:
+        """Where the tag that is being handled begins."""
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def seek(self, tag, attrs):
+        """Rules whose first element this start tag is."""
+        stack = None
+        for i, r in enumerate(self.rules):
+            if not r.chains or i in self.found or i in self.taken:
+                continue
+            stack = stack or [*((t, x) for t, _, x, *_ in self.open), (tag, attrs)]
+            if any(selectors.chain_fits(c, stack) for c in r.chains):
+                if r.target == "attribute":
+                    self.found[i] = attrs.get((r.attribute or "").lower())
+                elif tag in VOID:
+                    self.found[i] = self.get_starttag_text() if r.target == "html" else ""
+                else:
+                    self.taken[i] = (len(self.open), self.place())
+
+    def close_taken(self, depth: int, end: int):
+        """The open elements from a depth on end, in the source at `end`; the outermost one after its own end tag."""
+        for i, (at, start) in list(self.taken.items()):
+            if at >= depth:
+                del self.taken[i]
+                outer = end if at > depth or end == len(self.html) else self.html.find(">", end) + 1 or len(self.html)
+                self.found[i] = self.html[start:outer] if self.rules[i].target == "html" else "".join(self.open[at][1])
+
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
+        a = {k: v or "" for k, v in reversed(attrs)}
+        if self.rules:
+            self.seek(tag, a)
         name = (a.get("name") or "").lower()
         if tag == "html" and a.get("lang"):
             self.language = a["lang"]
@@ -99,6 +179,8 @@ class _Page(HTMLParser):
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is None:
             return
+        if self.taken:
+            self.close_taken(at, len(self.html) if self.ended else self.place())
         for t, parts, a, link in reversed(self.open[at:]):
             text = "".join(parts)
             if t == "title":
@@ -130,12 +212,13 @@ def _sentences(text: str) -> int:
     return sum(1 for part in re.split(r"[.!?؟۔…]+", text) if _words(part)) if _words(text) else 0
 
 
-def page_facts(url: str | None, html: str | None) -> dict:
-    """The facts of one page; a null html is an empty one."""
+def page_facts(url: str | None, html: str | None, rules: list[Rule] = ()) -> dict:
+    """The facts of one page, and with rules what each of them found; a null html is an empty one."""
     url, html = url or "", html or ""
-    p = _Page(url)
+    p = _Page(url, html, rules)
     p.feed(html)
     p.close()
+    p.ended = True
     for tag, *_ in reversed(list(p.open)):
         p.handle_endtag(tag)
     f, host = p.f, re.sub(r"^www\.", "", urlsplit(url).hostname or "") if url else ""
@@ -155,6 +238,9 @@ def page_facts(url: str | None, html: str | None) -> dict:
             break
         except ValueError:
             continue
+    for i, r in enumerate(rules):
+        if r.regex and (m := r.regex.search(text)):
+            p.found[i] = next((x for x in (m[1] if r.regex.groups else None, m[0]) if x is not None), None)
     assets = [*f["css"], *f["javascript"], *f["iframes"], *[i["url"] for i in f["images"]]]
     return {
         "url": url, "title": title, "title_len": len(title.encode()) if title else 0, "description": p.meta.get("description"), "canonicals": f["canonicals"], "meta_robots": f["meta_robots"], "headings": p.headings, "opengraph": p.og,
@@ -163,15 +249,15 @@ def page_facts(url: str | None, html: str | None) -> dict:
         "language": first(p.language, p.meta.get("content-language"), p.og.get("og:locale"), p.meta.get("language")), "mobile": "viewport" in p.meta, "keywords": p.meta.get("keywords"), "refresh": p.meta.get("refresh"),
         "forms": f["forms"], "unsafe_anchors": p.counts["unsafe"], "unsandboxed_iframes": p.counts["sandbox"], "mixed_content": sum(bool(x) and x.startswith("http://") for x in assets) if url.startswith("https://") else 0, "risky_scripts": p.counts["risky"],
         "word_count": sum(_words(t) for _, t in f["blocks"]), "sentence_count": sum(_sentences(t) for _, t in f["blocks"]), "text": text, "paragraphs": " ".join(t for k, t in f["blocks"] if k == "p"), "text_bytes": len(text.encode()), "html_bytes": len(html.encode()),
-    }
+    } | ({"custom_search": [r.result(p.found.get(i)) for i, r in enumerate(rules)]} if rules else {})
 
 
-def extract_pages(pages: DataFrame, key: str | None = None) -> DataFrame:
-    """Facts of pages (url, html): a row a page. With a key, that column goes along. No shuffle."""
+def extract_pages(pages: DataFrame, key: str | None = None, rules: list[Rule] = ()) -> DataFrame:
+    """Facts of pages (url, html): a row a page. With a key, that column goes along; with rules, custom_search, one result a rule. No shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [page_facts(u, h) for u, h in zip(frame["url"], frame["html"])]
+            rows = [page_facts(u, h, rules) for u, h in zip(frame["url"], frame["html"])]
             if rows:
                 out = pd.DataFrame(rows)
                 if key:
@@ -180,13 +266,28 @@ def extract_pages(pages: DataFrame, key: str | None = None) -> DataFrame:
 
     cols = ["url", "html"] if key is None else [key, "url", "html"]
     kind = f"{key} {pages.schema[key].dataType.simpleString()}, " if key else ""
-    return pages.select(*cols).mapInPandas(run, kind + SCHEMA)
+    return pages.select(*cols).mapInPandas(run, kind + SCHEMA + (f", custom_search array<{FOUND}>" if rules else ""))
+
+
+def enabled_rules(table: DataFrame, most: int = 1000) -> list[Rule]:
+    """The enabled rules of a table (RULE), by id: a user's, `most` rows at most."""
+    rows = table.filter("enabled and name is not null and pattern is not null").drop("enabled").orderBy("id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{most} search rules at most")
+    return [Rule(r.id, r.name, r.mode or "css", r.pattern, r.target or "text", r.attribute, r.search_text) for r in rows]
+
+
+def custom_results(pages: DataFrame, table: DataFrame, key: str | None = None) -> DataFrame:
+    """url (and the key), rule_id, name, matched, value: a row for each page and enabled rule, matched or not, all from one parse of a page."""
+    rules = enabled_rules(table)
+    found = extract_pages(pages, key, rules)
+    if not rules:
+        found = found.withColumn("custom_search", F.array().cast(f"array<{FOUND}>"))
+    return found.select(*([key] if key else []), "url", F.explode("custom_search").alias("r")).select(*([key] if key else []), "url", "r.*")
 
 
 def custom_search(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """A row for each page (url, text) and regex rule (name, pattern), matched or not: value is group 1, or else the match, cut at 300 characters."""
-    from pyspark.sql import functions as F
-
     one = []
     for name, pattern in rules:
         group = 1 if re.compile(pattern).groups else 0

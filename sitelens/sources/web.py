@@ -178,3 +178,19 @@ def delete_history(spark: SparkSession, folder: str, into: str, ids: list | None
     if domain is not None:
         gone = gone | F.coalesce(F.col("domain") == domain, F.lit(False))
     spark.read.parquet(folder).filter(~gone).write.mode("errorifexists").parquet(into)
+
+
+# ---------------------------------------------------------------- search rules
+
+
+def put_rules(rules: DataFrame, folder: str, deleted: bool = False) -> None:
+    """Add search rules (html.RULE) to a store, or with `deleted` take these ids out. Files are only added, each change with its time, so readers
+    and writers don't meet; of the changes to a rule the last holds, as with enabling one."""
+    rows = rules.withColumns({"seq": F.current_timestamp(), "deleted": F.lit(deleted)})
+    rows.write.mode("append").parquet(folder)
+
+
+def read_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules of a store, by id."""
+    last = keep_last(spark.read.parquet(folder), ["id"], ["seq", "deleted"])
+    return last.filter("not deleted").drop("seq", "deleted").orderBy("id")

@@ -90,3 +90,64 @@ def test_trend_totals_read_the_hits_once(spark, sf_dir):
     assert row.ip_hits == hits.count() == row.status_hits and row.path_hits + row.human_hits == row.ip_hits
     empty = ops.trend_totals(hits.limit(0), I.crawl_list(spark, sf_dir).limit(0)).first()
     assert set(empty) == {0}
+
+
+# ---------------------------------------------------------------- selectors and custom search
+
+
+HTML = """<html><body class="a main"><div id="top" data-x="en-US"><ul><li>one <b>1</b></li><li class="hit x">two</li></ul></div>
+<div><p>para<script>let y</script></p><img src="i.png" alt="A"><p lang="en">open <i>x</div><section><ul><li>far</section><em>rest"""
+
+
+@pytest.mark.parametrize("selector,expected", [
+    ("li", "one 1"), ("LI.hit", "two"), ("li.x.hit", "two"), (".a.main #top li.hit", "two"), ("#top > li", None), ("#top > ul > li", "one 1"), ("body>div > p", "paralet y"), ("div div p", None), ("section li", "far"),
+    ("[data-x]", "one 1two"), ('[data-x="en-US"] b', "1"), ("[data-x|=en] b", "1"), ("[class~=main] b", "1"), ("[class^=hit]", "two"), ("[class$=' x']", "two"), ("[class*='t x']", "two"), ("[class^='']", None), ("[lang]", "open x"),
+    ("i", "x"), ("em", "rest"), ("h1, h2, b", "1"), ("*", None), ("#nope", None), ("img", ""), ("[data-y='a,b'], b", "1"),
+])
+def test_first_elements_of_selectors(selector, expected):
+    from sitelens.sources import html as H
+
+    found = H.page_facts("https://s/", HTML, [H.Rule(1, "r", "css", selector)])["custom_search"][0]
+    if selector == "*":
+        assert found["matched"] and found["value"].startswith("one 1two")
+    else:
+        assert (found["value"], found["matched"]) == (expected, expected is not None)
+
+
+def test_targets_of_rules():
+    from sitelens.sources import html as H
+
+    def of(**rule):
+        r = H.page_facts("https://s/", HTML, [H.Rule(1, "r", **{"mode": "css", "pattern": "li"} | rule)])["custom_search"][0]
+        return r["matched"], r["value"]
+
+    assert of(target="html") == (True, "<li>one <b>1</b></li>")
+    assert of(pattern="img", target="html") == (True, '<img src="i.png" alt="A">')
+    assert of(pattern="section ul", target="html") == (True, "<ul><li>far")  # ends where what is around it ends
+    assert of(pattern="em", target="html") == (True, "<em>rest")
+    assert of(pattern="img", target="attribute", attribute="ALT") == (True, "A")
+    assert of(pattern="img", target="attribute", attribute="none") == (False, None) == of(pattern="img", target="attribute")
+    assert of(search_text="one") == (True, "one 1") and of(search_text="zzz") == (False, "one 1") and of(search_text="") == (True, "one 1")
+    assert of(pattern="a[") == (False, None) == of(pattern="li:first-child") == of(pattern="") == of(mode="regex", pattern="(")
+    assert of(mode="regex", pattern="t(w)o") == (True, "w") and of(mode="regex", pattern="t(x)?wo") == (True, "two") and of(mode="regex", pattern="let y") == (False, None)
+    assert H.cut("é" * 150) == "é" * 150 and H.cut("é" * 151) == "é" * 150 + "..." and H.cut("x" + "é" * 150) == "x" + "é" * 149 + "..."
+
+
+def test_rule_store_and_results(spark, tmp_path):
+    from sitelens.sources import html as H
+    from sitelens.sources import web
+
+    store = f"{tmp_path}/rules"
+    row = lambda i, pattern, enabled=True, mode="css": (i, f"n{i}", mode, pattern, "text", None, None, enabled)
+    put = lambda rows, **more: web.put_rules(spark.createDataFrame(rows, H.RULE), store, **more)
+    put([row(1, "h1"), row(2, "b"), row(3, "i"), row(4, "never.x")])
+    put([row(2, "p")])
+    put([row(1, "h1", False)])
+    put([row(3, "i")], deleted=True)
+    assert [(r.id, r.pattern, r.enabled) for r in web.read_rules(spark, store).collect()] == [(1, "h1", False), (2, "p", True), (4, "never.x", True)]
+    pages = spark.createDataFrame([(7, "u", "<h1>t</h1><p>x</p>"), (8, "v", None)], "id int, url string, html string")
+    got = H.custom_results(pages, web.read_rules(spark, store), "id").orderBy("id", "rule_id").collect()
+    assert [tuple(r) for r in got] == [(7, "u", 2, "n2", True, "x"), (7, "u", 4, "n4", False, None), (8, "v", 2, "n2", False, None), (8, "v", 4, "n4", False, None)]
+    assert H.custom_results(pages, web.read_rules(spark, store).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        H.enabled_rules(web.read_rules(spark, store), 1)

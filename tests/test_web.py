@@ -102,11 +102,6 @@ def test_bypass_cycles(spark):
     assert {r["src"]: r["dst"] for r in links_ops.resolve_bypass(names, bypass).collect()} == {"a": "b", "b": "b", "c": "c", "d": "e", "e": "e"}
 
 
-def test_near_duplicate_content(spark):
-    docs = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "The quick, brown fox jumps over the lazy dog."), (3, "something else entirely is written here today"), (4, ""), (5, None)], "doc_id long, text string")
-    assert links_ops.dup_content(docs).count() == 0  # equal hashes are one row
-
-
 def test_clusters_of_near_duplicate_content(spark):
     texts = ["the quick brown fox jumps over the lazy dog", "The quick, brown fox jumps over the lazy dog.", "something else entirely is written here today", "", None]
     rows = [(i, t) for i, t in enumerate(texts * 5 + ["alone in all of this is only me", None])]
@@ -272,3 +267,69 @@ def test_panels_of_odd_pages(spark):
     assert {r["value"] for r in P.counted(rows.limit(0), ["canonicals", "summary"]).collect()} == {0}
     tree = {(r["element"], r["filter"]): (r["urls"], r["percent"]) for r in P.overview(rows.limit(0)).collect()}
     assert len(tree) == 65 and set(tree.values()) == {(0, None)}
+
+
+# ---------------------------------------------------------------- graphs of real anchors
+
+
+MOVES = "n int, url string, status_code int, canonical string, original_url string, redirect_chain array<string>"
+
+
+def _bypass(spark, rows):
+    return {r.src: r.dst for r in links_ops.bypass_of(spark.createDataFrame(rows, MOVES), "n").collect()}
+
+
+def test_redirect_bypasses_to_final_target(spark):
+    h = "https://s/"
+    assert _bypass(spark, [(1, h + "new", 200, None, h + "old", [h + "hop", h + "new", None])]) == {h + "old": h + "new", h + "hop": h + "new"}
+    rows = [(1, h + "new", 200, None, h + "old", [h + "hop"]), (2, h + "x", 200, None, None, None)]
+    pages = spark.createDataFrame(rows, MOVES)
+    links = spark.createDataFrame([(h + "x", h + "old", None, 0), (h + "x", h + "hop", None, 1)], "source_url string, url string, rel string, slot int")
+    assert {r.url: r.score for r in links_ops.link_score(pages, links, order="n").collect()} == {h + "new": 100, h + "x": 1}
+
+
+def test_rows_of_bypasses_count_in_order(spark):
+    h = "https://s/"
+    a, b, c, d = (h + x for x in "abcd")
+    assert _bypass(spark, [(1, b, 200, None, None, [a]), (2, c, 200, None, None, [a])]) == {a: b}  # the first hop holds
+    assert _bypass(spark, [(1, b, 200, None, None, [a]), (2, c, 200, None, a, None)]) == {a: c}  # an original address replaces it
+    assert _bypass(spark, [(1, c, 200, None, a, None), (2, b, 200, None, None, [a])]) == {a: c}  # and no later hop replaces that
+    assert _bypass(spark, [(1, b, 200, None, a, None), (2, c, 200, None, a, None)]) == {a: c}  # the last original address holds
+    assert _bypass(spark, [(1, a, 200, d, None, None), (2, b, 200, None, a, None)]) == {a: b}
+    assert _bypass(spark, [(2, a, 200, d, None, None), (1, b, 200, None, a, None)]) == {a: d}
+    assert _bypass(spark, [(1, a, 200, a + "#x", a, [a]), (2, None, 200, None, None, None)]) == {}
+
+
+def test_edges_are_shuffled_once_for_all_rounds(spark):
+    from pyspark.sql import functions as F
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = spark.range(3000).select((F.col("id") % 97).cast("string").alias("s"), (F.col("id") % 89).cast("string").alias("t"), F.lit(0.01).alias("w"))
+    eligible = spark.range(97).select(F.col("id").cast("string").alias("url"))
+    kept = [links_ops.partitioned(eligible, "url", parts), links_ops.partitioned(e, "s", parts)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = links_ops.damped_rounds(*kept, 97, 10, 0.85)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "REPARTITION" not in line]
+    assert len(shuffles) == 10 and all("hashpartitioning(t#" in line for line in shuffles)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for x in kept:
+        x.unpersist()
+
+
+def test_edges_of_pages(spark):
+    from sitelens.sources.html import extract_pages
+
+    html = '<a href="/x#f">one <b>two</b></a><a>no</a><a href="https://other.example/y" rel="nofollow">z</a>'
+    pages = spark.createDataFrame([(1, "https://s.example/p", html), (2, "https://s.example/q", None), (3, None, html)], "id int, url string, html string")
+    got = links_ops.page_edges(extract_pages(pages, "id"), "id").filter("id < 3").orderBy("slot").collect()
+    assert [(r.id, r.source_url, r.url, r.anchor_text, r.rel, r.internal, r.slot) for r in got] == [(1, "https://s.example/p", "https://s.example/x#f", "one two", None, True, 0), (1, "https://s.example/p", "https://other.example/y", "z", "nofollow", False, 1)]
+    assert links_ops.page_edges(extract_pages(pages.limit(0))).count() == 0
+
+
+def test_the_audit_parses_pages_once(spark, sf_dir):
+    from sitelens.operators import audit
+    from sitelens.plans import inputs
+
+    for make in (audit.tab_counts, audit.issue_report):
+        plan = make(inputs.audit_pages(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan
