@@ -30,6 +30,7 @@ MOST = 2
 SLOTS_A_SHARD = 1 << 14
 SLOTS_A_TASK = 1 << 17
 CHUNK = 4096  # shards whose counts are drawn at once
+LOT = 1000  # buckets of documents that are summed at once
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -138,8 +139,12 @@ def streams(docs: DataFrame, goals: DataFrame, rows_a_bucket: int = 1000) -> Dat
     keyed = docs.withColumn("_b", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(buckets)))
     names = goals.select("source", "s", "source_size", "target")
     keyed = keyed.join(F.broadcast(names) if names.count() <= 100_000 else names, keyed["source"].eqNullSafe(names["source"]), "left").drop(names["source"])
-    sums = keyed.groupBy("s", "_b").agg(F.sum("size").alias("_n"))
-    sums = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy("s").orderBy("_b")) - F.col("_n")).drop("_n")
+    # buckets are summed in lots of LOT, lots over a source: a row for each million documents meets in a task
+    sums = keyed.groupBy("s", "_b").agg(F.sum("size").alias("_n")).withColumn("_lot", F.floor(F.col("_b") / LOT))
+    lots = sums.groupBy("s", "_lot").agg(F.sum("_n").alias("_l"))
+    lots = lots.withColumn("_lots", F.sum("_l").over(Window.partitionBy("s").orderBy("_lot")) - F.col("_l")).drop("_l")
+    upto = F.sum("_n").over(Window.partitionBy("s", "_lot").orderBy("_b")) - F.col("_n")
+    sums = sums.withColumn("_upto", upto).join(lots, ["s", "_lot"]).select("s", "_b", (F.col("_upto") + F.col("_lots")).alias("_before"))
     within = Window.partitionBy("s", "_b").orderBy("doc_id", "_h", "size")
     run = keyed.withColumn("_run", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     return run.join(sums, ["s", "_b"]).withColumn("at", F.col("_before") + F.col("_run")).drop("_before", "_run", "_b")
@@ -152,22 +157,32 @@ def segments(placed: DataFrame, block_words: int) -> DataFrame:
     return spread.select("doc_id", "s", "at", "size", F.col("block").cast("long").alias("block"), F.greatest(F.col("at") - F.col("block") * L, F.lit(0)).cast("long").alias("lo"), F.least(F.col("at") + F.col("size") - F.col("block") * L, L).cast("long").alias("hi"))
 
 
-def mixed_documents(docs: DataFrame, block_words: int = 64, seed: int = 17) -> DataFrame:
-    """The mix as documents: a row for each document and pass that takes words of it, with all columns.
+def packed(placed: DataFrame, goals: DataFrame, block_words: int, seed: int, shard_slots: int = SLOTS_A_SHARD) -> DataFrame:
+    """The mix: a row for each shard's slot and document that it has words of: shard, s, slot, block, turn (the pass), at, lo, hi. Written.
+
+    A slot's block is found by index among the blocks of its source; lo and hi are the document's words in it, as far as the slot takes them.
+    """
+    a_pass = F.floor(F.col("source_size") / block_words) + F.when(F.col("source_size") % block_words > 0, 1).otherwise(0)
+    sizes = goals.select("s", "source_size")
+    slots = draw_slots(goals, block_words, seed, shard_slots).join(F.broadcast(sizes) if goals.count() <= 100_000 else sizes, "s").select("shard", "s", "slot", "block", "words", F.floor(F.col("slot") / a_pass).cast("int").alias("turn"))
+    found = segments(placed, block_words).join(slots.hint("merge"), ["s", "block"]).withColumn("hi", F.least("hi", "words")).filter("hi > lo")  # slots grow with the input: never broadcast
+    return written(found.select("shard", "s", "slot", "block", "turn", "at", "lo", "hi"), "mix-packed")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = 64, seed: int = 17, shard_slots: int = SLOTS_A_SHARD) -> DataFrame:
+    """The mix as documents: a row for each document and pass that takes words of it, with all columns, a shard's rows together.
 
     The text is what the pass takes of it: all of it byte by byte, or else the stretches between the first and last word of the
-    blocks taken, a line each. n_chars, if there is one, is the new text's. Documents without words stay out, as no slot takes them.
+    blocks taken, a line each. It goes to the shard of its first slot. n_chars, if there is one, is the new text's. Documents without
+    words stay out, as no slot takes them.
     """
     small = written(sized(docs), "mix-sizes")
     goals = written(targets(small), "mix-targets")
     own = carried(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("_h"), F.col("row.source").cast("string").alias("source"), F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     placed = streams(own, goals).filter("size > 0").select("row", "s", "at", "size")
-    plain = written(streams(small, goals), "mix-placed")
-    a_pass = F.floor(F.col("source_size") / block_words) + F.when(F.col("source_size") % block_words > 0, 1).otherwise(0)
-    slots = draw_slots(goals, block_words, seed).join(F.broadcast(goals.select("s", "source_size")) if goals.count() <= 100_000 else goals.select("s", "source_size"), "s").select("s", "block", "words", F.floor(F.col("slot") / a_pass).cast("int").alias("turn"))
-    pieces = segments(plain, block_words).join(slots.hint("merge"), ["s", "block"]).withColumn("hi", F.least("hi", "words")).filter("hi > lo")
+    pieces = packed(written(streams(small, goals), "mix-placed"), goals, block_words, seed, shard_slots)
     first = F.col("block") * block_words - F.col("at")
-    takes = pieces.select("s", "at", "turn", F.struct((first + F.col("lo")).cast("long").alias("a"), (first + F.col("hi")).cast("long").alias("b")).alias("p")).groupBy("s", "at", "turn").agg(F.sort_array(F.collect_list("p")).alias("takes"))  # a document's own blocks
+    takes = pieces.select("s", "at", "turn", F.struct((first + F.col("lo")).cast("long").alias("a"), (first + F.col("hi")).cast("long").alias("b")).alias("p"), "slot", "shard").groupBy("s", "at", "turn").agg(F.sort_array(F.collect_list("p")).alias("takes"), F.min_by("shard", "slot").alias("shard"))  # a document's own blocks
 
     @F.pandas_udf("string")
     def cut(texts, takes):
@@ -187,19 +202,19 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, seed: int = 17) -> D
         return pd.Series(out)
 
     rows = small_batches(placed).join(takes.hint("merge"), ["s", "at"]).withColumn("cut", cut(F.col("row.text"), F.col("takes")))
+    rows = rows.repartition("shard")
     new = {"text": F.col("cut")} | ({"n_chars": F.length("cut").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
-def mix_sources(docs: DataFrame, block_words: int = 64, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words that the mix takes of it, repeats counted)."""
+def mix_sources(docs: DataFrame, block_words: int = 64, seed: int = 17, shard_slots: int = SLOTS_A_SHARD) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words that the shards have of it, repeats counted), shards (how many have some), shard (the first slot's)."""
     small = written(sized(docs), "mix-sizes")
     goals = written(targets(small), "mix-targets")
     placed = written(streams(small, goals), "mix-placed")
-    slots = draw_slots(goals, block_words, seed).groupBy("s", "block").agg(F.sort_array(F.collect_list("words")).alias("takes"))  # two passes and a last slot at most
-    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda sum_, w: sum_ + F.greatest(F.least(F.col("hi"), w) - F.col("lo"), F.lit(0)))
-    got = segments(placed, block_words).join(slots.hint("merge"), ["s", "block"])  # slots grow with the input: never broadcast
-    got = got.select("s", "at", taken.alias("taken")).groupBy("s", "at").agg(F.sum("taken").alias("taken"))
+    mix_ = packed(placed, goals, block_words, seed, shard_slots)
+    each = mix_.groupBy("s", "at", "shard").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("slot").alias("slot"))
+    got = each.groupBy("s", "at").agg(F.sum("taken").alias("taken"), F.count("*").alias("shards"), F.min_by("shard", "slot").alias("shard"))
     with_words = placed.filter("size > 0").join(got.hint("merge"), ["s", "at"], "left")
-    rows = with_words.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    rows = with_words.unionByName(placed.filter("size = 0"), allowMissingColumns=True)
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.lit(0)).cast("long").alias("shards"), "shard")

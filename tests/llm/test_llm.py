@@ -588,8 +588,39 @@ def test_taken_follows_the_slots(spark):
         for i in range(r["words"]):
             taken[at[r["s"]][r["block"] * 16 + i]] += 1
     assert len({r["shard"] for r in slots}) > 8
-    got = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs, block_words=16).collect()}
-    assert sum(got.values()) == sum(taken.values())
+    rows = mixing.mix_sources(docs, block_words=16, shard_slots=8).collect()
+    assert {r["doc_id"]: r["taken"] for r in rows} == {i: taken[i] for i in range(len(texts))}
+    # the shards that a document's words are in, by the slots that take them
+    shards = defaultdict(set)
+    for r in mixing.draw_slots(goals, 16, 17, shard_slots=8).collect():
+        for i in range(r["words"]):
+            shards[at[r["s"]][r["block"] * 16 + i]].add(r["shard"])
+    assert {r["doc_id"]: r["shards"] for r in rows} == {i: len(shards[i]) for i in range(len(texts))} and all(r["shard"] in shards[r["doc_id"]] for r in rows if r["shards"])
+    other = mixing.mix_sources(docs, block_words=16, seed=18, shard_slots=8).collect()
+    assert [(r["doc_id"], r["shard"]) for r in sorted(other)] != [(r["doc_id"], r["shard"]) for r in sorted(rows)]
+
+
+def test_shards_have_the_weights_of_their_sources(spark):
+    goals = spark.createDataFrame([(0, 300_000, 400_000.0), (1, 200_000, 160_000.0), (2, 90_000, 80_000.0)], "s long, source_size long, target double")
+    slots = mixing.draw_slots(goals, 16, 5, shard_slots=500).groupBy("shard", "s").count().collect()
+    total = sum(r["count"] for r in slots)
+    of = Counter()
+    for r in slots:
+        of[r["s"]] += r["count"]
+    shards = 1 + max(r["shard"] for r in slots)
+    assert shards == -(-total // 500) and {s: of[s] for s in (1, 2)} == {1: 10_000, 2: 5000}
+    found = {(r["shard"], r["s"]): r["count"] for r in slots}
+    chi = sum((found.get((i, s), 0) - of[s] / shards) ** 2 / (of[s] / shards) for s in of for i in range(shards))
+    free = len(of) * (shards - 1)
+    assert abs(chi - free) < 5 * math.sqrt(2 * free)
+
+
+def test_mixing_of_repeated_rows_and_ties(spark):
+    texts = ["a b c d"] * 30 + ["e f"] * 3 + [None] * 3
+    docs = make(spark, texts, ids=[7] * 20 + [None] * 10 + list(range(6)), sources=["x"] * 30 + ["y", "y", None] * 2)
+    rows = [tuple(r) for r in mixing.mix_sources(docs, block_words=3, shard_slots=4).collect()]
+    again = [tuple(r) for r in mixing.mix_sources(docs.repartition(5), block_words=3, shard_slots=4).collect()]
+    assert len(rows) == 36 and sorted(rows, key=str) == sorted(again, key=str) and all(r[4] <= 2 * r[1] for r in rows)
 
 
 def test_chunks_share_all_slots():
