@@ -168,3 +168,6 @@ DANGEROUS_PATHS = [
     (r"/feed/?$", "RSS feed", "internal"),
     (r"/sitemap\.xml", "Sitemap", "internal"),
 ]
+
+#: The crawlers whose robots directives count.
+ROBOT_AGENTS = ["robots", "googlebot", "googlebot-news", "bingbot"]

@@ -131,3 +131,19 @@ def encoded_url(c: Column) -> Column:
         sent = F.replace(sent, F.lit(f"%{ord(x):02X}"), F.lit(x))
     malformed = c.contains("%") & (display_url(c) == c) & c.rlike("(?i)%(?![0-9a-f]{2})|%[89a-f][0-9a-f]")
     return F.when(malformed, c).otherwise(sent)
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """A reference read on a page: whole addresses stay, others take the page's scheme, host or folder; dot segments are resolved by norm_url."""
+    x = F.trim(href)
+    scheme, site = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    plain = F.regexp_replace(base, "[?#].*$", "")
+    folder = F.when(plain == site, F.concat(site, F.lit("/"))).otherwise(F.regexp_replace(plain, "[^/]*$", ""))
+    return (
+        F.when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), x)
+        .when(x.startswith("//"), F.concat(scheme, x))
+        .when(x.startswith("/"), F.concat(site, x))
+        .when(x.startswith("?"), F.concat(plain, x))
+        .when(x.startswith("#") | (x == ""), F.concat(F.regexp_replace(base, "#.*$", ""), x))
+        .otherwise(F.concat(folder, x))
+    )

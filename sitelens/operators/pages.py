@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables as T
 from ..functions import urls as U
 
 C = F.col
@@ -47,6 +48,52 @@ def indexability(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"indexability": score.otherwise(F.lit(1.0)), "reason": why.otherwise(F.lit("Indexable: successful response with no blocking directive"))})
 
 
+def directives(values: Column) -> Column:
+    """The robots directives in some values, in lower case and without signs around them.
+
+    Values are cut at commas and semicolons; a part may begin with a crawler's name and a colon, and counts if that is one of ROBOT_AGENTS.
+    """
+    parts = F.flatten(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.split(F.lower(F.coalesce(v, F.lit(""))), "[,;]")))
+
+    def own(part: Column) -> Column:
+        agent, rest = F.trim(F.regexp_extract(part, "^([^:]*):", 1)), F.regexp_extract(part, "^[^:]*:(.*)$", 1)
+        return F.when(~part.contains(":"), part).when(agent.isin(T.ROBOT_AGENTS), rest).otherwise("")
+
+    words = F.flatten(F.transform(parts, lambda p: F.split(F.trim(own(p)), r"\s+")))
+    return F.transform(words, lambda w: F.regexp_replace(w, "^[^a-z0-9]+|[^a-z0-9]+$", ""))
+
+
+def page_indexability(pages: DataFrame) -> DataFrame:
+    """Pages with indexability (0, 0.5, 0.8 or 1) and its reason, by the first that holds: status, X-Robots-Tag, meta robots, canonicals, directives.
+
+    pages have url, status_code, x_robots (header values), robots_meta (name and content of robots metas, any names) and canonicals, as they
+    are written; arrays may be null.
+    """
+    s = F.coalesce("status_code", F.lit(0))
+    metas = F.filter("robots_meta", lambda m: F.lower(F.trim(m["name"])).isin(T.ROBOT_AGENTS))
+    has = lambda words, *names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
+    rows = pages.withColumns({"_h": directives(C("x_robots")), "_m": directives(F.transform(metas, lambda m: m["content"])), "_c": F.coalesce("canonicals", F.array().cast("array<string>"))})
+    target = U.norm_url(U.resolved(F.try_element_at("_c", F.lit(1)), C("url")))
+    either = lambda *names: has(C("_h"), *names) | has(C("_m"), *names)
+    rules = [
+        (~s.between(200, 299) | (s == 204), 0.0, F.concat(F.lit("Not indexable: HTTP status "), s.cast("string"))),
+        (has(C("_h"), "noindex", "none"), 0.0, F.lit("Not indexable: X-Robots-Tag contains noindex")),
+        (has(C("_m"), "noindex", "none"), 0.0, F.lit("Not indexable: meta robots contains noindex")),
+        (F.size("_c") > 1, 0.0, F.lit("Not indexable: multiple canonical links found")),
+        ((F.size("_c") == 1) & C("url").isNull(), 0.5, F.concat(F.lit("Canonical found but page URL was unavailable: "), F.try_element_at("_c", F.lit(1)))),
+        ((F.size("_c") == 1) & (target == U.norm_url(C("url"))), 1.0, F.lit("Indexable: self-referencing canonical")),
+        (F.size("_c") == 1, 0.0, F.concat(F.lit("Not indexable: canonical points to "), target)),
+        (either("nofollow", "none"), 0.8, F.lit("Indexable: nofollow directive present")),
+        (either("index", "all"), 1.0, F.lit("Indexable: explicit index directive present")),
+    ]
+    score, why = None, None
+    for cond, value, reason in rules:
+        score = F.when(cond, value) if score is None else score.when(cond, value)
+        why = F.when(cond, reason) if why is None else why.when(cond, reason)
+    found = {"indexability": score.otherwise(F.lit(1.0)), "reason": why.otherwise(F.lit("Indexable: successful response with no blocking directive"))}
+    return rows.withColumns(found).drop("_h", "_m", "_c")
+
+
 def _n(cond: Column, name: str) -> Column:
     return F.count_if(cond).alias(name)
 
@@ -104,6 +151,56 @@ def internal_view(pages: DataFrame) -> DataFrame:
     return rows.orderBy(F.coalesce("crawl_depth", F.lit(99)), F.length("url"), "url")
 
 
+#: The 73 columns of the internal table, in order; those without a source are null.
+INTERNAL = (
+    "address content_type status_code status indexability indexability_status title_1 title_1_length title_1_pixels description_1 description_1_length description_1_pixels keywords_1 keywords_1_length "
+    "h1_1 h1_1_length h2_1 h2_1_length h2_2 h2_2_length meta_robots_1 meta_robots_2 x_robots_tag_1 meta_refresh_1 canonical_1 rel_next_1 rel_prev_1 http_rel_next_1 http_rel_prev_1 amphtml "
+    "size_bytes transferred_bytes total_transferred_bytes co2_mg carbon_rating word_count sentence_count words_per_sentence flesch readability text_ratio crawl_depth folder_depth link_score "
+    "inlinks unique_inlinks unique_js_inlinks percent_of_total outlinks unique_outlinks unique_js_outlinks external_outlinks unique_external_outlinks unique_external_js_outlinks "
+    "closest_near_duplicate near_duplicates spelling_errors grammar_errors hash response_time last_modified redirect_url redirect_type cookies language http_version mobile_alternate "
+    "closest_similar_address similarity_score similar_addresses relevance_score encoded_address crawl_timestamp"
+).split()
+
+
+def internal_table(pages: DataFrame, links: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """All INTERNAL columns of every page, by depth (missing: 99), then by length of address.
+
+    pages have url, status_code and whatever else is known (missing columns are null); links source_url, url and internal; scores
+    url and score, as link_score gives them. Link counts are partial sums by target and source, joined once each.
+    """
+    has = lambda c: C(c) if c in pages.columns else F.lit(None).cast("string")
+    item = lambda c, i: F.try_element_at(c, F.lit(i)) if c in pages.columns else F.lit(None).cast("string")
+    key = lambda c: U.inlink_key(C(c))
+    ins = links.groupBy(key("url").alias("_in")).agg(F.count("*").alias("_inlinks"), F.countDistinct(key("source_url")).alias("_sources"))
+    outer = lambda c: F.when(~F.coalesce("internal", F.lit(False)), c)
+    outs = links.groupBy(key("source_url").alias("_out")).agg(F.count("*").alias("_outlinks"), F.countDistinct(key("url")).alias("_targets"), F.count(outer(C("url"))).alias("_ext"), F.countDistinct(outer(key("url"))).alias("_exts"))
+    rows = pages.withColumn("_k", key("url")).join(ins, C("_k") == C("_in"), "left").join(outs, C("_k") == C("_out"), "left")
+    if scores is not None:
+        rows = rows.withColumn("_u", U.norm_url(C("url"))).join(scores.select(C("url").alias("_s"), C("score").alias("_score")), C("_u") == C("_s"), "left")
+    rows = rows.crossJoin(pages.agg(F.count("*").alias("_all")))  # one row
+    zero = lambda c: F.coalesce(C(c), F.lit(0)).cast("long")
+    length = lambda c: F.nullif(F.length(c), F.lit(0))
+    sent = F.coalesce(has("transferred_bytes").cast("long"), has("html_bytes").cast("long"))
+    words, sentences = has("word_count").cast("long"), has("sentence_count").cast("long")
+    title, desc, keywords, h1, h2, h22 = has("title"), has("description"), has("keywords"), item("h1", 1), item("h2", 1), item("h2", 2)
+    found = {
+        "address": U.display_url(C("url")), "content_type": F.coalesce(has("content_type"), F.lit("text/html")), "status_code": C("status_code"), "status": U.status_text(C("status_code")),
+        "indexability": F.when(F.coalesce(has("indexability").cast("double"), F.lit(0.5)) >= 0.5, "Indexable").otherwise("Non-Indexable"), "indexability_status": has("reason"),
+        "title_1": title, "title_1_length": length(title), "title_1_pixels": F.when(F.length(title) > 0, U.title_px(title)), "description_1": desc, "description_1_length": length(desc), "description_1_pixels": F.when(F.length(desc) > 0, U.desc_px(desc)),
+        "keywords_1": keywords, "keywords_1_length": length(keywords), "h1_1": h1, "h1_1_length": length(h1), "h2_1": h2, "h2_1_length": length(h2), "h2_2": h22, "h2_2_length": length(h22),
+        "meta_robots_1": item("robots", 1), "meta_robots_2": item("robots", 2), "x_robots_tag_1": item("x_robots", 1), "meta_refresh_1": has("refresh"), "canonical_1": item("canonicals", 1), "rel_next_1": has("next"), "rel_prev_1": has("prev"),
+        "http_rel_next_1": has("http_rel_next"), "http_rel_prev_1": has("http_rel_prev"), "amphtml": has("amp"), "size_bytes": has("html_bytes").cast("long"), "transferred_bytes": sent, "total_transferred_bytes": sent,
+        "co2_mg": U.co2_mg(sent), "carbon_rating": U.carbon_rating(U.co2_mg(sent)), "word_count": words, "sentence_count": sentences, "words_per_sentence": F.when((words > 0) & (sentences > 0), F.round(words / sentences, 2)),
+        "flesch": F.round(has("flesch").cast("double"), 2), "readability": has("readability"), "text_ratio": F.round(has("text_ratio").cast("double"), 2), "crawl_depth": has("url_depth").cast("int"), "folder_depth": U.folder_depth(C("url")),
+        "link_score": C("_score").cast("long") if scores is not None else F.lit(None).cast("long"), "inlinks": zero("_inlinks"), "unique_inlinks": zero("_sources"), "percent_of_total": F.round(zero("_sources") * 100.0 / F.greatest("_all", F.lit(1)), 2),
+        "outlinks": zero("_outlinks"), "unique_outlinks": zero("_targets"), "external_outlinks": zero("_ext"), "unique_external_outlinks": zero("_exts"), "hash": has("hash"), "response_time": has("response_time").cast("double"),
+        "last_modified": has("last_modified"), "redirect_url": has("redirect_url"), "redirect_type": has("redirection_type"), "cookies": has("cookies").cast("int"), "language": has("language"), "http_version": has("http_version"),
+        "mobile_alternate": has("mobile_alternate"), "encoded_address": U.encoded_url(C("url")), "crawl_timestamp": has("crawl_timestamp"),
+    }
+    table = rows.select(*[found.get(c, F.lit(None).cast("string")).alias(c) for c in INTERNAL], F.length("url").alias("_n"), C("url").alias("_url"))
+    return table.orderBy(F.coalesce("crawl_depth", F.lit(99)), "_n", "_url").drop("_n", "_url")
+
+
 def even_sample(pages: DataFrame, most: int, order: str) -> DataFrame:
     """At most `most` rows, evenly spread over the order: the rows floor(i * n / most). Ranks come from range partitions, not from one task."""
     n = pages.count()
