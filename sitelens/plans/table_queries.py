@@ -76,3 +76,37 @@ i AS (SELECT {G.TARGET.format('url')} AS k, count(*) AS total, count(DISTINCT {G
 z AS (SELECT h.*, ix.indexability, ix.reason, html, CAST(strlen(html) AS BIGINT) AS bytes, h.page_id * 37 % 1200 AS words, CASE WHEN h.page_id % 3 = 0 THEN ['Part', 'Other part'] END AS h2, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, regexp_replace(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')), '\\s+', ' ', 'g') AS h1
   FROM ({HEADERS.format(pages="pages")}) h JOIN ix USING (page_id) JOIN (SELECT page_id, html FROM pages) USING (page_id))
 SELECT """ + ", ".join(f"{_KNOWN.get(c, 'CAST(NULL AS VARCHAR)')} AS {c}" for c in ops.INTERNAL) + f" FROM z LEFT JOIN i ON i.k = {G.TARGET.format('z.url')} LEFT JOIN o ON o.k = {G.TARGET.format('z.url')} LEFT JOIN score ON score.u = regexp_replace(z.url, '#.*$', '')"
+
+#: Two reports a page, as the speed test answers: display values, numbers, nulls and missing measures by page.
+REPORTS = """
+SELECT page_id, url, concat('{{"Ok":[{{"categories":{{"performance":{{"score":0.', CAST(page_id % 90 + 10 AS STRING), '}},"seo":{{"score":', CASE WHEN page_id % 5 = 0 THEN 'null' ELSE '1' END, '}}}},"audits":{{"speed-index":{{', CASE WHEN page_id % 3 = 0 THEN concat('"displayValue":"', CAST(page_id % 9 AS STRING), ' s",') ELSE '' END, '"numericValue":', CAST(page_id % 7000 AS STRING), '.25}},"dom-size":{{"displayValue":"', CAST(page_id * 3 AS STRING), ' elements"}},"redirects":{{"score":', CAST(page_id % 2 AS STRING), '}}}}}}',
+  CASE WHEN page_id % 4 = 1 THEN '' ELSE concat(',{{"categories":{{"performance":{{"score":0.5}}}},"audits":{{"total-byte-weight":{{"numericValue":', CAST(page_id * 1000 AS STRING), '}}}}}}') END, ']}}') AS psi_results
+FROM {pages}"""
+
+
+def _vitals(spark, sf_dir):
+    from ..sources.web import vitals
+
+    return vitals(spark.sql(REPORTS, pages=I.table(spark, sf_dir, "pages")))
+
+
+def _vital(i: int, path: str, display: bool) -> str:
+    at = lambda x: f"json_extract(psi_results, '$.Ok[{i}].{x}')"
+    if not display:
+        return f"coalesce(CAST(CAST(floor(TRY_CAST({at(path + '.score')} AS DOUBLE) * 100 + 0.5) AS BIGINT) AS VARCHAR), 'n/a')"
+    return f"coalesce(json_extract_string(psi_results, '$.Ok[{i}].{path}.displayValue'), printf('%.2f', TRY_CAST({at(path + '.numericValue')} AS DOUBLE)), 'n/a')"
+
+
+def _vitals_sql() -> str:
+    from ..sources.web import CATEGORIES, VITALS
+
+    cells = []
+    for short, name in VITALS.items():
+        sides = ((0, ""),) if short in ("redirects", "dom_nodes") else ((0, "_m"), (1, "_d"))
+        path = f'categories."{name}"' if short in CATEGORIES else f'audits."{name}"'
+        cells += [f"{_vital(i, path, short not in (*CATEGORIES, 'redirects'))} AS {short}{side}" for i, side in sides]
+    return f"SELECT url, {', '.join(cells)} FROM ({REPORTS.format(pages='pages')})"
+
+
+QUERIES["s21_vitals"] = _vitals
+SQL["s21_vitals"] = _vitals_sql()

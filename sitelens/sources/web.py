@@ -35,22 +35,48 @@ def read_ip_ranges(spark: SparkSession, path: str, family: str) -> DataFrame:
     return raw.select(F.explode("prefixes").alias("p")).select(F.lit(family).alias("family"), F.explode(F.array("p.ipv4Prefix", "p.ipv6Prefix")).alias("cidr")).filter("cidr is not null")
 
 
+def sitemap_entries(spark: SparkSession, path: str) -> DataFrame:
+    """kind (page or sitemap), loc and file of the entries of sitemaps and sitemap indexes, by the XML source; documents that hold <html> have none.
+
+    Only the loc of an entry itself counts, not that of an image or video in it; namespaces don't matter. Files are streamed, a task each.
+    """
+
+    def entries(tag: str, kind: str) -> DataFrame:
+        rows = spark.read.format("xml").schema("loc string").option("rowTag", tag).option("ignoreNamespace", True).option("multiLine", True).load(path)
+        return rows.select(F.lit(kind).alias("kind"), F.nullif(F.trim("loc"), F.lit("")).alias("loc"), F.col("_metadata.file_path").alias("file"))
+
+    pages = spark.read.text(path).filter(F.lower("value").contains("<html")).select(F.col("_metadata.file_path").alias("file")).distinct()
+    return entries("url", "page").unionByName(entries("sitemap", "sitemap")).filter("loc is not null").join(pages, "file", "left_anti").select("kind", "loc", "file")
+
+
 def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
-    """kind (page or sitemap) and loc of the entries of sitemaps and sitemap indexes; other documents have none."""
-    docs = spark.read.option("wholetext", True).text(path).filter(~F.lower("value").contains("<html"))
-    entry = r"(?s)<(?:\w+:)?(url|sitemap)>(.*?)</(?:\w+:)?\1>"
-    pairs = docs.select(F.explode(F.arrays_zip(F.regexp_extract_all("value", F.lit(entry), 1).alias("k"), F.regexp_extract_all("value", F.lit(entry), 2).alias("b"))).alias("e"))
-    # a loc of an image or video is within an element of its own
-    own = F.regexp_replace(F.col("e.b"), r"(?s)<(\w+:\w+)>.*?</\1>", "")
-    loc = F.coalesce(F.nullif(F.trim(F.regexp_extract(own, r"(?s)<loc>(.*?)</loc>", 1)), F.lit("")), F.nullif(F.trim(F.regexp_extract(F.col("e.b"), r"(?s)<(?!image|video|news)\w+:loc>(.*?)</\w+:loc>", 1)), F.lit("")))
-    plain = F.replace(F.replace(F.replace(F.replace(F.replace(loc, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
-    return pairs.select(F.when(F.col("e.k") == "url", "page").otherwise("sitemap").alias("kind"), plain.alias("loc")).filter("loc is not null")
+    """kind and loc of sitemap_entries."""
+    return sitemap_entries(spark, path).drop("file")
+
+
+def _verdict(n, warn: int, refuse: int):
+    return F.when(n > refuse, "refuse").when(n > warn, "warn").otherwise("ok")
 
 
 def site_size(entries: DataFrame, warn: int = 5000, refuse: int = 10_000) -> DataFrame:
     """Addresses listed, and whether a crawl of them is ok, too much to go unasked (warn) or too much (refuse)."""
-    n = F.count_if(F.col("kind") == "page")
-    return entries.agg(n.alias("pages")).withColumn("verdict", F.when(F.col("pages") > refuse, "refuse").when(F.col("pages") > warn, "warn").otherwise("ok"))
+    return entries.agg(F.count_if(F.col("kind") == "page").alias("pages")).withColumn("verdict", _verdict(F.col("pages"), warn, refuse))
+
+
+def estimated_size(entries: DataFrame, read: DataFrame, warn: int = 5000, refuse: int = 10_000) -> DataFrame:
+    """One row: leaves, pages (listed in them), unread, urls (the estimate), from_sitemap, verdict.
+
+    entries are (kind, loc, file), read the sitemaps (file) that were opened, with those that list nothing. A sitemap that an index names and
+    nobody has opened counts as many pages as those opened do on average, cut to a whole number, and one at least. Without any entry
+    nothing is known, and the verdict is ok.
+    """
+    opened = read.select("file").distinct()
+    leaves = opened.join(entries.filter("kind = 'sitemap'").select("file").distinct(), "file", "left_anti").agg(F.count("*").alias("leaves"))
+    unread = entries.filter("kind = 'sitemap'").select(F.col("loc").alias("file")).distinct().join(opened, "file", "left_anti").agg(F.count("*").alias("unread"))
+    totals = entries.agg(F.count_if(F.col("kind") == "page").alias("pages"), (F.count("*") > 0).alias("from_sitemap"))
+    each = F.when(F.col("leaves") > 0, F.greatest(F.floor(F.col("pages") / F.col("leaves")), F.lit(1))).otherwise(0)
+    rows = totals.crossJoin(leaves).crossJoin(unread).withColumn("urls", (F.col("pages") + F.col("unread") * each).cast("long"))  # a row each
+    return rows.select("leaves", "pages", "unread", "urls", "from_sitemap", F.when(F.col("from_sitemap"), _verdict(F.col("urls"), warn, refuse)).otherwise("ok").alias("verdict"))
 
 
 # ---------------------------------------------------------------- robots
@@ -118,6 +144,41 @@ def psi_history(df: DataFrame) -> DataFrame:
     return df.select("url", "strategy", F.coalesce(_number("$.categories.performance.score"), F.lit(0.0)).alias("performance"), *[audit(v).alias(k) for k, v in METRICS.items()])
 
 
+#: The vitals table: what it has of the mobile and the desktop report, in order; `redirects` and `dom_nodes` are of the mobile one only.
+VITALS = {
+    "perf": "performance", "acc": "accessibility", "bp": "best-practices", "seo": "seo", "speed_index": "speed-index", "lcp": "largest-contentful-paint", "cls": "cumulative-layout-shift",
+    "fcp": "first-contentful-paint", "interactive": "interactive", "tbt": "total-blocking-time", "redirects": "redirects", "ttfb": "server-response-time", "dom_nodes": "dom-size", "byte_weight": "total-byte-weight",
+}
+CATEGORIES = ("perf", "acc", "bp", "seo")
+
+
+def vitals(df: DataFrame) -> DataFrame:
+    """url and 26 texts a row: each measure of the mobile (_m) and the desktop (_d) report of psi_results, a JSON text {Ok: [mobile, desktop]}.
+
+    A score is its percentage, a measure its display value or its number to two places; what isn't there is n/a. The text is parsed once, to a VARIANT.
+    """
+    rows = df.select("url", F.try_parse_json("psi_results").alias("_v"))
+    at = lambda i, path, kind: F.try_variant_get("_v", f"$.Ok[{i}].{path}", kind)
+    number = lambda i, path: F.when(F.schema_of_variant(F.try_variant_get("_v", f"$.Ok[{i}].{path}", "variant")) != "STRING", at(i, path, "double"))
+    text = lambda i, path: F.when(F.schema_of_variant(F.try_variant_get("_v", f"$.Ok[{i}].{path}", "variant")) == "STRING", at(i, path, "string"))
+    score = lambda i, path: F.coalesce((F.signum(number(i, path)) * F.floor(F.abs(number(i, path)) * 100 + 0.5)).cast("long").cast("string"), F.lit("n/a"))
+    places = lambda x: F.when(x.isNotNull(), F.format_string("%.2f", x))
+    audit = lambda i, name: F.coalesce(text(i, f"audits['{name}'].displayValue"), places(number(i, f"audits['{name}'].numericValue")), F.lit("n/a"))
+
+    def of(i: int, short: str, name: str):
+        if short in CATEGORIES:
+            return score(i, f"categories['{name}'].score")
+        if short == "redirects":
+            return score(i, "audits.redirects.score")
+        return audit(i, name)
+
+    cells = []
+    for short, name in VITALS.items():
+        sides = ((0, ""),) if short in ("redirects", "dom_nodes") else ((0, "_m"), (1, "_d"))
+        cells += [of(i, short, name).alias(short + side) for i, side in sides]
+    return rows.select(F.coalesce("url", F.lit("")).alias("url"), *cells)
+
+
 def read_analytics(spark: SparkSession, path: str) -> DataFrame:
     """Report rows {dimensionHeaders, metricHeaders, rows} as (row, name, value), dimensions and metrics alike."""
     cell = "array<struct<value:string>>"

@@ -333,3 +333,61 @@ def test_the_audit_parses_pages_once(spark, sf_dir):
     for make in (audit.tab_counts, audit.issue_report):
         plan = make(inputs.audit_pages(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInPandas" not in plan
+
+
+# ---------------------------------------------------------------- sitemaps, vitals, indexability
+
+
+def test_sitemap_entries_by_the_xml_source(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<?xml version='1.0'?>\n<urlset xmlns='x' xmlns:image='y'>\n<url>\n <loc>\n https://s/ü?a=1&amp;b=2\n</loc><image:image><image:loc>https://s/i.png</image:loc></image:image></url><url><loc><![CDATA[https://s/b]]></loc></url><url><lastmod>x</lastmod></url><url><loc> </loc></url></urlset>")
+    (tmp_path / "c.xml").write_text('<sm:sitemapindex xmlns:sm="q"><sm:sitemap><sm:loc>https://s/c.xml</sm:loc></sm:sitemap></sm:sitemapindex>')
+    (tmp_path / "d.xml").write_text("<!doctype html>\n<HTML><body><url><loc>https://no</loc></url></body></HTML>")
+    (tmp_path / "e.xml").write_text("")
+    got = {(r.kind, r.loc, r.file.rsplit("/", 1)[1]) for r in W.sitemap_entries(spark, str(tmp_path)).collect()}
+    assert got == {("page", "https://s/ü?a=1&b=2", "a.xml"), ("page", "https://s/b", "a.xml"), ("sitemap", "https://s/c.xml", "c.xml")}
+
+
+def test_unread_sitemaps_are_estimated(spark):
+    import random
+
+    def measured(entries, read):
+        e = spark.createDataFrame(entries, "kind string, loc string, file string")
+        return tuple(W.estimated_size(e, spark.createDataFrame([(x,) for x in read], "file string"), 50, 100).first())
+
+    rng = random.Random(3)
+    for _ in range(6):
+        read = [f"s{i}" for i in range(rng.randrange(1, 6))]
+        index = read[: rng.randrange(2)]
+        entries = [("page", f"u{i}", rng.choice([x for x in read if x not in index] or ["s9"])) for i in range(rng.randrange(40))] if len(read) > len(index) else []
+        children = [f"s{rng.randrange(20)}" for _ in range(rng.randrange(30))] if index else []
+        entries += [("sitemap", c, index[0]) for c in children]
+        leaves, pages = len(read) - len({f for k, _, f in entries if k == "sitemap"}), sum(k == "page" for k, *_ in entries)
+        unread = len(set(children) - set(read))
+        urls = pages + (unread * max(1, pages // leaves) if leaves else 0)
+        verdict = "ok" if not entries else "refuse" if urls > 100 else "warn" if urls > 50 else "ok"
+        assert measured(entries, read) == (leaves, pages, unread, urls, bool(entries), verdict)
+    assert measured([], []) == (0, 0, 0, 0, False, "ok")
+    assert measured([("sitemap", f"c{i}", "i") for i in range(101)] + [("page", "u", "l")], ["i", "l", "empty"])[3:] == (102, True, "refuse")  # one page at least each
+
+
+def test_vitals_of_odd_reports(spark):
+    one = '{"Ok":[{"categories":{"performance":{"score":0.935},"seo":{"score":1},"accessibility":{"score":null}},"audits":{"speed-index":{"displayValue":"1.2 s","numericValue":1200},"largest-contentful-paint":{"numericValue":2345.678},"redirects":{"score":0},"dom-size":{"displayValue":""},"interactive":{"displayValue":3,"numericValue":7}}},{"categories":{"performance":{"score":"x"}}}]}'
+    rows = {r.url: r for r in W.vitals(spark.createDataFrame([("a", one), ("b", None), ("c", "{"), ("d", '{"Err":"no"}'), (None, '{"Ok":[]}')], "url string, psi_results string")).collect()}
+    a = rows["a"]
+    assert len(a) == 27 and (a.perf_m, a.seo_m, a.acc_m, a.bp_m, a.perf_d) == ("94", "100", "n/a", "n/a", "n/a")
+    assert (a.speed_index_m, a.lcp_m, a.redirects, a.dom_nodes, a.interactive_m, a.speed_index_d) == ("1.2 s", "2345.68", "0", "", "7.00", "n/a")
+    assert all(set(rows[k][1:]) == {"n/a"} for k in ("b", "c", "d", ""))
+
+
+def test_indexability_in_full(spark):
+    from sitelens.operators import pages as P
+
+    rows = [
+        (0, "https://s/p", 404, None, None, None), (1, "https://s/p", 204, None, None, None), (2, "https://s/p", 200, ["googlebot: noindex"], None, ["/x"]), (3, "https://s/p", 200, ["otherbot: noindex"], [("RobotS ", "None;")], None),
+        (4, "https://s/p", 200, None, [("otherbot", "noindex")], ["/p", "/p"]), (5, "https://s/p", 200, None, None, ["../p#x"]), (6, "https://s/p", 200, ["nofollow"], None, ["//t/"]), (7, "https://s/p", 200, ["unavailable_after: noindex", "\"NoFollow\""], None, []),
+        (8, "https://s/p", 200, None, [("bingbot", "all")], None), (9, "https://s/p", 200, [None], [("robots", None)], None), (10, None, 200, None, None, ["/x"]), (11, None, None, None, None, None),
+    ]
+    got = P.page_indexability(spark.createDataFrame(rows, "n int, url string, status_code int, x_robots array<string>, robots_meta array<struct<name:string,content:string>>, canonicals array<string>")).orderBy("n").collect()
+    assert [r.indexability for r in got] == [0, 0, 0, 0, 0, 1, 0, 0.8, 1, 1, 0.5, 0]
+    said = [r.reason.split(": ", 1)[1] for r in got]
+    assert said[2:10] == ["X-Robots-Tag contains noindex", "meta robots contains noindex", "multiple canonical links found", "self-referencing canonical", "canonical points to https://t/", "nofollow directive present", "explicit index directive present", "successful response with no blocking directive"]
