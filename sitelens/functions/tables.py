@@ -171,3 +171,6 @@ DANGEROUS_PATHS = [
 
 #: The crawlers whose robots directives count.
 ROBOT_AGENTS = ["robots", "googlebot", "googlebot-news", "bingbot"]
+
+#: Endings of addresses that are files to a crawl, not pages.
+FILE_ENDINGS = ["PDF", "DOC", "DOCX", "XLS", "XLSX", "PPT", "PPTX", "CSV", "ZIP", "RAR", "TXT"]

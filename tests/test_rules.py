@@ -151,3 +151,28 @@ def test_rule_store_and_results(spark, tmp_path):
     assert H.custom_results(pages, web.read_rules(spark, store).limit(0)).count() == 0
     with pytest.raises(ValueError):
         H.enabled_rules(web.read_rules(spark, store), 1)
+
+
+def test_crawl_tables_are_written_by_one_job(spark, tmp_path):
+    import csv
+
+    from sitelens.operators import exports as X
+    from sitelens.sources.html import extract_pages
+
+    html = '<title>Say "hi", you</title><link rel="stylesheet" href="/s.css"><a href="/a.pdf?x#y" title="T" target="_blank">one\ntwo</a><a href="/b" rel="nofollow">b</a><img src="/i.PNG" alt="pic">'
+    pages = spark.createDataFrame([("https://s/1", html), ("https://s/2", None)], "url string, html string")
+    hop = F.struct(F.lit("https://s/0").alias("url"), F.lit(302).alias("status_code"), F.lit("https://s/1").alias("location"))
+    rows = extract_pages(pages).withColumns({"redirect_chain": F.when(F.col("url") == "https://s/1", F.array(hop)), "link_statuses": F.create_map(F.lit("https://s/b"), F.lit(404)), "keywords_top": F.array(F.struct(F.lit("w").alias("word"), F.lit(3).alias("n")))})
+    X.write_tables(X.crawl_tables(rows), f"{tmp_path}/t", ranges=4)
+    got = {}
+    for kind, header in X.TABLES.items():
+        lines = [x for f in sorted((tmp_path / "t" / f"kind={kind}").glob("*.txt")) for x in f.read_text().splitlines()]
+        got[kind] = list(csv.reader(lines))
+        assert got[kind][0] == header and all(len(r) == len(header) for r in got[kind])
+    assert [r[1] for r in got["main"][1:]] == ['Say "hi", you', ""] and got["main"][1][16:18] == ["", "Indexable"]
+    assert sorted(got["links"][1:]) == sorted([["one two", "", "https://s/a.pdf?x#y", "T", "_blank", "", "https://s/1"], ["b", "nofollow", "https://s/b", "", "", "404", "https://s/1"]])
+    assert got["files"][1:] == [["https://s/a.pdf?x#y", "PDF", "https://s/1"]] and got["css"][1:] == [["https://s/s.css"]]
+    assert got["images"][1:] == [["https://s/i.PNG", "pic", "", "PNG", ""]] and got["redirects"][1:] == [["https://s/0", "302", "https://s/1", "1", "302 Redirect"]]
+    assert got["keywords"][1][:3] == ["https://s/1", "w", "3"] and len(got["keywords"]) == 3
+    few = spark.createDataFrame([("u",)], "url string")
+    assert [r.kind for r in X.crawl_tables(few).collect()] == ["main", "keywords"] and X.crawl_tables(few.limit(0)).count() == 0
