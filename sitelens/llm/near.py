@@ -35,6 +35,7 @@ N = 64
 MISS = 5e-5
 LIST = 2048
 CELL = 100_000  # shingles of a block of a cluster
+FEW = 500_000  # keys of documents that are broadcast, at most: some 30 MB
 
 _SALTS = mix(np.arange(1, N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -206,7 +207,10 @@ def exact_forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
 
 
 def _forests(cells: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): the forests of cells (component, a, b, side, node, shingles); with a <> b, between sides only."""
+    """(src, dst): the forests of cells (component, a, b, side, node, shingles); with a <> b, between sides only.
+
+    In a cell within a part, nodes that aren't connected there with the component's smallest node, which every part has, come with a null dst.
+    """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, ["component", "a", "b"]):
@@ -215,17 +219,40 @@ def _forests(cells: DataFrame, percent: int) -> DataFrame:
             raw = t.column("shingles")
             src, dst = [], []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if e - s > 1:
-                    own = [np.frombuffer(raw[x].as_py(), np.uint64) for x in range(s, e)]
-                    for i, j in exact_forest(own, percent, side[s:e] if split[s] else None):
-                        src.append(node[s + i])
-                        dst.append(node[s + j])
+                if e - s < 2:
+                    continue
+                own = [np.frombuffer(raw[x].as_py(), np.uint64) for x in range(s, e)]
+                edges = exact_forest(own, percent, side[s:e] if split[s] else None)
+                reached = {0}  # the smallest node is the first, and edges lead on from where they start
+                for i, j in edges:
+                    src.append(int(node[s + i]))
+                    dst.append(int(node[s + j]))
+                    if i in reached:
+                        reached.add(j)
+                if not split[s]:
+                    loose = [int(node[s + i]) for i in range(e - s) if i not in reached]
+                    src += loose
+                    dst += [None] * len(loose)
             if src:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(src)), pa.array(np.array(dst))], ["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     return cells.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node").mapInArrow(confirm, "src long, dst long")
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text, and the other columns of wanted, of the documents whose id and text it names by rep and rep_t; rows that repeat both follow each other.
+
+    If wanted has FEW rows at most, the documents are looked through where they lie, and only those found are shuffled.
+    """
+    key = lambda c: [F.coalesce(F.col(c), F.lit(0)).alias("_k"), F.col(c).isNull().alias("_null")]
+    wanted = wanted.select(*[c for c in wanted.columns if c not in ("rep", "rep_t")], *key("rep"), F.col("rep_t").alias("_t"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").select("text", *key("_id"), F.xxhash64("text").alias("_t"))
+    on = ["_k", "_null", "_t"]
+    if wanted.count() <= FEW:
+        texts = texts.join(F.broadcast(wanted.select(*on)), on, "left_semi")
+    return small_batches(texts).join(wanted.hint("merge"), on).drop(*on)
+
+
 def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """(src, dst): spanning forests of the links within candidate clusters, on full sets.
 
@@ -247,33 +274,28 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
             raw = h.tobytes()
             yield pa.RecordBatch.from_arrays([*(rows.column(i).take(pa.array(own, pa.int64())) for i in (1, 2, 3)), pa.array([raw[8 * where[i] : 8 * where[i + 1]] for i in own], pa.binary())], ["node", "component", "parts", "shingles"])
 
-    key = lambda c: [F.coalesce(F.col(c), F.lit(0)), F.col(c).isNull()]
-    wanted = members.select(F.col("id").alias("node"), "component", "parts", *[x.alias(n) for x, n in zip(key("rep"), ("_k", "_null"))], F.col("rep_t").alias("_t"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").select("text", *[x.alias(n) for x, n in zip(key("_id"), ("_k", "_null"))], F.xxhash64("text").alias("_t"))
-    texts = small_batches(texts).join(wanted.hint("merge"), ["_k", "_null", "_t"]).select("text", "node", "component", "parts")
+    texts = texts_of(docs, members.select(F.col("id").alias("node"), "component", "parts", "rep", "rep_t"))
     rows = written(texts.mapInArrow(sets, "node long, component long, parts int, shingles binary"), "near-sets", "none")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cell = lambda f, a, b, side: f.select("component", a.alias("a"), b.alias("b"), side.alias("side"), "node", "shingles")
     small = cell(rows.filter("parts = 1"), F.lit(0), F.lit(0), F.lit(0))
     large = rows.filter("parts > 1")
     if not large.head(1):
-        return _forests(small, percent)
+        return _forests(small, percent).filter("dst is not null")
     # a component's id is its smallest node: the hub, which goes to every part
     hubs = large.filter("node = component").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p")).filter(F.col("_p") != part)
-    found = written(_forests(small.unionByName(cell(large, part, part, F.lit(0))).unionByName(cell(hubs, F.col("_p"), F.col("_p"), F.lit(0))), percent), "near-forests")
-    joined = written(components(found).withColumnRenamed("component", "label"), "near-joined")
-    labels = large.select("component", "node", F.octet_length("shingles").alias("size")).join(joined.withColumnRenamed("id", "node").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labels = written(labels, "near-labels")
-    # the hub is its component's smallest node, so its label is itself
-    loose = written(labels.filter("label <> component").select("component", "node", "size"), "near-loose")
-    if not loose.head(1):
-        return found
-    spread = written(loose.groupBy("component").agg(F.ceil(F.sum("size") / (8 * CELL)).cast("int").alias("loose_parts")), "near-spread")
-    one = large.join(loose.select("node").hint("merge"), "node", "left_semi").join(spread.hint("merge"), "component").withColumn("_a", F.pmod(F.xxhash64("node"), F.col("loose_parts")).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = written(_forests(cell(large, part, part, F.lit(0)).unionByName(cell(hubs, F.col("_p"), F.col("_p"), F.lit(0))), percent), "near-forests")
+    every = found.filter("dst is not null").unionByName(_forests(small, percent).filter("dst is not null"))
+    gone = found.filter("dst is null").select(F.col("src").alias("node"))
+    if not gone.head(1):
+        return every
+    loose = written(large.join(gone.hint("merge"), "node", "left_semi"), "near-loose", "none")
+    spread = written(loose.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * CELL)).cast("int").alias("loose_parts")), "near-spread")
+    one = loose.join(spread.hint("merge"), "component").withColumn("_a", F.pmod(F.xxhash64("node"), F.col("loose_parts")).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     all_ = large.join(spread.hint("merge"), "component").withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("loose_parts") - 1)))
     # a below b marks two sides
     across = cell(one, -1 - F.col("_a"), F.col("_b"), F.lit(0)).unionByName(cell(all_, -1 - F.col("_a"), part, F.lit(1)))
-    return found.unionByName(_forests(across, percent))
+    return every.unionByName(_forests(across, percent))
 
 
 def _least(doc_id: str, t: str):
