@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fixed_binary, fixed_matrix, hot_join, mix, shingle_hashes, small_batches, text_chunks, whole_groups, word_hashes, words, written
-from .near import classes_of, grouped, names_of, shingle_sets
+from .near import classes_of, grouped, names_of, shingle_sets, texts_of
 
 SHARE = 1.3  # segments that a set posts, as a multiple of those that it needs if all hold tokens
-MORE = 4  # and so many besides
-WHOLE = 32  # bands that end below this post all segments
+MORE = 8  # and so many besides
+WHOLE = 128  # bands that end below this post all segments
 LIST = 2048
 BITS = 1024  # of a sketch
 INDEX, ASK, BELOW, DELETION = 1, 2, 4, 8  # what a posting is: to be found, to find; in the band below the set's own; without one token
@@ -279,20 +279,26 @@ def _sketch_forest(plan: Plan, size: np.ndarray, sketch: np.ndarray, side: np.nd
 
 def _by_tokens(docs: DataFrame, classes: DataFrame, k: int, plan: Plan) -> DataFrame:
     """(src, dst): weak classes and all that share a token of their prefix, the tokens of which one must be shared. Few sets are weak, if any."""
+    weak = classes.filter("weak").select("node", "rep", "rep_t")
+    asked = texts_of(docs, weak)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in text_chunks(batches, "text"):
+            h, where = shingle_sets(data, at, k)
+            size = np.diff(where)
+            first = size - plan.least(size) + 1
+            own = np.arange(len(h)) - np.repeat(where[:-1], size) < np.repeat(first, size)
+            yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), rows.column(1).take(pa.array(np.repeat(np.arange(len(size)), size)[own]))], ["token", "src"])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at in text_chunks(batches, "text"):
             h, where = shingle_sets(data, at, k)
             name = names_of(h, where)[:, 0].view(np.int64)
-            size = np.diff(where)
-            place = np.arange(len(h)) - np.repeat(where[:-1], size)
-            prefix = place < np.repeat(size - plan.least(size) + 1, size)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(name, size)), pa.array(prefix)], ["token", "short", "prefix"])
-
-    every = small_batches(docs).select("text").mapInArrow(tokens, "token long, short long, prefix boolean")
-    weak = classes.filter("weak").select("short", F.col("node").alias("src"))
-    asked = written(every.filter("prefix").join(weak.hint("merge"), "short").select("token", "src").distinct(), "jaccard-weak")
-    few = asked.count() <= 100_000
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(name, np.diff(where)))], ["token", "short"])
+
+    asked = written(asked.select("text", "node").mapInArrow(prefixes, "token long, src long").distinct(), "jaccard-weak")
+    few = asked.count() <= 1_000_000
+    every = small_batches(docs).select("text").mapInArrow(tokens, "token long, short long")
     pairs = every.join(F.broadcast(asked) if few else asked.hint("merge"), "token").select("src", "short").distinct()
     return pairs.join(classes.select("short", F.col("node").alias("dst")).hint("merge"), "short").select("src", "dst")
 
