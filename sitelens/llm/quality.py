@@ -5,9 +5,10 @@ Documents' statistics are standardised with the training rows' mean and deviatio
 equations, and the driver solves one system of D equations, whatever the input. Scores are calibrated by isotonic regression
 over a histogram of fixed size, made of training rows that the fit didn't see.
 
-Labels come from rows whose crc32(doc_id) mod 5 is not 0. Null and empty texts have statistics of zero and are scored too. Where
+Labels come from rows whose crc32(doc_id) mod 5 is not 0. Null and empty texts have the statistics of no words and are scored too. Where
 labels repeat a doc_id, its largest label counts; null labels don't. With no labelled rows all scores are 0.5.
-Repeated rows are scored each. Extra columns are ignored.
+Repeated rows are scored each, equal texts alike; statistics that tie give equal scores. Texts of any length are read whole, one at least at
+a time. An empty table has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ D = 256
 GAMMA = 0.05
 RIDGE = 1e-2
 BINS = 1000
+LOTS = 64
 CUT = 0.3
 
 
@@ -57,7 +60,7 @@ class Kernel:
 
 
 def normal_equations(train: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of z z' and of z y over rows (x, y): a partition sums its own, then Spark sums row by row of the matrix."""
+    """Sum of z z' and of z y over rows (x, y): a partition sums its own, then Spark sums row by row of the matrix, LOTS lots of partitions at first."""
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -66,18 +69,19 @@ def normal_equations(train: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.n
             got = np.column_stack([z.T @ z, z.T @ f["y"].to_numpy(float)])
             total = got if total is None else total + got
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "v": list(total)})
+            yield pd.DataFrame({"i": np.arange(len(total)), "lot": TaskContext.get().partitionId() % LOTS, "v": list(total)})
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for f in frames:
-            for i, v in zip(f["i"], f["v"]):
-                sums[i] = sums[i] + v if i in sums else v
+            for i, lot, v in zip(f["i"], f["lot"], f["v"]):
+                sums[i, lot] = sums[i, lot] + v if (i, lot) in sums else v
         if sums:
-            yield pd.DataFrame({"i": list(sums), "v": list(sums.values())})
+            yield pd.DataFrame({"i": [i for i, _ in sums], "lot": 0, "v": list(sums.values())})
 
-    schema = "i int, v array<double>"
-    rows = train.select("x", "y").mapInPandas(part, schema).repartition(8, "i").mapInPandas(add, schema).collect()  # D + 1 rows
+    schema = "i int, lot int, v array<double>"
+    lots = train.select("x", "y").mapInPandas(part, schema).repartition("i", "lot").mapInPandas(add, schema)
+    rows = lots.repartition(8, "i").mapInPandas(add, schema).collect()  # D + 1 rows
     m = np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])])
     return m[:, :-1], m[:, -1]
 
@@ -122,7 +126,7 @@ def quality(docs: DataFrame, labels: DataFrame, seed: int = 5) -> DataFrame:
     total, positive = np.zeros(BINS), np.zeros(BINS)
     for r in hist:
         total[r["bin"]], positive[r["bin"]] = r["n"], r["p"]
-    # half a row of each label, spread over the bins, keeps the ends off 0 and 1; a slope keeps scores apart within a step
+    # a small slope keeps scores apart within a step
     share = isotonic(total, positive)
     curve = np.clip(0.998 * share + 0.002 * np.linspace(0, 1, BINS), 0, 1).tolist()
     scored = stats.select("doc_id", held, F.element_at(F.array(*map(F.lit, curve)), binned("x") + 1).alias("score"))

@@ -5,7 +5,8 @@ differences packed at that width, and an exception list of the positions and val
 starts of the blocks and the documents' ids and lengths, so a file can be read alone, whole or from any block on.
 
 Nulls and empty texts have no ids besides the end id. Rows with the same doc_id, null included (first of all), are ordered by
-a hash of their text; equal rows follow each other. Extra columns are ignored.
+a hash of their text; equal rows follow each other. Texts of any length are encoded whole, one at least at a time, and may fill many blocks.
+An empty table has no files and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

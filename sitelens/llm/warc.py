@@ -4,7 +4,8 @@ The reader goes through a file once, front to back: it inflates a member bit by
 its block by Content-Length, and checks block and payload digests, so it holds one block at most.
 
 A null html is an empty payload. Of equal payloads the smallest page_id is the response (rows that repeat it are too);
-null ids come last. Extra columns are ignored.
+null ids come last. A payload of any length is one record, which a task holds whole. An empty table has no archives and no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations

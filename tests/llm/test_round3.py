@@ -344,3 +344,69 @@ def test_shared_keeps_keys_of_two_sets_across_batches(spark):
     for k, s, _ in rows:
         sets[k].add(s)
     assert sorted(tuple(r) for r in got) == sorted({r for r in rows if len(sets[r[0]]) > 1})
+
+
+# ---------------------------------------------------------------- statistics and the pipeline
+
+
+def plain_stats(text):
+    """features.STATS of one text, byte by byte."""
+    t = (text or "").encode()
+    lower = t.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+    pattern = re.compile(rb"[^\x20\x09-\x0d]+")
+    w, lw = pattern.findall(t), pattern.findall(lower)
+    n, size = max(len(w), 1), max(len(t), 1)
+    upper = lambda b: 65 <= b <= 90
+    letter = lambda b: upper(b) or 97 <= b <= 122 or b >= 128
+    space = lambda b: b == 32 or 9 <= b <= 13
+    digit = lambda b: 48 <= b <= 57
+    symbol = lambda b: b in b"#$%&*+<=>@\\^_`{|}~"
+    length = [len(x) for x in w]
+    mean = sum(length) / n
+    pairs = list(zip(lw, lw[1:]))
+    lines = re.findall(rb"[^\n]+", lower)
+    share = lambda test: sum(map(test, t)) / size
+    return [
+        np.log1p(len(w)), mean, np.sqrt(max(0, sum(x * x for x in length) / n - mean**2)), sum(x > 20 for x in length) / n, share(upper),
+        sum(sum(map(upper, x)) >= 2 and sum(map(upper, x)) == sum(map(letter, x)) for x in w) / n, share(digit), share(lambda b: b >= 32 and b != 127 and not (letter(b) or digit(b) or space(b))), share(symbol), sum(any(map(symbol, x)) for x in w) / n,
+        share(lambda b: b == 33), len(set(lw)) / n, max([lw.count(x) for x in set(lw)], default=0) / n, 1 - len(set(pairs)) / max(len(pairs), 1), sum(a == b for a, b in pairs) / max(len(pairs), 1),
+        max(len(lines), 1) / n, 1 - len(set(lines)) / max(len(lines), 1), share(lambda b: b >= 128), sum(b in b".," for b in t) / n,
+    ]
+
+
+def test_statistics_against_plain_python(spark):
+    from sitelens.llm.features import STATS, text_stats
+
+    rng = random.Random(12)
+    texts = [*[t or "" for t in ODD], "One TWO two Two!!\nline, line.\nLine, line.\n\n A1 $x #y ABC ÄÖ \x7f\x01 averyveryverylongwordindeed x x x", *(prose(rng, 80, 9).upper() + "\n" + prose(rng, 30, 5) for _ in range(5)), "A. " * 20_000]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    got = text_stats(data, at)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_stats(t), abs=1e-9), (t[:40], [s for s, a, b in zip(STATS, got[i], plain_stats(t)) if abs(a - b) > 1e-9])
+
+
+def test_quality_of_long_texts_ties_and_repeats(spark):
+    from sitelens.llm import quality
+
+    rng = random.Random(2)
+    texts = [prose(rng, 40) if i % 2 else "$$$ " * 30 for i in range(200)] + ["long text " * 40_000, "$$$ " * 30, prose(random.Random(5), 40)] + [prose(random.Random(5), 40)] * 2
+    labels = spark.createDataFrame([(i, i % 2, None, "x") for i in range(200)], LABELS)
+    rows = quality.quality(make(spark, texts, ids=[*range(203), 202, 202]), labels).collect()
+    assert len(rows) == 205 and len({r.score for r in rows if r.doc_id == 202}) == 1 and len({r.score for r in rows if r.doc_id % 2 == 0 and r.doc_id < 200 or r.doc_id == 201}) == 1
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = [*ODD, *(prose(rng, 90) for _ in range(12))] * 2
+    docs = make(spark, texts, ids=[None if i % 9 == 0 else i // 2 for i in range(len(texts))], sources=[rng.choice(["a", None, ""]) for _ in texts])
+    labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(10)] + [(None, 1, 1, "y")], LABELS)
+    for name, some in (("odd", docs), ("empty", docs.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    odd = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert odd.count() > 5 and odd.filter("not lossless").count() == 0
+    empty = corpus_pipeline.run(spark, f"{tmp_path}/empty")
+    assert empty.count() == 0 and empty.columns == odd.columns
