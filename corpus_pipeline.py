@@ -6,8 +6,7 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sitelens.llm.common import written
@@ -17,8 +16,6 @@ from sitelens.llm.passages import repeated_passages, without_passages
 from sitelens.llm.pieces import sampled_pieces
 from sitelens.llm.toxicity import without_toxic
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
@@ -42,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each row, and whether they decode to its text."""
-    return sampled_pieces(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sampled_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]
