@@ -174,3 +174,9 @@ ROBOT_AGENTS = ["robots", "googlebot", "googlebot-news", "bingbot"]
 
 #: Endings of addresses that are files to a crawl, not pages.
 FILE_ENDINGS = ["PDF", "DOC", "DOCX", "XLS", "XLSX", "PPT", "PPTX", "CSV", "ZIP", "RAR", "TXT"]
+
+#: Content types by the ending of an address.
+CONTENT_TYPES = {
+    "js": "application/javascript", "mjs": "application/javascript", "css": "text/css", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "avif": "image/avif", "svg": "image/svg+xml", "ico": "image/x-icon",
+    "woff": "font/woff", "woff2": "font/woff2", "ttf": "font/ttf", "otf": "font/otf", "eot": "application/vnd.ms-fontobject", "pdf": "application/pdf", "xml": "application/xml", "json": "application/json", "mp4": "video/mp4", "webm": "video/webm", "mp3": "audio/mpeg", "zip": "application/zip",
+}

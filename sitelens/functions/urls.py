@@ -147,3 +147,15 @@ def resolved(href: Column, base: Column) -> Column:
         .when(x.startswith("#") | (x == ""), F.concat(F.regexp_replace(base, "#.*$", ""), x))
         .otherwise(F.concat(folder, x))
     )
+
+
+def extension(c: Column) -> Column:
+    """What follows the last dot of an address's last path segment, in lower case; '' if there is none."""
+    return F.lower(F.regexp_extract(F.element_at(F.split(url_path(c), "/"), -1), r"\.([^.]*)$", 1))
+
+
+def content_type_for(c: Column, known: Column | None = None) -> Column:
+    """The content type that is known, or else that of the address's ending; '' for other endings."""
+    table = F.create_map(*[F.lit(x) for kv in T.CONTENT_TYPES.items() for x in kv])
+    guess = F.coalesce(F.try_element_at(table, extension(c)), F.lit(""))
+    return guess if known is None else F.coalesce(F.nullif(known, F.lit("")), guess)

@@ -246,6 +246,11 @@ def page_slice(pages: DataFrame, kind: str) -> DataFrame:
     }[kind]()
 
 
+def redirects(pages: DataFrame) -> DataFrame:
+    """The pages that were redirected to, or that answer with a redirect."""
+    return pages.filter(F.coalesce("had_redirect", F.lit(False)) | C("status_code").between(300, 399))
+
+
 def insecure_content(pages: DataFrame) -> DataFrame:
     """A row for each HTTPS page and HTTP resource that it loads: url, kind, resource."""
 

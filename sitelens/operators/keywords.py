@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -42,9 +42,12 @@ def query_key(c):
 def gsc_query_match(gsc: DataFrame, urls: DataFrame) -> DataFrame:
     """Per url: rows, clicks, impressions, click rate in percent, mean position, and the first five queries by clicks then name."""
     rows = urls.select("url", query_key(C("url")).alias("_k")).join(gsc.withColumn("_k", query_key(C("url"))).drop("url"), "_k")
-    five = F.array_join(F.transform(F.slice(F.sort_array(F.collect_set(F.struct((-C("clicks")).alias("c"), C("query").alias("q")))), 1, 5), lambda s: s["q"]), ", ")
+    rank = F.row_number().over(Window.partitionBy("url").orderBy(F.desc_nulls_last("clicks"), F.col("query").asc_nulls_last()))
+    best = rows.select("url", "clicks", "query").distinct().withColumn("_r", rank).filter(C("_r") <= 5)
+    five = best.groupBy("url").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "query"))), lambda s: s["query"]), ", ").alias("queries"))
     imp = F.sum("impressions")
-    return rows.groupBy("url").agg(F.count("*").alias("matches"), F.sum("clicks").alias("clicks"), imp.alias("impressions"), F.when(imp > 0, F.round(F.sum("clicks") * 100.0 / imp, 6)).otherwise(0.0).alias("ctr"), F.round(F.avg("position"), 6).alias("position"), five.alias("queries"))
+    totals = rows.groupBy("url").agg(F.count("*").alias("matches"), F.sum("clicks").alias("clicks"), imp.alias("impressions"), F.when(imp > 0, F.round(F.sum("clicks") * 100.0 / imp, 6)).otherwise(0.0).alias("ctr"), F.round(F.avg("position"), 6).alias("position"))
+    return totals.join(five, "url")
 
 
 def compare_periods(df: DataFrame, dims: list[str], metrics: list[str], date: str, start: str, end: str) -> DataFrame:

@@ -6,7 +6,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -27,6 +27,45 @@ def outlinks(links: DataFrame) -> DataFrame:
     return links.groupBy("source_url").agg(F.count("*").alias("total"), F.countDistinct(F.substring_index("url", "#", 1)).alias("unique_links"))
 
 
+def outlinks_split(links: DataFrame) -> DataFrame:
+    """Links of each page within its site and out of it, all and without those that differ in the fragment only."""
+    own, plain = F.coalesce("internal", F.lit(False)), F.substring_index("url", "#", 1)
+    each = links.groupBy("source_url", own.alias("_i"), plain.alias("_u")).agg(F.count("*").alias("_n"))
+    of = lambda side: (F.coalesce(F.sum(F.when(side, C("_n"))), F.lit(0)), F.count_if(side))
+    (i, ui), (e, ue) = of(C("_i")), of(~C("_i"))
+    return each.groupBy("source_url").agg(i.alias("internal"), ui.alias("unique_internal"), e.alias("external"), ue.alias("unique_external"))
+
+
+def scored_links(links: DataFrame, scores: DataFrame) -> DataFrame:
+    """Links with the link_score of the address that they lead to, letter by letter; null where it has none."""
+    own = scores.groupBy(C("url").alias("_t")).agg(F.max("score").alias("link_score"))
+    return links.join(own, C("url") == C("_t"), "left").drop("_t")
+
+
+def linked_files(links: DataFrame) -> DataFrame:
+    """url and content_type of the addresses with a known ending that links lead to, within the site or out of it, once each."""
+    kind = U.content_type_for(C("url"))
+    return links.select("url", kind.alias("content_type")).filter("content_type <> ''").distinct()
+
+
+def link_graph(links: DataFrame, depths: DataFrame, most: int = 220) -> tuple[DataFrame, DataFrame]:
+    """Nodes (url, in_degree, out_degree, degree) and edges of the part of a site's graph that can be drawn.
+
+    Degrees are of all distinct links without loops; the `most` nodes of the highest stay (ties by url), and the one with the least depth
+    (url, depth) always does, for the weakest. Edges are those among them.
+    """
+    e = materialized(links.filter("source_url is not null and url is not null and source_url <> url").select("source_url", "url").distinct(), "graph")
+    ends = e.select(C("source_url").alias("url"), F.lit(1).alias("o")).unionByName(e.select("url", F.lit(0).alias("o")))
+    nodes = materialized(ends.groupBy("url").agg(F.sum(1 - C("o")).alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree")), "degrees")
+    root = nodes.join(depths.select("url", "depth"), "url").filter("depth is not null").orderBy("depth", "url").limit(1).select("url", F.lit(0).alias("_p"))
+    first = nodes.orderBy(F.desc("degree"), "url").limit(most).select("url", F.lit(1).alias("_p"), (-C("degree")).alias("_d"))
+    # the root first, then the others: of `most` + 1 rows the last one goes
+    kept = root.withColumn("_d", F.lit(0).cast("long")).unionByName(first).groupBy("url").agg(F.min("_p").alias("_p"), F.min("_d").alias("_d")).orderBy("_p", "_d", "url").limit(most)
+    kept = materialized(kept.select("url"), "kept")  # `most` rows
+    near = F.broadcast(kept)
+    return nodes.join(near, "url", "left_semi"), e.join(near, "url", "left_semi").join(F.broadcast(kept.withColumnRenamed("url", "source_url")), "source_url", "left_semi")
+
+
 def reconcile(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Links with the status of the page that they lead to: null if it wasn't crawled, an error from 400 on, or for 0."""
     target = pages.select(U.norm_url(C("url")).alias("_k"), C("status_code").alias("_s"))
@@ -38,8 +77,10 @@ def reconcile(links: DataFrame, pages: DataFrame) -> DataFrame:
 def broken_links(links: DataFrame, most: int = 1000) -> DataFrame:
     """Dead targets: status, pages that link there, and up to `most` of them in order. A link without status or error isn't broken."""
     dead = links.filter((C("status") >= 400) | C("error").isNotNull())
-    pairs = dead.groupBy("url", "source_url").agg(F.max("status").alias("status"), F.max("error").alias("error"))
-    return pairs.groupBy("url").agg(F.max("status").alias("status"), F.max("error").alias("reason"), F.count("*").alias("pages"), F.array_join(F.slice(F.sort_array(F.collect_set("source_url")), 1, most), " ").alias("sources"))
+    pairs = materialized(dead.groupBy("url", "source_url").agg(F.max("status").alias("status"), F.max("error").alias("error")), "dead-links")
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("source_url"))  # tasks keep their first `most` of a target before the shuffle
+    first = pairs.select("url", "source_url").withColumn("_r", rank).filter(C("_r") <= most).groupBy("url").agg(F.array_join(F.sort_array(F.collect_list("source_url")), " ").alias("sources"))
+    return pairs.groupBy("url").agg(F.max("status").alias("status"), F.max("error").alias("reason"), F.count("*").alias("pages")).join(first, "url")
 
 
 def carriers(pages: DataFrame, links: DataFrame) -> DataFrame:

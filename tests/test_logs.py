@@ -95,3 +95,38 @@ def test_partial_rollups_of_a_stream(spark, sf_dir, tmp_path):
     rollups.write_rollup(stream, "status", str(tmp_path / "parts"), str(tmp_path / "cp")).awaitTermination()
     want = ops.rollup(ops.enrich(src.read_access_logs(spark, str(tmp_path / "logs")), I.RULES), "status")
     assert {tuple(r) for r in rollups.read_rollup(spark, "status", str(tmp_path / "parts")).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_states_of_a_stream_equal_the_batch_after_replays(spark, tmp_path):
+    keys = ["path", "segment"]
+    kind = "ts string, path string, segment string, crawled boolean"
+    rows = [(f"2024-01-01 00:{i % 60:02d}", f"/p{i % 7}", "S" if i % 3 else None, None if i % 5 == 0 else i % 11 == 0) for i in range(230)]
+    folder = str(tmp_path / "states")
+    for n in range(23):
+        part = spark.createDataFrame(rows[n * 10 : n * 10 + 10], kind)
+        if n % 4 == 1:  # a try that failed half-way
+            rollups.save_states(part.limit(3), n, keys, folder, every=5)
+        rollups.save_states(part, n, keys, folder, every=5)
+        if n in (5, 10):  # and one whose compaction had been done
+            rollups.save_states(part, n, keys, folder, every=5)
+    got = sorted([tuple(r) for r in rollups.read_states(spark, keys, folder).collect()], key=str)
+    assert got == sorted([tuple(r) for r in rollups.states(spark.createDataFrame(rows, kind), keys).collect()], key=str) and sum(r[2] for r in got) == 230
+    assert sorted(p.name for p in (tmp_path / "states").iterdir()) == ["base=19", "batch=20", "batch=21", "batch=22"]
+    rollups.compact(spark, keys, folder, 19)
+    rollups.compact(spark, keys, folder, 22)
+    assert [p.name for p in (tmp_path / "states").iterdir()] == ["base=22"]
+    assert sorted([tuple(r) for r in rollups.read_states(spark, keys, folder).collect()], key=str) == got
+    assert rollups.read_states(spark, keys, str(tmp_path / "none")) is None
+
+
+def test_states_of_log_files(spark, sf_dir, tmp_path):
+    lines = [f'10.0.0.{i % 9} - - [01/Jan/2024:00:00:{i % 60:02d} +0000] "GET /p{i % 4} HTTP/1.1" 200 5 "-" "curl/8"' for i in range(90)]
+    (tmp_path / "logs").mkdir()
+    for i in range(6):
+        (tmp_path / "logs" / f"{i}.log").write_text("\n".join(lines[i * 15 : i * 15 + 15]) + "\n")
+    known = lambda df: df.withColumn("crawled", F.col("path") == "/p1")
+    for _ in range(2):  # nothing new the second time
+        rollups.write_states(known(src.stream_access_logs(spark, str(tmp_path / "logs"), 1)), ["path"], str(tmp_path / "s"), str(tmp_path / "cp"), 4).awaitTermination()
+    got = {r.path: (r.hits, r.crawled) for r in rollups.read_states(spark, ["path"], str(tmp_path / "s")).collect()}
+    assert got == {f"/p{i}": (sum(j % 4 == i for j in range(90)), i == 1) for i in range(4)}
+    assert len(list((tmp_path / "s").iterdir())) <= 4

@@ -176,3 +176,25 @@ def test_crawl_tables_are_written_by_one_job(spark, tmp_path):
     assert got["keywords"][1][:3] == ["https://s/1", "w", "3"] and len(got["keywords"]) == 3
     few = spark.createDataFrame([("u",)], "url string")
     assert [r.kind for r in X.crawl_tables(few).collect()] == ["main", "keywords"] and X.crawl_tables(few.limit(0)).count() == 0
+
+
+def test_charts_of_odd_pages(spark):
+    from sitelens.operators import charts as Ch
+    from sitelens.operators import links as Li
+
+    kind = "url string, status_code int, kb int, css array<string>, javascript array<string>, images array<struct<url:string>>, had_redirect boolean, schema string, mobile boolean, indexability double, reason string"
+    rows = [("https://s/a/b", 200, 10, ["x", "x", None], None, [("i",)], True, "T", True, 1.0, "r"), ("https://s/a/b?q", 404, None, ["x", "y"], ["j"], None, None, None, None, None, None), ("http://s", None, 2000, None, [], [], False, "", False, 0.0, "r"), (None, 301, None, None, None, None, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, kind)
+    assert {tuple(r) for r in Ch.asset_mix(pages).collect()} == {("Pages", 4), ("Redirects", 2), ("CSS", 2), ("JavaScript", 1), ("Images", 1)}
+    assert {tuple(r) for r in Ch.page_weights(pages).collect()} == {("Light (<100KB)", 1, 1005), ("Very Heavy (>1MB)", 1, 1005)}
+    assert {tuple(r) for r in Ch.compliance(pages).collect()} == {("https", 2, 50.0), ("schema", 1, 25.0), ("mobile", 1, 25.0)}
+    tree = {r.node: tuple(r)[1:] for r in Ch.url_tree(pages).collect()}
+    assert tree == {"root": (0, True, 2, None, False), "root/a": (1, False, 2, None, None), "root/a/b": (2, True, 0, 404, True)}
+    assert tuple(Ch.url_tree_totals(Ch.url_tree(pages)).first()) == (2, 1, 2)
+    assert [tuple(r) for r in Ch.top_reasons(pages, 1).collect()] == [("Unknown", 2)]
+    none = pages.limit(0)
+    assert Ch.asset_mix(none).count() == Ch.page_weights(none).count() == Ch.treemap(none).count() == 0 and tuple(Ch.url_tree_totals(Ch.url_tree(none)).first()) == (0, 0, 0)
+    links = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("c", "a"), ("c", "a"), ("a", "a"), (None, "a"), ("d", "b")], "source_url string, url string")
+    depths = spark.createDataFrame([("r", 0), ("a", 1), ("zz", -1), ("b", None)], "url string, depth int")
+    nodes, edges = Li.link_graph(links, depths, 2)
+    assert {tuple(r) for r in nodes.collect()} == {("a", 3, 1, 4), ("r", 0, 1, 1)} and [tuple(r) for r in edges.collect()] == [("r", "a")]
