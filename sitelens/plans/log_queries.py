@@ -191,3 +191,15 @@ add("k1_hits_page", lambda h: ops.page(h, 3, 50, "response_size", True).select("
 add("k3_rollup_page", lambda h: ops.rollup_page(ops.rollup(h, "user_agent"), 2, 10), "SELECT user_agent, segment, count(*) AS hit_count FROM e GROUP BY 1, 2 ORDER BY hit_count DESC, 1, 2 LIMIT 10 OFFSET 10", joined=False)
 add("k4_top_paths", lambda h: ops.top(ops.path_rollup(h)), "SELECT * FROM paths ORDER BY hit_count DESC, path, crawler_type, segment LIMIT 10", joined="listed")
 add("k9_downsample", lambda h: ops.downsample(ops.timeline(h, "hour", None), 40), f"SELECT min(date) AS date, CAST(sum(human) AS BIGINT) AS human, CAST(sum(crawler) AS BIGINT) AS crawler FROM (SELECT *, (row_number() OVER (ORDER BY date) - 1) // (SELECT CAST(ceil(count(DISTINCT hour) / 40) AS BIGINT) FROM e) AS b FROM (SELECT hour AS date, {HUMAN} FROM e GROUP BY 1)) GROUP BY b", joined=False)
+
+
+def _indexed(spark, sf_dir):
+    from ..operators import search
+    from ..operators.tables import fresh_dir
+
+    rows, columns, folder = I.hits(spark, sf_dir), ["ip", "path", "user_agent"], fresh_dir(spark, "trigrams")
+    search.write_index(rows, "hit_id", columns, folder)
+    return search.search_rows(rows, "hit_id", columns, folder, "Blog/Post-1").select("hit_id", "path", "user_agent")
+
+
+add_full("f4_indexed_search", _indexed, "SELECT hit_id, path, user_agent FROM hits WHERE contains(lower(path), 'blog/post-1')")

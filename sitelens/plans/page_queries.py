@@ -82,7 +82,7 @@ add("j16_broken_link_carriers", lambda s, d: links_ops.carriers(site(s, d), stat
 add("j14_incoming_links", lambda s, d: links_ops.incoming(statuses(s, d), f"{SITE}14"), f"SELECT source_url, string_agg(DISTINCT anchor_text, ', ' ORDER BY anchor_text) AS anchors, max(status) AS status FROM status WHERE regexp_replace(url, '#.*$', '') = '{SITE}14' GROUP BY 1")
 add("g5_link_degrees", lambda s, d: links_ops.degrees(links(s, d)), "SELECT url, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT s AS url, 1 AS o, 0 AS i FROM e UNION ALL SELECT t, 0, 1 FROM e) GROUP BY 1".replace("FROM (", "FROM (WITH e AS (SELECT DISTINCT source_url AS s, regexp_replace(url, '#.*$', '') AS t FROM link WHERE source_url <> regexp_replace(url, '#.*$', '')) ", 1))
 add("g6_click_depth", lambda s, d: links_ops.click_depth(links(s, d).withColumn("url", U.norm_url(F.col("url"))), site(s, d).filter("page_id = 0").select("url")), f"""
-, RECURSIVE_ AS (SELECT 1) SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM (WITH RECURSIVE r AS (SELECT url, 0 AS depth FROM site WHERE page_id = 0 UNION SELECT regexp_replace(l.url, '#.*$', ''), r.depth + 1 FROM r JOIN link l ON l.source_url = r.url WHERE r.depth < 12) SELECT * FROM r) GROUP BY 1""")
+, RECURSIVE_ AS (SELECT 1) SELECT url, CAST(depth AS INTEGER) AS depth FROM (WITH RECURSIVE e AS (SELECT DISTINCT source_url AS s, regexp_replace(url, '#.*$', '') AS t FROM link), r(url, depth) USING KEY (url) AS (SELECT url, 0 FROM site WHERE page_id = 0 UNION SELECT e.t, min(r.depth) + 1 FROM r JOIN e ON e.s = r.url WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.url = e.t) GROUP BY e.t) SELECT * FROM r)""")
 ROUNDS = ", ".join(f"s{i + 1} AS (SELECT el.url, 0.15 / n.n + 0.85 * coalesce(sum(v * w), 0) AS v FROM el CROSS JOIN n LEFT JOIN w ON w.t = el.url LEFT JOIN s{i} ON s{i}.url = w.s GROUP BY el.url, n.n)" for i in range(10))
 add("g2_link_score", lambda s, d: links_ops.link_score(I.site_pages(s, d), links(s, d)), f"""
 , b AS (SELECT url AS src, canonical AS dst FROM site0 WHERE canonical IS NOT NULL AND canonical <> url),

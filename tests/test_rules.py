@@ -198,3 +198,23 @@ def test_charts_of_odd_pages(spark):
     depths = spark.createDataFrame([("r", 0), ("a", 1), ("zz", -1), ("b", None)], "url string, depth int")
     nodes, edges = Li.link_graph(links, depths, 2)
     assert {tuple(r) for r in nodes.collect()} == {("a", 3, 1, 4), ("r", 0, 1, 1)} and [tuple(r) for r in edges.collect()] == [("r", "a")]
+
+
+def test_searches_by_trigrams_find_what_scans_find(spark, tmp_path):
+    from sitelens.operators import search as S
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aAbBcé/. ") for _ in range(rng.randrange(9)))
+    rows = [(i, rng.choice([word(), None]), word() + "/Blog/post-" + str(i % 50) if i % 3 else word()) for i in range(2000)]
+    table = spark.createDataFrame(rows, "id long, a string, b string")
+    S.write_index(table, "id", ["a", "b"], f"{tmp_path}/index")
+    for term in ["Blog/Post-1", " blog/post-49 ", "abc", "é/.", "ab", "", "zzz", "st-", "/blog"]:
+        low = term.strip().lower()
+        want = [i for i, a, b in rows if low in (a or "").lower() and a is not None or low in b.lower()]
+        assert sorted(r.id for r in S.search_rows(table, "id", ["a", "b"], f"{tmp_path}/index", term).collect()) == want, term
+    found = S.candidates(spark, f"{tmp_path}/index", "blog/post-49")
+    read = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in read.replace("[isnotnull(bucket", "[bucket") or "PartitionFilters: [" in read
+    some = spark.read.parquet(f"{tmp_path}/index")
+    buckets = {r.bucket for r in some.filter(F.col("gram").isin([t for t in ("blo", "log", "og/", "g/p", "/po", "pos", "ost", "st-", "t-4", "-49")])).select("bucket").distinct().collect()}
+    assert some.filter(F.col("bucket").isin(list(buckets))).count() < some.count() / 2 and found.count() < 60  # what is read, and what is looked through
