@@ -77,13 +77,18 @@ ISSUE_SQL[43] = "page_id IN (SELECT page_id FROM (SELECT page_id, count(*) OVER
 ROBOTS = "# all\nUser-agent: *\nDisallow: /fr/\nAllow: /fr/8\nDisallow: /*ref=x$\n\nUser-agent: other\nDisallow: /\n"
 
 
-def blocked(pages):
-    """The pages (url) that their host's robots file keeps out."""
+def by_robots(pages):
+    """The pages with their host and whether its robots file lets them be read."""
     from ..sources.web import robots_allowed, robots_rules
 
-    named = pages.select("url", U.host(F.col("url")).alias("host"))
+    named = pages.withColumn("host", U.host(F.col("url")))
     rules = robots_rules(named.select("host").distinct().withColumn("body", F.lit(ROBOTS)), "sitelens")
-    return robots_allowed(named, rules).filter("not allowed").select("url")
+    return robots_allowed(named, rules)
+
+
+def blocked(pages):
+    """The pages (url) that their host's robots file keeps out."""
+    return by_robots(pages.select("url")).filter("not allowed").select("url")
 
 
 def _issues(make):
@@ -99,6 +104,8 @@ def _issues(make):
 
 ROBOT_PATH = "regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '#.*$', '')"
 ISSUE_SQL[28] = f"regexp_matches({ROBOT_PATH}, 'ref=x$') OR (starts_with({ROBOT_PATH}, '/fr/') AND NOT starts_with({ROBOT_PATH}, '/fr/8'))"
+QUERIES["f10_robots_allowed"] = lambda s, d: by_robots(I.table(s, d, "pages").select("page_id", "url")).select("page_id", "allowed")
+SQL["f10_robots_allowed"] = f"SELECT page_id, NOT ({ISSUE_SQL[28]}) AS allowed FROM pages"
 ISSUE_SQL[44] = "page_id IN (SELECT page_id FROM (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/]+)', 1)) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS target FROM pages) WHERE length(target) % 5 <> 0 AND length(target) % 3 = 0)"
 ISSUES = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS id, '{T.ISSUES[i][0]}' AS name, '{T.ISSUES[i][1]}' AS priority, url FROM p WHERE {c}" for i, c in ISSUE_SQL.items())
 QUERIES["a24_issues"], SQL["a24_issues"] = _issues(ops.issues), BASE + ISSUES

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.robots import RuleTrie
 from ..operators.logs import keep_last
+from ..operators.tables import materialized
 
 GSC_ROW = "date string, url string, position double, clicks long, impressions long, ctr double"
 
@@ -111,15 +114,36 @@ def robots_sitemaps(files: DataFrame) -> DataFrame:
     return files.select("host", F.explode(F.array_distinct(found)).alias("url"))
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The urls (with host) and allowed: what the longest matching rule says, an Allow in ties, and True without a rule."""
-    raw = F.regexp_replace("pattern", r"\$$", "")
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(raw, r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*", ".*"), F.when(F.col("pattern").endswith("$"), "$").otherwise(""))
-    table = rules.groupBy("host").agg(F.collect_list(F.struct(F.length(F.regexp_replace("pattern", r"[*$]", "")).alias("n"), "allow", regex.alias("re"))).alias("_rules"))  # one host's rules
-    path = F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace("url", r"^[a-zA-Z][\w+.-]*://[^/?#]*", ""), "#.*$", ""), F.lit("")), F.lit("/"))
-    rows = urls.join(table, "host", "left").withColumn("_p", path)
-    hit = F.array_max(F.transform(F.filter("_rules", lambda r: F.regexp_like(F.col("_p"), r["re"])), lambda r: F.struct(r["n"], r["allow"])))
-    return rows.withColumn("allowed", F.coalesce(hit["allow"], F.lit(True))).drop("_rules", "_p")
+#: Addresses of a host that are walked in one task; a host with more is dealt over several.
+ROBOTS_PART = 20_000
+
+
+def robots_allowed(urls: DataFrame, rules: DataFrame, part: int = ROBOTS_PART) -> DataFrame:
+    """The urls (with host) and allowed: what the longest matching rule says, an Allow in ties, and True without a rule.
+
+    Each distinct address of a host that has rules is walked once through a trie of that host's rules. Hosts meet their rules by a
+    cogroup on host and a share of the addresses, so a host with many addresses is in many tasks, and rules are repeated for
+    each share only. A null url counts as '/', null patterns are left out, and a null host has no rules. `urls` is read twice, so pass a written table or a scan.
+    """
+
+    def walked(asked: pa.Table, held: pa.Table) -> pa.Table:
+        trie = RuleTrie(zip(held.column("allow").to_pylist(), held.column("pattern").to_pylist()))
+        said = [trie.allowed(p) for p in asked.column("_robots_path").to_pylist()]
+        return pa.table({"_robots_host": asked.column("_robots_host"), "_robots_path": asked.column("_robots_path"), "allowed": pa.array(said, pa.bool_())})
+
+    said = F.coalesce(F.regexp_replace(F.regexp_replace("url", r"^[a-zA-Z][\w+.-]*://[^/?#]*", ""), "#.*$", ""), F.lit(""))
+    path = F.when(said.startswith("/"), said).otherwise(F.concat(F.lit("/"), said))
+    own = rules.filter("pattern is not null").select(F.col("host").alias("_robots_host"), "allow", "pattern").distinct()
+    asked = urls.select(F.col("host").alias("_robots_host"), path.alias("_robots_path")).join(own.select("_robots_host").distinct(), "_robots_host", "left_semi").distinct()
+    asked = materialized(asked, "robots-asked")
+    parts = asked.groupBy("_robots_host").agg(F.ceil(F.count("*") / part).cast("int").alias("_parts"))
+    dealt = asked.join(parts, "_robots_host").withColumn("_part", F.pmod(F.xxhash64("_robots_path"), F.col("_parts")).cast("int"))
+    held = own.join(parts, "_robots_host").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    keys = ["_robots_host", "_part"]
+    judged = dealt.select(*keys, "_robots_path").groupBy(*keys).cogroup(held.select(*keys, "allow", "pattern").groupBy(*keys)).applyInArrow(walked, "_robots_host string, _robots_path string, allowed boolean")
+    judged = judged.withColumnRenamed("allowed", "_robots_allowed")
+    rows = urls.withColumn("_robots_at", path).join(judged, (F.col("host") == F.col("_robots_host")) & (F.col("_robots_at") == F.col("_robots_path")), "left")
+    return rows.select(*[F.col(c) for c in urls.columns if c != "allowed"], F.coalesce("_robots_allowed", F.lit(True)).alias("allowed"))
 
 
 # ---------------------------------------------------------------- speed reports

@@ -71,6 +71,34 @@ def test_robots(spark):
     assert [r["url"] for r in W.robots_sitemaps(files).collect()] == ["https://h/s.xml"]
 
 
+def test_rule_trie_against_expressions():
+    import random
+    import re
+
+    from sitelens.functions.robots import RuleTrie
+
+    rng = random.Random(10)
+    for _ in range(400):
+        rules = [(rng.random() < 0.5, "".join(rng.choices("/ab*$.", (4, 4, 3, 3, 1, 1), k=rng.randint(1, 6)))) for _ in range(rng.randint(0, 6))]
+        trie = RuleTrie(rules)
+        for _ in range(20):
+            path = "/" + "".join(rng.choices("/ab$.", k=rng.randint(0, 7)))
+            fit = [(len(p.replace("*", "").replace("$", "")), allow) for allow, p in rules if re.match(".*".join(map(re.escape, re.sub(r"\$$", "", p).split("*"))) + ("$" if p.endswith("$") else ""), path)]
+            assert trie.allowed(path) == (max(fit)[1] if fit else True), (rules, path)
+
+
+def test_robots_of_hot_hosts_and_odd_rows(spark):
+    rules = spark.createDataFrame([("h", False, "/p"), ("h", True, "/p1*9$"), ("h", True, None), (None, False, "/"), ("e", False, "/")], "host string, allow boolean, pattern string")
+    rows = [("h", f"https://h/p{i}", i) for i in range(300)] + [("h", "https://h/p7", 7), ("h", None, 1), (None, "https://x/", 2), ("none", "https://none/", 3), ("e", None, 4), ("e", "https://e?q", 5)]
+    urls = spark.createDataFrame(rows, "host string, url string, allowed int").withColumnRenamed("allowed", "_part")
+    got = W.robots_allowed(urls, rules, part=16)
+    assert got.columns == ["host", "url", "_part", "allowed"]
+    said = sorted((str(r["host"]), str(r["url"]), r["allowed"]) for r in got.collect())
+    want = [(str(h), str(u), (u[10:].startswith("p1") and u.endswith("9")) if h == "h" and u else h != "e") for h, u, _ in rows]
+    assert said == sorted(want)
+    assert W.robots_allowed(urls.limit(0), rules).count() == 0 and W.robots_allowed(urls, rules.limit(0)).filter("allowed").count() == len(rows)
+
+
 def test_sitemaps(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<urlset xmlns='x'><url><loc> https://a/?x=1&amp;y=2 </loc><image:image><image:loc>https://a/i.png</image:loc></image:image></url><url><loc>https://a/b</loc></url></urlset>")
     (tmp_path / "i.xml").write_text("<sitemapindex><sitemap><loc>https://a/a.xml</loc></sitemap></sitemapindex>")
