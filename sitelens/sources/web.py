@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.robots import RuleTrie
+from ..operators.graphs import hot_join
 from ..operators.logs import keep_last
 from ..operators.tables import materialized
 
@@ -133,12 +134,12 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, part: int = ROBOTS_PART) -
 
     said = F.coalesce(F.regexp_replace(F.regexp_replace("url", r"^[a-zA-Z][\w+.-]*://[^/?#]*", ""), "#.*$", ""), F.lit(""))
     path = F.when(said.startswith("/"), said).otherwise(F.concat(F.lit("/"), said))
-    own = rules.filter("pattern is not null").select(F.col("host").alias("_robots_host"), "allow", "pattern").distinct()
-    asked = urls.select(F.col("host").alias("_robots_host"), path.alias("_robots_path")).join(own.select("_robots_host").distinct(), "_robots_host", "left_semi").distinct()
-    asked = materialized(asked, "robots-asked")
-    parts = asked.groupBy("_robots_host").agg(F.ceil(F.count("*") / part).cast("int").alias("_parts"))
-    dealt = asked.join(parts, "_robots_host").withColumn("_part", F.pmod(F.xxhash64("_robots_path"), F.col("_parts")).cast("int"))
-    held = own.join(parts, "_robots_host").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    own = materialized(rules.filter("host is not null and pattern is not null").select(F.col("host").alias("_robots_host"), "allow", "pattern").distinct(), "robots-rules")
+    asked = materialized(urls.filter("host is not null").select(F.col("host").alias("_robots_host"), path.alias("_robots_path")).distinct(), "robots-asked")
+    sizes = asked.groupBy("_robots_host").agg(F.count("*").alias("_n")).join(own.select("_robots_host").distinct(), "_robots_host")
+    sizes = materialized(sizes.withColumn("_parts", F.ceil(F.col("_n") / part).cast("int")), "robots-sizes")  # a row a host
+    dealt = hot_join(asked, sizes, "_robots_host", "_n", asked.count()).filter("_parts is not null").withColumn("_part", F.pmod(F.xxhash64("_robots_path"), F.col("_parts")).cast("int"))
+    held = own.join(sizes, "_robots_host").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     keys = ["_robots_host", "_part"]
     judged = dealt.select(*keys, "_robots_path").groupBy(*keys).cogroup(held.select(*keys, "allow", "pattern").groupBy(*keys)).applyInArrow(walked, "_robots_host string, _robots_path string, allowed boolean")
     judged = judged.withColumnRenamed("allowed", "_robots_allowed")
