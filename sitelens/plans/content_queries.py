@@ -56,8 +56,8 @@ UNION ALL SELECT plain, final_url, 302, final_url, 2, '302 Redirect', 'Not index
 
 
 def t5_reading_level(spark, sf_dir):
-    score = X.reading_level(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("score"), X.reading_class(F.round(score, 6)).alias("level"))
+    scored = table(spark, sf_dir, "documents").select("doc_id", F.round(X.reading_level(F.col("text")), 6).alias("score"))
+    return scored.select("doc_id", "score", X.reading_class(F.col("score")).alias("level"))
 
 
 SQL["t5_reading_level"] = r"""
