@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fixed_binary, fixed_matrix, hot_join, mix, shingle_hashes, small_batches, text_chunks, whole_groups, word_hashes, words, written
+from .common import discard, fixed_binary, fixed_matrix, hot_join, mark, mix, shingle_hashes, small_batches, text_chunks, whole_groups, word_hashes, words, written
 from .near import classes_of, grouped, names_of, shingle_sets, texts_of
 
 SHARE = 1.3  # segments that a set posts, as a multiple of those that it needs if all hold tokens
@@ -212,7 +212,9 @@ def shared(posted: DataFrame) -> DataFrame:
 
 def candidate_edges(docs: DataFrame, classes: DataFrame, k: int, plan: Plan) -> DataFrame:
     """(src, dst) between classes: spanning forests of the pairs that no list and no sketch rules out."""
+    start = mark()
     found = written(shared(postings(docs, k, plan)), "jaccard-shared")
+    discard(docs.sparkSession, start)  # its shuffle, the largest of all
     is_ = lambda bit: F.col("kind").bitwiseAND(F.lit(bit)) != 0
     lists = found.groupBy("key").agg(F.count("*").alias("_n"), F.sum(is_(INDEX).cast("int")).alias("indexed")).filter("indexed > 0")
     lists = written(lists.withColumn("length", F.col("_n")), "jaccard-lists")
@@ -226,6 +228,7 @@ def candidate_edges(docs: DataFrame, classes: DataFrame, k: int, plan: Plan) ->
     spare = F.greatest(F.lit(0), F.when(F.col("below"), F.col("spare_below")).otherwise(F.col("spare")))
     marked = met.withColumn("asks", asks & (is_(DELETION) | (rank > spare))).select("key", "node", "length", "asks")
     marked = written(marked, "jaccard-marked")
+    discard(docs.sparkSession, start, "jaccard-shared", "jaccard-lists")
     wanted = written(marked.groupBy("key").agg(F.count("*").alias("_n"), F.max("asks").alias("wanted")).filter("wanted").select("key", "_n", F.ceil(F.col("_n") / LIST).cast("int").alias("parts")), "jaccard-wanted")
     rows = hot_join(marked, wanted, "key", "_n", marked.count()).filter("parts is not null").select("key", "node", "parts").distinct()
     rows = rows.join(classes.select("node", "n_shingles", "sketch").hint("merge"), "node")
@@ -305,10 +308,12 @@ def _by_tokens(docs: DataFrame, classes: DataFrame, k: int, plan: Plan) -> DataF
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    plan = Plan(percent)
+    plan, spark, start = Plan(percent), docs.sparkSession, mark()
     rows = written(described(docs, k, plan), "jaccard-described")
     classes = classes_of(rows, "short", "sketch", "spare", "spare_below", "weak")
     edges = candidate_edges(docs, classes, k, plan)
     if classes.filter("weak").head(1):
         edges = edges.unionByName(_by_tokens(docs, classes, k, plan))
+    edges = written(edges, "jaccard-edges")
+    discard(spark, start, "jaccard-marked", "jaccard-wanted", "jaccard-weak")
     return grouped(docs, rows, classes, edges, k, percent).select("doc_id", "n_shingles", "component_id")

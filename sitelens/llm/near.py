@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, components, fixed_binary, fixed_matrix, forest, hot_join, mix, shingle_hashes, small_batches, text_chunks, whole_groups, word_hashes, words, written
+from .common import carried, components, discard, fixed_binary, fixed_matrix, forest, hot_join, mark, mix, shingle_hashes, small_batches, text_chunks, whole_groups, word_hashes, words, written
 
 N = 64
 MISS = 5e-5
@@ -311,8 +311,11 @@ def classes_of(rows: DataFrame, *more: str) -> DataFrame:
 
 def grouped(docs: DataFrame, rows: DataFrame, classes: DataFrame, candidates: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, t, n_shingles, component_id, first of each document, from candidate edges between classes."""
+    spark, start = docs.sparkSession, mark()
     clusters = written(components(candidates), "near-clusters")
+    discard(spark, start, "edges")
     links = written(confirmed_edges(docs, classes, clusters, k, percent), "near-links")
+    discard(spark, start, "near-named", "near-sizes", "near-members", "near-sets", "near-forests", "near-loose", "near-spread")
     joined = components(links)
     named = classes.select("node", "name", "rep", "rep_t", "n_docs").join(joined.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named, "near-components")
