@@ -12,6 +12,7 @@ An empty table has no files and no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from array import array
@@ -30,6 +31,8 @@ BLOCK = 4096
 PERCENTILE = 98
 MAGIC = b"PFOR1\0\0\0"
 HEAD = struct.Struct("<IBxHHxx")  # minimum, width, ids, exceptions
+MARKS = r"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation; not the apostrophe, which tokenizers may join to letters
+PARTS = re.compile(rf"({MARKS}*)([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)({MARKS}*)")
 
 
 # ---------------------------------------------------------------- blocks
@@ -155,10 +158,22 @@ class Encoder:
         return (b"".join(map(find, ws)) for ws in split)
 
     def _learn(self, new: list[str]) -> None:
-        """Words of letters only are encoded many at once and told apart by their last tokens; other pieces one by one."""
-        plain, other = [], []
+        """Words of letters only are encoded many at once and told apart by their last tokens; a word with punctuation around it
+        is put together from its parts, which are remembered too; other pieces one by one."""
+        plain, other, made = [], [], []
         for w in new:
-            (plain if w.isascii() and w.isalpha() or w.lower().isalpha() else other).append(w)
+            if w.isascii() and w.isalpha() or w.lower().isalpha():
+                plain.append(w)
+            elif "<|" not in w and (found := PARTS.fullmatch(w)):  # it may be a special token
+                made.append(found.groups())
+            else:
+                other.append(w)
+        parts = {p for m in made for p in m if p}.difference(plain, other)
+        for p in parts:
+            if (b := p.encode()) in self.older:
+                self.known[b] = self.older[b]
+            elif b not in self.known:
+                (plain if p[0].isalpha() else other).append(p)
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -174,6 +189,8 @@ class Encoder:
             part = other[i : i + 4000]
             got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.known.update((w.encode(), array("I", e.ids).tobytes()) for w, e in zip(part, got))
+        find = self.known.get
+        self.known.update(((a + b + c).encode(), find(a.encode(), b"") + find(b.encode()) + find(c.encode(), b"")) for a, b, c in made)
 
 
 @functools.cache
