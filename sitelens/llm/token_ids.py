@@ -17,6 +17,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, small_batches, written
+from .common import fresh_dir, give_back, small_batches, written
 from .files import create, open_random
 
 BLOCK = 4096
 PERCENTILE = 98
 MAGIC = b"PFOR1\0\0\0"
 HEAD = struct.Struct("<IBxHHxx")  # minimum, width, ids, exceptions
+MEMORY = 128 << 20  # bytes of the pieces that a worker remembers
+ENTRY = 170  # bytes of a remembered piece besides its own and its ids
+SLICE = 4 << 20  # bytes of text that are encoded at once
 MARKS = r"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation; not the apostrophe, which tokenizers may join to letters
 PARTS = re.compile(rf"({MARKS}*)([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)({MARKS}*)")
 
@@ -133,13 +137,13 @@ class Encoder:
 
     Only for tokenizers that lower-case, drop white space, split letters from other characters and never let a token reach over
     such a border; the last token of a word ends in `end`. Pieces are remembered with A-Z as a-z, but for texts that could
-    hold a special token. Of `most` pieces those not met since the last time that the memory was full are forgotten.
+    hold a special token. Where they take `most` bytes, those not met since half of that was last full are forgotten.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 700_000, end: str = "</w>"):
+    def __init__(self, tokenizer_file: str, most: int = MEMORY, end: str = "</w>"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.older = Tokenizer.from_file(tokenizer_file), most, {}, {}
+        self.tokenizer, self.most, self.known, self.older, self.held = Tokenizer.from_file(tokenizer_file), most, {}, {}, 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
@@ -147,15 +151,19 @@ class Encoder:
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > self.most // 2:
-            self.known, self.older = {}, self.known
+        if self.held > self.most // 2:
+            self.known, self.older, self.held = {}, self.known, 0
         known, older = self.known, self.older
+        n = len(known)
         new = set().union(*split).difference(known)
         again = new.intersection(older)
         known.update((w, older[w]) for w in again)
         self._learn([w.decode() for w in new - again])
         find = known.__getitem__
-        return (b"".join(map(find, ws)) for ws in split)
+        out = [b"".join(map(find, ws)) for ws in split]
+        added = list(islice(reversed(known), len(known) - n))
+        self.held += ENTRY * len(added) + sum(map(len, added)) + sum(map(len, map(find, added)))
+        return iter(out)
 
     def _learn(self, new: list[str]) -> None:
         """Words of letters only are encoded many at once and told apart by their last tokens; a word with punctuation around it
@@ -193,6 +201,16 @@ class Encoder:
         self.known.update(((a + b + c).encode(), find(a.encode(), b"") + find(b.encode()) + find(c.encode(), b"")) for a, b, c in made)
 
 
+def encoded(texts: pa.Array, encode: Encoder, limit: int = SLICE) -> Iterator[bytes]:
+    """The ids of each text, of about `limit` bytes of texts (one at least) at a time."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    ends, i = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while i < len(texts):
+        j = max(i + 1, int(ends.searchsorted((ends[i - 1] if i else 0) + limit, "right")))
+        yield from encode(texts.slice(i, j - i).to_pylist())
+        i = j
+
+
 @functools.cache
 def encoder(tokenizer_file: str) -> Encoder:
     """A worker process's own encoder, which its tasks share."""
@@ -213,14 +231,12 @@ def write_token_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: i
 
         encode, out, end, file = encoder(tokenizer_file), None, struct.pack("<I", end_id), ""
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "").cast(pa.large_binary())
-            for i in range(0, len(texts), 1000):
-                some = texts.slice(i, 1000).to_pylist()
-                for doc_id, ids in zip(batch.column(0).slice(i, 1000).to_pylist(), encode(some)):
-                    if out is None:
-                        file, stream = create(folder, ".pfor")
-                        out = Writer(stream)
-                    out.add(doc_id, np.frombuffer(ids + end, "<u4"))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), encode)):
+                if out is None:
+                    file, stream = create(folder, ".pfor")
+                    out = Writer(stream)
+                out.add(doc_id, np.frombuffer(ids + end, "<u4"))
+        give_back()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([file]), pa.array([len(out.docs)], pa.int64()), pa.array([out.n], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
