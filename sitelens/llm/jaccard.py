@@ -40,6 +40,7 @@ MORE = 8  # and so many besides
 WHOLE = 128  # bands that end below this post all segments
 LIST = 2048
 BITS = 1024  # of a sketch
+TURNS = 2  # in which postings are dealt, each of some of the keys, so that not all of them are on disk at once
 INDEX, ASK, BELOW, DELETION = 1, 2, 4, 8  # what a posting is: to be found, to find; in the band below the set's own; without one token
 
 
@@ -141,8 +142,9 @@ def described(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(each, "doc_id long, t long, n_shingles long, name binary, short long, sketch binary, spare long, spare_below long, weak boolean")
 
 
-def postings(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
-    """key, short, kind: the posted subsets and deletions of all sets. A task posts a set once, however many copies it reads."""
+def postings(docs: DataFrame, k: int, plan: Plan, turn: int = 0, turns: int = 1) -> DataFrame:
+    """key, short, kind: the posted subsets and deletions of all sets, of the keys whose turn (of `turns`) it is. A task posts a set once,
+    however many copies it reads."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -178,7 +180,9 @@ def postings(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
                         keys.append(mix(sums[of] - token[chosen] + salt[of]))
                         kinds.append(np.full(len(chosen), ASK | DELETION | (BELOW if below else 0)))
                         who.append(row[chosen])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(name[np.concatenate(who)]), pa.array(np.concatenate(kinds).astype(np.int8))], ["key", "short", "kind"])
+                key, who, kind = np.concatenate(keys), np.concatenate(who), np.concatenate(kinds).astype(np.int8)
+                now = key % np.uint64(turns) == turn
+                yield pa.RecordBatch.from_arrays([pa.array(key[now].view(np.int64)), pa.array(name[who[now]]), pa.array(kind[now])], ["key", "short", "kind"])
 
     return small_batches(docs).select("text").mapInArrow(post, "key long, short long, kind byte")
 
@@ -212,9 +216,11 @@ def shared(posted: DataFrame) -> DataFrame:
 
 def candidate_edges(docs: DataFrame, classes: DataFrame, k: int, plan: Plan) -> DataFrame:
     """(src, dst) between classes: spanning forests of the pairs that no list and no sketch rules out."""
-    start = mark()
-    found = written(shared(postings(docs, k, plan)), "jaccard-shared")
-    discard(docs.sparkSession, start)  # its shuffle, the largest of all
+    start, found = mark(), None
+    for turn in range(TURNS):
+        some = written(shared(postings(docs, k, plan, turn, TURNS)), "jaccard-shared")
+        discard(docs.sparkSession, start)  # its shuffle, the largest of all
+        found = some if found is None else found.unionByName(some)
     is_ = lambda bit: F.col("kind").bitwiseAND(F.lit(bit)) != 0
     lists = found.groupBy("key").agg(F.count("*").alias("_n"), F.sum(is_(INDEX).cast("int")).alias("indexed")).filter("indexed > 0")
     lists = written(lists.withColumn("length", F.col("_n")), "jaccard-lists")
