@@ -7,7 +7,8 @@
    A list of over LIST members is split into blocks; a cell takes two blocks.
 3. The forests' components are candidate clusters. Their members' texts are read again, and a cluster's sets are intersected exactly,
    each with those that no link has reached yet. A large cluster is dealt over parts of bounded size, which are linked within
-   themselves and with one set of the cluster; what that leaves unconnected is compared with all parts.
+   themselves and with one set of the cluster. What that leaves unconnected is compared with all parts, by parity sketches as long as the
+   sets have hashes at first; the pairs that these don't rule out make smaller clusters, which are gone through likewise, with full sets at the end.
 4. Components of those links, over classes, give each document the smallest doc_id that it is linked with over any number of links.
 
 MATCH follows from the similarity: a pair that just has it falls below with probability MISS at most (for 0.85, MATCH is 42).
@@ -35,6 +36,8 @@ N = 64
 MISS = 5e-5
 LIST = 2048
 CELL = 100_000  # shingles of a block of a cluster
+SKETCHES = 4_000_000  # bytes of a block of its sketches
+MORE = 4  # times the bytes of large clusters, that their cells may take without these
 FEW = 500_000  # keys of documents that are broadcast, at most: some 30 MB
 
 _SALTS = mix(np.arange(1, N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -257,7 +260,7 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
     """(src, dst): spanning forests of the links within candidate clusters, on full sets.
 
     A cluster of over CELL shingles is dealt over parts. Each part is linked within itself and with the cluster's smallest class at
-    first; only what that leaves unconnected is compared with all parts.
+    first; only what that leaves unconnected is compared with all parts, by sketches before by sets.
     """
     named = clusters.join(classes.select(F.col("node").alias("id"), "rep", "rep_t", "n_shingles"), "id")
     named = written(named, "near-named")
@@ -275,7 +278,11 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
             yield pa.RecordBatch.from_arrays([*(rows.column(i).take(pa.array(own, pa.int64())) for i in (1, 2, 3)), pa.array([raw[8 * where[i] : 8 * where[i + 1]] for i in own], pa.binary())], ["node", "component", "parts", "shingles"])
 
     texts = texts_of(docs, members.select(F.col("id").alias("node"), "component", "parts", "rep", "rep_t"))
-    rows = written(texts.mapInArrow(sets, "node long, component long, parts int, shingles binary"), "near-sets", "none")
+    return _confirmed(written(texts.mapInArrow(sets, "node long, component long, parts int, shingles binary"), "near-sets", "none"), percent)
+
+
+def _confirmed(rows: DataFrame, percent: int, narrow: bool = True) -> DataFrame:
+    """(src, dst): the forests of the links within components of written rows (node, component, parts, shingles)."""
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cell = lambda f, a, b, side: f.select("component", a.alias("a"), b.alias("b"), side.alias("side"), "node", "shingles")
     small = cell(rows.filter("parts = 1"), F.lit(0), F.lit(0), F.lit(0))
@@ -290,7 +297,14 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
     if not gone.head(1):
         return every
     loose = written(large.join(gone.hint("merge"), "node", "left_semi"), "near-loose", "none")
-    spread = written(loose.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * CELL)).cast("int").alias("loose_parts")), "near-spread")
+    octets = F.sum(F.octet_length("shingles"))
+    spread = written(loose.groupBy("component").agg(F.ceil(octets / (8 * CELL)).cast("int").alias("loose_parts"), octets.alias("_l")), "near-spread")
+    if narrow:
+        whole = large.groupBy("component", "parts").agg(octets.alias("_m")).join(spread.hint("merge"), "component")
+        dealt, m = whole.agg(F.sum(F.col("_l") * F.col("parts") + F.col("_m") * F.col("loose_parts")), F.sum("_m")).first()
+        if dealt > MORE * m:  # full sets meet only where sketches have left something
+            return every.unionByName(_confirmed(_narrowed(large, gone, percent), percent, False))
+    spread = spread.drop("_l")
     one = loose.join(spread.hint("merge"), "component").withColumn("_a", F.pmod(F.xxhash64("node"), F.col("loose_parts")).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     all_ = large.join(spread.hint("merge"), "component").withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("loose_parts") - 1)))
     # a below b marks two sides
@@ -298,6 +312,93 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
     return every.unionByName(_forests(across, percent))
 
 
+def sketches(h: np.ndarray, percent: int) -> list[tuple[int, bytes]]:
+    """A set's parity sketch at each level (sizes by powers of two) where it meets sets: from that of the smallest it can be linked with to its own.
+
+    A level's sketches have a bit for each hash bucket, about as many as the sets have hashes: unlike ones differ in more bits than linked sets may.
+    """
+    out = []
+    for level in range((-(-len(h) * percent // 100)).bit_length() - 1, len(h).bit_length()):
+        bits = max(64, 2 << level)
+        out.append((level, np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()))
+    return out
+
+
+def sketch_forest(n: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs of the two sides that neither sizes nor sketches keep from being linked."""
+    own, other = (np.flatnonzero(side == x) for x in (0, 1))
+    sides = [x[np.argsort(n[x], kind="stable")] for x in (own, other)]  # by size, so that those that fit lie together
+    sizes, bits = [n[x] for x in sides], [sketch[x] for x in sides]
+    left = [np.ones(len(x), bool) for x in sides]
+    edges = []
+    for i in range(len(own)):
+        if not left[0][i]:
+            continue
+        left[0][i] = False
+        front = [(0, i)]
+        while front:
+            s, j = front.pop()
+            size = sizes[s][j]
+            lo, hi = np.searchsorted(sizes[1 - s], [-(-size * percent // 100), size * 100 // percent + 1])
+            at = lo + np.flatnonzero(left[1 - s][lo:hi])
+            if not len(at):
+                continue
+            rest = bits[1 - s][lo:hi] if len(at) == hi - lo else bits[1 - s][at]
+            most = (sizes[1 - s][at] + size) * (100 - percent) // (100 + percent)
+            new = at[np.bitwise_count(rest ^ bits[s][j]).sum(axis=1, dtype=np.int64) <= most]
+            left[1 - s][new] = False
+            edges += [(int(sides[s][j]), int(sides[1 - s][x])) for x in new]
+            front += [(1 - s, int(x)) for x in new]
+    return edges
+
+
+def _narrowed(large: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
+    """The rows of large components that can still be linked with one of the nodes in `gone`, in components of such pairs. Written.
+
+    Sketches meet in cells, not sets: a block of them has some 60 times as many.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("shingles")]
+            some = [(i, len(h), *x) for i, h in enumerate(sets) for x in sketches(h, percent)]
+            if some:
+                row, n, level, bits = zip(*some)
+                own = batch.select(["component", "node"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(level, pa.int32()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["component", "node", "level", "n", "sketch"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, ["component", "level", "a", "b"]):
+            node, n, side, level = (t.column(x).to_numpy() for x in ("node", "n", "side", "level"))
+            src, dst = [], []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if e - s > 1:
+                    width = max(64, 2 << int(level[s])) // 64
+                    for i, j in sketch_forest(n[s:e], fixed_matrix(t.column("sketch").slice(s, e - s), width, np.uint64), side[s:e], percent):
+                        if node[s + i] != node[s + j]:
+                            src.append(int(node[s + i]))
+                            dst.append(int(node[s + j]))
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    every = written(small_batches(large).select("component", "node", "shingles").mapInArrow(sketch, "component long, node long, level int, n long, sketch binary"), "near-sketches")
+    loose = written(every.join(gone.hint("merge"), "node", "left_semi"), "near-sketches")
+    keys = ["component", "level"]
+    blocks = lambda f, name: f.groupBy(*keys).agg(F.ceil(F.sum(F.octet_length("sketch")) / SKETCHES).cast("int").alias(name))
+    spread = written(blocks(loose, "_x").join(blocks(every, "_y").hint("merge"), keys), "near-spread")
+    few = spread.count() <= FEW
+    dealt = lambda f: f.join(F.broadcast(spread) if few else spread.hint("merge"), keys)
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    all_ = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cell = lambda f, a, b, side: f.select(*keys, a.alias("a"), "_y", "node", "n", "sketch").select(*keys, "a", b.alias("b"), F.lit(side).alias("side"), "node", "n", "sketch")
+    cells = cell(dealt(loose), own("_x"), all_("_y"), 0).unionByName(cell(dealt(every), all_("_x"), own("_y"), 1))
+    met = cells.repartition(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b", "node", "side").mapInArrow(meet, "src long, dst long")
+    named = components(written(met, "near-met"))
+    rows = written(large.drop("component", "parts").join(named.select(F.col("id").alias("node"), "component").hint("merge"), "node"), "near-sets", "none")
+    sizes = rows.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("shingles")) / (8 * CELL))).cast("int").alias("parts"), F.count("*").alias("_n"))
+    return hot_join(rows, written(sizes, "near-sizes"), "component", "_n", rows.count()).select("node", "component", "parts", "shingles")
+
+
 def _least(doc_id: str, t: str):
     """The smallest (doc_id, t), null ids last."""
     return F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("doc_id"), F.col(t).alias("t")))
@@ -315,7 +416,7 @@ def grouped(docs: DataFrame, rows: DataFrame, classes: DataFrame, candidates: Da
     clusters = written(components(candidates), "near-clusters")
     discard(spark, start, "edges")
     links = written(confirmed_edges(docs, classes, clusters, k, percent), "near-links")
-    discard(spark, start, "near-named", "near-sizes", "near-members", "near-sets", "near-forests", "near-loose", "near-spread")
+    discard(spark, start, "edges", "near-named", "near-sizes", "near-members", "near-sets", "near-forests", "near-loose", "near-spread", "near-sketches", "near-met")
     joined = components(links)
     named = classes.select("node", "name", "rep", "rep_t", "n_docs").join(joined.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named, "near-components")
